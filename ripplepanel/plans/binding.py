@@ -11,6 +11,7 @@ from ripplepanel.operators.clean import clean_trips
 from ripplepanel.operators.panel import build_panel
 from ripplepanel.operators.treatment import assign_dose, assign_treatment, enrich_zones
 from ripplepanel.policy import Policy
+from ripplepanel.session import cut
 from ripplepanel.sources.zones import borough_code
 
 SHOCK = date(1998, 7, 5)
@@ -128,7 +129,8 @@ def star_panel(spark: SparkSession, sf_dir: str, unit: str, min_trips: int) -> D
 
 
 def star_panel_with_dose(spark: SparkSession, sf_dir: str, unit: str, min_trips: int) -> DataFrame:
-    return assign_dose(star_panel(spark, sf_dir, unit, min_trips))
+    # the dose needs quantiles of the panel: aggregate the trips once, not per pass
+    return assign_dose(cut(star_panel(spark, sf_dir, unit, min_trips), "panel"))
 
 
 def parcel_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,8 +188,9 @@ def write_clean(trips: DataFrame, root: str) -> int:
     if done is not None:
         todo = trips.join(F.broadcast(done), ["trip_type", "year_month"], "left_anti")
     before = 0 if done is None else done.count()
+    # rebalance: few files per small partition, several tasks for a big one
     (
-        todo.write.mode("append").partitionBy("trip_type", "year_month")
+        todo.hint("rebalance", "trip_type", "year_month").write.mode("append").partitionBy("trip_type", "year_month")
         .option("compression", "snappy").parquet(root)
     )
     after = _written_partitions(spark, root)
