@@ -32,21 +32,20 @@ def drop_null_times(trips: DataFrame) -> DataFrame:
     return trips.dropna(subset=["pickup_datetime", "dropoff_datetime"])
 
 
+def month_label(c: Column) -> Column:
+    """yyyy-MM, cut from the ISO date text: no formatter call per row."""
+    return F.substring(c.cast("date").cast("string"), 1, 7)
+
+
 def in_declared_month() -> Column:
     """True when a pickup falls in the month its file was declared for."""
-    return F.date_format("pickup_datetime", "yyyy-MM") == F.col("year_month")
+    return month_label(F.col("pickup_datetime")) == F.col("year_month")
 
 
 def duration_minutes(start: str = "pickup_datetime", end: str = "dropoff_datetime") -> Column:
     """Minutes between two wall-clock times, independent of the session zone."""
-    gap = F.col(end) - F.col(start)
-    seconds = (
-        F.extract(F.lit("DAY"), gap) * F.lit(86400)
-        + F.extract(F.lit("HOUR"), gap) * F.lit(3600)
-        + F.extract(F.lit("MINUTE"), gap) * F.lit(60)
-        + F.extract(F.lit("SECOND"), gap)
-    )
-    return seconds.cast("double") / F.lit(60.0)
+    gap = (F.col(end) - F.col(start)).cast("interval second")
+    return gap.cast("decimal(20,6)").cast("double") / F.lit(60.0)
 
 
 def quality_rules(policy: Policy, limits: QualityLimits = QualityLimits()) -> dict[str, Column]:
@@ -120,7 +119,7 @@ def clean_trips(
     if "year_month" in trips.columns:
         timed = timed.where(in_declared_month())
     else:
-        timed = timed.withColumn("year_month", F.date_format("pickup_datetime", "yyyy-MM"))
+        timed = timed.withColumn("year_month", month_label(F.col("pickup_datetime")))
     kept = quality_filter(timed.withColumn("trip_duration_min", duration_minutes()), policy, limits)
     flagged = calendar_flags(kept.withColumn("cbd_congestion_fee", clean_fee()))
     flagged = flagged.withColumn("is_airport_trip", airport_flag(policy))

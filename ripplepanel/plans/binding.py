@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplepanel.operators.clean import clean_trips
+from ripplepanel.operators.clean import clean_trips, month_label
 from ripplepanel.operators.panel import build_panel
 from ripplepanel.operators.treatment import assign_dose, assign_treatment, enrich_zones
 from ripplepanel.policy import Policy
@@ -70,10 +70,10 @@ def bound_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0.5).alias("mta_tax"),
         F.when(F.col("l_returnflag") == "A", "yellow")
         .when(F.col("l_returnflag") == "N", "green").otherwise("fhvhv").alias("trip_type"),
-        F.date_format(
+        month_label(
             F.when(F.col("l_linenumber") == 7, F.date_add(F.to_date(day), 1))
-            .otherwise(F.to_date(day)), "yyyy-MM").alias("leaky_month"),
-        F.date_format(day, "yyyy-MM").alias("year_month"),
+            .otherwise(F.to_date(day))).alias("leaky_month"),
+        month_label(day).alias("year_month"),
         "l_quantity",
     ).withColumn("dropoff_datetime", dropoff).drop("l_quantity")
 
