@@ -45,10 +45,9 @@ def _banded(df: DataFrame) -> DataFrame:
 def _spread(values: Column) -> Column:
     """Sample deviation of an array column."""
     n = F.size(values)
-    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-    squares = F.aggregate(
-        values, F.lit(0.0), lambda a, v: a + (v - total / n) * (v - total / n))
-    return F.when(n > 1, F.sqrt(squares / (n - 1)))
+    mean = F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), n)
+    squares = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
+    return F.sqrt(F.try_divide(squares, F.greatest(n - 1, F.lit(0))))
 
 
 def t_learner(
@@ -158,19 +157,23 @@ def residual_forest(
     Each bag of trees sees half the rows (by hash); a row is only predicted by
     bags that did not see it, and the spread between those bags is its error.
     """
+    if bags < 4 or bags % 2:
+        raise ValueError("bags must be an even number of at least 4")
     features = list(features)
     res = cross_fit_residuals(
         panel, features, [treatment, outcome], nuisance, folds, 1, seed, trees=nuisance_trees)
     d, y = F.col(f"r_{treatment}"), F.col(f"r_{outcome}")
     base = res.select(
         "zone_id", "date", F.col(outcome).alias("y"), F.col(treatment).alias("t"), *features,
-        (y / d).alias("_ratio"), (d * d).alias("_w"))
+        F.try_divide(y, d).alias("_ratio"), (d * d).alias("_w"))
     held = cut(base, "residuals")
     held = VectorAssembler(inputCols=features, outputCol="_x").transform(held).persist(
         StorageLevel.MEMORY_AND_DISK)
     out, seen, total = held, [], np.zeros(len(features))
     for bag in range(bags):
-        inside = F.pmod(portable_hash("zone_id", "date", seed=f"bag{seed}-{bag}"), F.lit(2)) == 0
+        # bags come in complementary pairs, so every row stays unseen by half of them
+        side = F.pmod(portable_hash("zone_id", "date", seed=f"bag{seed}-{bag // 2}"), F.lit(2))
+        inside = side == bag % 2
         model = RandomForestRegressor(
             numTrees=trees_per_bag, maxDepth=8, minInstancesPerNode=min_leaf, seed=seed + bag,
             featuresCol="_x", labelCol="_ratio", weightCol="_w",
@@ -179,12 +182,12 @@ def residual_forest(
         seen.append(F.when(~inside, F.col(f"_p{bag}")))
         total += model.featureImportances.toArray()
     unseen = F.filter(F.array(*seen), lambda v: v.isNotNull())
-    mean = F.aggregate(unseen, F.lit(0.0), lambda a, v: a + v) / F.size(unseen)
-    scored = out.withColumn("cate", F.when(F.size(unseen) > 0, mean)).withColumn(
+    mean = F.try_divide(F.aggregate(unseen, F.lit(0.0), lambda a, v: a + v), F.size(unseen))
+    scored = out.withColumn("cate", mean).withColumn(
         "cate_se", _spread(unseen))
     rows = cut(_banded(scored.select(
         "zone_id", "date", "y", "t", *features, "cate", "cate_se"
-    ).where(F.col("cate").isNotNull())), "cate")
+)), "cate")
     held.unpersist()
     return Cate(rows, features, importance_rows(panel_session(panel), features, total / bags))
 

@@ -25,7 +25,7 @@ TREES = ("random_forest", "gradient_boosting")
 INNER_FOLDS = 5
 # Ridge penalties tried, and the size of the lasso path.
 RIDGE_GRID = (0.1, 1.0, 10.0)
-LASSO_STEPS, LASSO_SPAN = 40, 1e-3
+LASSO_STEPS, LASSO_SPAN = 30, 1e-3
 
 DML_SCHEMA = (
     "outcome string, theta double, se double, t_stat double, p_value double, ci_low double, "
@@ -57,24 +57,28 @@ def _ridge(gram: np.ndarray, xy: np.ndarray, alpha: float) -> np.ndarray:
 
 
 def _lasso(gram: np.ndarray, xy: np.ndarray, alpha: float, start: np.ndarray | None = None):
-    """Coordinate descent on centred sums; ``alpha`` is per observation."""
+    """Coordinate descent on correlations; ``alpha`` is in units of the target.
+
+    A constant feature has no correlation and keeps coefficient 0.
+    """
     n = gram[0, 0]
     mean = gram[0, 1:] / n
-    s = gram[1:, 1:] - n * np.outer(mean, mean)
-    v = xy[1:] - mean * xy[0]
-    b = np.zeros(len(v)) if start is None else start[1:].copy()
-    diag = np.diag(s)
-    for _ in range(2000):
-        moved = 0.0
-        for j in range(len(b)):
-            if diag[j] <= 0:
-                continue
-            rho = v[j] - s[j] @ b + diag[j] * b[j]
-            new = np.sign(rho) * max(abs(rho) - n * alpha, 0.0) / diag[j]
-            moved = max(moved, abs(new - b[j]) * np.sqrt(diag[j] / n))
-            b[j] = new
-        if moved < 1e-10:
+    s = gram[1:, 1:] / n - np.outer(mean, mean)
+    size = np.sqrt(np.maximum(np.diag(s), 0.0))
+    live = size > 1e-9 * np.maximum(np.abs(mean), 1e-300)
+    scale = np.where(live, size, 1.0)
+    c = s / np.outer(scale, scale)
+    v = np.where(live, (xy[1:] / n - mean * xy[0] / n) / scale, 0.0)
+    b = np.zeros(len(v)) if start is None else start[1:] * scale
+    order = np.nonzero(live)[0]
+    for _ in range(500):
+        before = b.copy()
+        for j in order:
+            rho = v[j] - c[j] @ b + b[j]
+            b[j] = np.sign(rho) * max(abs(rho) - alpha, 0.0)
+        if np.max(np.abs(b - before), initial=0.0) <= 1e-7 * np.max(np.abs(b), initial=1e-12):
             break
+    b = b / scale
     return np.concatenate([[(xy[0] - gram[0, 1:] @ b) / n], b])
 
 
@@ -82,8 +86,10 @@ def _penalties(name: str, gram: np.ndarray, xy: np.ndarray) -> list[float]:
     if name == "ridge":
         return list(RIDGE_GRID)
     n = gram[0, 0]
-    top = float(np.max(np.abs(xy[1:] - gram[0, 1:] / n * xy[0]))) / n
-    top = max(top, 1e-12)
+    mean = gram[0, 1:] / n
+    size = np.sqrt(np.maximum(np.diag(gram)[1:] / n - mean * mean, 0.0))
+    corr = np.abs(xy[1:] / n - mean * xy[0] / n) / np.where(size > 0, size, 1.0)
+    top = max(float(np.max(np.where(size > 0, corr, 0.0))), 1e-12)
     return list(np.geomspace(top, top * LASSO_SPAN, LASSO_STEPS))
 
 
