@@ -100,18 +100,23 @@ def _lead(i: int, j: int) -> str:
             f"USING (zone_id), units WHERE x.rel_week = {a} AND y.rel_week = {b})")
 
 
+# b' V^-1 b of three leads by the adjugate of V
+WALD = {**_LEADS, "wald": f"""
+  SELECT (b1*(b1*(d*f-e*e) + b2*(c*e-b*f) + b3*(b*e-c*d))
+        + b2*(b1*(c*e-b*f) + b2*(a*f-c*c) + b3*(b*c-a*e))
+        + b3*(b1*(b*e-c*d) + b2*(b*c-a*e) + b3*(a*d-b*b)))
+        / (a*(d*f-e*e) - b*(b*f-c*e) + c*(b*e-c*d)) AS stat
+  FROM (SELECT {_lead(0, 0)} AS a, {_lead(0, 1)} AS b, {_lead(0, 2)} AS c,
+          {_lead(1, 1)} AS d, {_lead(1, 2)} AS e, {_lead(2, 2)} AS f,
+          (SELECT c FROM coef WHERE rel_week = -14) AS b1,
+          (SELECT c FROM coef WHERE rel_week = -10) AS b2,
+          (SELECT c FROM coef WHERE rel_week = -5) AS b3)"""}
+WALD_P = erfc("sqrt(stat/2)") + "+sqrt(2*stat/pi())*exp(-stat/2)"
+
+
 @query("C4_pretrend_wald", compose(f"""
   SELECT 'event study leads' AS test, {real('stat')}, {whole('3', 'df')},
-    {real(erfc('sqrt(stat/2)') + '+sqrt(2*stat/pi())*exp(-stat/2)', 'p_value')}
-  FROM (SELECT (b1*(b1*(d*f-e*e) + b2*(c*e-b*f) + b3*(b*e-c*d))
-              + b2*(b1*(c*e-b*f) + b2*(a*f-c*c) + b3*(b*c-a*e))
-              + b3*(b1*(b*e-c*d) + b2*(b*c-a*e) + b3*(a*d-b*b)))
-              / (a*(d*f-e*e) - b*(b*f-c*e) + c*(b*e-c*d)) AS stat
-        FROM (SELECT {_lead(0, 0)} AS a, {_lead(0, 1)} AS b, {_lead(0, 2)} AS c,
-                {_lead(1, 1)} AS d, {_lead(1, 2)} AS e, {_lead(2, 2)} AS f,
-                (SELECT c FROM coef WHERE rel_week = -14) AS b1,
-                (SELECT c FROM coef WHERE rel_week = -10) AS b2,
-                (SELECT c FROM coef WHERE rel_week = -5) AS b3))""", MONTH, extra=_LEADS))
+    {real(WALD_P, 'p_value')} FROM wald""", MONTH, extra=WALD))
 def pretrend(ctx: Context) -> DataFrame:
     return did.event_study(ctx.panel()).pretrend
 
@@ -268,15 +273,17 @@ _BINNED = f"""(SELECT zone_id, date, log_trip_count, treat_binary, zone_dose, bi
     SELECT list_sort(list_distinct(quantile_cont(zone_dose, [0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS edges
     FROM (SELECT DISTINCT zone_dose FROM {_DOSED} WHERE treat_binary = 1)))
   WHERE treat_binary = 0 OR bin = len(list_filter(edges[2:], lambda e: e < zone_dose)))"""
+BIN_CTES = {
+    "binned": f"SELECT * FROM {_BINNED}",
+    **sweeps("binned", ["log_trip_count", "treat_post"], by=["bin"], rounds=20),
+    **one_regressor(["log_trip_count"], "treat_post", by=["bin"]),
+}
 BINS = compose(f"""
   SELECT {whole('bin')}, {real('mean_dose')}, {real('coef', 'att')}, {real('se')},
     {real('coef-1.96*se', 'ci_low')}, {real('coef+1.96*se', 'ci_high')}, {real('p_value')},
     {whole('n', 'n_obs')}
   FROM fits JOIN (SELECT bin, avg(zone_dose) AS mean_dose FROM binned WHERE treat_binary = 1
-                  GROUP BY 1) USING (bin)""", WEEK, extra={
-    "binned": f"SELECT * FROM {_BINNED}",
-    **sweeps("binned", ["log_trip_count", "treat_post"], by=["bin"], rounds=20),
-    **one_regressor(["log_trip_count"], "treat_post", by=["bin"])})
+                  GROUP BY 1) USING (bin)""", WEEK, extra=BIN_CTES)
 
 
 @query("C12_dose_bin_did", BINS)
@@ -284,29 +291,34 @@ def bins(ctx: Context) -> DataFrame:
     return dose.dose_bin_did(ctx.panel("week", 5), ctx.policy)
 
 
-def spec_sql(panel: str, specs: list[tuple[str, str, str, str, int, str]], extra_cols: str = "") -> str:
-    """Rows (check, group, keep, start date, minimum, note) as one batched regression."""
+def spec_ctes(panel: str, specs: list[tuple[str, str, str, str, int, str]]) -> dict[str, str]:
+    """CTEs that end in ``checks`` from (check, group, keep, start date, minimum, note) rows."""
     parts = [
         f"SELECT {i} AS spec, zone_id, date, log_trip_count, "
         f"treat_binary*(date >= {start})::INTEGER AS treat_post FROM {panel} WHERE {keep}"
         for i, (_, _, keep, start, _, _) in enumerate(specs)]
     listed = ", ".join(
         f"({i}, '{c}', '{g}', {least}, '{note}')" for i, (c, g, _, _, least, note) in enumerate(specs))
-    extra = {
+    enough = "coalesce(n, 0) >= greatest(least, 1)"
+    usable = f"{enough} AND coef IS NOT NULL"
+    return {
         "spread": "\nUNION ALL ".join(parts),
         "specs": f"SELECT * FROM (VALUES {listed}) AS t(spec, \"check\", grp, least, note)",
         **sweeps("spread", ["log_trip_count", "treat_post"], by=["spec"], rounds=25),
         **one_regressor(["log_trip_count"], "treat_post", by=["spec"]),
+        "checks": f"""SELECT "check", grp, note, coalesce(n, 0) AS n_obs,
+            CASE WHEN {usable} THEN coef END AS theta, CASE WHEN {usable} THEN se END AS se,
+            CASE WHEN {usable} THEN p_value END AS p,
+            CASE WHEN NOT ({enough}) THEN 'too_few_rows' WHEN coef IS NULL THEN 'not_identified'
+                 ELSE 'ok' END AS status
+          FROM specs LEFT JOIN fits USING (spec)""",
     }
-    enough = "coalesce(n, 0) >= greatest(least, 1)"
+
+
+def spec_sql(panel: str, specs: list[tuple[str, str, str, str, int, str]], more: str = "") -> str:
     return compose(f"""
-  SELECT "check", grp AS "group", {real(f'CASE WHEN {enough} THEN coef END', 'theta')},
-    {real(f'CASE WHEN {enough} AND coef IS NOT NULL THEN se END', 'se')},
-    {real(f'CASE WHEN {enough} AND coef IS NOT NULL THEN p_value END', 'p')},
-    {whole('coalesce(n, 0)', 'n_obs')}, note,
-    CASE WHEN NOT ({enough}) THEN 'too_few_rows' WHEN coef IS NULL THEN 'not_identified'
-         ELSE 'ok' END AS status{extra_cols}
-  FROM specs LEFT JOIN fits USING (spec)""", panel, extra=extra)
+  SELECT "check", grp AS "group", {real('theta')}, {real('se')}, {real('p')}, {whole('n_obs')},
+    note, status{more} FROM checks""", panel, extra=spec_ctes(panel, specs))
 
 
 def _placebo(k: int) -> tuple:
@@ -381,7 +393,6 @@ def robustness_table(ctx: Context) -> DataFrame:
     return ctx.shared("robustness", lambda: robustness.run_all(ctx.panel("week", 1), ctx.policy))
 
 
-@query("R8_all_checks", spec_sql(
-    WEEK1, ALL_SPECS, f", coalesce({stars('CASE WHEN coef IS NOT NULL THEN p_value END')}, '') AS sig"))
+@query("R8_all_checks", spec_sql(WEEK1, ALL_SPECS, f", {stars('p')} AS sig"))
 def all_checks(ctx: Context) -> DataFrame:
     return robustness_table(ctx)

@@ -152,7 +152,9 @@ def peaks(ctx: Context) -> DataFrame:
     return explore.peak_bins(ctx.panel("week", 5), ctx.policy)
 
 
-def histogram_sql(rows: str, column: str, bins: int, reads: str) -> str:
+def histogram_sql(
+    rows: str, column: str, bins: int, reads: str, extra: dict[str, str] | None = None
+) -> str:
     return compose(f"""
   SELECT {whole('bin')}, {whole('count(*)', 'n')},
     {real(f'any_value(lo)+bin*(any_value(hi)-any_value(lo))/{bins}.0', 'bin_low')},
@@ -161,7 +163,7 @@ def histogram_sql(rows: str, column: str, bins: int, reads: str) -> str:
                ELSE least(floor(({column}-lo)/((hi-lo)/{bins}.0::DOUBLE)), {bins - 1}) END AS bin, lo, hi, m
         FROM ({rows}), (SELECT min({column}) AS lo, max({column}) AS hi, avg({column}) AS m
                         FROM ({rows})))
-  GROUP BY bin""", reads)
+  GROUP BY bin""", reads, extra=extra)
 
 
 @query("A12_fee_histogram", histogram_sql(

@@ -12,7 +12,7 @@ from ripplepanel.functions.columns import present
 from ripplepanel.plans import binding
 from ripplepanel.session import cut, scratch_root
 
-_SECTIONS = ("trips", "panels", "geography", "effects", "weights", "learned")
+_SECTIONS = ("trips", "panels", "geography", "effects", "weights", "learned", "reports")
 
 
 @dataclass(frozen=True)

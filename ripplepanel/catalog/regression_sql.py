@@ -9,31 +9,37 @@ from ripplepanel.catalog.sqltext import normal_p
 
 def sweeps(
     src: str, columns: Sequence[str], unit: str = "zone_id", time: str = "date",
-    by: Sequence[str] = (), rounds: int = 14,
+    by: Sequence[str] = (), rounds: int = 14, tag: str = "",
 ) -> dict[str, str]:
-    """CTEs that end in ``net``: columns minus unit and time means (t_<name>)."""
+    """CTEs that end in ``net``: columns minus unit and time means (t_<name>).
+
+    ``tag`` goes in front of every name, for two regressions in one query.
+    """
     keys = "".join(f"{k}, " for k in by)
     using_t = ", ".join([*by, time])
     using_u = ", ".join([*by, unit])
-    out = {"b": f"SELECT {keys}{unit}, {time}, {', '.join(f'({c})::DOUBLE AS {c}' for c in columns)} "
+    out = {f"{tag}b": f"SELECT {keys}{unit}, {time}, {', '.join(f'({c})::DOUBLE AS {c}' for c in columns)} "
                 f"FROM {src}"}
     zeros = ", ".join(f"0.0::DOUBLE AS g_{c}" for c in columns)
-    out["g0"] = f"SELECT DISTINCT {keys}{time}, {zeros} FROM b"
+    out[f"{tag}g0"] = f"SELECT DISTINCT {keys}{time}, {zeros} FROM {tag}b"
     for k in range(1, rounds + 1):
         us = ", ".join(f"avg({c}-g_{c}) AS u_{c}" for c in columns)
         gs = ", ".join(f"avg({c}-u_{c}) AS g_{c}" for c in columns)
-        out[f"u{k}"] = f"SELECT {keys}{unit}, {us} FROM b JOIN g{k - 1} USING ({using_t}) GROUP BY ALL"
-        out[f"g{k}"] = f"SELECT {keys}{time}, {gs} FROM b JOIN u{k} USING ({using_u}) GROUP BY ALL"
+        out[f"{tag}u{k}"] = (f"SELECT {keys}{unit}, {us} FROM {tag}b JOIN {tag}g{k - 1} "
+                            f"USING ({using_t}) GROUP BY ALL")
+        out[f"{tag}g{k}"] = (f"SELECT {keys}{time}, {gs} FROM {tag}b JOIN {tag}u{k} "
+                            f"USING ({using_u}) GROUP BY ALL")
     us = ", ".join(f"avg({c}-g_{c}) AS u_{c}" for c in columns)
-    out["uz"] = f"SELECT {keys}{unit}, {us} FROM b JOIN g{rounds} USING ({using_t}) GROUP BY ALL"
+    out[f"{tag}uz"] = (f"SELECT {keys}{unit}, {us} FROM {tag}b JOIN {tag}g{rounds} "
+                       f"USING ({using_t}) GROUP BY ALL")
     nets = ", ".join(f"{c}-g_{c}-u_{c} AS t_{c}" for c in columns)
-    out["net"] = (f"SELECT {keys}{unit}, {time}, {nets} FROM b JOIN g{rounds} USING ({using_t}) "
-                  f"JOIN uz USING ({using_u})")
+    out[f"{tag}net"] = (f"SELECT {keys}{unit}, {time}, {nets} FROM {tag}b JOIN {tag}g{rounds} "
+                        f"USING ({using_t}) JOIN {tag}uz USING ({using_u})")
     return out
 
 
 def one_regressor(
-    outcomes: Sequence[str], x: str, unit: str = "zone_id", by: Sequence[str] = ()
+    outcomes: Sequence[str], x: str, unit: str = "zone_id", by: Sequence[str] = (), tag: str = "",
 ) -> dict[str, str]:
     """CTE ``fits`` on top of ``net``: coef, se, p_value, n, r2 per outcome and key."""
     keys = "".join(f"{k}, " for k in by)
@@ -47,12 +53,15 @@ def one_regressor(
     SELECT {''.join(f'n.{k}, ' for k in by)}n.{unit}, any_value(coef) AS coef,
       any_value(f.cnt) AS n, any_value(r2) AS r2, any_value(sxx) AS sxx,
       sum(t_{x}*(t_{y}-coef*t_{x})) AS s
-    FROM net n JOIN (
+    FROM {tag}net n JOIN (
       SELECT {keys}count(*) AS cnt, sum(t_{x}*t_{x}) AS sxx,
         CASE WHEN sum(t_{x}*t_{x}) > 1e-9 THEN sum(t_{x}*t_{y})/sum(t_{x}*t_{x}) END AS coef,
         pow(sum(t_{x}*t_{y}), 2)/sum(t_{x}*t_{x})/sum(t_{y}*t_{y}) AS r2
-      FROM net GROUP BY ALL) f ON {same}
+      FROM {tag}net GROUP BY ALL) f ON {same}
     GROUP BY ALL)
   GROUP BY ALL""")
     body = "\nUNION ALL\n".join(parts)
-    return {"fits0": body, "fits": f"SELECT *, {normal_p('coef/se')} AS p_value FROM fits0"}
+    return {
+        f"{tag}fits0": body,
+        f"{tag}fits": f"SELECT *, {normal_p('coef/se')} AS p_value FROM {tag}fits0",
+    }

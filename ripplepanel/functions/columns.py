@@ -74,7 +74,7 @@ def fixed(c: Column, digits: int = 4) -> Column:
     """Decimal text with an em dash for null."""
     # the nudge makes a value midway between two decimals round up everywhere
     scaled = F.floor(c * F.lit(10.0**digits) + F.lit(0.5 + 1e-6)) / F.lit(10.0**digits)
-    return F.coalesce(F.format_string(f"%.{digits}f", scaled), F.lit(EM_DASH))
+    return F.when(c.isNull(), EM_DASH).otherwise(F.format_string(f"%.{digits}f", scaled))
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
