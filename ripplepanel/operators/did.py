@@ -67,8 +67,8 @@ def event_study(
     weeks = sorted(r[0] for r in inside.select("rel_week").distinct().collect())
     weeks = [w for w in weeks if w != reference]
     name = {w: f"w_{'m' if w < 0 else 'p'}{abs(w)}" for w in weeks}
-    crossed = inside.withColumns({
-        name[w]: F.when(F.col("rel_week") == w, F.col(treatment)).otherwise(0) for w in weeks})
+    crossed = inside.selectExpr("zone_id", "date", outcome, *[
+        f"if(rel_week = {w}, {treatment}, 0) as {name[w]}" for w in weeks])
     fit = fit_two_way(crossed, [outcome], [name[w] for w in weeks])[0]
     rows = [(reference, 0.0, 0.0, 0.0, 0.0, 1.0)]
     for w in weeks:

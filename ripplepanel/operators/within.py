@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ripplepanel.functions.tails import normal_two_sided_value
@@ -84,24 +84,27 @@ def two_way_demean(
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     extra = [c for c in dict.fromkeys(carry) if c not in {*by, unit, time, *columns}]
     base = (
-        df.select(*by, unit, time, *extra, *[F.col(c).cast("double").alias(c) for c in columns])
+        df.selectExpr(*by, unit, time, *extra, *[f"cast({c} as double) as {c}" for c in columns])
         .dropna(subset=columns)
         .repartition(parts, *by, unit)
         .sortWithinPartitions(*by, unit)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    spread = base.agg(*[F.max(F.abs(c)).alias(c) for c in columns]).first()
+    spread = base.selectExpr(*[f"max(abs({c})) as {c}" for c in columns]).first()
     limits = {c: tol * max(spread[c] or 0.0, 1e-12) for c in columns}
-    per_unit = Window.partitionBy(*by, unit)
+    # one text per column keeps the plan the same and spares thousands of calls
+    # into the JVM for a wide regression
+    per_unit = f"over (partition by {', '.join([*by, unit])})"
+    keep = [*by, unit, time, *extra]
 
     def swept(effects: DataFrame | None) -> DataFrame:
-        work = base
         if effects is None:
-            work = base.withColumns({f"_g_{c}": F.lit(0.0) for c in columns})
+            work = base.selectExpr(*keep, *columns, *[f"0D as _g_{c}" for c in columns])
         else:
             work = base.join(effects, [*by, time])
-        return work.withColumns({
-            f"_u_{c}": F.avg(F.col(c) - F.col(f"_g_{c}")).over(per_unit) for c in columns})
+        return work.selectExpr(
+            *keep, *columns, *[f"_g_{c}" for c in columns],
+            *[f"avg({c} - _g_{c}) {per_unit} as _u_{c}" for c in columns])
 
     effects, sweep = None, 0
     while True:
@@ -109,20 +112,21 @@ def two_way_demean(
         if sweep > max_sweeps:
             base.unpersist()
             raise RuntimeError(f"fixed effects did not settle in {max_sweeps} sweeps")
+        # the mean remaining after this sweep's unit means is the move of the effect
         fresh = swept(effects).groupBy(*by, time).agg(
-            *[F.avg(F.col(c) - F.col(f"_u_{c}")).alias(f"_g_{c}") for c in columns],
-            *[F.first(f"_g_{c}").alias(f"_p_{c}") for c in columns])
+            F.expr("struct(" + ", ".join(
+                f"avg({c} - _u_{c}) as {c}" for c in columns) + ") as _new"),
+            F.expr("struct(" + ", ".join(f"first(_g_{c}) as {c}" for c in columns) + ") as _old"))
         seen = Observation()
         fresh = fresh.observe(seen, *[
-            F.max(F.abs(F.col(f"_g_{c}") - F.col(f"_p_{c}"))).alias(c) for c in columns])
-        effects = cut(fresh.coalesce(1) if not by and parts <= 64 else fresh, "effects").drop(
-            *[f"_p_{c}" for c in columns])
+            F.expr(f"max(abs(_new.{c} - _old.{c})) as {c}") for c in columns])
+        effects = cut(fresh.selectExpr(
+            *by, time, *[f"_new.{c} as _g_{c}" for c in columns]), "effects")
         moved = seen.get
         if all((moved.get(c) or 0.0) <= limits[c] for c in columns) and sweep > 1:
             break
-    frame = swept(effects).select(
-        *by, unit, time, *extra,
-        *[(F.col(c) - F.col(f"_g_{c}") - F.col(f"_u_{c}")).alias(f"t_{c}") for c in columns])
+    frame = swept(effects).selectExpr(
+        *keep, *[f"{c} - _g_{c} - _u_{c} as t_{c}" for c in columns])
     return Demeaned(base, frame, sweep)
 
 
@@ -132,7 +136,7 @@ def cross_sums(
     """Sum of a*b for each pair and batch key, plus the row count under ("", "")."""
     pairs = list(dict.fromkeys(pairs))
     if len(pairs) <= _SQL_PAIR_LIMIT:
-        sums = [F.sum(F.col(a) * F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)]
+        sums = [F.expr(f"sum({a} * {b}) as _{i}") for i, (a, b) in enumerate(pairs)]
         rows = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *sums).collect()
         return {
             tuple(r[k] for k in by): {
@@ -216,11 +220,10 @@ def fit_two_way(
     """
     cluster = cluster or unit
     xs, ys = [f"t_{c}" for c in regressors], [f"t_{c}" for c in outcomes]
-    raw = df.select(*by, *[F.col(c).cast("double").alias(c) for c in regressors])
+    squares = [F.expr(f"sum(cast({c} as double) * {c}) as {c}") for c in regressors]
     sizes = {
         tuple(r[k] for k in by): np.array([r[c] or 0.0 for c in regressors])
-        for r in raw.groupBy(*by).agg(
-            *[F.sum(F.col(c) * F.col(c)).alias(c) for c in regressors]).collect()
+        for r in df.groupBy(*by).agg(*squares).collect()
     }
     with two_way_demean(df, [*outcomes, *regressors], unit, time, by, carry=[cluster]) as net:
         pairs = _upper(xs) + [(x, y) for y in ys for x in xs] + [(y, y) for y in ys]
@@ -271,20 +274,18 @@ def _score_sums(
             + [f"{n} double" for n in flat])
         coefs = spark.createDataFrame([(*k, *v) for k, v in values.items()], schema)
         # one row per regression in the batch: bounded by the batch size
-        held = frame.join(F.broadcast(coefs), list(by))
-        beta = {n: F.col(n) for n in flat}
+        held, beta = frame.join(F.broadcast(coefs), list(by)), {n: n for n in flat}
     else:
-        held, beta = frame, {n: F.lit(v) for n, v in zip(flat, values[()])}
+        held, beta = frame, {n: f"{v!r}D" for n, v in zip(flat, values[()])}
 
-    def residual(m: int) -> Column:
-        e = F.col(ys[m])
-        for j, x in enumerate(xs):
-            e = e - beta[names[m][j]] * F.col(x)
-        return e
+    def residual(m: int) -> str:
+        fitted = [f"({beta[n]}) * {x}" for n, x in zip(names[m], xs)]
+        return f"{ys[m]} - ({' + '.join(fitted)}) as _e_{m}"
 
-    held = held.withColumns({f"_e_{m}": residual(m) for m in range(len(ys))})
-    scored = held.groupBy(*by, F.col(cluster).alias("_cluster")).agg(*[
-        F.sum(F.col(x) * F.col(f"_e_{m}")).alias(f"_s_{m}_{j}")
+    held = held.selectExpr(
+        *by, f"{cluster} as _cluster", *xs, *[residual(m) for m in range(len(ys))])
+    scored = held.groupBy(*by, "_cluster").agg(*[
+        F.expr(f"sum({x} * _e_{m}) as _s_{m}_{j}")
         for m in range(len(ys)) for j, x in enumerate(xs)])
     score_names = [[f"_s_{m}_{j}" for j in range(len(xs))] for m in range(len(ys))]
     sums = cross_sums(scored, [p for row in score_names for p in _upper(row)], by)
