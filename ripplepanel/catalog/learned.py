@@ -261,6 +261,29 @@ def targeting(ctx: Context) -> DataFrame:
     return cate.targeting_curve(cate_rows(ctx))
 
 
+_PARTIAL = {
+    **TOC, **{("r_" + k if k == "planes" else k): v.replace("planes", "r_planes")
+              for k, v in residual_ctes().items()},
+    "paired": """SELECT c.cate, c.zone_id, c.date, rd, ry,
+        row_number() OVER (ORDER BY cate DESC, c.zone_id, c.date) AS r, count(*) OVER () AS n
+      FROM cate c JOIN res s ON s.zone_id = c.zone_id AND s.date = c.date WHERE s.rep = 0""",
+}
+
+
+@query("C28_targeting_curve_partial", compose(f"""
+  SELECT {real('fraction')}, {real('ate_top_q')}, {whole('n_targeted')}, {real('partial_top_q')}
+  FROM toc JOIN (SELECT k/10.0::DOUBLE AS fraction, sum(rd*ry)/sum(rd*rd) AS partial_top_q
+                 FROM paired, (SELECT unnest(generate_series(1, 10)) AS k)
+                 WHERE r <= ceil(k*n/10.0) GROUP BY k) USING (fraction)""", MONTH, extra=_PARTIAL))
+def targeting_partial(ctx: Context) -> DataFrame:
+    res = dml.cross_fit_residuals(
+        feature_panel(ctx), PAIR, ["treat_binary", *DML_OUTCOMES], "ols", FOLDS, REPS)
+    first = res.where(F.col("rep") == 0).select(
+        "zone_id", "date", F.col("r_treat_binary").alias("r_t"),
+        F.col("r_log_trip_count").alias("r_y"))
+    return cate.targeting_curve(cate_rows(ctx), residuals=first)
+
+
 @query("C28_rate_score", compose(f"""
   SELECT {real('avg(ate_top_q)', 'rate_score')} FROM toc""", MONTH, extra=TOC))
 def rate(ctx: Context) -> DataFrame:

@@ -11,6 +11,7 @@ from ripplepanel.functions.columns import clip_low
 from ripplepanel.operators import clean, explore
 from ripplepanel.plans import binding
 from ripplepanel.sources import feeds, results, zones
+from ripplepanel.streaming import ingest
 
 _DONE: set[tuple[str, str]] = set()
 
@@ -66,6 +67,17 @@ def incremental_write(ctx: Context) -> DataFrame:
         F.count(F.lit(1)).alias("trips"), F.lit(added).alias("new_on_second_run"))
 
 
+@query("S2_stream_ingest", compose(f"""
+  SELECT trip_type, year_month, {whole('count(*)', 'trips')}, {whole('0', 'read_on_second_run')}
+  FROM kept WHERE trip_type = 'green' AND leaky_month = year_month GROUP BY 1, 2""", "kept"))
+def stream_ingest(ctx: Context) -> DataFrame:
+    raw, root, state = raw_root(ctx), ctx.folder("ingested"), ctx.folder("ingest_state")
+    ingest.ingest_new_files(ctx.spark, raw, "green", root, state, ctx.policy)
+    again = ingest.ingest_new_files(ctx.spark, raw, "green", root, state, ctx.policy)
+    return ingest.read_ingested(ctx.spark, root, "green").groupBy("trip_type", "year_month").agg(
+        F.count(F.lit(1)).alias("trips"), F.lit(again).alias("read_on_second_run"))
+
+
 @query("S3_read_clean_types", compose(f"""
   SELECT year_month, {whole('count(*)', 'trips')}, {real('avg(fare_amount)', 'avg_fare')}
   FROM kept WHERE trip_type IN ('yellow', 'fhvhv') GROUP BY 1""", "kept"))

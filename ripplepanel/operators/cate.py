@@ -233,31 +233,41 @@ def best_linear_projection(cate: Cate) -> DataFrame:
         [(f, float(b)) for f, b in ranked], "feature string, coefficient double")
 
 
-def targeting_curve(rows: DataFrame, buckets: int = 10) -> DataFrame:
+def targeting_curve(
+    rows: DataFrame, buckets: int = 10, residuals: DataFrame | None = None
+) -> DataFrame:
     """Treated minus control mean among the top q by effect, q = 1/buckets ... 1.
 
-    Exact ranks come from range partitions; each bucket keeps four sums, and
-    the curve accumulates over the buckets.
+    Exact ranks come from range partitions; each bucket keeps a few sums, and
+    the curve accumulates over the buckets. With ``residuals`` (zone_id, date,
+    r_t, r_y from a cross-fit) a second curve partials out the covariates.
     """
-    ranked = global_rank(
-        rows.select("zone_id", "date", "cate", "y", "t"),
-        [F.desc("cate"), F.col("zone_id"), F.col("date")])
-    ranked = cut(ranked, "ranked")
+    held = rows.select("zone_id", "date", "cate", "y", "t")
+    if residuals is not None:
+        held = held.join(residuals.select("zone_id", "date", "r_t", "r_y"), ["zone_id", "date"])
+    ranked = cut(global_rank(held, [F.desc("cate"), F.col("zone_id"), F.col("date")]), "ranked")
     n = ranked.count()
     # top q holds ceil(k n / buckets) rows, so row r first counts at this k
     spot = F.floor(F.col("rank0") * buckets / F.lit(max(n, 1))).cast("int") + 1
     treated = F.col("t") == 1
+    parts = {
+        "n1": F.count_if(treated), "y1": F.sum(F.when(treated, F.col("y"))),
+        "n0": F.count_if(~treated), "y0": F.sum(F.when(~treated, F.col("y")))}
+    if residuals is not None:
+        parts["dy"] = F.sum(F.col("r_t") * F.col("r_y"))
+        parts["dd"] = F.sum(F.col("r_t") * F.col("r_t"))
     sums = ranked.groupBy(F.least(spot, F.lit(buckets)).alias("k")).agg(
-        F.count_if(treated).alias("n1"), F.sum(F.when(treated, F.col("y"))).alias("y1"),
-        F.count_if(~treated).alias("n0"), F.sum(F.when(~treated, F.col("y"))).alias("y0"))
+        *[v.alias(c) for c, v in parts.items()])
+    # at most ``buckets`` rows reach this window
     upto = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    running = {c: F.sum(F.coalesce(F.col(c), F.lit(0))).over(upto) for c in ("n1", "y1", "n0", "y0")}
-    total = sums.select("k", *[v.alias(c) for c, v in running.items()])
-    ate = F.when((F.col("n1") > 0) & (F.col("n0") > 0),
-                 F.col("y1") / F.col("n1") - F.col("y0") / F.col("n0"))
-    return total.select(
-        (F.col("k") / F.lit(float(buckets))).alias("fraction"), ate.alias("ate_top_q"),
-        (F.col("n1") + F.col("n0")).alias("n_targeted"))
+    total = sums.select("k", *[
+        F.sum(F.coalesce(F.col(c), F.lit(0))).over(upto).alias(c) for c in parts])
+    out = total.select(
+        (F.col("k") / F.lit(float(buckets))).alias("fraction"),
+        (F.try_divide("y1", "n1") - F.try_divide("y0", "n0")).alias("ate_top_q"),
+        (F.col("n1") + F.col("n0")).alias("n_targeted"),
+        *([F.try_divide("dy", "dd").alias("partial_top_q")] if residuals is not None else []))
+    return out
 
 
 def rate_score(curve: DataFrame) -> DataFrame:

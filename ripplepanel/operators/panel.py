@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplepanel.policy import Policy
@@ -89,3 +89,32 @@ def add_time_columns(panel: DataFrame, policy: Policy) -> DataFrame:
         "post": policy.is_post(day).cast("int"),
         "year_month": F.date_format(day, "yyyy-MM"),
     })
+
+
+def surge_share(
+    trips: DataFrame, policy: Policy, unit: str = "day", level: float = 0.9
+) -> DataFrame:
+    """Share of trips per cell whose fare per mile tops the zone's usual level.
+
+    The level is the zone's discrete quantile before the shock, in whole cents:
+    trips collapse to one count per zone and cent before anything is ranked, so
+    a zone's window holds distinct prices, not trips.
+    """
+    cents = F.floor(F.col("fare_amount") / F.col("trip_distance") * 100 + 0.5)
+    priced = trips.select(
+        F.col("pickup_zone").alias("zone_id"), "pickup_date",
+        period_start(F.col("pickup_date"), unit).alias("date"), cents.alias("_cents"))
+    counts = priced.where(F.col("pickup_date") < policy.shock_lit()).groupBy(
+        "zone_id", "_cents").agg(F.count(F.lit(1)).alias("_n"))
+    zone = Window.partitionBy("zone_id")
+    upto = zone.orderBy("_cents").rowsBetween(Window.unboundedPreceding, 0)
+    limit = (
+        counts.select("zone_id", "_cents", F.sum("_n").over(upto).alias("_cum"),
+                      F.sum("_n").over(zone).alias("_all"))
+        .where(F.col("_cum") >= F.lit(level) * F.col("_all"))
+        .groupBy("zone_id").agg(F.min("_cents").alias("_limit")))
+    # cells by price first: the join then carries one row per zone, cell and cent
+    cells = priced.groupBy("zone_id", "date", "_cents").agg(F.count(F.lit(1)).alias("_n"))
+    above = F.when(F.col("_cents") > F.col("_limit"), F.col("_n")).otherwise(0)
+    return cells.join(limit, "zone_id", "left").groupBy("zone_id", "date").agg(
+        F.when(F.max("_limit").isNotNull(), F.sum(above) / F.sum("_n")).alias("surge_share"))
