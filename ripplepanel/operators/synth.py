@@ -2,8 +2,8 @@
 
 The real fit is replicate 0, placebo fits are replicates 1..B; every step
 carries the replicate as a key. Weights are solved per replicate in Python
-while a unit x week matrix is small by count; beyond that the same problem is
-solved by distributed conditional-gradient steps over the long cells.
+while a unit x week matrix is small by count; beyond that a working set grows
+by scans over all units, and only vectors along the time axis leave the tasks.
 """
 
 from __future__ import annotations
@@ -95,16 +95,22 @@ def uniform_weights(cells: DataFrame, roles: DataFrame) -> Weights:
 
 
 def simplex_least_squares(a: np.ndarray, b: np.ndarray, ridge: float = 0.0) -> np.ndarray:
-    """argmin ||a w - b||^2 + ridge ||w||^2 over the simplex.
+    """argmin ||a w - b||^2 + ridge ||w||^2 over the simplex."""
+    return simplex_from_products(
+        a.T @ a + ridge * np.eye(a.shape[1]), a.T @ b, max(float(b @ b), 1e-12))
 
-    Accelerated projected gradient on the normal equations, restarted when the
-    momentum turns uphill, until the optimality gap is negligible.
+
+def simplex_from_products(
+    gram: np.ndarray, target: np.ndarray, scale: float, tol: float = 1e-12
+) -> np.ndarray:
+    """argmin w' gram w - 2 target' w over the simplex.
+
+    Accelerated projected gradient, restarted when the momentum turns uphill,
+    until the optimality gap is negligible.
     """
-    gram, target = a.T @ a + ridge * np.eye(a.shape[1]), a.T @ b
     step = 1.0 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-300)
-    w = np.full(a.shape[1], 1.0 / a.shape[1])
+    w = np.full(len(target), 1.0 / len(target))
     z, momentum = w.copy(), 1.0
-    scale = max(float(b @ b), 1e-12)
     for _ in range(50_000):
         new = _to_simplex(z - step * (gram @ z - target))
         if (z - new) @ (new - w) > 0:
@@ -114,7 +120,7 @@ def simplex_least_squares(a: np.ndarray, b: np.ndarray, ridge: float = 0.0) -> n
         z = new + (momentum - 1) / nxt * (new - w)
         w, momentum = new, nxt
         g = gram @ w - target
-        if w @ g - g.min() <= 1e-12 * scale:
+        if w @ g - g.min() <= tol * scale:
             break
     return w
 
@@ -168,73 +174,99 @@ def solved_weights(
 
 
 def stepped_weights(
-    cells: DataFrame, roles: DataFrame, ridge: float = 1e-6, tol: float = 1e-4,
-    max_steps: int = 500,
+    cells: DataFrame, roles: DataFrame, ridge: float = 1e-6, tol: float = 1e-9,
+    max_rounds: int = 500,
 ) -> Weights:
-    """The same two problems by conditional-gradient steps on long cells.
+    """The same two problems for any number of units.
 
-    Nothing wider than a column of weights is ever held in one place. Both
-    problems have the form: points i with coordinates t, a target per t, find
-    simplex weights on the points.
+    Only vectors as long as the time axis reach the driver. Time weights need
+    one week x week matrix of sums per replicate. Unit weights grow a working
+    set: each round scans all units once for the one that lowers the objective
+    most, per replicate, and re-solves on the set, until none does.
     """
-    pre = cells.where("is_pre")
-    held = roles.join(pre, "zone_id")
-    by_week = held.where(F.col("treated") == 1).groupBy("rep", "week").agg(
-        F.avg("y").alias("target"))
-    unit_points = held.where(F.col("treated") == 0).select(
-        "rep", F.col("zone_id").cast("long").alias("i"), F.col("week").alias("t"), "y"
-    ).join(by_week.withColumnRenamed("week", "t"), ["rep", "t"])
-    unit = _conditional_gradient(unit_points, ridge, tol, max_steps)
-    after = cells.where(~F.col("is_pre")).groupBy("zone_id").agg(F.avg("y").alias("target"))
-    time_points = held.where(F.col("treated") == 0).join(after, "zone_id").select(
-        "rep", F.datediff("week", F.lit("1970-01-01").cast("date")).cast("long").alias("i"),
-        F.col("zone_id").alias("t"), "y", "target")
-    time = _conditional_gradient(time_points, 0.0, tol, max_steps)
-    return Weights(
-        unit.select("rep", F.col("i").alias("zone_id"), "w"),
-        time.select("rep", F.date_add(F.lit("1970-01-01").cast("date"),
-                                      F.col("i").cast("int")).alias("week"), "w"))
-
-
-def _conditional_gradient(
-    points: DataFrame, ridge: float, tol: float, max_steps: int
+    ordered = F.array_sort(F.collect_list(F.struct("week", "is_pre", "y")))
+    series = cells.groupBy("zone_id").agg(ordered.alias("_s")).select(
+        "zone_id",
+        F.transform(F.filter("_s", lambda c: c["is_pre"]), lambda c: c["y"]).alias("a"),
+        F.transform(F.filter("_s", lambda c: ~c["is_pre"]), lambda c: c["y"]).alias("_post"),
+    ).withColumn("d", F.aggregate("_post", F.lit(0.0), lambda x, v: x + v) / F.size("_post"))
+    points = cut(roles.join(series.drop("_post"), "zone_id"), "points")
+    control = points.where(F.col("treated") == 0)
+    weeks = [r[0] for r in cells.where("is_pre").select("week").distinct().orderBy("week").collect()]
+    goal: dict[int, np.ndarray] = {}
+    for r in points.where(F.col("treated") == 1).select("rep", F.posexplode("a")).groupBy(
+            "rep", "pos").agg(F.avg("col").alias("v")).collect():
+        goal.setdefault(r["rep"], np.zeros(len(weeks)))[r["pos"]] = r["v"]
+    unit = _grow_unit_weights(control, goal, ridge, tol, max_rounds)
+    return Weights(unit, _time_weights_from_sums(control, weeks))
+
+
+def _time_weights_from_sums(control: DataFrame, weeks: list) -> DataFrame:
+    width = len(weeks)
+
+    def partial(batches):
+        totals: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for rep, part in pdf.groupby("rep", sort=False):
+                x = np.column_stack([np.vstack(part["a"].to_list()), part["d"].to_numpy(float)])
+                totals[rep] = totals.get(rep, 0.0) + (x.T @ x).ravel()
+        for rep, flat in totals.items():
+            yield pd.DataFrame({"rep": rep, "at": np.arange(len(flat)), "v": flat}).astype(
+                {"rep": "int32", "at": "int32"})
+
+    sums = control.select("rep", "a", "d").mapInPandas(
+        partial, "rep int, at int, v double").groupBy("rep", "at").agg(F.sum("v").alias("v"))
+    found: dict[int, np.ndarray] = {}
+    for r in sums.collect():
+        found.setdefault(r["rep"], np.zeros((width + 1) ** 2))[r["at"]] = r["v"]
+    rows = []
+    for rep, flat in found.items():
+        m = flat.reshape(width + 1, width + 1)
+        w = simplex_from_products(m[:-1, :-1], m[:-1, -1], max(m[-1, -1], 1e-12))
+        rows += [(int(rep), week, float(v)) for week, v in zip(weeks, w)]
+    return control.sparkSession.createDataFrame(rows, "rep int, week date, w double")
+
+
+def _grow_unit_weights(
+    control: DataFrame, goal: dict[int, np.ndarray], ridge: float, tol: float, max_rounds: int
 ) -> DataFrame:
-    """Pairwise steps: move weight from the worst held point to the best one."""
-    points = cut(points, "points")
-    n = points.select("rep", "i").distinct().groupBy("rep").agg(F.count(F.lit(1)).alias("_n"))
-    w = cut(points.select("rep", "i").distinct().join(n, "rep").select(
-        "rep", "i", (1 / F.col("_n")).alias("w")), "w")
-    for _ in range(max_steps):
-        resid = points.join(w, ["rep", "i"]).groupBy("rep", "t").agg(
-            (F.sum(F.col("w") * F.col("y")) - F.max("target")).alias("r"))
-        grad = points.join(resid, ["rep", "t"]).groupBy("rep", "i").agg(
-            F.sum(F.col("y") * F.col("r")).alias("g"), F.max(F.abs("target")).alias("s")
-        ).join(w, ["rep", "i"]).withColumn("g", F.col("g") + F.lit(ridge) * F.col("w"))
-        grad = cut(grad, "grad")
-        ends = cut(grad.groupBy("rep").agg(
-            F.min_by("i", F.struct("g", "i")).alias("best"), F.min("g").alias("low"),
-            F.max_by("i", F.when(F.col("w") > 0, F.struct("g", "i"))).alias("worst"),
-            F.max(F.when(F.col("w") > 0, F.col("g"))).alias("high"),
-            F.sum(F.col("w") * F.col("g")).alias("mean"), F.max("s").alias("s"),
-        ).where(F.col("mean") - F.col("low") > tol * F.greatest(F.col("s") * F.col("s"), F.lit(1e-12))),
-            "ends")
-        if ends.isEmpty():
-            return w
-        move = points.join(ends, "rep").where(
-            (F.col("i") == F.col("best")) | (F.col("i") == F.col("worst"))
-        ).groupBy("rep", "t").agg(F.sum(F.when(F.col("i") == F.col("best"), F.col("y")).otherwise(
-            -F.col("y"))).alias("d")).groupBy("rep").agg(F.sum(F.col("d") * F.col("d")).alias("dd"))
-        held = w.join(ends, "rep").where(F.col("i") == F.col("worst")).select(
-            "rep", F.col("w").alias("cap"))
-        step = ends.join(move, "rep").join(held, "rep").select(
-            "rep", "best", "worst", F.least(
-                (F.col("high") - F.col("low")) / F.greatest(
-                    F.col("dd") + F.lit(2 * ridge), F.lit(1e-300)), F.col("cap")).alias("step"))
-        w = cut(w.join(step, "rep", "left").select(
-            "rep", "i", (F.col("w") + F.when(F.col("i") == F.col("best"), F.col("step"))
-                         .when(F.col("i") == F.col("worst"), -F.col("step"))
-                         .otherwise(F.lit(0.0))).alias("w")), "w")
-    raise RuntimeError(f"weights did not settle in {max_steps} steps")
+    spark = control.sparkSession
+    held: dict[int, dict[int, np.ndarray]] = {rep: {} for rep in goal}
+    weight = {rep: np.zeros(0) for rep in goal}
+    open_reps = set(goal)
+    for _ in range(max_rounds):
+        residual = []
+        for rep in open_reps:
+            fitted = (np.column_stack(list(held[rep].values())) @ weight[rep]
+                      if held[rep] else np.zeros(len(goal[rep])))
+            residual.append((rep, [float(v) for v in fitted - goal[rep]]))
+        # one vector per open replicate, as long as the time axis
+        table = spark.createDataFrame(residual, "rep int, r array<double>")
+        score = F.aggregate(F.zip_with("a", "r", lambda x, y: x * y), F.lit(0.0),
+                            lambda acc, v: acc + v)
+        best = control.join(F.broadcast(table), "rep").select(
+            "rep", F.struct(score.alias("g"), "zone_id", "a").alias("c")
+        ).groupBy("rep").agg(F.min("c").alias("c")).collect()
+        moves = dict(residual)
+        for row in best:
+            rep, c = row["rep"], row["c"]
+            r, b = np.array(moves[rep]), goal[rep]
+            scale = max(float(b @ b), 1e-12)
+            if held[rep]:
+                g = np.column_stack(list(held[rep].values())).T @ r + ridge * weight[rep]
+                done = weight[rep] @ g - min(float(g.min()), c["g"]) <= tol * scale
+                if done or c["zone_id"] in held[rep]:
+                    open_reps.discard(rep)
+                    continue
+            held[rep][c["zone_id"]] = np.array(c["a"], float)
+            a = np.column_stack(list(held[rep].values()))
+            weight[rep] = simplex_from_products(
+                a.T @ a + ridge * np.eye(a.shape[1]), a.T @ b, scale, tol / 10)
+        if not open_reps:
+            rows = [(int(rep), int(z), float(w)) for rep in goal
+                    for z, w in zip(held[rep], weight[rep]) if w > 0]
+            return spark.createDataFrame(rows, "rep int, zone_id long, w double")
+    raise RuntimeError(f"weights did not settle in {max_rounds} rounds")
 
 
 def replicate_tau(cells: DataFrame, roles: DataFrame, weights: Weights) -> DataFrame:

@@ -24,7 +24,9 @@ def ingest_new_files(
     policy: Policy, limits: QualityLimits = QualityLimits(), schema: T.StructType | None = None,
     max_files: int = 1000,
 ) -> int:
-    """Clean every file not seen before and append it; returns rows written.
+    """Clean every file not seen before and append it.
+
+    Returns the rows the reader passed on (pushed-down filters count as unread).
 
     The stream's file log in ``state_dir`` is the record of what is done, so a
     second call over the same files writes nothing, and a call that dies half
