@@ -182,10 +182,11 @@ def summary(ctx: Context) -> DataFrame:
 
 
 @query("A14_kpis", compose(f"""
-  SELECT {real('(b/a-1)*100', 'total_pct_change')}, {real('(d/c-1)*100', 'treated_pct_change')},
-    {real('fee', 'fee_total')}, {whole('z', 'n_zones')}
-  FROM (SELECT sum(trip_count) FILTER (period='pre') AS a,
-          sum(trip_count) FILTER (period='post') AS b,
+  SELECT {real('CASE WHEN a = 0 THEN 0 ELSE (b/a-1)*100 END', 'total_pct_change')},
+    {real('CASE WHEN c = 0 THEN 0 ELSE (d/c-1)*100 END', 'treated_pct_change')},
+    {real('coalesce(fee, 0)', 'fee_total')}, {whole('z', 'n_zones')}
+  FROM (SELECT coalesce(sum(trip_count) FILTER (period='pre'), 0) AS a,
+          coalesce(sum(trip_count) FILTER (period='post'), 0) AS b,
           avg(trip_count) FILTER (period='pre' AND treat_binary=1) AS c,
           avg(trip_count) FILTER (period='post' AND treat_binary=1) AS d,
           sum(cbd_fee_total) FILTER (period='post') AS fee, count(DISTINCT zone_id) AS z

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ripplepanel.functions.columns import portable_hash, stars
 from ripplepanel.functions.tails import normal_two_sided_value
 from ripplepanel.operators.within import Z95, cross_sums
+from ripplepanel.session import cut
 
 LINEAR = ("ols", "ridge", "lasso")
 TREES = ("random_forest", "gradient_boosting")
@@ -178,7 +179,9 @@ def _tree_residuals(
                 test = model.transform(test).withColumn(
                     f"r_{t}", F.col(t) - F.col(f"_p_{t}")).drop(f"_p_{t}")
             parts = test if parts is None else parts.unionByName(test)
-    return parts.drop("_x")
+    done = cut(parts.drop("_x"), "residuals")
+    held.unpersist()
+    return done
 
 
 def cross_fit_residuals(

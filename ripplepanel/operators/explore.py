@@ -152,17 +152,18 @@ def summary_table(panel: DataFrame, policy: Policy) -> DataFrame:
 
 
 def kpis(panel: DataFrame, policy: Policy) -> DataFrame:
-    """Headline numbers in one aggregate; a zero base gives 0 percent."""
+    """Headline numbers in one aggregate; a zero base gives 0 percent, no base null."""
     pre = F.col("date") < policy.shock_lit()
     treated = F.col("treat_binary") == 1
     n = F.col("trip_count")
 
     def change(before: str, after: str) -> Column:
-        return F.when(F.coalesce(F.col(before), F.lit(0)) == 0, F.lit(0.0)).otherwise(
-            (F.col(after) / F.col(before) - 1) * 100)
+        return F.when(F.col(before) == 0, F.lit(0.0)).otherwise(
+            (F.try_divide(after, before) - 1) * 100)
 
     sums = panel.agg(
-        F.sum(F.when(pre, n)).alias("a"), F.sum(F.when(~pre, n)).alias("b"),
+        F.coalesce(F.sum(F.when(pre, n)), F.lit(0)).alias("a"),
+        F.coalesce(F.sum(F.when(~pre, n)), F.lit(0)).alias("b"),
         F.avg(F.when(pre & treated, n)).alias("c"), F.avg(F.when(~pre & treated, n)).alias("d"),
         F.coalesce(F.sum(F.when(~pre, F.col("cbd_fee_total"))), F.lit(0.0)).alias("fee_total"),
         F.count_distinct("zone_id").alias("n_zones"),

@@ -70,8 +70,11 @@ def replicate_roles(cells: DataFrame, reps: int, seed: int = 42) -> DataFrame:
     drawn = controls.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     order = Window.partitionBy("rep").orderBy(
         portable_hash("zone_id", "rep", seed=seed), "zone_id")
-    placebo = drawn.select(
-        "rep", "zone_id", (F.row_number().over(order) <= take).cast("int").alias("treated"))
+    # a filter on row_number lets Spark keep only the first rows of each task
+    chosen = drawn.withColumn("_at", F.row_number().over(order)).where(
+        F.col("_at") <= take).select("rep", "zone_id", F.lit(1).alias("_in"))
+    placebo = drawn.join(chosen, ["rep", "zone_id"], "left").select(
+        "rep", "zone_id", F.coalesce("_in", F.lit(0)).alias("treated"))
     return real.unionByName(placebo)
 
 
@@ -105,11 +108,43 @@ def simplex_from_products(
 ) -> np.ndarray:
     """argmin w' gram w - 2 target' w over the simplex.
 
-    Accelerated projected gradient, restarted when the momentum turns uphill,
-    until the optimality gap is negligible.
+    An active set of positive weights is solved exactly and grows by the point
+    with the lowest gradient; a weight that would turn negative leaves. Should
+    ties keep it from ending, projected gradient finishes the job.
     """
+    n = len(target)
+    w = np.zeros(n)
+    w[int(np.argmin(np.diag(gram) - 2 * target))] = 1.0
+    for _ in range(20 * n + 100):
+        g = gram @ w - target
+        if w @ g - g.min() <= tol * scale:
+            return w
+        live = np.union1d(np.nonzero(w > 0)[0], [int(np.argmin(g))])
+        while True:
+            k = len(live)
+            system = np.zeros((k + 1, k + 1))
+            system[:k, :k], system[:k, k], system[k, :k] = gram[np.ix_(live, live)], 1.0, 1.0
+            goal = np.linalg.lstsq(system, np.append(target[live], 1.0), rcond=1e-14)[0][:k]
+            falling = goal <= 0
+            if not falling.any():
+                w = np.zeros(n)
+                w[live] = goal
+                break
+            now = w[live]
+            ratio = now[falling] / np.maximum(now[falling] - goal[falling], 1e-300)
+            moved = np.maximum(now + ratio.min() * (goal - now), 0.0)
+            moved[np.nonzero(falling)[0][int(np.argmin(ratio))]] = 0.0
+            w = np.zeros(n)
+            w[live] = moved / moved.sum()
+            live = live[moved > 0]
+    return _projected_gradient(gram, target, scale, tol, w)
+
+
+def _projected_gradient(
+    gram: np.ndarray, target: np.ndarray, scale: float, tol: float, w: np.ndarray
+) -> np.ndarray:
+    """Accelerated steps, restarted when the momentum turns uphill."""
     step = 1.0 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-300)
-    w = np.full(len(target), 1.0 / len(target))
     z, momentum = w.copy(), 1.0
     for _ in range(50_000):
         new = _to_simplex(z - step * (gram @ z - target))
@@ -141,8 +176,7 @@ def solved_weights(
     if cells.count() > limit:
         return stepped_weights(cells, roles, ridge)
     rows = cells.groupBy("zone_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("week", "is_pre", "y"))),
-                    lambda c: c).alias("series"))
+        F.array_sort(F.collect_list(F.struct("week", "is_pre", "y"))).alias("series"))
     jobs = roles.join(rows, "zone_id").select("rep", "zone_id", "treated", "series")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -60,13 +60,13 @@ class Demeaned:
     """Columns of a panel net of unit and time means (t_<name>), kept until closed."""
 
     def __init__(self, base: DataFrame, frame: DataFrame, sweeps: int):
-        self._base, self.frame, self.sweeps = base, frame, sweeps
+        self.base, self.frame, self.sweeps = base, frame, sweeps
 
     def __enter__(self) -> "Demeaned":
         return self
 
     def __exit__(self, *exc) -> None:
-        self._base.unpersist()
+        self.base.unpersist()
 
 
 def two_way_demean(
@@ -220,12 +220,13 @@ def fit_two_way(
     """
     cluster = cluster or unit
     xs, ys = [f"t_{c}" for c in regressors], [f"t_{c}" for c in outcomes]
-    squares = [F.expr(f"sum(cast({c} as double) * {c}) as {c}") for c in regressors]
-    sizes = {
-        tuple(r[k] for k in by): np.array([r[c] or 0.0 for c in regressors])
-        for r in df.groupBy(*by).agg(*squares).collect()
-    }
     with two_way_demean(df, [*outcomes, *regressors], unit, time, by, carry=[cluster]) as net:
+        # the kept panel again, not its source: the source is read once
+        squares = net.base.groupBy(*by).agg(*[F.expr(f"sum({c} * {c}) as {c}") for c in regressors])
+        sizes = {
+            tuple(r[k] for k in by): np.array([r[c] or 0.0 for c in regressors])
+            for r in squares.collect()
+        }
         pairs = _upper(xs) + [(x, y) for y in ys for x in xs] + [(y, y) for y in ys]
         grams = cross_sums(net.frame, pairs, by)
         solved: dict[tuple, dict] = {}
