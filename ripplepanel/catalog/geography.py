@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplepanel.catalog.panels import PRE_STATS
 from ripplepanel.catalog.registry import Context, query
-from ripplepanel.catalog.sqltext import MONTH, SHOCK, WEEK, compose, day, real, whole
+from ripplepanel.catalog.sqltext import SHOCK, WEEK, compose, day, real, whole
 from ripplepanel.catalog.trips import _PARCELS
 from ripplepanel.operators import dose, features, geometry, treatment
 from ripplepanel.plans import binding
@@ -26,8 +26,8 @@ _DISTANCE = """2*6371.0*asin(sqrt(pow(sin(radians(40.65-centroid_lat)/2), 2)
 
 @query("G1_borough_codes", compose(f"""
   SELECT {whole('zone_id')}, borough, {whole('borough_code')}, zone_name,
-    {whole('sum(trip_count)', 'trips')}
-  FROM {MONTH} GROUP BY ALL""", MONTH))
+    {whole('count(*)', 'trips')}
+  FROM trips LEFT JOIN zones ON zone_id = pickup_zone GROUP BY ALL""", "trips", "zones"))
 def codes(ctx: Context) -> DataFrame:
     counts = ctx.trips().groupBy(F.col("pickup_zone").alias("zone_id")).agg(
         F.count(F.lit(1)).alias("trips"))
