@@ -160,3 +160,34 @@ def test_results_round_trip(spark, tmp_path):
     results.save_result(df, "one", str(tmp_path))
     results.save_result(df, "one", str(tmp_path))
     assert results.load_result(spark, "one", str(tmp_path)).collect() == df.collect()
+
+
+def plan_of(df) -> str:
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranges_reach_the_reader_and_cleaning_never_shuffles(spark, policy, tmp_path):
+    source = spark.createDataFrame([trip()], TRIP).select(
+        F.col("pickup_datetime").alias("tpep_pickup_datetime"),
+        F.col("dropoff_datetime").alias("tpep_dropoff_datetime"),
+        F.col("pickup_zone").alias("PULocationID"), F.col("dropoff_zone").alias("DOLocationID"),
+        "trip_distance", "fare_amount", "tolls_amount", "passenger_count", "year_month",
+        F.lit(1.0).alias("unused"))
+    source.write.partitionBy("year_month").parquet(f"{tmp_path}/yellow")
+    cleaned = clean.clean_trips(
+        feeds.unify_feeds(feeds.scan_raw(spark, str(tmp_path), months=["2025-01"])), policy)
+    plan = plan_of(cleaned)
+    for wanted in ("GreaterThan(trip_distance,0.0)", "LessThan(fare_amount,1000.0)"):
+        assert wanted in plan
+    assert "Exchange" not in plan and "unused" not in plan
+
+
+def test_panel_combines_before_the_shuffle(spark, policy):
+    built = panels.build_panel(
+        clean.clean_trips(spark.createDataFrame([trip()], TRIP), policy), policy, "day", 1)
+    plan = plan_of(built)
+    assert "partial_sum" in plan and "partial_count" in plan
+    # trips meet a hash aggregate; only the few pre-aggregated rows may sort
+    first = plan.rindex("partial_count(1)")
+    assert "HashAggregate" in plan[plan.rindex("\n", 0, first):first]
