@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplepanel.llm import language, quality, token_counts
+from ripplepanel.llm import language, quality, quality_rules, sql, token_counts
 
 TOKEN_LIMIT = 1024
 
@@ -32,11 +32,15 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_quality(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.identify_languages(docs, language.fit_languages(docs))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_token_counts, op5_quality_classifier, op10_language_id)}
-SQL: dict[str, str] = {}
+    f.__name__: f for f in (op4_token_counts, op5_quality_classifier, op6_quality_rules, op10_language_id)}
+SQL: dict[str, str] = {"op6_quality_rules": sql.QUALITY_RULES}
