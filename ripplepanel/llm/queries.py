@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplepanel.llm import language, quality, quality_rules, sql, token_counts
+from ripplepanel.llm import language, near_duplicates, quality, quality_rules, sql, token_counts
 
 TOKEN_LIMIT = 1024
 
@@ -22,6 +22,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -42,5 +46,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_token_counts, op5_quality_classifier, op6_quality_rules, op10_language_id)}
+    f.__name__: f for f in (op1_ngram_jaccard_join, op4_token_counts, op5_quality_classifier, op6_quality_rules, op10_language_id)}
 SQL: dict[str, str] = {"op6_quality_rules": sql.QUALITY_RULES}
