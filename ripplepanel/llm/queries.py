@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplepanel.llm import language, near_duplicates, quality, quality_rules, sql, token_counts
+from ripplepanel.llm import language, near_duplicates, personal_data, quality, quality_rules, sql, token_counts
 
 TOKEN_LIMIT = 1024
 
@@ -40,11 +40,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return personal_data.report(docs, personal_data.fit_detector(docs))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.identify_languages(docs, language.fit_languages(docs))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op4_token_counts, op5_quality_classifier, op6_quality_rules, op10_language_id)}
+    f.__name__: f for f in (
+        op1_ngram_jaccard_join, op4_token_counts, op5_quality_classifier, op6_quality_rules, op7_personal_data,
+        op10_language_id)}
 SQL: dict[str, str] = {"op6_quality_rules": sql.QUALITY_RULES}
