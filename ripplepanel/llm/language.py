@@ -26,6 +26,7 @@ from ripplepanel.session import cut
 
 DIMS = 4096
 PER_LANGUAGE, CENTROIDS, ROUNDS = 600, 4, 12
+PARTS = 20
 #: A text is rejected below this share of the score that 99 % of its language's sample reach.
 REACH = 0.3
 UNKNOWN = "und"
@@ -147,8 +148,10 @@ def fit_languages(
 ) -> LanguageModel:
     """Learn centroids from rows with a language that are not held out; none such gives an empty model."""
     known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out())
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("n", F.row_number().over(by)).where(F.col("n") <= per_language)
+    # in salted parts of a language, so that a language of most rows is not ranked in one task
+    known = known.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+    by = Window.partitionBy("lang", "part").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = known.withColumn("n", F.row_number().over(by)).where(F.col("n") <= -(-per_language // PARTS))
     picked = picked.select("doc_id", "lang").distinct().withColumn("pick", F.xxhash64("doc_id"))
     sample = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("lang").alias("own"), "text").join(
         picked, "doc_id").where(F.col("own") == F.col("lang")).select("lang", "pick", "text")
