@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplepanel.llm import language, near_duplicates, personal_data, quality, quality_rules, sql, token_counts
+from ripplepanel.llm import (
+    language, near_duplicates, personal_data, quality, quality_rules, sentence_pieces, sql, token_counts)
 
 TOKEN_LIMIT = 1024
 
@@ -45,6 +46,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.report(docs, personal_data.fit_detector(docs))
 
 
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.identify_languages(docs, language.fit_languages(docs))
@@ -53,5 +58,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_ngram_jaccard_join, op4_token_counts, op5_quality_classifier, op6_quality_rules, op7_personal_data,
-        op10_language_id)}
+        op9_sentence_pieces, op10_language_id)}
 SQL: dict[str, str] = {"op6_quality_rules": sql.QUALITY_RULES}
