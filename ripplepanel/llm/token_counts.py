@@ -1,15 +1,11 @@
 """Token counts per document, from one count per distinct pre-token.
 
 Byte-pair merges never cross the pre-tokens that the tokenizer cuts a text into, so a document's count is
-the sum of its pre-tokens' counts. Three steps:
-
-1. every distinct pre-token of the corpus, with its frequency (tasks keep a bounded dictionary, Spark adds up);
-2. its number of pieces, counted once by the tokenizer itself and written as a table;
-3. each document's pre-token frequencies joined with that table and summed. Frequent pre-tokens come as a
-   broadcast of at most ``hot_limit`` short strings; all others are joined by a shuffle.
-
-Ids never leave the tokenizer. A text that holds an added token's string (as the library does by default,
-one id) is cut there first.
+the sum of its pre-tokens' counts. A task takes its documents in blocks. For each block it builds the table of
+per-document pre-token frequencies, counts the pieces of each pre-token that its table of counts does not hold yet,
+joins the two tables by number, and adds up per document. The table of counts goes from block to block and is
+emptied beyond ``KNOWN`` pre-tokens, so memory stays bounded and rows never leave their task. Ids are not kept. A
+text that holds an added token's string (one id, as the library does by default) is cut there first.
 """
 
 from __future__ import annotations
@@ -18,24 +14,23 @@ import json
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplepanel.llm.common import texts
-from ripplepanel.session import cut
+from ripplepanel.llm.common import chunks, texts
 
 #: The byte-level pattern (fixed value of this kind of tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Outside of these the regex module and the tokenizer know different Unicode versions; such texts are cut by the tokenizer.
 AGREED = r"[^\x00-՗‐-⁞₠-₿　-〩一-龥가-힣]"
-HOT_LIMIT, HOT_CHARS = 100_000, 48
-FLUSH = 200_000
+KNOWN, ENCODE = 600_000, 2_000
 
 
-class Cutter:
-    """Cuts texts into pre-tokens as a byte-level tokenizer file says."""
+class PieceCounter:
+    """Cuts texts into pre-tokens as a byte-level tokenizer file says, and counts the pieces of pre-tokens."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,6 +46,7 @@ class Cutter:
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.cut, self.strange = regex.compile(PATTERN).findall, regex.compile(AGREED).search
+        self.pieces: dict[str, int] = {}
 
     def plain(self, text: str) -> list[str]:
         if text.isascii() or not self.strange(text):
@@ -58,134 +54,50 @@ class Cutter:
         spans = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
         return [text[a:b] for _, (a, b) in spans]
 
-    def pieces(self, text: str) -> tuple[list[str], int]:
-        """The pre-tokens, and how many added tokens stand between them."""
+    def frequencies(self, text: str) -> tuple[Counter, int]:
+        """The pre-tokens with their frequency, and how many added tokens stand between them."""
         if self.added is None or not self.added.search(text):
-            return self.plain(text), 0
+            return Counter(self.plain(text)), 0
         parts = self.added.split(text)
-        return [p for part in parts if part for p in self.plain(part)], len(parts) - 1
-
-
-def _vocabulary(path: str):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, seen = Cutter(path), Counter()
-        for batch in batches:
-            for text in batch.column("text"):
-                seen.update(cutter.pieces(text.as_py())[0])
-                if len(seen) > FLUSH:
-                    yield pa.RecordBatch.from_pydict({"pre_token": list(seen), "total": list(seen.values())})
-                    seen.clear()
-        yield pa.RecordBatch.from_pydict(
-            {"pre_token": pa.array(list(seen), pa.string()), "total": pa.array(list(seen.values()), pa.int64())})
-
-    return run
-
-
-def _count(path: str):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Cutter(path).tokenizer
-        for batch in batches:
-            found = batch.column("pre_token").to_pylist()
-            sizes = []
-            for i in range(0, len(found), 1000):
-                sizes += [len(e) for e in tokenizer.encode_batch(found[i : i + 1000], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(sizes, pa.int64())], ["pre_token", "total", "n_pieces"])
-
-    return run
-
-
-def piece_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``pre_token, total, n_pieces``: every distinct pre-token of the texts, how often it stands there, its pieces."""
-    found = texts(docs, text, ()).mapInArrow(_vocabulary(path), "pre_token string, total long")
-    found = found.groupBy("pre_token").agg(F.sum("total").alias("total"))
-    return found.mapInArrow(_count(path), "pre_token string, total long, n_pieces long")
-
-
-def _frequencies(path: str, key: str):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(path)
-        rows: tuple[list, ...] = ([], [], [], [], [])
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], batch.schema.field(key).type), pa.array(rows[1], pa.string()),
-                 pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.string()), pa.array(rows[4], pa.int64())],
-                [key, "print", "n_bytes", "pre_token", "freq"])
-            for r in rows:
-                r.clear()
-            return out
-
-        for batch in batches:
-            for doc, mark, n, text in zip(
-                batch.column(key).to_pylist(), batch.column("print").to_pylist(),
-                batch.column("n_bytes").to_pylist(), batch.column("text"), strict=True):
-                found, added = cutter.pieces(text.as_py())
-                counted = Counter(found)
-                # the row without pre-token says that the document is there, and carries its added tokens
-                for column, values in zip(
-                    rows, ([doc] * (len(counted) + 1), [mark] * (len(counted) + 1), [n] * (len(counted) + 1),
-                           [None, *counted], [added, *counted.values()]), strict=True):
-                    column.extend(values)
-                if len(rows[0]) > FLUSH:
-                    yield flush()
-            if rows[0]:
-                yield flush()
-
-    return run
-
-
-def hot_floor(counts: DataFrame, limit: int) -> int:
-    """The least power of two so that at most ``limit`` pre-tokens are as frequent; the driver sees at most 64 sums."""
-    level = F.floor(F.log2(F.col("total"))).cast("int").alias("level")
-    by_level = {r["level"]: r["n"] for r in counts.groupBy(level).agg(F.count(F.lit(1)).alias("n")).collect()}
-    floor, held = 63, 0
-    while floor > 0 and held + by_level.get(floor - 1, 0) <= limit:
-        floor -= 1
-        held += by_level.get(floor, 0)
-    return 1 << floor
-
-
-def count_tokens(
-    docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", hot_limit: int = HOT_LIMIT
-) -> DataFrame:
-    """``key, n_bytes, n_tokens`` for every row of ``docs``.
+        return Counter(p for part in parts if part for p in self.plain(part)), len(parts) - 1
+
+    def learn(self, pre_tokens: list[str]) -> None:
+        """Count the pieces of distinct pre-tokens that are not known yet."""
+        for i in range(0, len(pre_tokens), ENCODE):
+            few = pre_tokens[i : i + ENCODE]
+            found = self.tokenizer.encode_batch(few, add_special_tokens=False)
+            self.pieces.update(zip(few, map(len, found), strict=True))
+
+    def count(self, block: list[str]) -> np.ndarray:
+        """Tokens of each text of a block."""
+        per_text = [self.frequencies(t) for t in block]
+        if len(self.pieces) > KNOWN:
+            self.pieces.clear()
+        self.learn(list(set().union(*(f for f, _ in per_text)) - self.pieces.keys()))
+        at = np.repeat(np.arange(len(block)), [len(f) for f, _ in per_text])
+        freq = np.fromiter((n for f, _ in per_text for n in f.values()), np.int64, len(at))
+        pieces = np.fromiter((self.pieces[p] for f, _ in per_text for p in f), np.int64, len(at))
+        sums = np.zeros(len(block), np.int64)
+        np.add.at(sums, at, freq * pieces)
+        return sums + np.array([extra for _, extra in per_text], np.int64)
+
+
+def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, n_bytes, n_tokens`` for every row of ``docs``, from its whole text.
 
     A null or empty text has 0 tokens. Rows that repeat a key, with the same text or another, keep a row
     each; so does a null key. An empty table gives an empty table. Other columns are not read.
     """
-    if key in ("text", "print", "n_bytes", "pre_token", "freq", "n_pieces", "cold", "sums"):
-        docs, key, name = docs.withColumnRenamed(key, "row_key"), "row_key", key
-    else:
-        name = key
-    counts = cut(piece_counts(docs, path, text), "piece_counts")
-    hot_from = hot_floor(counts, hot_limit)
-    is_hot = (F.col("total") >= hot_from) & (F.length("pre_token") <= HOT_CHARS)
-    hot = counts.where(is_hot).select("pre_token", "n_pieces")
-    cold = counts.where(~is_hot).select(F.col("pre_token").alias("cold"), "n_pieces")
-
-    rows = texts(docs, text, (key,)).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    rows = rows.withColumn("print", F.md5("text"))
-    kind = rows.schema[key].dataType.simpleString()
-    freq = rows.mapInArrow(
-        _frequencies(path, key), f"`{key}` {kind}, print string, n_bytes long, pre_token string, freq long")
-    # the broadcast has at most hot_limit strings of at most HOT_CHARS characters
-    known = freq.join(F.broadcast(hot), "pre_token", "left")
-    missed = F.when(F.col("n_pieces").isNull(), F.col("pre_token")).alias("cold")
-    added = F.when(F.col("pre_token").isNull(), F.col("freq")).otherwise(F.col("freq") * F.col("n_pieces"))
-    document = (key, "print", "n_bytes")
-    parts = cut(
-        known.groupBy(*document, missed).agg(
-            F.sum(added).alias("sums"), F.sum("freq").alias("freq"),
-            F.count_if(F.col("pre_token").isNull()).alias("copies")), "token_parts")
-    rest = parts.where(F.col("cold").isNotNull()).join(cold, "cold").select(
-        *document, (F.col("freq") * F.col("n_pieces")).alias("sums"), F.lit(0).cast("long").alias("copies"))
-    whole = (
-        parts.where(F.col("cold").isNull()).select(*document, "sums", "copies").unionByName(rest)
-        .groupBy(*document).agg(F.sum("sums").alias("sums"), F.sum("copies").alias("copies")))
-    # equal rows went in as one document of several copies
-    return whole.select(
-        F.col(key).alias(name), "n_bytes", (F.col("sums") / F.col("copies")).cast("long").alias("n_tokens"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
-
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = PieceCounter(path)
+        for batch in batches:
+            for block in chunks(batch):
+                counts = counter.count(block.column("text").to_pylist())
+                sizes = pa.compute.binary_length(block.column("text")).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([block.column("row_key"), sizes, pa.array(counts)], ["row_key", "n_bytes", "n_tokens"])
+
+    rows = docs.select(F.col(key).alias("row_key"), F.col(text).alias("text"))
+    kind = rows.schema["row_key"].dataType.simpleString()
+    return texts(rows, keys=("row_key",)).mapInArrow(
+        run, f"row_key {kind}, n_bytes long, n_tokens long").withColumnRenamed("row_key", key)
