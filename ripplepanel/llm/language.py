@@ -153,8 +153,9 @@ def fit_languages(
     by = Window.partitionBy("lang", "part").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = known.withColumn("n", F.row_number().over(by)).where(F.col("n") <= -(-per_language // PARTS))
     picked = picked.select("doc_id", "lang").distinct().withColumn("pick", F.xxhash64("doc_id"))
+    # the picked rows are at most per_language (and one for each part) of each language: small by that parameter
     sample = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("lang").alias("own"), "text").join(
-        picked, "doc_id").where(F.col("own") == F.col("lang")).select("lang", "pick", "text")
+        F.broadcast(picked), "doc_id").where(F.col("own") == F.col("lang")).select("lang", "pick", "text")
     vectors = cut(sample.mapInArrow(_sample_vectors, "lang string, pick long, grams binary"), "language_sample")
     # one row per task of a bounded sample reaches the driver
     sums = vectors.coalesce(4).mapInArrow(_document_frequency, "rows long, found array<double>").collect()
