@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplepanel.llm import (
-    bm25_search, language, main_text, near_duplicates, personal_data, quality, quality_rules, sentence_pieces, sql, token_counts)
+    bm25_search, language, main_text, mixing, near_duplicates, personal_data, quality, quality_rules, sentence_pieces, sql, token_counts)
 
 TOKEN_LIMIT = 1024
 
@@ -32,6 +32,10 @@ def op2_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_search.similar_documents(docs, docs.where(F.col("doc_id") % 50 == 0))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample_mixture(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -67,6 +71,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_ngram_jaccard_join, op2_bm25_topk, op4_token_counts, op5_quality_classifier, op6_quality_rules,
+        op1_ngram_jaccard_join, op2_bm25_topk, op3_source_mixing, op4_token_counts, op5_quality_classifier, op6_quality_rules,
         op7_personal_data, op8_html_main_text, op9_sentence_pieces, op10_language_id)}
 SQL: dict[str, str] = {"op2_bm25_topk": sql.BM25_TOP_K, "op6_quality_rules": sql.QUALITY_RULES}
