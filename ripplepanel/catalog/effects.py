@@ -76,7 +76,7 @@ def event_study(ctx: Context) -> DataFrame:
     return did.event_study(ctx.panel()).coefficients
 
 
-_GROUPS = sweeps("near", ["log_trip_count"], by=["treat_binary"], rounds=25)
+_GROUPS = sweeps("panel_week_1", ["log_trip_count"], by=["treat_binary"], rounds=25)
 
 
 @query("C3_event_study_weeks", compose(f"""
@@ -84,14 +84,14 @@ _GROUPS = sweeps("near", ["log_trip_count"], by=["treat_binary"], rounds=25)
     SELECT rel_week,
       max(g_log_trip_count - r) FILTER (treat_binary=1) AS t,
       max(g_log_trip_count - r) FILTER (treat_binary=0) AS c
-    FROM g25 JOIN (SELECT DISTINCT date, rel_week FROM near) USING (date)
+    FROM g25 JOIN (SELECT DISTINCT date, rel_week FROM panel_week_1) USING (date)
     JOIN (SELECT treat_binary, g_log_trip_count AS r FROM g25
-          JOIN (SELECT DISTINCT date, rel_week FROM near) USING (date) WHERE rel_week = -1)
+          JOIN (SELECT DISTINCT date, rel_week FROM panel_week_1) USING (date) WHERE rel_week = -1)
       USING (treat_binary)
-    GROUP BY 1)""", "near", extra=_GROUPS))
+    GROUP BY 1)""", "panel_week_1", extra=_GROUPS))
 def event_study_weeks(ctx: Context) -> DataFrame:
     return ctx.shared("event_weeks", lambda: did.event_study(
-        ctx.near()).coefficients).select("rel_week", "coef")
+        ctx.weeks()).coefficients).select("rel_week", "coef")
 
 
 def _lead(i: int, j: int) -> str:
@@ -126,7 +126,7 @@ def att_ctes(cohort: str, anticipation: int = 0, clean_pre: bool = False) -> dic
     usable = f"week + 7 <= {edge}" if clean_pre else f"week < {edge}"
     return {
         "cells": f"""SELECT {cohort} AS cohort, week, avg(log_trip_count) AS m,
-            coalesce(var_samp(log_trip_count), 0) AS v, count(*) AS n FROM near GROUP BY ALL""",
+            coalesce(var_samp(log_trip_count), 0) AS v, count(*) AS n FROM panel_week_1 GROUP BY ALL""",
         "refs": f"""SELECT cohort, max(week) FILTER ({usable}) AS ref_week FROM cells
             WHERE cohort IS NOT NULL GROUP BY 1""",
         "att": f"""SELECT *, att-1.96*se AS ci_low, att+1.96*se AS ci_high FROM (
@@ -151,31 +151,31 @@ SINGLE = f"CASE treat_binary WHEN 1 THEN {SHOCK} END"
 _STAGGERED = f"CASE WHEN zone_id <= 4 THEN {SHOCK} WHEN zone_id <= 8 THEN {SHOCK} + 28 END"
 
 
-@query("C5_group_time_att", compose(_ATT, "near", extra=att_ctes(SINGLE)))
+@query("C5_group_time_att", compose(_ATT, "panel_week_1", extra=att_ctes(SINGLE)))
 def group_time(ctx: Context) -> DataFrame:
-    return did.group_time_att(ctx.near(), ctx.policy)
+    return did.group_time_att(ctx.weeks(), ctx.policy)
 
 
-@query("C5_clean_reference_week", compose(_ATT, "near", extra=att_ctes(SINGLE, 1, True)))
+@query("C5_clean_reference_week", compose(_ATT, "panel_week_1", extra=att_ctes(SINGLE, 1, True)))
 def group_time_clean(ctx: Context) -> DataFrame:
-    return did.group_time_att(ctx.near(), ctx.policy, anticipation=1, clean_pre=True)
+    return did.group_time_att(ctx.weeks(), ctx.policy, anticipation=1, clean_pre=True)
 
 
-@query("C5_staggered_cohorts", compose(_ATT, "near", extra=att_ctes(_STAGGERED)))
+@query("C5_staggered_cohorts", compose(_ATT, "panel_week_1", extra=att_ctes(_STAGGERED)))
 def staggered(ctx: Context) -> DataFrame:
     zone, start = F.col("zone_id"), ctx.policy.shock_lit()
     cohort = F.when(zone <= 4, start).when(zone <= 8, F.date_add(start, 28))
-    return did.group_time_att(ctx.near(), ctx.policy, cohort=cohort)
+    return did.group_time_att(ctx.weeks(), ctx.policy, cohort=cohort)
 
 
 @query("C6_zone_bootstrap", compose(f"""
   SELECT {day('week', 'period')}, {real('stddev_samp(gap-gap_ref)', 'se_boot')},
     {whole('count(gap-gap_ref)', 'n_reps')}
   FROM gaps JOIN (SELECT rep, gap AS gap_ref FROM gaps
-                  WHERE week = (SELECT max(week) FROM near WHERE week < {SHOCK})) USING (rep)
-  GROUP BY week""", "near", extra={
+                  WHERE week = (SELECT max(week) FROM panel_week_1 WHERE week < {SHOCK})) USING (rep)
+  GROUP BY week""", "panel_week_1", extra={
     "zw": """SELECT zone_id, treat_binary, week, sum(log_trip_count) AS s, count(*) AS n
-      FROM near GROUP BY ALL""",
+      FROM panel_week_1 GROUP BY ALL""",
     "drawn": f"""SELECT *, {poisson(hash32('zone_id', 'rep', seed=42))} AS w
       FROM zw, (SELECT unnest(generate_series(1, 199)) AS rep)""",
     "gaps": """SELECT rep, week,
@@ -183,34 +183,40 @@ def staggered(ctx: Context) -> DataFrame:
         - sum(w*s) FILTER (treat_binary=0)/nullif(sum(w*n) FILTER (treat_binary=0), 0) AS gap
       FROM drawn GROUP BY ALL"""}))
 def bootstrap(ctx: Context) -> DataFrame:
-    return did.group_time_bootstrap(ctx.near(), ctx.policy, reps=199)
+    return did.group_time_bootstrap(ctx.weeks(), ctx.policy, reps=199)
 
 
 @query("C7_aggregate_att", compose(f"""
   SELECT {real('avg(att) FILTER (NOT is_pre)', 'agg_att')},
-    {whole('count(*) FILTER (NOT is_pre)', 'n_post')} FROM att""", "near", extra=att_ctes(SINGLE)))
+    {whole('count(*) FILTER (NOT is_pre)', 'n_post')} FROM att""", "panel_week_1", extra=att_ctes(SINGLE)))
 def aggregate(ctx: Context) -> DataFrame:
-    return did.aggregate_att(did.group_time_att(ctx.near(), ctx.policy))
+    return did.aggregate_att(did.group_time_att(ctx.weeks(), ctx.policy))
 
 
-def _student14(t: str) -> str:
-    """Two-sided tail for 14 degrees of freedom: the finite cosine series."""
-    c2 = f"(14.0/(14.0+({t})*({t})))"
-    term, series = 1.0, ["1.0"]
-    for k in range(1, 7):
-        term *= (2 * k - 1) / (2 * k)
-        series.append(f"{term!r}*pow({c2},{k})")
-    return f"1.0-abs({t})/sqrt(14.0+({t})*({t}))*({'+'.join(series)})"
+# logarithms of the coefficients of the finite cosine series, for even and odd degrees of freedom
+STUDENT = {"cosines": """SELECT k, sum(CASE WHEN k=0 THEN 0 ELSE ln((2*k-1.0)/(2.0*k)) END) OVER (ORDER BY k) AS even,
+    sum(CASE WHEN k=0 THEN 0 ELSE ln(2.0*k/(2*k+1.0)) END) OVER (ORDER BY k) AS odd
+  FROM (SELECT unnest(generate_series(0, 3000)) AS k)"""}
+
+
+def student_p(t: str, df: str) -> str:
+    """Two-sided tail by the finite cosine series of ``STUDENT``, for any whole number of degrees."""
+    c2, root = f"({df}/({df}+({t})*({t})))", f"sqrt({df}+({t})*({t}))"
+    part = "(SELECT coalesce(sum(exp({k})*pow({c2},k)), 0) FROM cosines WHERE k <= {most})"
+    even = part.format(k="even", c2=c2, most=f"({df}-2)//2")
+    odd = part.format(k="odd", c2=c2, most=f"({df}-3)/2.0")
+    return (f"(1.0 - CASE WHEN {df} % 2 = 0 THEN abs({t})/{root}*{even} ELSE 2/pi()*(atan(abs({t})/sqrt({df}))"
+            f" + abs({t})*sqrt({df})/({df}+({t})*({t}))*{odd}) END)")
 
 
 @query("C8_att_pretrend_test", compose(f"""
-  SELECT 'group-time leads' AS test, {real('stat')}, {whole('n-1', 'df')},
-    {real(_student14('stat'), 'p_value')}
-  FROM (SELECT avg(z)/(stddev_samp(z)/sqrt(count(z))) AS stat, count(z) AS n
+  SELECT 'group-time leads' AS test, {real('stat')}, {whole('df')},
+    {real(student_p('stat', 'df'), 'p_value')}
+  FROM (SELECT avg(z)/(stddev_samp(z)/sqrt(count(z))) AS stat, count(z)-1 AS df
         FROM (SELECT att/(se+1e-8) AS z FROM att WHERE is_pre AND NOT is_ref))""",
-    "near", extra=att_ctes(SINGLE)))
+    "panel_week_1", extra={**STUDENT, **att_ctes(SINGLE)}))
 def att_test(ctx: Context) -> DataFrame:
-    return did.att_pretrend(did.group_time_att(ctx.near(), ctx.policy))
+    return did.att_pretrend(did.group_time_att(ctx.weeks(), ctx.policy))
 
 
 @query("C9_zone_dose", compose(f"""

@@ -53,10 +53,9 @@ class Context:
             f"panel_{unit}_{min_trips}",
             lambda: binding.star_panel_with_dose(self.spark, self.sf_dir, unit, min_trips))
 
-    def near(self, weeks: int = 16) -> DataFrame:
-        """Week panel with every cell, close to the shock."""
-        panel = self.panel("week", 1)
-        return panel.where(panel.rel_week.between(-weeks, weeks))
+    def weeks(self) -> DataFrame:
+        """Week panel with every cell of every week."""
+        return self.panel("week", 1)
 
     def folder(self, name: str) -> str:
         tag = self.sf_dir.strip("/").replace("/", "_")

@@ -18,7 +18,7 @@ from ripplepanel.operators import cate, did, dose, synth
 from ripplepanel.plans import binding, figures, reports
 
 _MAIN = {
-    **sweeps("(SELECT *, treat_binary*post AS treat_post FROM near)",
+    **sweeps("(SELECT *, treat_binary*post AS treat_post FROM panel_week_1)",
              ["log_trip_count", "treat_post"], rounds=25, tag="m_"),
     **one_regressor(["log_trip_count"], "treat_post", tag="m_"),
     "main": "SELECT coef AS ate, se, p_value AS p, n FROM m_fits",
@@ -26,11 +26,11 @@ _MAIN = {
 
 
 def main_fit(ctx: Context) -> DataFrame:
-    return ctx.shared("twfe_near", lambda: did.twfe_did(ctx.near()))
+    return ctx.shared("twfe_weeks", lambda: did.twfe_did(ctx.weeks()))
 
 
 def _estimates(ctx: Context, sdid: DataFrame) -> DataFrame:
-    att = did.group_time_att(ctx.near(), ctx.policy)
+    att = did.group_time_att(ctx.weeks(), ctx.policy)
     return reports.estimator_table(
         main_fit(ctx), did.aggregate_att(att), did.att_pretrend(att), sdid, ml.dml_table(ctx))
 
@@ -50,9 +50,9 @@ def _stack(*groups: dict[str, str]) -> dict[str, str]:
 
 
 # the attachment CTEs call their cells "cells" too: rename the group-time ones
-_ATT = {
+_ATT = {**fx.STUDENT, **{
     ("att_cells" if k == "cells" else k): v.replace("FROM cells", "FROM att_cells").replace(
-        "JOIN cells", "JOIN att_cells") for k, v in fx.att_ctes(fx.SINGLE).items()}
+        "JOIN cells", "JOIN att_cells") for k, v in fx.att_ctes(fx.SINGLE).items()}}
 _LEAD_TEST = """SELECT avg(z)/(stddev_samp(z)/sqrt(count(z))) AS stat, count(z)-1 AS df
   FROM (SELECT att/(se+1e-8) AS z FROM att WHERE is_pre AND NOT is_ref)"""
 
@@ -60,7 +60,7 @@ _LEAD_TEST = """SELECT avg(z)/(stddev_samp(z)/sqrt(count(z))) AS stat, count(z)-
 @query("T1_estimator_comparison")
 def comparison(ctx: Context) -> DataFrame:
     return _estimates(ctx, ctx.shared(
-        "sdid", lambda: synth.sdid(ctx.near(), ctx.policy, reps=sd.REPS)))
+        "sdid", lambda: synth.sdid(ctx.weeks(), ctx.policy, reps=sd.REPS)))
 
 
 @query("T1_estimator_comparison_uniform", compose(f"""
@@ -72,7 +72,7 @@ def comparison(ctx: Context) -> DataFrame:
       n AS n_obs, p AS p_value, NULL::DOUBLE AS pretrend_p, 'Two-way fixed effects' AS note FROM main
     UNION ALL BY NAME
     SELECT 'Group-time DiD' AS estimator, (SELECT avg(att) FROM att WHERE NOT is_pre) AS att,
-      {fx._student14('stat')} AS pretrend_p, 'Mean of post effects' AS note FROM ({_LEAD_TEST})
+      {fx.student_p('stat', 'df')} AS pretrend_p, 'Mean of post effects' AS note FROM ({_LEAD_TEST})
     UNION ALL BY NAME
     SELECT 'Synthetic DiD' AS estimator, t AS att, s AS se, t-1.96*s AS ci_low, t+1.96*s AS ci_high,
       'Placebo standard error' AS note
@@ -81,9 +81,9 @@ def comparison(ctx: Context) -> DataFrame:
     SELECT 'Double ML' AS estimator, theta AS att, se, theta-1.96*se AS ci_low,
       theta+1.96*se AS ci_high, n_obs, p_value, 'Cross-fitted nuisances' AS note
     FROM eff WHERE outcome = 'log_trip_count')""",
-    "near", MONTH, extra=_stack(_MAIN, _ATT, sd._UNIFORM, ml.dml_ctes())))
+    "panel_week_1", MONTH, extra=_stack(_MAIN, _ATT, sd._UNIFORM, ml.dml_ctes())))
 def comparison_uniform(ctx: Context) -> DataFrame:
-    return _estimates(ctx, synth.sdid(ctx.near(), ctx.policy, reps=sd.REPS, uniform=True))
+    return _estimates(ctx, synth.sdid(ctx.weeks(), ctx.policy, reps=sd.REPS, uniform=True))
 
 
 @query("T2_dml_table", compose(f"""
@@ -121,7 +121,7 @@ _CHECKS = {**_MAIN, **fx.spec_ctes(WEEK1, fx.ALL_SPECS)}
 @query("T4_robustness_table", compose(f"""
   SELECT grp AS "group", "check", {fixed('theta')} || {stars('c.p')} AS theta_text,
     CASE WHEN c.se IS NULL THEN '—' ELSE '(' || {fixed('c.se')} || ')' END AS se_text,
-    {real('theta-ate', 'vs_main')}, status FROM checks c, main""", "near", extra=_CHECKS))
+    {real('theta-ate', 'vs_main')}, status FROM checks c, main""", "panel_week_1", extra=_CHECKS))
 def robustness_table(ctx: Context) -> DataFrame:
     return reports.robustness_table(fx.robustness_table(ctx), main_fit(ctx))
 
@@ -131,12 +131,12 @@ def robustness_table(ctx: Context) -> DataFrame:
     CASE WHEN p > 0.05 THEN 'holds' ELSE 'may be violated' END AS verdict
   FROM (SELECT 'event study leads' AS test, stat, 3 AS df, {fx.WALD_P} AS p FROM wald
         UNION ALL
-        SELECT 'group-time leads', stat, df, {fx._student14('stat')} FROM ({_LEAD_TEST}))""",
-    MONTH, "near", extra=_stack(fx.WALD, _ATT)))
+        SELECT 'group-time leads', stat, df, {fx.student_p('stat', 'df')} FROM ({_LEAD_TEST}))""",
+    MONTH, "panel_week_1", extra=_stack(fx.WALD, _ATT)))
 def pretrends(ctx: Context) -> DataFrame:
     return reports.pretrend_table(
         did.event_study(ctx.panel()).pretrend,
-        did.att_pretrend(did.group_time_att(ctx.near(), ctx.policy)))
+        did.att_pretrend(did.group_time_att(ctx.weeks(), ctx.policy)))
 
 
 @query("T6_executive_summary", compose(f"""
@@ -151,7 +151,7 @@ def pretrends(ctx: Context) -> DataFrame:
     UNION ALL (SELECT 'Top driver', c, f FROM (
       SELECT 'lag1_trip_count' AS f, b1_cate AS c FROM proj
       UNION ALL SELECT 'peak_share', b2_cate FROM proj) ORDER BY abs(c) DESC LIMIT 1))""",
-    "near", MONTH, extra={
+    "panel_week_1", MONTH, extra={
         **_MAIN, **ml.dml_ctes(),
         **{("c_" + k if k == "planes" else k): v.replace("planes", "c_planes")
            for k, v in ml.CATE.items()},
@@ -186,9 +186,9 @@ def event_series(ctx: Context) -> DataFrame:
 @query("V1_att_series", compose(f"""
   SELECT {whole('rel_week')}, {real('att')}, {real('ci_low')}, {real('ci_high')},
     CASE WHEN is_pre THEN 'pre' ELSE 'post' END AS phase FROM att""",
-    "near", extra=fx.att_ctes(fx.SINGLE)))
+    "panel_week_1", extra=fx.att_ctes(fx.SINGLE)))
 def att_series(ctx: Context) -> DataFrame:
-    return figures.att_series(did.group_time_att(ctx.near(), ctx.policy))
+    return figures.att_series(did.group_time_att(ctx.weeks(), ctx.policy))
 
 
 @query("V2_dose_bars", compose(f"""
@@ -246,6 +246,6 @@ def targeting_series(ctx: Context) -> DataFrame:
   SELECT grp AS "group", "check", {real('theta')}, {real('theta-1.96*c.se', 'low')},
     {real('theta+1.96*c.se', 'high')}, {whole('(coalesce(c.p, 1) < 0.05)::INTEGER', 'significant')},
     {real('ate', 'main')}, {real('ate-1.96*main.se', 'main_low')},
-    {real('ate+1.96*main.se', 'main_high')} FROM checks c, main""", "near", extra=_CHECKS))
+    {real('ate+1.96*main.se', 'main_high')} FROM checks c, main""", "panel_week_1", extra=_CHECKS))
 def robustness_bars(ctx: Context) -> DataFrame:
     return figures.robustness_bars(fx.robustness_table(ctx), main_fit(ctx))

@@ -95,8 +95,7 @@ CTES["kept"] = (("timed",), """
     AND trip_duration_min < 360 AND fare_amount > 0 AND fare_amount < 1000
     AND pickup_zone BETWEEN 1 AND 265 AND dropoff_zone BETWEEN 1 AND 265""")
 
-CTES["trips"] = (("kept",), """
-  SELECT * FROM kept WHERE pickup_date BETWEEN DATE '1995-04-03' AND DATE '2001-09-30'""")
+CTES["trips"] = (("kept",), "SELECT * FROM kept")
 
 CTES["zones"] = ((), """
   SELECT n_nationkey+1 AS zone_id, r_name AS borough, n_name AS zone_name,
@@ -154,8 +153,6 @@ WEEK1 = _panel("week", 1)
 DAY1 = _panel("day", 1)
 DAY5 = _panel("day", 5)
 
-CTES["near"] = ((WEEK1,), f"SELECT * FROM {WEEK1} WHERE rel_week BETWEEN -16 AND 16")
-
 
 def compose(final: str, *reads: str, extra: dict[str, str] | None = None) -> str:
     """``final`` with every CTE it needs in front, in order, plus ``extra`` ones."""

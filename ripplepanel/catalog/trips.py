@@ -46,12 +46,11 @@ def clean_root(ctx: Context) -> str:
 @query("S1_scan_raw_feeds", compose(f"""
   SELECT trip_type, leaky_month AS year_month, {whole('count(*)', 'trips')},
     {real('sum(trip_distance)', 'distance')}
-  FROM bound WHERE leaky_month >= '1997-01' GROUP BY 1, 2""", "bound"))
+  FROM bound GROUP BY 1, 2""", "bound"))
 def scan_raw(ctx: Context) -> DataFrame:
     raw = feeds.scan_raw(ctx.spark, raw_root(ctx))
     return (
-        feeds.unify_feeds(raw).where(F.col("year_month") >= "1997-01")
-        .groupBy("trip_type", "year_month")
+        feeds.unify_feeds(raw).groupBy("trip_type", "year_month")
         .agg(F.count(F.lit(1)).alias("trips"), F.sum("trip_distance").alias("distance")))
 
 
@@ -281,7 +280,7 @@ def fee(ctx: Context) -> DataFrame:
     {whole('count(*)', 'trips')}, {day('min(pickup_date)', 'first_day')}
   FROM kept GROUP BY hour, dow, is_weekend, is_peak""", "kept"))
 def flags(ctx: Context) -> DataFrame:
-    return binding.star_clean(ctx.spark, ctx.sf_dir, windowed=False).groupBy(
+    return binding.star_clean(ctx.spark, ctx.sf_dir).groupBy(
         "hour", "dow", "is_weekend", "is_peak").agg(
         F.count(F.lit(1)).alias("trips"), F.min("pickup_date").alias("first_day"))
 
@@ -291,7 +290,7 @@ def flags(ctx: Context) -> DataFrame:
     {whole('count(*)', 'trips')}
   FROM kept GROUP BY pickup_zone, dropoff_zone, is_airport_trip""", "kept"))
 def airport(ctx: Context) -> DataFrame:
-    return binding.star_clean(ctx.spark, ctx.sf_dir, windowed=False).groupBy(
+    return binding.star_clean(ctx.spark, ctx.sf_dir).groupBy(
         "pickup_zone", "dropoff_zone", "is_airport_trip").agg(F.count(F.lit(1)).alias("trips"))
 
 
@@ -305,4 +304,4 @@ def airport(ctx: Context) -> DataFrame:
     {whole('is_airport_trip')}, trip_type, year_month
   FROM kept""", "kept"))
 def clean_table(ctx: Context) -> DataFrame:
-    return binding.star_clean(ctx.spark, ctx.sf_dir, windowed=False)
+    return binding.star_clean(ctx.spark, ctx.sf_dir)

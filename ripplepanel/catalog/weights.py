@@ -9,14 +9,15 @@ from ripplepanel.catalog.registry import Context, query
 from ripplepanel.catalog.sqltext import SHOCK, compose, day, hash32, real, whole
 from ripplepanel.operators import synth
 
-REPS = 40
+REPS = 200
 
 _CELLS = {
     "weekly": """SELECT zone_id, week, max(treat_binary) AS treat_binary, avg(log_trip_count) AS y
-      FROM near GROUP BY ALL""",
-    "cells": f"""SELECT *, week < {SHOCK} AS is_pre FROM weekly WHERE zone_id IN (
-      SELECT zone_id FROM weekly GROUP BY 1
-      HAVING count(*) = (SELECT count(DISTINCT week) FROM weekly))""",
+      FROM panel_week_1 GROUP BY ALL""",
+    "cells": f"""SELECT u.zone_id, w.week, u.treat_binary, coalesce(y, 0) AS y, w.week < {SHOCK} AS is_pre
+      FROM (SELECT zone_id, max(treat_binary) AS treat_binary FROM weekly GROUP BY 1) u
+      CROSS JOIN (SELECT DISTINCT week FROM weekly) w
+      LEFT JOIN weekly c ON c.zone_id = u.zone_id AND c.week = w.week""",
 }
 _UNIFORM = {
     **_CELLS,
@@ -37,7 +38,7 @@ _UNIFORM = {
 
 
 def cells_of(ctx: Context) -> DataFrame:
-    return ctx.shared("sdid_cells", lambda: synth.weekly_cells(ctx.near(), ctx.policy))
+    return ctx.shared("sdid_cells", lambda: synth.weekly_cells(ctx.weeks(), ctx.policy))
 
 
 def roles_of(ctx: Context) -> DataFrame:
@@ -57,20 +58,26 @@ def solved(ctx: Context) -> synth.Weights:
 
 @query("C13_sdid_cells", compose(f"""
   SELECT {whole('zone_id')}, {day('week')}, {whole('treat_binary')}, {real('y')},
-    {whole('is_pre')} FROM cells""", "near", extra=_CELLS))
+    {whole('is_pre')} FROM cells""", "panel_week_1", extra=_CELLS))
 def cells(ctx: Context) -> DataFrame:
-    return synth.weekly_cells(ctx.near(), ctx.policy)
+    return synth.weekly_cells(ctx.weeks(), ctx.policy)
 
 
-@query("C13_sdid_cells_zero_filled", compose(f"""
-  SELECT {whole('u.zone_id', 'zone_id')}, {day('w.week', 'week')},
-    {whole('u.treat_binary', 'treat_binary')}, {real('coalesce(y, 0)', 'y')},
-    {whole(f'w.week < {SHOCK}', 'is_pre')}
-  FROM (SELECT DISTINCT zone_id, treat_binary FROM weekly) u
-  CROSS JOIN (SELECT DISTINCT week FROM weekly) w
-  LEFT JOIN weekly c ON c.zone_id = u.zone_id AND c.week = w.week""", "near", extra=_CELLS))
-def cells_zero(ctx: Context) -> DataFrame:
-    return synth.weekly_cells(ctx.near(), ctx.policy, missing="zero")
+@query("C13_sdid_cells_complete_units", compose(f"""
+  SELECT {whole('zone_id')}, {day('week')}, {whole('treat_binary')}, {real('y')},
+    {whole(f'week < {SHOCK}', 'is_pre')} FROM (
+    SELECT zone_id, date_trunc('month', week)::DATE AS week, max(treat_binary) AS treat_binary, avg(y) AS y
+    FROM weekly GROUP BY 1, 2)
+  WHERE zone_id IN (
+    SELECT zone_id FROM weekly GROUP BY 1
+    HAVING count(DISTINCT date_trunc('month', week)) = (SELECT count(DISTINCT date_trunc('month', week)) FROM weekly))""",
+    "panel_week_1", extra=_CELLS))
+def cells_complete(ctx: Context) -> DataFrame:
+    # a period that most units have: months of the weekly means
+    months = ctx.weeks().groupBy("zone_id", "week").agg(
+        F.max("treat_binary").alias("treat_binary"), F.avg("log_trip_count").alias("log_trip_count"))
+    months = months.withColumn("week", F.trunc("week", "month"))
+    return synth.weekly_cells(months, ctx.policy, missing="drop")
 
 
 @query("C14_unit_weights")
@@ -89,26 +96,27 @@ def time_weights(ctx: Context) -> DataFrame:
   UNION ALL
   SELECT 'time', {whole('count(DISTINCT week)', 'n')}, {real('1', 'total')},
     {whole('0', 'negative')}, {whole('1', 'optimal')} FROM cells WHERE is_pre""",
-    "near", extra=_CELLS))
+    "panel_week_1", extra=_CELLS))
 def checks(ctx: Context) -> DataFrame:
     return synth.weight_checks(cells_of(ctx), roles_of(ctx), solved(ctx))
 
 
 @query("C16_sdid")
 def estimate(ctx: Context) -> DataFrame:
-    return ctx.shared("sdid", lambda: synth.sdid(ctx.near(), ctx.policy, reps=REPS))
+    return ctx.shared("sdid", lambda: synth.sdid(ctx.weeks(), ctx.policy, reps=REPS))
 
 
 @query("C16_sdid_uniform", compose(f"""
   SELECT 'log_trip_count' AS outcome, {real('t', 'tau_hat')}, {real('s', 'se')},
     {real('t-1.96*s', 'ci_low')}, {real('t+1.96*s', 'ci_high')}, {whole('n1', 'n_treated')},
-    {whole('n0', 'n_control')}, {whole('a', 't_pre')}, {whole('b', 't_post')}
+    {whole('n0', 'n_control')}, {whole('a', 't_pre')}, {whole('b', 't_post')},
+    {whole('0', 'n_dropped')}
   FROM (SELECT max(tau) FILTER (rep=0) AS t, stddev_samp(tau) FILTER (rep>0) AS s FROM tau),
     (SELECT t AS n1, c AS n0 FROM size),
     (SELECT count(DISTINCT week) FILTER (is_pre) AS a,
-            count(DISTINCT week) FILTER (NOT is_pre) AS b FROM cells)""", "near", extra=_UNIFORM))
+            count(DISTINCT week) FILTER (NOT is_pre) AS b FROM cells)""", "panel_week_1", extra=_UNIFORM))
 def estimate_uniform(ctx: Context) -> DataFrame:
-    return synth.sdid(ctx.near(), ctx.policy, reps=REPS, uniform=True)
+    return synth.sdid(ctx.weeks(), ctx.policy, reps=REPS, uniform=True)
 
 
 @query("C17_placebo_effects")
@@ -117,7 +125,7 @@ def placebo(ctx: Context) -> DataFrame:
 
 
 @query("C17_placebo_effects_uniform", compose(f"""
-  SELECT {whole('rep')}, {real('tau')} FROM tau WHERE rep > 0""", "near", extra=_UNIFORM))
+  SELECT {whole('rep')}, {real('tau')} FROM tau WHERE rep > 0""", "panel_week_1", extra=_UNIFORM))
 def placebo_uniform(ctx: Context) -> DataFrame:
     w = synth.uniform_weights(cells_of(ctx), roles_of(ctx))
     return synth.replicate_tau(cells_of(ctx), roles_of(ctx), w).where(F.col("rep") > 0)
@@ -125,6 +133,6 @@ def placebo_uniform(ctx: Context) -> DataFrame:
 
 @query("C17_placebo_roles", compose(f"""
   SELECT {whole('rep')}, {whole('zone_id')}, {whole('treated')} FROM roles""",
-    "near", extra=_UNIFORM))
+    "panel_week_1", extra=_UNIFORM))
 def roles(ctx: Context) -> DataFrame:
     return synth.replicate_roles(cells_of(ctx), REPS)

@@ -1,9 +1,9 @@
 """Synthetic difference-in-differences with placebo inference.
 
-The real fit is replicate 0, placebo fits are replicates 1..B; every step
-carries the replicate as a key. Weights are solved per replicate in Python
-while a unit x week matrix is small by count; beyond that a working set grows
-by scans over all units, and only vectors along the time axis leave the tasks.
+The real fit is replicate 0, placebo fits are replicates 1..B. A unit is one row:
+its series before the shock, its mean after it, and its role in every replicate
+as an array. Tasks hold batches of such rows; what leaves them is a few vectors
+along the time axis per replicate, whatever the number of units.
 """
 
 from __future__ import annotations
@@ -20,17 +20,17 @@ from ripplepanel.operators.within import Z95
 from ripplepanel.policy import Policy
 from ripplepanel.session import cut
 
-# unit x week cells of one replicate that a single task may hold (16 MB)
-MATRIX_CELLS = 2_000_000
+# units that may enter a replicate's working set in one scan
+ENTRIES_PER_SCAN = 4
 
 
 def weekly_cells(
-    panel: DataFrame, policy: Policy, outcome: str = "log_trip_count", missing: str = "drop"
+    panel: DataFrame, policy: Policy, outcome: str = "log_trip_count", missing: str = "zero"
 ) -> DataFrame:
     """Mean outcome per unit and week on a complete grid.
 
-    ``missing="drop"`` leaves out units without every week; "zero" fills gaps
-    with 0. The grid comes from exploding each unit over the week sequence.
+    ``missing="zero"`` fills gaps with 0; "drop" leaves out units without every
+    week (``sdid`` says how many). The grid comes from exploding each unit over the week sequence.
     """
     weekly = panel.groupBy("zone_id", "week").agg(
         F.max("treat_binary").alias("treat_binary"), F.avg(outcome).alias("y"))
@@ -167,168 +167,204 @@ def _to_simplex(v: np.ndarray) -> np.ndarray:
     return np.maximum(v - excess[last], 0.0)
 
 
+def unit_points(cells: DataFrame, roles: DataFrame) -> DataFrame:
+    """One row per unit: ``a`` its values before the shock by week, ``d`` its mean
+    after it, ``roles`` an array with 1 (treated), 0 (control) or -1 (no part) per replicate."""
+    series = cells.groupBy("zone_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("is_pre"), F.struct("week", "y")))).alias("_s"),
+        F.avg(F.when(~F.col("is_pre"), F.col("y"))).alias("d")
+    ).select("zone_id", F.transform("_s", lambda c: c["y"]).alias("a"), "d")
+    # an array of as many entries as there are replicates
+    last = roles.agg(F.max("rep")).first()[0] or 0
+    parts = roles.groupBy("zone_id").agg(F.map_from_entries(
+        F.collect_list(F.struct("rep", "treated"))).alias("_m"))
+    parts = parts.select("zone_id", F.transform(
+        F.sequence(F.lit(0), F.lit(last)), lambda r: F.coalesce(F.try_element_at("_m", r), F.lit(-1))
+    ).alias("roles"))
+    return series.join(parts, "zone_id")
+
+
+def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return (np.array(pdf["a"].to_list(), float).reshape(len(pdf), -1),
+            pdf["d"].to_numpy(float), np.array(pdf["roles"].to_list()))
+
+
+def _replicate_sums(batches):
+    """Per replicate the moments of its treated and control units, added up over a task.
+
+    ``goal`` sums the treated series; ``gram`` is X'X of its controls with
+    X = [1, a, d], so any column can be centred later.
+    """
+    goal: dict[int, np.ndarray] = {}
+    gram: dict[int, np.ndarray] = {}
+    size: dict[int, int] = {}
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        a, d, roles = _arrays(pdf)
+        x = np.column_stack([np.ones(len(a)), a, d])
+        for rep in range(roles.shape[1]):
+            treated, control = roles[:, rep] == 1, roles[:, rep] == 0
+            goal[rep] = goal.get(rep, 0.0) + a[treated].sum(axis=0)
+            size[rep] = size.get(rep, 0) + int(treated.sum())
+            gram[rep] = gram.get(rep, 0.0) + x[control].T @ x[control]
+    for rep in goal:
+        yield pd.DataFrame({"rep": np.array([rep], np.int32), "n": [size[rep]], "goal": [goal[rep].tolist()],
+                            "gram": [gram[rep].ravel().tolist()]})
+
+
 def solved_weights(
     cells: DataFrame, roles: DataFrame, ridge: float = 1e-6, intercept: bool = False,
-    limit: int = MATRIX_CELLS,
+    tol: float = 1e-9, max_rounds: int = 500,
 ) -> Weights:
     """Unit weights that match treated weeks before the shock, and time weights
-    that match control means after it. ``intercept`` lets levels differ."""
-    if cells.count() > limit:
-        return stepped_weights(cells, roles, ridge)
-    rows = cells.groupBy("zone_id").agg(
-        F.array_sort(F.collect_list(F.struct("week", "is_pre", "y"))).alias("series"))
-    jobs = roles.join(rows, "zone_id").select("rep", "zone_id", "treated", "series")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("zone_id")
-        series = list(pdf["series"])
-        pre = np.array([bool(c["is_pre"]) for c in series[0]])
-        weeks = [c["week"] for c, p in zip(series[0], pre) if p]
-        y = np.array([[c["y"] for c in s] for s in series], float)
-        treated = pdf["treated"].to_numpy() == 1
-        control, target = y[~treated], y[treated].mean(axis=0)
-        a, b = control[:, pre].T, target[pre]
-        c, d = control[:, pre], control[:, ~pre].mean(axis=1)
-        if intercept:
-            a, b = a - a.mean(axis=0), b - b.mean()
-            c, d = c - c.mean(axis=0), d - d.mean()
-        omega, lam = simplex_least_squares(a, b, ridge), simplex_least_squares(c, d)
-        rep = int(pdf["rep"].iloc[0])
-        zones = pdf["zone_id"].to_numpy()[~treated]
-        return pd.DataFrame({
-            "rep": rep, "zone_id": [*zones, *[None] * len(lam)],
-            "week": [*[None] * len(omega), *weeks], "w": [*omega, *lam],
-        }).astype({"zone_id": "Int64", "rep": "int32"})
-
-    found = cut(jobs.groupBy("rep").applyInPandas(
-        solve, "rep int, zone_id long, week date, w double"), "weights")
-    return Weights(
-        found.where(F.col("zone_id").isNotNull()).select("rep", "zone_id", "w"),
-        found.where(F.col("week").isNotNull()).select("rep", "week", "w"))
-
-
-def stepped_weights(
-    cells: DataFrame, roles: DataFrame, ridge: float = 1e-6, tol: float = 1e-9,
-    max_rounds: int = 500,
-) -> Weights:
-    """The same two problems for any number of units.
+    that match control means after it. ``intercept`` lets levels differ.
 
-    Only vectors as long as the time axis reach the driver. Time weights need
-    one week x week matrix of sums per replicate. Unit weights grow a working
-    set: each round scans all units once for the one that lowers the objective
-    most, per replicate, and re-solves on the set, until none does.
+    One way for any number of units. Time weights need one week x week matrix of
+    sums per replicate, solved in that replicate's task. Unit weights grow a
+    working set: each round scans all units once for those that lower the
+    objective most, per replicate, and re-solves on the set, until none does.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("week", "is_pre", "y")))
-    series = cells.groupBy("zone_id").agg(ordered.alias("_s")).select(
-        "zone_id",
-        F.transform(F.filter("_s", lambda c: c["is_pre"]), lambda c: c["y"]).alias("a"),
-        F.transform(F.filter("_s", lambda c: ~c["is_pre"]), lambda c: c["y"]).alias("_post"),
-    ).withColumn("d", F.aggregate("_post", F.lit(0.0), lambda x, v: x + v) / F.size("_post"))
-    points = cut(roles.join(series.drop("_post"), "zone_id"), "points")
-    control = points.where(F.col("treated") == 0)
+    points = cut(unit_points(cells, roles), "points")
     weeks = [r[0] for r in cells.where("is_pre").select("week").distinct().orderBy("week").collect()]
-    goal: dict[int, np.ndarray] = {}
-    for r in points.where(F.col("treated") == 1).select("rep", F.posexplode("a")).groupBy(
-            "rep", "pos").agg(F.avg("col").alias("v")).collect():
-        goal.setdefault(r["rep"], np.zeros(len(weeks)))[r["pos"]] = r["v"]
-    unit = _grow_unit_weights(control, goal, ridge, tol, max_rounds)
-    return Weights(unit, _time_weights_from_sums(control, weeks))
+    sums = cut(points.select("a", "d", "roles").mapInPandas(
+        _replicate_sums, "rep int, n long, goal array<double>, gram array<double>"), "moments")
+    width = len(weeks)
 
+    def time_weights(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.sum([np.array(g) for g in pdf["gram"]], axis=0).reshape(width + 2, width + 2)
+        if m[0, 0] == 0:
+            return pd.DataFrame({"rep": [], "week": [], "w": []}).astype({"rep": "int32"})
+        if intercept:
+            m = m - np.outer(m[0], m[0]) / m[0, 0]
+        w = simplex_from_products(m[1:-1, 1:-1], m[1:-1, -1], max(m[-1, -1], 1e-12))
+        return pd.DataFrame({"rep": pdf["rep"].iloc[0], "week": weeks, "w": w}).astype({"rep": "int32"})
+
+    time = cut(sums.select("rep", "gram").groupBy("rep").applyInPandas(
+        time_weights, "rep int, week date, w double"), "time_weights")
+
+    def means(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf["n"].sum())
+        total = np.sum([np.array(g) for g in pdf["goal"]], axis=0)
+        return pd.DataFrame({"rep": [pdf["rep"].iloc[0]], "goal": [(total / max(n, 1)).tolist()]}).astype({"rep": "int32"})
+
+    # a vector along the time axis per replicate
+    goal = {r["rep"]: np.array(r["goal"], float) for r in sums.select("rep", "n", "goal").groupBy(
+        "rep").applyInPandas(means, "rep int, goal array<double>").collect()}
+    unit = _grow_unit_weights(points, goal, ridge, intercept, tol, max_rounds)
+    return Weights(unit, time)
 
-def _time_weights_from_sums(control: DataFrame, weeks: list) -> DataFrame:
-    width = len(weeks)
 
-    def partial(batches):
-        totals: dict[int, np.ndarray] = {}
+def _scan(residual: dict[int, np.ndarray], intercept: bool, most: int):
+    reps = sorted(residual)
+    matrix = np.array([residual[r] for r in reps]).reshape(len(reps), -1)
+
+    def run(batches):
         for pdf in batches:
-            for rep, part in pdf.groupby("rep", sort=False):
-                x = np.column_stack([np.vstack(part["a"].to_list()), part["d"].to_numpy(float)])
-                totals[rep] = totals.get(rep, 0.0) + (x.T @ x).ravel()
-        for rep, flat in totals.items():
-            yield pd.DataFrame({"rep": rep, "at": np.arange(len(flat)), "v": flat}).astype(
-                {"rep": "int32", "at": "int32"})
-
-    sums = control.select("rep", "a", "d").mapInPandas(
-        partial, "rep int, at int, v double").groupBy("rep", "at").agg(F.sum("v").alias("v"))
-    found: dict[int, np.ndarray] = {}
-    for r in sums.collect():
-        found.setdefault(r["rep"], np.zeros((width + 1) ** 2))[r["at"]] = r["v"]
-    rows = []
-    for rep, flat in found.items():
-        m = flat.reshape(width + 1, width + 1)
-        w = simplex_from_products(m[:-1, :-1], m[:-1, -1], max(m[-1, -1], 1e-12))
-        rows += [(int(rep), week, float(v)) for week, v in zip(weeks, w)]
-    return control.sparkSession.createDataFrame(rows, "rep int, week date, w double")
+            if not len(pdf):
+                continue
+            a, _, roles = _arrays(pdf)
+            if intercept:
+                a = a - a.mean(axis=1, keepdims=True)
+            score = a @ matrix.T
+            score[roles[:, reps] != 0] = np.inf
+            zones = pdf["zone_id"].to_numpy()
+            for k, rep in enumerate(reps):
+                best = np.lexsort((zones, score[:, k]))[:most]
+                best = best[np.isfinite(score[best, k])]
+                if len(best):
+                    yield pd.DataFrame({"rep": np.full(len(best), rep, np.int32), "g": score[best, k],
+                                        "zone_id": zones[best], "a": list(a[best])})
+
+    return run
 
 
 def _grow_unit_weights(
-    control: DataFrame, goal: dict[int, np.ndarray], ridge: float, tol: float, max_rounds: int
+    points: DataFrame, goal: dict[int, np.ndarray], ridge: float, intercept: bool, tol: float,
+    max_rounds: int,
 ) -> DataFrame:
-    spark = control.sparkSession
+    spark = points.sparkSession
+    if intercept:
+        goal = {rep: b - b.mean() for rep, b in goal.items()}
     held: dict[int, dict[int, np.ndarray]] = {rep: {} for rep in goal}
     weight = {rep: np.zeros(0) for rep in goal}
     open_reps = set(goal)
+    rows = points.select("zone_id", "a", "d", "roles")
+    top = Window.partitionBy("rep").orderBy("g", "zone_id")
     for _ in range(max_rounds):
-        residual = []
-        for rep in open_reps:
-            fitted = (np.column_stack(list(held[rep].values())) @ weight[rep]
-                      if held[rep] else np.zeros(len(goal[rep])))
-            residual.append((rep, [float(v) for v in fitted - goal[rep]]))
-        # one vector per open replicate, as long as the time axis
-        table = spark.createDataFrame(residual, "rep int, r array<double>")
-        score = F.aggregate(F.zip_with("a", "r", lambda x, y: x * y), F.lit(0.0),
-                            lambda acc, v: acc + v)
-        best = control.join(F.broadcast(table), "rep").select(
-            "rep", F.struct(score.alias("g"), "zone_id", "a").alias("c")
-        ).groupBy("rep").agg(F.min("c").alias("c")).collect()
-        moves = dict(residual)
-        for row in best:
-            rep, c = row["rep"], row["c"]
-            r, b = np.array(moves[rep]), goal[rep]
+        residual = {rep: (np.column_stack(list(held[rep].values())) @ weight[rep] if held[rep] else 0.0) - goal[rep]
+                    for rep in open_reps}
+        found = rows.mapInPandas(
+            _scan(residual, intercept, ENTRIES_PER_SCAN), "rep int, g double, zone_id long, a array<double>")
+        best: dict[int, list] = {}
+        for r in found.withColumn("_at", F.row_number().over(top)).where(
+                F.col("_at") <= ENTRIES_PER_SCAN).drop("_at").orderBy("rep", "g", "zone_id").collect():
+            best.setdefault(r["rep"], []).append(r)
+        for rep in list(open_reps):
+            if rep not in best:  # no controls
+                open_reps.discard(rep)
+                continue
+            b = goal[rep]
             scale = max(float(b @ b), 1e-12)
             if held[rep]:
-                g = np.column_stack(list(held[rep].values())).T @ r + ridge * weight[rep]
-                done = weight[rep] @ g - min(float(g.min()), c["g"]) <= tol * scale
-                if done or c["zone_id"] in held[rep]:
+                own = np.column_stack(list(held[rep].values())).T @ residual[rep] + ridge * weight[rep]
+                gap = weight[rep] @ own - min(float(own.min()), best[rep][0]["g"])
+                if gap <= tol * scale:
                     open_reps.discard(rep)
                     continue
-            held[rep][c["zone_id"]] = np.array(c["a"], float)
+            fresh = [r for r in best[rep] if r["zone_id"] not in held[rep]]
+            if not fresh:
+                raise RuntimeError(f"replicate {rep}: weights off by {gap:g} with no unit left to add")
+            for r in fresh:
+                held[rep][r["zone_id"]] = np.array(r["a"], float)
             a = np.column_stack(list(held[rep].values()))
             weight[rep] = simplex_from_products(
                 a.T @ a + ridge * np.eye(a.shape[1]), a.T @ b, scale, tol / 10)
+            # units without weight leave; a later scan may bring them back
+            keep = weight[rep] > 0
+            if len(keep) > 4 * ENTRIES_PER_SCAN + 2 * keep.sum():
+                held[rep] = {z: v for (z, v), k in zip(held[rep].items(), keep) if k}
+                weight[rep] = weight[rep][keep]
         if not open_reps:
-            rows = [(int(rep), int(z), float(w)) for rep in goal
-                    for z, w in zip(held[rep], weight[rep]) if w > 0]
-            return spark.createDataFrame(rows, "rep int, zone_id long, w double")
+            found_rows = [(int(rep), int(z), float(w)) for rep in goal
+                          for z, w in zip(held[rep], weight[rep]) if w > 0]
+            return spark.createDataFrame(found_rows, "rep int, zone_id long, w double")
     raise RuntimeError(f"weights did not settle in {max_rounds} rounds")
 
 
 def replicate_tau(cells: DataFrame, roles: DataFrame, weights: Weights) -> DataFrame:
-    """(rep, tau): one weighted sum over cells.
+    """(rep, tau): the effect is the sum of unit weight x (mean after - weighted mean before).
 
-    A treated unit weighs 1/n, a control -w; a week after the shock weighs 1/T,
-    one before it -w; the effect is the sum of unit weight x week weight x y.
+    A treated unit weighs 1/n, a control -w. Series stand once per unit; what is
+    paired with replicates are units that carry weight.
     """
     treated = roles.where(F.col("treated") == 1)
     n_treated = treated.groupBy("rep").agg(F.count(F.lit(1)).alias("_n"))
     units = treated.join(n_treated, "rep").select(
         "rep", "zone_id", (1 / F.col("_n")).alias("u")
     ).unionByName(weights.unit.select("rep", "zone_id", (-F.col("w")).alias("u")))
-    n_post = cells.where(~F.col("is_pre")).agg(F.count_distinct("week")).scalar()
-    spread = cells.join(units, "zone_id")
-    post = spread.where(~F.col("is_pre")).select(
-        "rep", (F.col("u") * F.col("y") / n_post).alias("part"))
-    before = spread.where("is_pre").join(weights.time, ["rep", "week"]).select(
-        "rep", (-F.col("u") * F.col("w") * F.col("y")).alias("part"))
-    return post.unionByName(before).groupBy("rep").agg(F.sum("part").alias("tau"))
+    series = cells.groupBy("zone_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("is_pre"), F.struct("week", "y")))).alias("_s"),
+        F.avg(F.when(~F.col("is_pre"), F.col("y"))).alias("d"))
+    series = series.select("zone_id", F.transform("_s", lambda c: c["y"]).alias("a"), "d")
+    before = weights.time.groupBy("rep").agg(
+        F.array_sort(F.collect_list(F.struct("week", "w"))).alias("_w"))
+    before = before.select("rep", F.transform("_w", lambda c: c["w"]).alias("v"))
+    dot = F.aggregate(F.zip_with("a", "v", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    return units.join(series, "zone_id").join(before, "rep").groupBy("rep").agg(
+        F.sum(F.col("u") * (F.col("d") - dot)).alias("tau"))
 
 
 def sdid(
     panel: DataFrame, policy: Policy, outcome: str = "log_trip_count", reps: int = 200,
     seed: int = 42, uniform: bool = False, ridge: float = 1e-6, intercept: bool = False,
-    missing: str = "drop",
+    missing: str = "zero",
 ) -> DataFrame:
-    """One row: effect, placebo standard error, interval and sizes."""
+    """One row: effect, placebo standard error, interval and sizes.
+
+    ``n_dropped`` counts units left out for a missing week. Without treated or
+    control units left, the effect is null.
+    """
     cells = cut(weekly_cells(panel, policy, outcome, missing), "cells")
     roles = cut(replicate_roles(cells, reps, seed), "roles")
     weights = uniform_weights(cells, roles) if uniform else solved_weights(
@@ -344,6 +380,8 @@ def sdid(
         F.count_distinct(F.when(~F.col("is_pre"), F.col("week"))).alias("t_post"),
         F.struct(F.lit(1)).alias("_")).drop("_")
     sizes = {c: size.select(c).scalar() for c in size.columns}
+    units = panel.agg(F.count_distinct("zone_id")).scalar()
+    sizes["n_dropped"] = units - sizes["n_treated"] - sizes["n_control"]
     return est.select(
         F.lit(outcome).alias("outcome"), "tau_hat", "se",
         (F.col("tau_hat") - Z95 * F.col("se")).alias("ci_low"),
@@ -366,7 +404,8 @@ def weight_checks(cells: DataFrame, roles: DataFrame, weights: Weights, ridge: f
     fit = control.join(w_unit, "zone_id").groupBy("week").agg(F.sum(F.col("w") * F.col("y")).alias("f"))
     r_unit = fit.join(target, "week").select("week", (F.col("f") - F.col("b")).alias("r"))
     g_unit = control.join(r_unit, "week").groupBy("zone_id").agg(
-        F.sum(F.col("y") * F.col("r")).alias("g")).join(w_unit, "zone_id").select(
+        F.sum(F.col("y") * F.col("r")).alias("g")).join(w_unit, "zone_id", "left").withColumn(
+        "w", F.coalesce("w", F.lit(0.0))).select(
         F.lit("unit").alias("kind"), "w", (F.col("g") + F.lit(ridge) * F.col("w")).alias("g"))
     after = cells.where(~F.col("is_pre")).groupBy("zone_id").agg(F.avg("y").alias("b"))
     fit_t = control.join(w_time, "week").groupBy("zone_id").agg(F.sum(F.col("w") * F.col("y")).alias("f"))

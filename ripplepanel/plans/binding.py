@@ -15,7 +15,6 @@ from ripplepanel.session import cut
 from ripplepanel.sources.zones import borough_code
 
 SHOCK = date(1998, 7, 5)
-WINDOW = (date(1995, 4, 3), date(2001, 9, 30))
 
 STAR_POLICY = Policy(
     shock=SHOCK,
@@ -103,14 +102,11 @@ def raw_feeds(spark: SparkSession, sf_dir: str, leaky: bool = False) -> dict[str
     return {"yellow": taxi("tpep", "yellow"), "green": taxi("lpep", "green"), "fhvhv": ride}
 
 
-def star_clean(spark: SparkSession, sf_dir: str, windowed: bool = True) -> DataFrame:
-    """Clean trips, by default inside the analysis window."""
+def star_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All clean trips."""
     trips = bound_trips(spark, sf_dir).withColumn(
         "surcharge_total", F.greatest(F.col("extra"), F.lit(0.0)) + F.col("mta_tax"))
-    cleaned = clean_trips(trips, STAR_POLICY)
-    if windowed:
-        cleaned = cleaned.where(F.col("pickup_date").between(*[F.lit(d) for d in WINDOW]))
-    return cleaned
+    return clean_trips(trips, STAR_POLICY)
 
 
 def zone_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:

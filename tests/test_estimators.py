@@ -131,20 +131,32 @@ def test_simplex_solver_is_optimal():
     assert w.sum() == pytest.approx(1) and w.min() >= 0 and w @ g - g.min() < 1e-7
 
 
-def test_sdid_recovers_effect_and_paths_agree(spark, policy):
+@pytest.mark.parametrize("intercept", [False, True])
+def test_sdid_weights_equal_a_dense_solve(spark, policy, intercept):
     sdf = spark.createDataFrame(panel(n_units=9, n_treated=3, n_weeks=14, seed=4, noise=0.02))
     cells = synth.weekly_cells(sdf, policy).cache()
     roles = synth.replicate_roles(cells, 2).cache()
-    small = synth.solved_weights(cells, roles)
-    steps = synth.stepped_weights(cells, roles)
-    taus = [{r["rep"]: r["tau"] for r in synth.replicate_tau(cells, roles, w).collect()}
-            for w in (small, steps)]
-    assert taus[0][0] == pytest.approx(-0.12, abs=0.05)
-    for rep in (0, 1, 2):
-        assert taus[0][rep] == pytest.approx(taus[1][rep], abs=1e-3)
-    checks = synth.weight_checks(cells, roles, small).collect()
-    assert all(r["optimal"] == 1 and r["negative"] == 0 for r in checks)
-    assert all(r["total"] == pytest.approx(1) for r in checks)
+    found = synth.solved_weights(cells, roles, intercept=intercept)
+    wide = cells.toPandas().pivot(index="zone_id", columns="week", values="y")
+    pre = np.array([w < policy.shock for w in wide.columns])
+    taus = {r["rep"]: r["tau"] for r in synth.replicate_tau(cells, roles, found).collect()}
+    for rep, part in roles.toPandas().groupby("rep"):
+        y = wide.loc[part.zone_id].to_numpy()
+        treated = part.treated.to_numpy() == 1
+        a, b = y[~treated][:, pre].T, y[treated].mean(axis=0)[pre]
+        c, d = y[~treated][:, pre], y[~treated][:, ~pre].mean(axis=1)
+        if intercept:
+            ac, bc, cc, dc = a - a.mean(axis=0), b - b.mean(), c - c.mean(axis=0), d - d.mean()
+        else:
+            ac, bc, cc, dc = a, b, c, d
+        omega, lam = synth.simplex_least_squares(ac, bc, 1e-6), synth.simplex_least_squares(cc, dc)
+        want = (y[treated][:, ~pre].mean() - (y[treated][:, pre] @ lam).mean()) - omega @ (d - c @ lam)
+        assert taus[rep] == pytest.approx(want, abs=1e-3)
+    assert taus[0] == pytest.approx(-0.12, abs=0.05)
+    if not intercept:
+        checks = synth.weight_checks(cells, roles, found).collect()
+        assert all(r["optimal"] == 1 and r["negative"] == 0 for r in checks)
+        assert all(r["total"] == pytest.approx(1) for r in checks)
 
 
 def test_uniform_sdid_is_did_of_means(spark, policy):
@@ -159,10 +171,12 @@ def test_single_treated_unit_and_missing_weeks(spark, policy):
     df = panel(n_units=7, n_treated=1, n_weeks=14, seed=8)
     df = df[~((df.zone_id == 7) & (df.rel_week == 0))]
     sdf = spark.createDataFrame(df)
-    assert synth.weekly_cells(sdf, policy).select("zone_id").distinct().count() == 6
-    zero = synth.weekly_cells(sdf, policy, missing="zero")
+    assert synth.weekly_cells(sdf, policy, missing="drop").select("zone_id").distinct().count() == 6
+    zero = synth.weekly_cells(sdf, policy)
     assert zero.count() == 7 * 14 and zero.where("y = 0").count() == 1
-    assert synth.sdid(sdf, policy, reps=3).first()["tau_hat"] == pytest.approx(-0.12, abs=0.1)
+    row = synth.sdid(sdf, policy, reps=3, missing="drop").first()
+    assert row["tau_hat"] == pytest.approx(-0.12, abs=0.1) and row["n_dropped"] == 1
+    assert synth.sdid(sdf, policy, reps=3).first()["n_dropped"] == 0
 
 
 def _covariate_data(n=600, seed=1, effect=0.5):
