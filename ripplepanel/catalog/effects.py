@@ -132,21 +132,22 @@ def att_ctes(cohort: str, anticipation: int = 0, clean_pre: bool = False) -> dic
         "att": f"""SELECT *, att-1.96*se AS ci_low, att+1.96*se AS ci_high FROM (
           SELECT t.cohort, t.week AS period,
             CAST(floor(date_diff('day', t.cohort, t.week)/7.0) AS INTEGER) AS rel_week,
-            CASE WHEN t.week = ref_week THEN 0 ELSE (t.m-tr.m)-(c.m-cr.m) END AS att,
-            CASE WHEN t.week = ref_week THEN 0
+            CASE WHEN few THEN NULL WHEN t.week = ref_week THEN 0 ELSE (t.m-tr.m)-(c.m-cr.m) END AS att,
+            CASE WHEN few THEN NULL WHEN t.week = ref_week THEN 0
                  ELSE sqrt(t.v/t.n + tr.v/tr.n + c.v/c.n + cr.v/cr.n) END AS se,
-            t.week < t.cohort AS is_pre, t.week = ref_week AS is_ref
+            t.week < t.cohort AS is_pre, t.week = ref_week AS is_ref,
+            t.n + c.n + CASE WHEN t.week = ref_week THEN 0 ELSE tr.n + cr.n END < 10 AS few,
+            CASE WHEN few THEN 'too_few_rows' ELSE 'ok' END AS status
           FROM cells t JOIN refs USING (cohort)
           JOIN cells c ON c.cohort IS NULL AND c.week = t.week
           JOIN cells tr ON tr.cohort = t.cohort AND tr.week = ref_week
-          JOIN cells cr ON cr.cohort IS NULL AND cr.week = ref_week
-          WHERE t.n + c.n + CASE WHEN t.week = ref_week THEN 0 ELSE tr.n + cr.n END >= 10)""",
+          JOIN cells cr ON cr.cohort IS NULL AND cr.week = ref_week)""",
     }
 
 
 _ATT = f"""
   SELECT {day('cohort')}, {day('period')}, {whole('rel_week')}, {real('att')}, {real('se')},
-    {whole('is_pre')}, {whole('is_ref')}, {real('ci_low')}, {real('ci_high')} FROM att"""
+    {whole('is_pre')}, {whole('is_ref')}, {real('ci_low')}, {real('ci_high')}, status FROM att"""
 SINGLE = f"CASE treat_binary WHEN 1 THEN {SHOCK} END"
 _STAGGERED = f"CASE WHEN zone_id <= 4 THEN {SHOCK} WHEN zone_id <= 8 THEN {SHOCK} + 28 END"
 
@@ -188,7 +189,7 @@ def bootstrap(ctx: Context) -> DataFrame:
 
 @query("C7_aggregate_att", compose(f"""
   SELECT {real('avg(att) FILTER (NOT is_pre)', 'agg_att')},
-    {whole('count(*) FILTER (NOT is_pre)', 'n_post')} FROM att""", "panel_week_1", extra=att_ctes(SINGLE)))
+    {whole('count(att) FILTER (NOT is_pre)', 'n_post')} FROM att""", "panel_week_1", extra=att_ctes(SINGLE)))
 def aggregate(ctx: Context) -> DataFrame:
     return did.aggregate_att(did.group_time_att(ctx.weeks(), ctx.policy))
 

@@ -109,7 +109,8 @@ def group_time_att(
 
     One aggregate to (cohort, week) cells; everything after works on cells. A
     cohort column with several dates gives a staggered design. The reference
-    week itself is kept as 0 and flagged.
+    week itself is kept as 0 and flagged. A period with fewer than ``min_rows``
+    observations keeps its row, without estimate and with status ``too_few_rows``.
     """
     tagged = panel.withColumn("cohort", cohort_column(policy) if cohort is None else cohort)
     cells = tagged.groupBy("cohort", "week").agg(
@@ -134,12 +135,14 @@ def group_time_att(
     att = (F.col("m_t") - F.col("m_tr")) - (F.col("m_c") - F.col("m_cr"))
     spread = F.sqrt(sum((F.col(f"v_{k}") / F.col(f"n_{k}") for k in ("t", "tr", "c", "cr")),
                         F.lit(0.0)))
-    return joined.where(size >= min_rows).select(
+    enough = size >= min_rows
+    return joined.select(
         F.col("cohort"), F.col("week").alias("period"),
         policy_rel(F.col("week"), F.col("cohort")).alias("rel_week"),
-        F.when(is_ref, F.lit(0.0)).otherwise(att).alias("att"),
-        F.when(is_ref, F.lit(0.0)).otherwise(spread).alias("se"),
+        F.when(enough, F.when(is_ref, F.lit(0.0)).otherwise(att)).alias("att"),
+        F.when(enough, F.when(is_ref, F.lit(0.0)).otherwise(spread)).alias("se"),
         (F.col("week") < F.col("cohort")).alias("is_pre"), is_ref.alias("is_ref"),
+        F.when(enough, "ok").otherwise("too_few_rows").alias("status"),
     ).withColumns({
         "ci_low": F.col("att") - Z95 * F.col("se"), "ci_high": F.col("att") + Z95 * F.col("se")})
 
@@ -185,7 +188,7 @@ def aggregate_att(att: DataFrame) -> DataFrame:
     """Simple mean of the effects after the start."""
     return att.agg(
         F.avg(F.when(~F.col("is_pre"), F.col("att"))).alias("agg_att"),
-        F.count_if(~F.col("is_pre")).alias("n_post"))
+        F.count_if(~F.col("is_pre") & F.col("att").isNotNull()).alias("n_post"))
 
 
 def att_pretrend(att: DataFrame) -> DataFrame:

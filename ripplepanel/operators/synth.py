@@ -156,7 +156,9 @@ def _projected_gradient(
         w, momentum = new, nxt
         g = gram @ w - target
         if w @ g - g.min() <= tol * scale:
-            break
+            return w
+    if w @ g - g.min() > max(tol, 1e-8) * scale:
+        raise RuntimeError(f"simplex weights off by {w @ g - g.min():g} after 50,000 steps")
     return w
 
 
@@ -237,7 +239,9 @@ def solved_weights(
             return pd.DataFrame({"rep": [], "week": [], "w": []}).astype({"rep": "int32"})
         if intercept:
             m = m - np.outer(m[0], m[0]) / m[0, 0]
-        w = simplex_from_products(m[1:-1, 1:-1], m[1:-1, -1], max(m[-1, -1], 1e-12))
+        # by distance from the mean after the shock, as for units
+        near = m[1:-1, 1:-1] - m[1:-1, -1:] - m[-1:, 1:-1] + m[-1, -1]
+        w = simplex_from_products(near, np.zeros(width), max(m[-1, -1], 1e-12), 1e-11)
         return pd.DataFrame({"rep": pdf["rep"].iloc[0], "week": weeks, "w": w}).astype({"rep": "int32"})
 
     time = cut(sums.select("rep", "gram").groupBy("rep").applyInPandas(
@@ -255,9 +259,14 @@ def solved_weights(
     return Weights(unit, time)
 
 
-def _scan(residual: dict[int, np.ndarray], intercept: bool, most: int):
+def _scan(
+    residual: dict[int, np.ndarray], goal: dict[int, np.ndarray], held: dict[int, list[int]],
+    intercept: bool, most: int,
+):
+    """Per task and replicate the controls outside the working set with the lowest gradient."""
     reps = sorted(residual)
     matrix = np.array([residual[r] for r in reps]).reshape(len(reps), -1)
+    shift = np.array([goal[r] @ residual[r] for r in reps])
 
     def run(batches):
         for pdf in batches:
@@ -266,10 +275,11 @@ def _scan(residual: dict[int, np.ndarray], intercept: bool, most: int):
             a, _, roles = _arrays(pdf)
             if intercept:
                 a = a - a.mean(axis=1, keepdims=True)
-            score = a @ matrix.T
+            score = a @ matrix.T - shift
             score[roles[:, reps] != 0] = np.inf
             zones = pdf["zone_id"].to_numpy()
             for k, rep in enumerate(reps):
+                score[np.isin(zones, held[rep]), k] = np.inf
                 best = np.lexsort((zones, score[:, k]))[:most]
                 best = best[np.isfinite(score[best, k])]
                 if len(best):
@@ -295,31 +305,31 @@ def _grow_unit_weights(
         residual = {rep: (np.column_stack(list(held[rep].values())) @ weight[rep] if held[rep] else 0.0) - goal[rep]
                     for rep in open_reps}
         found = rows.mapInPandas(
-            _scan(residual, intercept, ENTRIES_PER_SCAN), "rep int, g double, zone_id long, a array<double>")
+            _scan(residual, goal, {r: list(held[r]) for r in open_reps}, intercept, ENTRIES_PER_SCAN), "rep int, g double, zone_id long, a array<double>")
         best: dict[int, list] = {}
         for r in found.withColumn("_at", F.row_number().over(top)).where(
                 F.col("_at") <= ENTRIES_PER_SCAN).drop("_at").orderBy("rep", "g", "zone_id").collect():
             best.setdefault(r["rep"], []).append(r)
         for rep in list(open_reps):
-            if rep not in best:  # no controls
-                open_reps.discard(rep)
-                continue
-            b = goal[rep]
+            fresh, b = best.get(rep, []), goal[rep]
             scale = max(float(b @ b), 1e-12)
             if held[rep]:
-                own = np.column_stack(list(held[rep].values())).T @ residual[rep] + ridge * weight[rep]
-                gap = weight[rep] @ own - min(float(own.min()), best[rep][0]["g"])
+                # weights add up to 1, so units count by their distance from the goal: no digits cancel
+                own = (np.column_stack(list(held[rep].values())) - b[:, None]).T @ residual[rep] + ridge * weight[rep]
+                gap = weight[rep] @ own - min(float(own.min()), *(r["g"] for r in fresh[:1]), np.inf)
                 if gap <= tol * scale:
                     open_reps.discard(rep)
                     continue
-            fresh = [r for r in best[rep] if r["zone_id"] not in held[rep]]
-            if not fresh:
-                raise RuntimeError(f"replicate {rep}: weights off by {gap:g} with no unit left to add")
+                if not fresh:
+                    raise RuntimeError(f"replicate {rep}: weights off by {gap:g} with no unit left to add")
+            elif not fresh:  # no controls
+                open_reps.discard(rep)
+                continue
             for r in fresh:
                 held[rep][r["zone_id"]] = np.array(r["a"], float)
-            a = np.column_stack(list(held[rep].values()))
+            a = np.column_stack(list(held[rep].values())) - b[:, None]
             weight[rep] = simplex_from_products(
-                a.T @ a + ridge * np.eye(a.shape[1]), a.T @ b, scale, tol / 10)
+                a.T @ a + ridge * np.eye(a.shape[1]), np.zeros(a.shape[1]), scale, tol / 10)
             # units without weight leave; a later scan may bring them back
             keep = weight[rep] > 0
             if len(keep) > 4 * ENTRIES_PER_SCAN + 2 * keep.sum():

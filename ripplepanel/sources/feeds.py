@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -151,24 +152,26 @@ def unify_feeds(feeds: Mapping[str, DataFrame]) -> DataFrame:
 
 def scan_raw(
     spark: SparkSession, root: str, trip_types: Sequence[str] = tuple(FEED_LAYOUTS),
-    months: Sequence[str] | None = None,
+    months: Sequence[str] | None = None, schemas: Mapping[str, str] | None = None,
+    lenient: bool = False,
 ) -> dict[str, DataFrame]:
     """Raw feeds below ``root/<trip_type>/year_month=<month>/``.
 
-    A feed folder that does not exist is skipped, unreadable files are skipped
-    by the reader, and a month list prunes partitions.
+    A feed folder that does not exist is skipped and a month list prunes
+    partitions. ``schemas`` declares a feed's columns (DDL, the month included):
+    then no file is opened before the scan; without it all footers are merged. A
+    damaged file fails the scan; ``lenient`` goes on without it, and
+    ``unreadable_files`` lists what was left out.
     """
     feeds = {}
     for name in trip_types:
         path = f"{root}/{name}"
         if not _exists(spark, path):
             continue
-        df = (
-            spark.read.option("ignoreMissingFiles", "true")
-            .option("ignoreCorruptFiles", "true")
-            .option("mergeSchema", "true")
-            .parquet(path)
-        )
+        reader = spark.read.option("ignoreCorruptFiles", str(lenient).lower())
+        declared = (schemas or {}).get(name)
+        reader = reader.schema(declared) if declared else reader.option("mergeSchema", "true")
+        df = reader.parquet(path)
         df = df.withColumn("year_month", F.col("year_month").cast("string"))
         if months is not None:
             df = df.where(F.col("year_month").isin(list(months)))
@@ -176,25 +179,67 @@ def scan_raw(
     return feeds
 
 
+def unreadable_files(
+    spark: SparkSession, root: str, trip_types: Sequence[str] = tuple(FEED_LAYOUTS),
+    schemas: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """``trip_type, path, bytes`` of files from which a lenient scan gets no row.
+
+    Compares the listing (names and sizes, no content) with the files that rows
+    came from; a file that truly has no rows is listed too.
+    """
+    parts = []
+    for name, df in scan_raw(spark, root, trip_types, schemas=schemas, lenient=True).items():
+        there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+            "pathGlobFilter", "*.parquet").load(f"{root}/{name}").select(
+            F.lit(name).alias("trip_type"), "path", F.col("length").alias("bytes"))
+        read = df.select(F.col("_metadata.file_path").alias("path")).distinct()
+        local = F.regexp_replace("path", "^file:/+", "/")
+        parts.append(there.withColumn("path", local).join(read.withColumn("path", local), "path", "left_anti"))
+    if not parts:
+        return spark.createDataFrame([], "trip_type string, path string, bytes long")
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.select("trip_type", "path", "bytes")
+
+
 def write_clean(trips: DataFrame, root: str) -> int:
     """Append only the (trip_type, year_month) partitions not yet on disk.
 
     Returns how many partitions were new. Existing partitions are never
-    rewritten, so a second run over the same input writes nothing.
+    rewritten, so a second run over the same input writes nothing. Partitions are
+    written to a staging folder and moved into place whole, one rename each: a
+    run that dies leaves no half partition that a later one would take for done.
     """
     spark = trips.sparkSession
     done = _written_partitions(spark, root)
     todo = trips
     if done is not None:
         todo = trips.join(F.broadcast(done), ["trip_type", "year_month"], "left_anti")
-    before = 0 if done is None else done.count()
+    staging = f"{root}/_staging-{uuid.uuid4().hex[:12]}"
     # rebalance: few files per small partition, several tasks for a big one
     (
         todo.hint("rebalance", "trip_type", "year_month").write.mode("append").partitionBy("trip_type", "year_month")
-        .option("compression", "snappy").parquet(root)
+        .option("compression", "snappy").parquet(staging)
     )
-    after = _written_partitions(spark, root)
-    return (0 if after is None else after.count()) - before
+    return _publish(spark, staging, root)
+
+
+def _publish(spark: SparkSession, staging: str, root: str) -> int:
+    """Moves each staged partition folder below ``root``; returns how many there were."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    moved = 0
+    for status in fs.globStatus(path(f"{staging}/trip_type=*/year_month=*")) or []:
+        source = status.getPath()
+        kind = source.getParent().getName()
+        fs.mkdirs(path(f"{root}/{kind}"))
+        if not fs.rename(source, path(f"{root}/{kind}/{source.getName()}")):
+            raise OSError(f"cannot move {source} below {root}")
+        moved += 1
+    fs.delete(path(staging), True)
+    return moved
 
 
 def read_clean(

@@ -80,6 +80,30 @@ def test_incremental_write_is_idempotent(spark, policy, tmp_path):
     assert feeds.read_clean(spark, root, ["green"]).count() == 0
 
 
+def test_half_written_partition_is_not_taken_for_done(spark, policy, tmp_path):
+    root = str(tmp_path / "clean")
+    rows = spark.createDataFrame([(1, "yellow", "2025-01"), (2, "yellow", "2025-02")], "x int, trip_type string, year_month string")
+    # what a run leaves that died before its partitions were moved
+    rows.where("x = 1").write.partitionBy("trip_type", "year_month").parquet(f"{root}/_staging-dead")
+    assert feeds.write_clean(rows, root) == 2 and feeds.write_clean(rows, root) == 0
+    assert feeds.read_clean(spark, root).count() == 2
+
+
+def test_damaged_file_fails_or_is_listed(spark, tmp_path):
+    good = spark.createDataFrame([(1.5,), (2.5,)], "trip_distance double")
+    good.coalesce(1).write.parquet(f"{tmp_path}/yellow/year_month=2025-01")
+    bad = tmp_path / "yellow" / "year_month=2025-02"
+    bad.mkdir()
+    (bad / "part-0.parquet").write_bytes(b"PAR1 not a file PAR1")
+    declared = {"yellow": "trip_distance double, year_month string"}
+    with pytest.raises(Exception):
+        feeds.scan_raw(spark, str(tmp_path), schemas=declared)["yellow"].collect()
+    kept = feeds.scan_raw(spark, str(tmp_path), schemas=declared, lenient=True)["yellow"]
+    assert kept.count() == 2
+    found = feeds.unreadable_files(spark, str(tmp_path), schemas=declared).collect()
+    assert [(r.trip_type, r.path.endswith("year_month=2025-02/part-0.parquet")) for r in found] == [("yellow", True)]
+
+
 def test_stream_reads_each_file_once(spark, policy, tmp_path):
     raw, out, state = (str(tmp_path / n) for n in ("raw", "out", "state"))
     source = spark.createDataFrame([trip(), trip(distance=0.0)], TRIP).select(
