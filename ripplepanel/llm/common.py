@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ripplepanel.session import cut
+
 #: Words are runs of anything but blank, tab, newline, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters of text a task handles at once where it builds arrays over them.
@@ -41,3 +44,20 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_CHARS)
         size += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+@contextmanager
+def _shuffles_released(spark: SparkSession):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def cut_clean(df: DataFrame, tag: str) -> DataFrame:
+    """``cut``, and the shuffle files behind it go once the table is written: what follows reads the table only."""
+    with _shuffles_released(df.sparkSession):
+        return cut(df, tag)
