@@ -17,12 +17,18 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplepanel.session import cut
+from ripplepanel.session import cut as write_table
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Target share of a value: its own share to this power, scaled to one. Below 1 small values gain.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 KEEP_SHARE, TOLERANCE, ROUNDS = 0.6, 1e-4, 30
+#: Files of a table of cells or factors: these hold a row per value, not per document.
+FILES = 8
+
+
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    return write_table(df.coalesce(FILES), tag)
 
 
 def words_of(text: str = "text") -> Column:
@@ -119,7 +125,8 @@ def cell_probabilities(
     """A row per cell: its dimensions, documents, tokens, weight and probability."""
     cells = with_cells(docs, topic).groupBy(*(f"_{d}" for d in DIMENSIONS)).agg(
         F.count(F.lit(1)).alias("documents"), F.sum("_tokens").alias("tokens"))
-    cells = cut(cells, "mix_cells")
+    # the first write keeps its tasks: it reads the documents
+    cells = cut(write_table(cells, "mix_cells"), "mix_cells")
     return cut(calibrate(cut(rake(cells, targets or tempered_targets(cells)), "mix_raked"), keep_share), "mix_cells")
 
 
