@@ -124,6 +124,7 @@ def pretrend(ctx: Context) -> DataFrame:
 def att_ctes(cohort: str, anticipation: int = 0, clean_pre: bool = False) -> dict[str, str]:
     edge = f"cohort - {7 * anticipation}"
     usable = f"week + 7 <= {edge}" if clean_pre else f"week < {edge}"
+    few = "(t.n + c.n + CASE WHEN t.week = ref_week THEN 0 ELSE tr.n + cr.n END < 10)"
     return {
         "cells": f"""SELECT {cohort} AS cohort, week, avg(log_trip_count) AS m,
             coalesce(var_samp(log_trip_count), 0) AS v, count(*) AS n FROM panel_week_1 GROUP BY ALL""",
@@ -132,12 +133,11 @@ def att_ctes(cohort: str, anticipation: int = 0, clean_pre: bool = False) -> dic
         "att": f"""SELECT *, att-1.96*se AS ci_low, att+1.96*se AS ci_high FROM (
           SELECT t.cohort, t.week AS period,
             CAST(floor(date_diff('day', t.cohort, t.week)/7.0) AS INTEGER) AS rel_week,
-            CASE WHEN few THEN NULL WHEN t.week = ref_week THEN 0 ELSE (t.m-tr.m)-(c.m-cr.m) END AS att,
-            CASE WHEN few THEN NULL WHEN t.week = ref_week THEN 0
+            CASE WHEN {few} THEN NULL WHEN t.week = ref_week THEN 0 ELSE (t.m-tr.m)-(c.m-cr.m) END AS att,
+            CASE WHEN {few} THEN NULL WHEN t.week = ref_week THEN 0
                  ELSE sqrt(t.v/t.n + tr.v/tr.n + c.v/c.n + cr.v/cr.n) END AS se,
             t.week < t.cohort AS is_pre, t.week = ref_week AS is_ref,
-            t.n + c.n + CASE WHEN t.week = ref_week THEN 0 ELSE tr.n + cr.n END < 10 AS few,
-            CASE WHEN few THEN 'too_few_rows' ELSE 'ok' END AS status
+            CASE WHEN {few} THEN 'too_few_rows' ELSE 'ok' END AS status
           FROM cells t JOIN refs USING (cohort)
           JOIN cells c ON c.cohort IS NULL AND c.week = t.week
           JOIN cells tr ON tr.cohort = t.cohort AND tr.week = ref_week

@@ -52,7 +52,7 @@ def _spread(values: Column) -> Column:
 
 def t_learner(
     panel: DataFrame, features: Sequence[str], outcome: str = "log_trip_count",
-    treatment: str = "treat_binary", learner: str = "random_forest", n_boot: int = 20,
+    treatment: str = "treat_binary", learner: str = "random_forest", n_boot: int = 200,
     trees: int = 500, boot_trees: int = 100, seed: int = 42,
 ) -> Cate:
     """Effect = prediction of the treated model minus that of the control model.

@@ -42,8 +42,14 @@ def ingest_new_files(
         .partitionBy("year_month").option("path", f"{clean_root}/{trip_type}")
         .option("checkpointLocation", f"{state_dir}/{trip_type}")
         .trigger(availableNow=True).start())
-    query.awaitTermination()
-    return sum(p.numInputRows for p in query.recentProgress)
+    # a query keeps its last progress updates only, so they are gathered as it runs
+    rows: dict[int, int] = {}
+    while True:
+        ended = query.awaitTermination(2)
+        for p in query.recentProgress:
+            rows[p.batchId] = max(rows.get(p.batchId, 0), p.numInputRows)
+        if ended:
+            return sum(rows.values())
 
 
 def read_ingested(spark: SparkSession, clean_root: str, trip_type: str):
