@@ -3,15 +3,17 @@
 Documents are added up to cells of source, language and topic. Each dimension has a factor per value; a round goes
 through the dimensions and multiplies a dimension's factors by target over current share, until all shares agree.
 Cells and factors are tables; a step is one aggregation with partial sums, and only its largest deviation reaches
-the driver. A cell's weight is the product of its factors. Probabilities are the weights times one constant, at
-most 1, with the constant that keeps the asked share of tokens. A document stays when the hash of its id, as a
-number from 0 to 1, lies below the probability of its cell.
+the driver. A cell's weight is the product of its factors. Probabilities are at most 1 and keep the asked share of
+tokens: raking goes on under that bound until tokens times probability have the shares too. A value that would need
+more than all its tokens is kept whole, and the others of its dimension share the rest (``mixture_shares`` tells). A
+document stays when the hash of its id, as a number from 0 to 1, lies below the probability of its cell.
 
 Documents have no topic column; unless the caller names one, the topic is the form of the text (``form_of``).
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +25,8 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Target share of a value: its own share to this power, scaled to one. Below 1 small values gain.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 KEEP_SHARE, TOLERANCE, ROUNDS = 0.6, 1e-4, 30
+#: Rounds of the raking under the bound, which settles more slowly.
+BOUND_ROUNDS = 100
 #: Files of a table of cells or factors: these hold a row per value, not per document.
 FILES = 8
 
@@ -66,38 +70,67 @@ def tempered_targets(cells: DataFrame, temper: Mapping[str, float] = TEMPER) ->
     return out
 
 
-def rake(
-    cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float = TOLERANCE, rounds: int = ROUNDS, strict: bool = False,
-) -> DataFrame:
-    """Adds ``weight``: multipliers for which the weighted tokens have the target shares in each dimension.
+def _sweeps(
+    cells: DataFrame, factors: dict[str, DataFrame], tolerance: float, rounds: int, bounded: bool,
+) -> tuple[DataFrame, float]:
+    """Cells with ``weight`` after rounds over the dimensions, and how far the worst value was off in the last one.
 
-    Values without target or tokens get 0. Empty cells may keep targets from being met together; then the shares of
-    the last dimension are met and the others as nearly as ``rounds`` rounds bring them, or ``strict`` raises.
+    ``factors`` has ``value, aim, factor, whole`` per dimension. Bounded weights are at most 1, and 1 in cells of a
+    value that is kept whole; a step then moves only what lies below 1.
     """
-    factors = {d: cut(targets[d].select("value", "target", F.lit(1.0).alias("factor")), f"mix_{d}") for d in DIMENSIONS}
 
     def weighted() -> DataFrame:
-        rows, weight = cells, F.lit(1.0)
+        rows, weight, whole = cells, F.lit(1.0), F.lit(False)
         for d in DIMENSIONS:
-            rows = rows.join(factors[d].select(F.col("value").alias(f"_{d}"), F.col("factor").alias(f"_f_{d}")), f"_{d}", "left")
+            named = factors[d].select(F.col("value").alias(f"_{d}"), F.col("factor").alias(f"_f_{d}"), F.col("whole").alias(f"_w_{d}"))
+            rows = rows.join(named, f"_{d}", "left")
             weight = weight * F.coalesce(F.col(f"_f_{d}"), F.lit(0.0))
-        return rows.withColumn("weight", weight).drop(*(f"_f_{d}" for d in DIMENSIONS))
+            whole = whole | F.coalesce(F.col(f"_w_{d}"), F.lit(False))
+        if bounded:
+            weight = F.when((weight > 0) & whole, 1.0).otherwise(F.least(F.lit(1.0), weight))
+        return rows.withColumn("weight", weight).drop(*(f"_{k}_{d}" for d in DIMENSIONS for k in "fw"))
 
+    full = (F.col("weight") >= 1) if bounded else F.lit(False)
     for _ in range(rounds):
         worst = 0.0
         for d in DIMENSIONS:
-            now = weighted().groupBy(F.col(f"_{d}").alias("value")).agg(F.sum(F.col("tokens") * F.col("weight")).alias("now"))
-            step = factors[d].join(now, "value", "left").withColumn("now", F.coalesce("now", F.lit(0.0)))
+            sums = weighted().groupBy(F.col(f"_{d}").alias("value")).agg(
+                F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("held"),
+                F.sum(F.when(~full, F.col("tokens") * F.col("weight")).otherwise(0.0)).alias("free"))
+            step = factors[d].join(sums, "value", "left").fillna(0, ["held", "free"]).withColumn("now", F.col("held") + F.col("free"))
+            ratio = F.when((F.col("free") > 0) & (F.col("aim") > F.col("held")), (F.col("aim") - F.col("held")) / F.col("free"))
             step = cut(step.select(
-                "value", "target", F.when(F.col("now") > 0, F.col("factor") * F.col("target") / F.col("now")).otherwise(0.0).alias("factor"),
-                F.when(F.col("target") > 0, F.abs(F.col("now") / F.col("target") - 1)).otherwise(0.0).alias("off")), f"mix_{d}")
+                "value", "aim", F.when(F.col("now") > 0, F.col("factor") * F.coalesce(ratio, F.col("aim") / F.col("now"))).otherwise(0.0).alias("factor"),
+                "whole", F.when(F.col("aim") > 0, F.abs(F.col("now") / F.col("aim") - 1)).otherwise(0.0).alias("off")), f"mix_{d}")
             worst = max(worst, step.agg(F.max("off")).first()[0] or 0.0)
             factors[d] = step.drop("off")
         if worst <= tolerance:
-            return weighted()
+            break
+    return weighted(), worst
+
+
+def _unsettled(worst: float, rounds: int, strict: bool) -> None:
+    said = f"shares still off by {worst:g} after {rounds} rounds: the targets contradict each other"
     if strict:
-        raise ValueError(f"shares still off by {worst:g} after {rounds} rounds: the targets contradict each other")
-    return weighted()
+        raise ValueError(said)
+    warnings.warn(said, stacklevel=3)
+
+
+def rake(
+    cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float = TOLERANCE, rounds: int = ROUNDS, strict: bool = False,
+) -> DataFrame:
+    """Adds ``weight``: multipliers for which the weighted tokens have the target shares in each dimension.
+
+    Values without target or tokens get 0. Empty cells may keep targets from being met together; then the shares of
+    the last dimension are met and the others as nearly as ``rounds`` rounds bring them, with a warning, or ``strict``
+    raises.
+    """
+    factors = {d: cut(targets[d].select(
+        "value", F.col("target").alias("aim"), F.lit(1.0).alias("factor"), F.lit(False).alias("whole")), f"mix_{d}") for d in DIMENSIONS}
+    out, worst = _sweeps(cells, factors, tolerance, rounds, False)
+    if worst > tolerance:
+        _unsettled(worst, rounds, strict)
+    return out
 
 
 def calibrate(cells: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
@@ -119,6 +152,61 @@ def calibrate(cells: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
         c = fresh
 
 
+def attainable(cells: DataFrame, targets: Mapping[str, DataFrame], keep_share: float = KEEP_SHARE) -> dict[str, DataFrame]:
+    """Per dimension ``value, target, tokens, aim``: the tokens to keep of each value, the targets' share where that exists.
+
+    A value whose target share of the kept tokens is more than all its tokens is kept whole (``aim = tokens``); the
+    other values share the rest in proportion to their targets.
+    """
+    out = {}
+    for d in DIMENSIONS:
+        sums = cells.groupBy(F.col(f"_{d}").alias("value")).agg(F.sum("tokens").alias("tokens"))
+        rows = sums.join(targets[d].select("value", "target"), "value", "left").fillna(0.0, ["target"])
+        rows = cut(rows.withColumn("weight", F.when(F.col("tokens") > 0, F.col("target") / F.col("tokens")).otherwise(0.0)), f"mix_aim_{d}")
+        out[d] = calibrate(rows, keep_share).select("value", "target", "tokens", (F.col("tokens") * F.col("probability")).alias("aim"))
+    return out
+
+
+def bound(
+    cells: DataFrame, aims: Mapping[str, DataFrame], keep_share: float = KEEP_SHARE, tolerance: float = TOLERANCE,
+    rounds: int = BOUND_ROUNDS, strict: bool = False,
+) -> DataFrame:
+    """Adds ``probability``: at most 1, and tokens times probability add up to the aims of every dimension.
+
+    Raking goes on under the bound from the calibrated weights. Where that does not settle, there is a warning, or
+    ``strict`` raises.
+    """
+    start = cut(calibrate(cells, keep_share), "mix_start")
+    if not start.where(F.col("probability") >= 1).limit(1).count():
+        return start
+    whole = (F.col("target") > 0) & (F.col("aim") >= F.col("tokens") * (1 - 1e-12))
+    factors = {d: cut(aims[d].where("tokens > 0 AND target > 0").select(
+        "value", "aim", F.lit(1.0).alias("factor"), whole.alias("whole")), f"mix_{d}") for d in DIMENSIONS}
+    names = [f"_{d}" for d in DIMENSIONS]
+    out, worst = _sweeps(cells.select(*names, "tokens"), factors, tolerance, rounds, True)
+    if worst > tolerance:
+        _unsettled(worst, rounds, strict)
+    return cells.join(out.select(*names, F.col("weight").alias("probability")), names)
+
+
+def mixture_shares(cells: DataFrame, targets: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """``dimension, value, target, share, most``: what the probabilities keep against the target share of each value.
+
+    ``most`` is the largest keep share at which the value can have its target; the least of these is the keep share
+    up to which all targets can be met.
+    """
+    total, kept = cells.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("probability"))).first()
+    said = None
+    for d, target in (targets or tempered_targets(cells)).items():
+        sums = cells.groupBy(F.col(f"_{d}").alias("value")).agg(
+            F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("probability")).alias("now"))
+        rows = target.select("value", "target").join(sums, "value", "full").fillna(0.0, ["target", "now"]).fillna(0, ["tokens"]).select(
+            F.lit(d).alias("dimension"), "value", "target", (F.col("now") / float(kept or 1)).alias("share"),
+            F.when(F.col("target") > 0, F.col("tokens") / (F.col("target") * float(total or 1))).alias("most"))
+        said = rows if said is None else said.unionByName(rows)
+    return said
+
+
 def cell_probabilities(
     docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, keep_share: float = KEEP_SHARE, topic: Column | None = None,
 ) -> DataFrame:
@@ -127,7 +215,9 @@ def cell_probabilities(
         F.count(F.lit(1)).alias("documents"), F.sum("_tokens").alias("tokens"))
     # the first write keeps its tasks: it reads the documents
     cells = cut(write_table(cells, "mix_cells"), "mix_cells")
-    return cut(calibrate(cut(rake(cells, targets or tempered_targets(cells)), "mix_raked"), keep_share), "mix_cells")
+    targets = targets or tempered_targets(cells)
+    raked = cut(rake(cells, targets), "mix_raked")
+    return cut(bound(raked, attainable(cells, targets, keep_share), keep_share), "mix_cells")
 
 
 def sample_mixture(

@@ -113,3 +113,20 @@ def test_raking_meets_targets_and_budget(spark, odd):
     assert back.columns == docs.columns and back.count() == kept.kept.sum()
     assert mixing.sample_mixture(odd).count() == len(ODD)
     assert mixing.sample_mixture(odd.limit(0)).collect() == []
+
+
+def test_kept_shares_meet_targets_under_the_bound(spark, docs):
+    # the largest keep share that lets every value have its target; many cells are kept whole on the way
+    first = mixing.cell_probabilities(docs)
+    most = mixing.mixture_shares(first).agg({"most": "min"}).first()[0]
+    for keep, cells in ((0.95 * most, mixing.cell_probabilities(docs, keep_share=0.95 * most)), (mixing.KEEP_SHARE, first)):
+        rows, cells = mixing.mixture_shares(cells).toPandas(), cells.toPandas()
+        total = cells.tokens.sum()
+        assert cells.probability.between(0, 1).all() and (cells.probability == 1).any()
+        assert (cells.tokens * cells.probability).sum() == pytest.approx(keep * total, rel=1e-3)
+        for _, mine in rows.groupby("dimension"):
+            free = mine[mine.share < mine.target * mine.most / keep * (1 - 1e-6)]
+            assert np.allclose(free.share / free.share.sum(), free.target / free.target.sum(), rtol=1e-3)
+            # only values that lack the tokens fall short, and those are kept whole
+            short = mine.drop(free.index)
+            assert (short.most < keep).all() if keep > most else short.empty
