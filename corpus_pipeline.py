@@ -24,7 +24,7 @@ PIECES = "piece_bpe_32k.model"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep rows whose text the language model accepts."""
+    """Keep rows whose text the language model accepts, with the predicted language."""
     return language.keep_identified(docs.select(*COLUMNS), language.fit_languages(docs))
 
 

@@ -3,8 +3,10 @@
 A text becomes a vector of hashed character n-grams (1 to 3 characters; anything but letters counts as one
 blank), damped, weighted by inverse document frequency and scaled to length one. Each language has
 ``k`` centroids from spherical k-means over its sample. A text gets the language of the centroid with the
-highest cosine; its score is that cosine. Where the score lies below the language's own distance bound,
-learned from how far its sample lies from its centroids, the text is rejected.
+highest cosine; its score is that cosine. Where the score lies below the language's own bound, the text is
+rejected. The bound costs a stated share of the language's own sample rows, scored by centroids made without them.
+Known languages lie farther from each other than some unseen language does, so the bound goes as far as that loss
+allows; the tests leave out each language in turn.
 
 The fit reads at most ``per_language`` rows of each language (those with the smallest hash of the id) that are
 not held out. Sample vectors are made in tasks; k-means runs per language over that bounded sample.
@@ -27,8 +29,8 @@ from ripplepanel.session import cut
 DIMS = 4096
 PER_LANGUAGE, CENTROIDS, ROUNDS = 600, 4, 12
 PARTS = 20
-#: A text is rejected below this share of the score that 99 % of its language's sample reach.
-REACH = 0.3
+#: The share of a language's own rows that its bound may reject, and the folds of the sample that measure it.
+LOSS, FOLDS = 0.05, 4
 UNKNOWN = "und"
 
 
@@ -130,21 +132,31 @@ def spherical_means(vectors: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return centres
 
 
-def _means(idf: np.ndarray, k: int, reach: float):
+def _means(idf: np.ndarray, k: int, loss: float):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by("pick")
         counts = np.stack([np.frombuffer(g, np.float32) for g in table.column("grams").to_pylist()])
         vectors = weigh(counts, idf)
         centres = spherical_means(vectors, k, ROUNDS)
-        low = float(np.quantile((vectors @ centres.T).max(axis=1), 0.01)) * reach
+        low = own_bound(vectors, table.column("pick").to_numpy() % FOLDS, k, loss)
         return pa.table({"lang": [key[0].as_py()] * len(centres), "part": list(range(len(centres))),
                          "floor": [low] * len(centres), "centre": [c.astype(np.float32).tobytes() for c in centres]})
 
     return run
 
 
+def own_bound(vectors: np.ndarray, fold: np.ndarray, k: int, loss: float) -> float:
+    """The cosine that the share ``loss`` of the rows misses, each scored by centroids of the other folds."""
+    if len(np.unique(fold)) < 2:
+        return 0.0
+    scores = np.empty(len(vectors))
+    for f in np.unique(fold):
+        scores[fold == f] = (vectors[fold == f] @ spherical_means(vectors[fold != f], k, ROUNDS).T).max(axis=1)
+    return float(np.quantile(scores, loss))
+
+
 def fit_languages(
-    docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS, reach: float = REACH
+    docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS, loss: float = LOSS
 ) -> LanguageModel:
     """Learn centroids from rows with a language that are not held out; none such gives an empty model."""
     known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out())
@@ -165,7 +177,7 @@ def fit_languages(
     found = np.sum([r["found"] for r in sums], axis=0)
     idf = (np.log((1 + n) / (1 + found)) + 1).astype(np.float32)
     rows = vectors.groupBy("lang").applyInArrow(
-        _means(idf, k, reach), "lang string, part long, floor double, centre binary").collect()
+        _means(idf, k, loss), "lang string, part long, floor double, centre binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["part"]))
     languages = tuple(dict.fromkeys(r["lang"] for r in rows))
     floor = {r["lang"]: r["floor"] for r in rows}
@@ -201,15 +213,17 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with all their columns, in one pass."""
+    """The rows of ``docs`` that are not rejected, with all their columns, in one pass; ``lang`` is the predicted one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at_lang = docs.columns.index("lang")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 for at in range(0, part.num_rows, 256):
                     few = part.slice(at, 256)
-                    said = [t or "" for t in few.column("text").to_pylist()]
-                    yield few.filter(pa.array(~shared.value.predict(said)[2]))
+                    names, _, rejected = shared.value.predict([t or "" for t in few.column("text").to_pylist()])
+                    few = few.set_column(at_lang, "lang", pa.array(names, few.schema.field("lang").type))
+                    yield few.filter(pa.array(~rejected))
 
     return docs.mapInArrow(run, docs.schema)

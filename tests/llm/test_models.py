@@ -130,3 +130,21 @@ def test_kept_shares_meet_targets_under_the_bound(spark, docs):
             # only values that lack the tokens fall short, and those are kept whole
             short = mine.drop(free.index)
             assert (short.most < keep).all() if keep > most else short.empty
+
+
+def test_unseen_language_is_rejected(spark, docs):
+    rejected, lost = {}, []
+    for left_out in ("de", "en", "es", "fr"):
+        model = language.fit_languages(docs.where(f"lang <> '{left_out}'"))
+        found = language.identify_languages(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+        found = [r for r in found.collect() if r.lang_pred != "und" and r.lang]
+        rejected[left_out] = np.mean([r.rejected for r in found if r.lang == left_out])
+        lost.append(np.mean([r.rejected for r in found if r.lang != left_out]))
+    assert min(rejected.values()) > 0.8 and max(lost) < 0.08
+
+
+def test_identified_rows_carry_the_predicted_language(spark, docs):
+    model = language.fit_languages(docs, per_language=200)
+    wrong = docs.selectExpr("doc_id", "text", "CASE WHEN doc_id % 2 = 0 THEN 'xx' END AS lang")
+    want = {r.doc_id: r.lang_pred for r in language.identify_languages(docs, model).collect() if not r.rejected}
+    assert {r.doc_id: r.lang for r in language.keep_identified(wrong, model).collect()} == want
