@@ -132,6 +132,17 @@ def test_nothing_to_learn_adds_nothing(spark):
     assert [r.spans for r in rows] == ["", ""]
 
 
+def test_single_rare_spans_are_found(spark):
+    # nothing like them in the sample that fits the detector
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rare = spark.createDataFrame([
+        (1, "pay to DE89 3704 0044 0532 0130 00 today"), (2, "pay to DE88 3704 0044 0532 0130 00 today"),
+        (3, "ask bob (at) example (dot) com now"), (4, "telefon 030 1234 5678 by day"), (5, "from 030 1234 5678 on")], "doc_id long, text string")
+    for detector in (personal_data.fit_detector(docs), personal_data.fit_detector(docs.limit(0))):
+        got = {r.doc_id: r.spans for r in personal_data.report(rare, detector).collect()}
+        assert got == {1: "account:7:34", 2: "", 3: "email:4:30", 4: "phone:8:21", 5: ""}
+
+
 def test_calibration_needs_precision():
     rows = [("a", 0.9, 1.0)] * 50 + [("a", 0.6, 0.0)] * 10 + [("b", 0.9, 0.0)] * 5
     assert personal_data.calibrate(rows) == {"a": pytest.approx(0.9)}
