@@ -28,7 +28,9 @@ DIMS = 1 << 13
 SAMPLE, STEPS, RATE, RIDGE = 300, 150, 0.1, 1e-3
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|template|noscript|svg|iframe|object|textarea|title)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(?:script|style|template|noscript|svg|iframe|object|textarea|title)\b(?:[^>]*(?:[\s\"']|\s[^\s=>\"'/]+))?/>"
+    r"|<(?P<raw>script|style|template|noscript|svg|iframe|object|textarea|title)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<!(?:[^>]*+)>|<\?[^>]*+>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)",
     re.S | re.I)
 _NAMES = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -40,6 +42,8 @@ BLOCKS = frozenset(
     "summary table tbody td tfoot th thead tr ul".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(("a", "button", "label"))
+#: What may start inside a head; anything else, and text, ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes".split())
 CLOSED_BY = {"p": BLOCKS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")),
              "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")),
              "option": frozenset(("option", "optgroup"))}
@@ -71,9 +75,17 @@ def leaf_blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
+    def leave_head() -> None:
+        for i, (t, _) in enumerate(stack):
+            if t == "head":
+                del stack[i:]
+                break
+
     def say(piece: str) -> None:
         nonlocal linked
         if piece:
+            if not piece.isspace():
+                leave_head()
             parts.append(piece)
             if any(t in INLINE for t, _ in stack):
                 linked += len(piece.strip())
@@ -88,6 +100,8 @@ def leaf_blocks(page: str) -> list[Block]:
             parts.append(" ")
         if tag in BLOCKS:
             close()
+        if not m["end"] and tag not in IN_HEAD:
+            leave_head()
         if m["end"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:

@@ -85,6 +85,16 @@ def test_main_text_of_pages(spark):
         "The Title of things This is a long sentence, with words. Another one & more follows here. A second paragraph, here it goes on. And on.")
 
 
+@pytest.mark.parametrize("page", [
+    "<html><head><title>t</title><meta charset=utf-8><body><p>One.</p><p>Two.</p></body></html>",
+    "<head><title>t</title><link href=x><div><p>One.</p></div><p>Two.</p>",
+    "<head><title>t</title></head><p>One.</p><svg width='1' height='1'/><p>Two.</p>",
+    "<head><script src='x'/><title/></head><p>One.</p><svg/><iframe src=\"a\" hidden/><p>Two.</p><svg><text>no</text></svg>",
+    "<head><script src=/x/>var no;</script><style>no</style></head><p>One.</p><p>Two.</p>"])
+def test_open_heads_and_empty_raw_elements_lose_no_block(page):
+    assert [b.text for b in main_text.leaf_blocks(page)] == ["One.", "Two."]
+
+
 def test_field_decodes_the_best_path():
     rng = np.random.default_rng(5)
     field = main_text.Field(rng.normal(size=main_text.DIMS), rng.normal(size=(2, 2)), rng.normal(size=2), rng.normal(size=2))
