@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplepanel.llm import (
-    bm25_search, language, main_text, mixing, near_duplicates, personal_data, quality, quality_rules, sentence_pieces, sql, token_counts)
+    bm25_search, centroids, fast_sketches, language, main_text, masked_search, mixing, near_duplicates, personal_data, quality,
+    quality_rules, sentence_pieces, sql, token_counts)
 
 TOKEN_LIMIT = 1024
 
@@ -69,8 +70,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(docs, language.fit_languages(docs))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fast_sketches.sketch_groups(_table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_ngram_jaccard_join, op2_bm25_topk, op3_source_mixing, op4_token_counts, op5_quality_classifier, op6_quality_rules,
-        op7_personal_data, op8_html_main_text, op9_sentence_pieces, op10_language_id)}
-SQL: dict[str, str] = {"op2_bm25_topk": sql.BM25_TOP_K, "op6_quality_rules": sql.QUALITY_RULES}
+        op7_personal_data, op8_html_main_text, op9_sentence_pieces, op10_language_id,
+        op11_centroid_clustering, op12_minhash_near_dedup, op13_ranked_search)}
+SQL: dict[str, str] = {
+    "op2_bm25_topk": sql.BM25_TOP_K, "op6_quality_rules": sql.QUALITY_RULES, "op11_centroid_clustering": sql.CENTROIDS,
+    "op12_minhash_near_dedup": sql.NEAR_DUPLICATES, "op13_ranked_search": sql.RANKED_SEARCH}
