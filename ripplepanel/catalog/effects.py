@@ -34,15 +34,23 @@ def twfe(ctx: Context) -> DataFrame:
     return did.twfe_did(ctx.panel("week", 5))
 
 
+# zones with a row in every month: there the fit is a difference of four means
+_BALANCED = f"""(SELECT * FROM {MONTH} WHERE zone_id IN (
+    SELECT zone_id FROM {MONTH} GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT date) FROM {MONTH})))"""
+
+
 @query("C1_twfe_did_balanced", compose(f"""
   SELECT 'log_trip_count' AS outcome, {real('(t1-t0)-(c1-c0)', 'ate')}, {whole('n', 'n_obs')}
   FROM (SELECT avg(log_trip_count) FILTER (treat_binary=1 AND post=1) AS t1,
           avg(log_trip_count) FILTER (treat_binary=1 AND post=0) AS t0,
           avg(log_trip_count) FILTER (treat_binary=0 AND post=1) AS c1,
           avg(log_trip_count) FILTER (treat_binary=0 AND post=0) AS c0, count(*) AS n
-        FROM {MONTH})""", MONTH))
+        FROM {_BALANCED}) WHERE n > 0""", MONTH))
 def twfe_balanced(ctx: Context) -> DataFrame:
-    return did.twfe_did(ctx.panel()).select("outcome", "ate", "n_obs")
+    panel = ctx.panel()
+    months = panel.select("date").distinct().count()
+    whole_zones = panel.groupBy("zone_id").count().where(F.col("count") == months).select("zone_id")
+    return did.twfe_did(panel.join(whole_zones, "zone_id")).select("outcome", "ate", "n_obs")
 
 
 @query("C2_twfe_outcome_sweep", twfe_sql(MONTH, OUTCOMES))
@@ -76,7 +84,9 @@ def event_study(ctx: Context) -> DataFrame:
     return did.event_study(ctx.panel()).coefficients
 
 
-_GROUPS = sweeps("panel_week_1", ["log_trip_count"], by=["treat_binary"], rounds=25)
+# the fixed effects are fitted inside the window
+_GROUPS = sweeps("(SELECT * FROM panel_week_1 WHERE rel_week BETWEEN -16 AND 16)", ["log_trip_count"],
+                 by=["treat_binary"], rounds=25)
 
 
 @query("C3_event_study_weeks", compose(f"""
@@ -397,9 +407,24 @@ ALL_SPECS = [*PLACEBOS, *ANTICIPATION, *CONTROLS, *WINDOWS, *BOROUGHS]
 
 
 def robustness_table(ctx: Context) -> DataFrame:
-    return ctx.shared("robustness", lambda: robustness.run_all(ctx.panel("week", 1), ctx.policy))
+    """Every specification, and the alternative outcomes of the month panel."""
+    return ctx.shared("robustness", lambda: robustness.run_all(
+        ctx.panel("week", 1), ctx.policy, more=[robustness.alternative_outcomes(ctx.panel())]))
+
+
+#: The rows of the specifications and of the alternative outcomes as one CTE ``all_rows``.
+CHECK_CTES = {
+    **spec_ctes(WEEK1, ALL_SPECS),
+    **sweeps(f"(SELECT *, treat_binary*post AS treat_post FROM {MONTH})",
+             ["log_trip_count", "trip_count", "treat_post"], tag="o_"),
+    **one_regressor(["log_trip_count", "trip_count"], "treat_post", tag="o_"),
+    "all_rows": """SELECT "check", grp AS "group", theta, se, p, n_obs, note, status FROM checks
+      UNION ALL SELECT 'Outcome ' || outcome, 'Alternative Outcome', coef, se, p_value, n, '', 'ok' FROM o_fits""",
+}
 
 
-@query("R8_all_checks", spec_sql(WEEK1, ALL_SPECS, f", {stars('p')} AS sig"))
+@query("R8_all_checks", compose(f"""
+  SELECT "check", "group", {real('theta')}, {real('se')}, {real('p')}, {whole('n_obs')}, note, status,
+    {stars('p')} AS sig FROM all_rows""", WEEK1, MONTH, extra=CHECK_CTES))
 def all_checks(ctx: Context) -> DataFrame:
     return robustness_table(ctx)

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplepanel.catalog.panels import FEATURES
+from ripplepanel.catalog.panels import FEATURES, surge_ctes
 from ripplepanel.catalog.registry import Context, query
 from ripplepanel.catalog.sqltext import (
     MONTH, compose, day, normal_p, poisson, real, stars, whole,
 )
-from ripplepanel.operators import cate, dml, explore, features
+from ripplepanel.operators import cate, dml, features, panel
 from ripplepanel.sources import results
 
 PAIR = ["lag1_trip_count", "peak_share"]
-DML_OUTCOMES = ("log_trip_count", "avg_fare")
-FOLDS, REPS, BOOT = 5, 3, 20
-TREES = 8
+TWO = ("log_trip_count", "avg_fare")
+DML_OUTCOMES = ("log_trip_count", "trip_count", "avg_distance", "avg_duration", "avg_fare", "surge_share")
+#: What the SQL calls them.
+_SHORT = {"log_trip_count": "y", "avg_fare": "z", "trip_count": "q", "avg_distance": "l", "avg_duration": "m",
+          "surge_share": "s"}
+FOLDS, REPS, BOOT = 5, 3, 200
 # what varies within a zone: a zone constant would give the treatment away and
 # leave no residual treatment to learn from
 LEARNED = [
@@ -29,6 +32,12 @@ def feature_panel(ctx: Context) -> DataFrame:
     return ctx.shared("features", lambda: features.add_features(ctx.panel(), ctx.policy))
 
 
+def outcome_panel(ctx: Context) -> DataFrame:
+    """The feature table with the price outcome."""
+    return ctx.shared("outcomes", lambda: feature_panel(ctx).join(
+        panel.surge_share(ctx.trips(), ctx.policy, "month"), ["zone_id", "date"], "left"))
+
+
 def h(*parts: str) -> str:
     text = ", ".join(f"({p})::VARCHAR" for p in parts)
     return f"('0x'||substr(md5(concat_ws('|', {text})),1,8))::BIGINT"
@@ -58,12 +67,20 @@ _ROWS = {
 }
 
 
-def residual_ctes(keys: tuple[str, ...] = ("zone_id", "date")) -> dict[str, str]:
-    targets = ("d", "y", "z")
+def residual_ctes(keys: tuple[str, ...] = ("zone_id", "date"), outcomes: tuple[str, ...] = TWO) -> dict[str, str]:
+    targets = ("d", *[_SHORT[o] for o in outcomes])
+    rows, source = dict(_ROWS), "rows"
+    if "surge_share" in outcomes:
+        source = "priced_rows"
+        named = ", ".join(f"{o}::DOUBLE AS {_SHORT[o]}" for o in outcomes)
+        rows = {"features": FEATURES, **surge_ctes("month"), source: f"""
+      SELECT zone_id, date, treat_binary::DOUBLE AS d, lag1_trip_count::DOUBLE AS x1, peak_share AS x2, {named}
+      FROM features JOIN surge USING (zone_id, date)
+      WHERE lag1_trip_count IS NOT NULL AND surge_share IS NOT NULL"""}
     return {
-        **_ROWS,
+        **rows,
         "folds": f"""SELECT *, ({h(*keys, '(42+rep*1000)')}) % {FOLDS} AS fold
-          FROM rows, (SELECT unnest(generate_series(0, {REPS - 1})) AS rep)""",
+          FROM {source}, (SELECT unnest(generate_series(0, {REPS - 1})) AS rep)""",
         "planes": f"""SELECT k.fold AS fold, rep, {', '.join(plane(t) for t in targets)}
           FROM folds f JOIN (SELECT unnest(generate_series(0, {FOLDS - 1})) AS fold) k
             ON f.fold <> k.fold GROUP BY k.fold, rep""",
@@ -73,15 +90,16 @@ def residual_ctes(keys: tuple[str, ...] = ("zone_id", "date")) -> dict[str, str]
     }
 
 
-def dml_ctes(keys: tuple[str, ...] = ("zone_id", "date")) -> dict[str, str]:
+def dml_ctes(keys: tuple[str, ...] = ("zone_id", "date"), outcomes: tuple[str, ...] = TWO) -> dict[str, str]:
     parts = []
-    for name, t in (("log_trip_count", "y"), ("avg_fare", "z")):
+    for name in outcomes:
+        t = _SHORT[name]
         parts.append(f"""SELECT '{name}' AS outcome, rep, any_value(th) AS theta, count(*) AS n,
             sqrt(sum(rd*rd*pow(r{t}-th*rd, 2)))/sum(rd*rd) AS se
           FROM res JOIN (SELECT rep, sum(rd*r{t})/sum(rd*rd) AS th FROM res GROUP BY 1) USING (rep)
           GROUP BY rep""")
     return {
-        **residual_ctes(keys), "per_rep": "\nUNION ALL ".join(parts),
+        **residual_ctes(keys, outcomes), "per_rep": "\nUNION ALL ".join(parts),
         "eff0": """SELECT outcome, quantile_cont(theta, 0.5) AS theta, quantile_cont(se, 0.5) AS se,
             count(*) AS n_reps, max(n) AS n_obs FROM per_rep GROUP BY 1""",
         "eff": f"""SELECT *, theta/(se+1e-12) AS t_stat, {normal_p('theta/(se+1e-12)')} AS p_value
@@ -97,13 +115,13 @@ DML_COLUMNS = ", ".join([
 
 def dml_table(ctx: Context) -> DataFrame:
     return ctx.shared("dml_ols", lambda: dml.dml_effects(
-        feature_panel(ctx), PAIR, DML_OUTCOMES, learner="ols", folds=FOLDS, reps=REPS))
+        outcome_panel(ctx), PAIR, DML_OUTCOMES, learner="ols", folds=FOLDS, reps=REPS))
 
 
 @query("C18_learner_quality")
 def learners(ctx: Context) -> DataFrame:
     return dml.learner_quality(
-        feature_panel(ctx), LEARNED, "log_trip_count", dml.LINEAR + dml.TREES, folds=2, trees=5)
+        feature_panel(ctx), LEARNED, "log_trip_count", dml.LINEAR + dml.TREES)
 
 
 @query("C19_cross_fit_residuals", compose(f"""
@@ -111,7 +129,7 @@ def learners(ctx: Context) -> DataFrame:
     {real('ry', 'r_log')}, {real('rz', 'r_fare')} FROM res""", MONTH, extra=residual_ctes()))
 def residuals(ctx: Context) -> DataFrame:
     res = dml.cross_fit_residuals(
-        feature_panel(ctx), PAIR, ["treat_binary", *DML_OUTCOMES], "ols", FOLDS, REPS)
+        feature_panel(ctx), PAIR, ["treat_binary", *TWO], "ols", FOLDS, REPS)
     return res.select(
         "rep", "fold", "zone_id", "date", F.col("r_treat_binary").alias("r_treat"),
         F.col("r_log_trip_count").alias("r_log"), F.col("r_avg_fare").alias("r_fare"))
@@ -128,11 +146,12 @@ def effect(ctx: Context) -> DataFrame:
                                      extra=dml_ctes(("zone_id",))))
 def effect_zone_folds(ctx: Context) -> DataFrame:
     return dml.dml_effects(
-        feature_panel(ctx), PAIR, DML_OUTCOMES, learner="ols", folds=FOLDS, reps=REPS,
+        feature_panel(ctx), PAIR, TWO, learner="ols", folds=FOLDS, reps=REPS,
         cluster_folds=True)
 
 
-@query("C21_dml_outcomes", compose(f"SELECT {DML_COLUMNS} FROM eff", MONTH, extra=dml_ctes()))
+@query("C21_dml_outcomes", compose(
+    f"SELECT {DML_COLUMNS} FROM eff", MONTH, extra=dml_ctes(outcomes=DML_OUTCOMES)))
 def effects(ctx: Context) -> DataFrame:
     return dml_table(ctx)
 
@@ -140,15 +159,13 @@ def effects(ctx: Context) -> DataFrame:
 @query("C21_dml_random_forest")
 def effects_forest(ctx: Context) -> DataFrame:
     return ctx.shared("dml_forest", lambda: dml.dml_effects(
-        feature_panel(ctx), LEARNED, ["log_trip_count"], learner="random_forest", folds=3, reps=1,
-        trees=TREES))
+        outcome_panel(ctx), LEARNED, DML_OUTCOMES, learner="random_forest"))
 
 
 @query("C21_dml_lasso_ridge")
 def effects_penalised(ctx: Context) -> DataFrame:
-    panel = feature_panel(ctx)
     parts = [
-        dml.dml_effects(panel, LEARNED, DML_OUTCOMES, learner=name).withColumn("learner", F.lit(name))
+        dml.dml_effects(outcome_panel(ctx), LEARNED, DML_OUTCOMES, learner=name).withColumn("learner", F.lit(name))
         for name in ("ridge", "lasso")]
     return parts[0].unionByName(parts[1])
 
@@ -156,7 +173,7 @@ def effects_penalised(ctx: Context) -> DataFrame:
 @query("R7_learner_sensitivity")
 def learner_checks(ctx: Context) -> DataFrame:
     return ctx.shared("learner_checks", lambda: dml.learner_checks(
-        feature_panel(ctx), LEARNED, folds=2, reps=1, trees=5))
+        feature_panel(ctx), LEARNED))
 
 
 # --- heterogeneous effects -------------------------------------------------
@@ -168,14 +185,14 @@ CATE = {
     "drawn": f"""SELECT *, CASE rep WHEN 0 THEN 1.0
           ELSE {poisson(h('zone_id', 'date', 'rep', '42'))} END AS w
       FROM halves, (SELECT unnest(generate_series(0, {BOOT})) AS rep) WHERE half = 0""",
-    "planes": f"SELECT rep, d, {plane('y', 'w')} FROM drawn GROUP BY rep, d",
+    "planes": f"SELECT rep, d, {plane('y', 'w')} FROM drawn GROUP BY rep, d HAVING sum(w) >= 5",
     "gaps": """SELECT a.rep, a.b0_y-b.b0_y AS g0, a.b1_y-b.b1_y AS g1, a.b2_y-b.b2_y AS g2
       FROM planes a JOIN planes b USING (rep) WHERE a.d = 1 AND b.d = 0""",
     "cate0": """SELECT zone_id, date, any_value(y) AS y, any_value(d) AS t, any_value(x1) AS x1,
         any_value(x2) AS x2, any_value(borough) AS borough, any_value(weekend_flag) AS weekend_flag,
         any_value(peak_share) AS peak_share,
         max(g0+g1*x1+g2*x2) FILTER (rep = 0) AS cate,
-        stddev_samp(g0+g1*x1+g2*x2) FILTER (rep > 0) AS cate_se
+        stddev_samp(g0+g1*x1+g2*x2) FILTER (rep > 0) AS cate_se, count(*) FILTER (rep > 0) AS n_boot
       FROM halves, gaps WHERE half = 1 GROUP BY zone_id, date""",
     "cate": """SELECT *, cate-1.96*cate_se AS cate_low, cate+1.96*cate_se AS cate_high
       FROM cate0""",
@@ -197,9 +214,7 @@ def forest(ctx: Context) -> cate.Cate:
     spark, root = ctx.spark, ctx.folder("forest")
     rows = results.load_result(spark, "rows", root)
     if rows is None:
-        made = cate.residual_forest(
-            feature_panel(ctx), LEARNED, folds=3, bags=6, trees_per_bag=TREES,
-            nuisance_trees=TREES)
+        made = cate.residual_forest(feature_panel(ctx), LEARNED)
         results.save_result(made.rows, "rows", root)
         results.save_result(made.importance, "importance", root)
         rows = results.load_result(spark, "rows", root)
@@ -219,15 +234,14 @@ def t_learner(ctx: Context) -> DataFrame:
 
 @query("C23_t_learner_forest")
 def t_learner_forest(ctx: Context) -> DataFrame:
-    made = cate.t_learner(
-        feature_panel(ctx), LEARNED, n_boot=2, trees=TREES, boot_trees=6)
-    return made.rows.select("zone_id", "date", "cate", "cate_low", "cate_high", "cate_se")
+    return ctx.shared("t_forest", lambda: cate.t_learner(feature_panel(ctx), LEARNED).rows.select(
+        "zone_id", "date", "cate", "cate_low", "cate_high", "cate_se", "n_boot"))
 
 
 @query("C24_bootstrap_se_ols", compose(f"""
-  SELECT {whole('zone_id')}, {day('date')}, {BANDS} FROM cate""", MONTH, extra=CATE))
+  SELECT {whole('zone_id')}, {day('date')}, {BANDS}, {whole('n_boot')} FROM cate""", MONTH, extra=CATE))
 def bootstrap(ctx: Context) -> DataFrame:
-    return cate_rows(ctx).select("zone_id", "date", "cate", "cate_low", "cate_high", "cate_se")
+    return cate_rows(ctx).select("zone_id", "date", "cate", "cate_low", "cate_high", "cate_se", "n_boot")
 
 
 @query("C26_feature_importance")
@@ -277,7 +291,7 @@ _PARTIAL = {
                  WHERE r <= ceil(k*n/10.0) GROUP BY k) USING (fraction)""", MONTH, extra=_PARTIAL))
 def targeting_partial(ctx: Context) -> DataFrame:
     res = dml.cross_fit_residuals(
-        feature_panel(ctx), PAIR, ["treat_binary", *DML_OUTCOMES], "ols", FOLDS, REPS)
+        feature_panel(ctx), PAIR, ["treat_binary", *TWO], "ols", FOLDS, REPS)
     first = res.where(F.col("rep") == 0).select(
         "zone_id", "date", F.col("r_treat_binary").alias("r_t"),
         F.col("r_log_trip_count").alias("r_y"))
@@ -290,6 +304,48 @@ def rate(ctx: Context) -> DataFrame:
     return cate.rate_score(cate.targeting_curve(cate_rows(ctx)))
 
 
+def _cuts(source: str) -> str:
+    """Best cut per node of ``source`` (node, cate, x1, x2): least squared error, then feature, then value."""
+    sides = " UNION ALL ".join(f"SELECT node, {i} AS f, x{i + 1} AS v, cate FROM {source}" for i in range(2))
+    return f"""
+  SELECT node, f, (v+nv)/2 AS at FROM (
+    SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, v) AS place FROM (
+      SELECT node, f, v, nv,
+        round(s*s/n + (ss-s)*(ss-s)/(nn-n) - ss*ss/nn, 9) AS gain
+      FROM (SELECT node, f, v, sum(n) OVER up AS n, sum(s) OVER up AS s, lead(v) OVER up AS nv,
+              sum(n) OVER (PARTITION BY node, f) AS nn, sum(s) OVER (PARTITION BY node, f) AS ss
+            FROM (SELECT node, f, v, count(*)::DOUBLE AS n, sum(cate) AS s FROM ({sides}) GROUP BY ALL)
+            WINDOW up AS (PARTITION BY node, f ORDER BY v ROWS UNBOUNDED PRECEDING))
+      WHERE nv IS NOT NULL) WHERE gain > 0) WHERE place = 1"""
+
+
+def _side(node: str) -> tuple[str, str]:
+    low = f"(CASE {node}.f WHEN 0 THEN x1 ELSE x2 END <= {node}.at)"
+    name = f"CASE {node}.f WHEN 0 THEN 'lag1_trip_count' ELSE 'peak_share' END"
+    text = f"{name} || CASE WHEN {low} THEN ' <= ' ELSE ' > ' END || printf('%.4f', {node}.at)"
+    return low, text
+
+
+TREE = {
+    **CATE,
+    "top": "SELECT 0 AS node, cate, x1, x2 FROM cate",
+    "cut0": _cuts("top"),
+    "half0": f"""SELECT CASE WHEN c.f IS NULL THEN NULL WHEN {_side('c')[0]} THEN 0 ELSE 1 END AS node, cate, x1, x2,
+        CASE WHEN c.f IS NULL THEN 'all' ELSE {_side('c')[1]} END AS rule
+      FROM top LEFT JOIN cut0 c USING (node)""",
+    "cut1": _cuts("half0"),
+    "leaf": f"""SELECT cate, h.rule || CASE WHEN c.f IS NULL THEN '' ELSE ' and ' || {_side('c')[1]} END AS rule
+      FROM half0 h LEFT JOIN cut1 c USING (node)""",
+}
+
+
+@query("C29_policy_tree_linear", compose(f"""
+  SELECT rule, {whole('count(*)', 'n')}, {real('avg(cate)', 'mean_cate')} FROM leaf GROUP BY rule""",
+    MONTH, extra=TREE))
+def tree_linear(ctx: Context) -> DataFrame:
+    return cate.policy_tree(linear_cate(ctx))
+
+
 @query("C29_policy_tree")
 def tree(ctx: Context) -> DataFrame:
     return cate.policy_tree(forest(ctx))

@@ -195,21 +195,24 @@ def cards(ctx: Context) -> DataFrame:
     return explore.kpis(ctx.panel("week", 5), ctx.policy)
 
 
-_PRICED = """SELECT pickup_zone AS zone_id, pickup_date, date_trunc('week', pickup_date)::DATE AS date,
-  floor(fare_amount/trip_distance*100+0.5) AS cents FROM trips"""
+def surge_ctes(unit: str) -> dict[str, str]:
+    """CTEs that end in ``surge`` (zone_id, date, surge_share)."""
+    return {
+        "priced": f"""SELECT pickup_zone AS zone_id, pickup_date, date_trunc('{unit}', pickup_date)::DATE AS date,
+      floor(fare_amount/trip_distance*100+0.5) AS cents FROM trips""",
+        "surge": f"""SELECT p.zone_id, date, avg((cents > lim)::INTEGER) AS surge_share
+      FROM priced p LEFT JOIN (
+        SELECT zone_id, min(cents) AS lim FROM (
+          SELECT zone_id, cents, sum(n) OVER (PARTITION BY zone_id ORDER BY cents) AS cum,
+            sum(n) OVER (PARTITION BY zone_id) AS tot
+          FROM (SELECT zone_id, cents, count(*) AS n FROM priced WHERE pickup_date < {SHOCK} GROUP BY 1, 2))
+        WHERE cum >= 0.9*tot GROUP BY 1) l ON l.zone_id = p.zone_id
+      GROUP BY p.zone_id, date""",
+    }
 
 
 @query("A15_surge_share", compose(f"""
-  SELECT {whole('p.zone_id', 'zone_id')}, {day('date')},
-    {real('avg((cents > lim)::INTEGER)', 'surge_share')}
-  FROM priced p LEFT JOIN (
-    SELECT zone_id, min(cents) AS lim FROM (
-      SELECT zone_id, cents, sum(n) OVER (PARTITION BY zone_id ORDER BY cents) AS cum,
-        sum(n) OVER (PARTITION BY zone_id) AS tot
-      FROM (SELECT zone_id, cents, count(*) AS n FROM priced WHERE pickup_date < {SHOCK}
-            GROUP BY 1, 2))
-    WHERE cum >= 0.9*tot GROUP BY 1) l ON l.zone_id = p.zone_id
-  GROUP BY p.zone_id, date""", "trips", extra={"priced": _PRICED}))
+  SELECT {whole('zone_id')}, {day('date')}, {real('surge_share')} FROM surge""", "trips", extra=surge_ctes("week")))
 def surge(ctx: Context) -> DataFrame:
     return panels.surge_share(ctx.trips(), ctx.policy, "week")
 

@@ -115,13 +115,13 @@ def cate_table(ctx: Context) -> DataFrame:
         cate.cate_by_group(rows, cate.add_peak_flag(ctx.panel()), "is_peak"))
 
 
-_CHECKS = {**_MAIN, **fx.spec_ctes(WEEK1, fx.ALL_SPECS)}
+_CHECKS = {**_MAIN, **fx.CHECK_CTES}
 
 
 @query("T4_robustness_table", compose(f"""
-  SELECT grp AS "group", "check", {fixed('theta')} || {stars('c.p')} AS theta_text,
+  SELECT "group", "check", {fixed('theta')} || {stars('c.p')} AS theta_text,
     CASE WHEN c.se IS NULL THEN '—' ELSE '(' || {fixed('c.se')} || ')' END AS se_text,
-    {real('theta-ate', 'vs_main')}, status FROM checks c, main""", "panel_week_1", extra=_CHECKS))
+    {real('theta-ate', 'vs_main')}, status FROM all_rows c, main""", "panel_week_1", MONTH, extra=_CHECKS))
 def robustness_table(ctx: Context) -> DataFrame:
     return reports.robustness_table(fx.robustness_table(ctx), main_fit(ctx))
 
@@ -152,7 +152,7 @@ def pretrends(ctx: Context) -> DataFrame:
       SELECT 'lag1_trip_count' AS f, b1_cate AS c FROM proj
       UNION ALL SELECT 'peak_share', b2_cate FROM proj) ORDER BY abs(c) DESC LIMIT 1))""",
     "panel_week_1", MONTH, extra={
-        **_MAIN, **ml.dml_ctes(),
+        **_MAIN, **ml.dml_ctes(outcomes=ml.DML_OUTCOMES),
         **{("c_" + k if k == "planes" else k): v.replace("planes", "c_planes")
            for k, v in ml.CATE.items()},
         "proj": f"SELECT {ml.plane('cate')} FROM cate"}))
@@ -164,7 +164,7 @@ def executive(ctx: Context) -> DataFrame:
 
 @query("T7_significant_share", compose(f"""
   SELECT {real('avg((coalesce(p, 1) < 0.05)::INTEGER)*100', 'pct_significant')},
-    {whole('count(*)', 'checks')} FROM checks""", WEEK1, extra=fx.spec_ctes(WEEK1, fx.ALL_SPECS)))
+    {whole('count(*)', 'checks')} FROM all_rows""", WEEK1, MONTH, extra=fx.CHECK_CTES))
 def share(ctx: Context) -> DataFrame:
     return reports.significant_share(fx.robustness_table(ctx))
 
@@ -243,9 +243,9 @@ def targeting_series(ctx: Context) -> DataFrame:
 
 
 @query("V7_robustness_bars", compose(f"""
-  SELECT grp AS "group", "check", {real('theta')}, {real('theta-1.96*c.se', 'low')},
+  SELECT "group", "check", {real('theta')}, {real('theta-1.96*c.se', 'low')},
     {real('theta+1.96*c.se', 'high')}, {whole('(coalesce(c.p, 1) < 0.05)::INTEGER', 'significant')},
     {real('ate', 'main')}, {real('ate-1.96*main.se', 'main_low')},
-    {real('ate+1.96*main.se', 'main_high')} FROM checks c, main""", "panel_week_1", extra=_CHECKS))
+    {real('ate+1.96*main.se', 'main_high')} FROM all_rows c, main""", "panel_week_1", MONTH, extra=_CHECKS))
 def robustness_bars(ctx: Context) -> DataFrame:
     return figures.robustness_bars(fx.robustness_table(ctx), main_fit(ctx))

@@ -54,3 +54,33 @@ def exact_quantiles(
         high = min(low + 1, n - 1)
         out.append(found[low] + (found[high] - found[low]) * (s - low))
     return out
+
+
+def running_sums(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str],
+) -> DataFrame:
+    """``<column>_upto``: sums within ``keys`` up to and with each row of ``order``, and ``next``, the following
+    value of the first order column (null for the last row).
+
+    Rows are range-partitioned by keys and order; what a key holds in earlier partitions comes from one row per
+    (partition, key), and the value after a partition's last row from the first row of its next one. A key may
+    spread over many tasks. ``order`` has to be unique within a key.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = order[0]
+    placed = cut(df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()), "running")
+    # one row per partition and key that stands in it: keys in the middle of a partition stand in one only
+    held = placed.groupBy("_part", *keys).agg(
+        *[F.sum(c).alias(f"_held_{c}") for c in columns], F.min(first).alias("_first"))
+    along = Window.partitionBy(*keys).orderBy("_part")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(
+        "_part", *keys, *[F.coalesce(F.sum(f"_held_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in columns],
+        F.lead("_first").over(along).alias("_after"))
+    inside = Window.partitionBy("_part", *keys).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.join(held, ["_part", *keys])
+    return out.select(
+        *df.columns, *[(F.sum(c).over(upto) + F.col(f"_before_{c}")).alias(f"{c}_upto") for c in columns],
+        F.coalesce(F.lead(first).over(inside), F.col("_after")).alias("next"))

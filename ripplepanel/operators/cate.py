@@ -6,22 +6,22 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplepanel.functions.columns import poisson_one, portable_hash
-from ripplepanel.functions.ranking import global_rank
+from ripplepanel.functions.columns import portable_hash
+from ripplepanel.functions.ranking import global_rank, running_sums
 from ripplepanel.operators.dml import cross_fit_residuals, fold_of
+from ripplepanel.operators.replicates import poisson_weights, replicate_sums
+from ripplepanel.operators.stacked_trees import Forest, Growth, Stack
 from ripplepanel.operators.within import Z95, cross_sums
 from ripplepanel.session import cut
 
 
 @dataclass(frozen=True)
 class Cate:
-    """``rows`` has zone_id, date, y, t, the features and cate, cate_se, cate_low, cate_high."""
+    """``rows`` has zone_id, date, y, t, the features and cate, cate_se, cate_low, cate_high, and
+    n_boot: the replicates or bags behind cate_se."""
 
     rows: DataFrame
     features: list[str]
@@ -42,56 +42,63 @@ def _banded(df: DataFrame) -> DataFrame:
         "cate_high": F.col("cate") + Z95 * F.col("cate_se")})
 
 
-def _spread(values: Column) -> Column:
-    """Sample deviation of an array column."""
-    n = F.size(values)
-    mean = F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), n)
-    squares = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-    return F.sqrt(F.try_divide(squares, F.greatest(n - 1, F.lit(0))))
+def _spread(values: Sequence[Column], about: str) -> Column:
+    """Sample deviation of some columns, in one run over them; ``about`` is a number near their mean."""
+    n = len(values)
+    if n < 2:
+        return F.lit(None).cast("double")
+
+    def add(so_far: Column, v: Column) -> Column:
+        gap = v - F.col(about)
+        return F.struct((so_far["s"] + gap).alias("s"), (so_far["q"] + gap * gap).alias("q"))
+
+    return F.aggregate(
+        F.array(*values), F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), add,
+        lambda x: F.sqrt(F.greatest(x["q"] - x["s"] * x["s"] / n, F.lit(0.0)) / (n - 1)))
 
 
 def t_learner(
     panel: DataFrame, features: Sequence[str], outcome: str = "log_trip_count",
     treatment: str = "treat_binary", learner: str = "random_forest", n_boot: int = 200,
-    trees: int = 500, boot_trees: int = 100, seed: int = 42,
+    trees: int = 500, boot_trees: int = 100, seed: int = 42, depth: int = 16,
 ) -> Cate:
     """Effect = prediction of the treated model minus that of the control model.
 
     Models fit on one half of the rows (by hash) and predict the other half.
     Errors come from refits with Poisson(1) row weights; a refit whose weights
-    leave either arm below 5 is skipped.
+    leave either arm below 5 is skipped, and ``n_boot`` counts those that are not.
+    ``depth`` bounds the trees; rows whose treatment is neither 0 nor 1 are left out.
     """
     features = list(features)
-    base = _base(panel, features, outcome, treatment)
+    base = _base(panel, features, outcome, treatment).where(F.col("t").isin(0.0, 1.0))
     half = fold_of(2, seed)
-    train, est = base.where(half == 0), base.where(half == 1)
     if learner == "ols":
-        return _linear_t(train, est, features, n_boot, seed)
-    return _forest_t(train, est, features, n_boot, trees, boot_trees, seed)
+        return _linear_t(base.where(half == 0), base.where(half == 1), features, n_boot, seed)
+    return _forest_t(base, half, features, n_boot, trees, boot_trees, seed, depth)
 
 
 def _linear_t(
     train: DataFrame, est: DataFrame, features: list[str], n_boot: int, seed: int
 ) -> Cate:
     """All refits from one pass: replicate 0 is the fit with unit weights."""
-    xs = ["_one", *features]
-    weight = F.when(F.col("rep") == 0, F.lit(1.0)).otherwise(
-        poisson_one(portable_hash("zone_id", "date", "rep", seed=seed)))
-    drawn = train.withColumn("_one", F.lit(1.0)).withColumn(
-        "rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot)))).withColumn("_w", weight)
-    drawn = drawn.withColumns({f"_w_{i}": F.col("_w") * F.col(x) for i, x in enumerate(xs)})
-    pairs = [(f"_w_{i}", x) for i in range(len(xs)) for x in [*xs, "y"]]
-    sums = cross_sums(drawn, pairs, ["rep", "t"])
+    xs = [F.lit(1.0), *[F.col(x) for x in features]]
+    k = len(xs)
+    # weight x (upper triangle of the products, then the products with y)
+    values = [xs[i] * xs[j] for i in range(k) for j in range(i, k)] + [x * F.col("y") for x in xs]
+    sums = replicate_sums(train, poisson_weights(("zone_id", "date"), n_boot, seed), values, ["t"])
+    found = {(r["rep"], r["t"]): np.array(r["s"]) for r in sums.collect()}  # replicates x 2 rows
+    upper = np.triu_indices(k)
     gaps: dict[int, np.ndarray] = {}
     for rep in range(n_boot + 1):
         arms = []
         for arm in (1.0, 0.0):
-            s = sums.get((rep, arm))
-            if s is None or s[("_w_0", "_one")] < 5:
+            s = found.get((rep, arm))
+            if s is None or s[0] < 5:
                 break
-            gram = np.array([[s[(f"_w_{i}", x)] for x in xs] for i in range(len(xs))])
-            arms.append(np.linalg.lstsq(
-                gram, np.array([s[(f"_w_{i}", "y")] for i in range(len(xs))]), rcond=None)[0])
+            gram = np.zeros((k, k))
+            gram[upper] = s[: len(upper[0])]
+            gram = gram + np.triu(gram, 1).T
+            arms.append(np.linalg.lstsq(gram, s[len(upper[0]) :], rcond=None)[0])
         if len(arms) == 2:
             gaps[rep] = arms[0] - arms[1]
     if 0 not in gaps:
@@ -103,46 +110,50 @@ def _linear_t(
             out = out + F.lit(float(c)) * F.col(x)
         return out
 
-    redrawn = F.array(*[effect(b) for rep, b in gaps.items() if rep > 0])
-    rows = est.withColumn("cate", effect(gaps[0])).withColumn("cate_se", _spread(redrawn))
-    return Cate(_banded(rows), features, None)
-
-
-def _forest(trees: int, seed: int, **params) -> RandomForestRegressor:
-    return RandomForestRegressor(
-        numTrees=trees, maxDepth=8, seed=seed, featuresCol="_x", labelCol="y",
-        featureSubsetStrategy="all", **params)
+    redrawn = [effect(b) for rep, b in gaps.items() if rep > 0]
+    rows = est.withColumn("cate", effect(gaps[0])).withColumn("cate_se", _spread(redrawn, "cate"))
+    return Cate(_banded(rows).withColumn("n_boot", F.lit(len(gaps) - 1)), features, None)
 
 
 def _forest_t(
-    train: DataFrame, est: DataFrame, features: list[str], n_boot: int, trees: int,
-    boot_trees: int, seed: int,
+    base: DataFrame, half: Column, features: list[str], n_boot: int, trees: int, boot_trees: int,
+    seed: int, depth: int,
 ) -> Cate:
-    vectors = VectorAssembler(inputCols=features, outputCol="_x")
-    held = vectors.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
-    out = vectors.transform(est)
-    models = [_forest(trees, seed).fit(held.where(F.col("t") == arm)) for arm in (1, 0)]
-    for model, name in zip(models, ("_m1", "_m0")):
-        out = model.setPredictionCol(name).transform(out)
-    redrawn = []
-    for b in range(1, n_boot + 1):
-        weighted = held.withColumn(
-            "_w", poisson_one(portable_hash("zone_id", "date", seed=f"{seed}-{b}")))
-        mass = weighted.groupBy("t").agg(F.sum("_w").alias("m")).collect()
-        if len(mass) < 2 or min(r["m"] for r in mass) < 5:
-            continue
-        for arm in (1, 0):
-            rows = weighted.where((F.col("t") == arm) & (F.col("_w") > 0))
-            model = _forest(boot_trees, b, weightCol="_w").fit(rows)
-            out = model.setPredictionCol(f"_b{arm}_{b}").transform(out)
-        redrawn.append(F.col(f"_b1_{b}") - F.col(f"_b0_{b}"))
-    scored = out.withColumn("cate", F.col("_m1") - F.col("_m0")).withColumn(
-        "cate_se", _spread(F.array(*redrawn)) if redrawn else F.lit(None).cast("double"))
-    rows = cut(_banded(scored.select(
-        "zone_id", "date", "y", "t", *features, "cate", "cate_se")), "cate")
-    held.unpersist()
-    weights = (models[0].featureImportances.toArray() + models[1].featureImportances.toArray()) / 2
-    return Cate(rows, features, importance_rows(panel_session(train), features, weights))
+    """Both arms of all refits as forests on one copy of the rows; a role is an arm in a replicate."""
+    reps = n_boot + 1
+    weights = poisson_weights(("zone_id", "date"), n_boot, seed)
+
+    def role(arm: float) -> Column:
+        inside = (half == 0) & (F.col("t") == arm)
+        return F.transform(weights, lambda w: F.when(inside, w).otherwise(0.0).cast("tinyint"))
+
+    stack = Stack(base, ("zone_id", "date"), features, ["y"], F.concat(role(1.0), role(0.0)), half == 1)
+    mass = {r["pos"]: r["m"] for r in stack.rows.select(F.posexplode("_roles").alias("pos", "w")).groupBy(
+        "pos").agg(F.sum("w").alias("m")).collect()}  # 2 x replicates rows
+    used = [b for b in range(reps) if min(mass.get(b, 0), mass.get(reps + b, 0)) >= 5]
+    if 0 not in used:
+        raise ValueError("one arm of the training half has fewer than 5 rows")
+    forests = [Forest(arm * reps + b, arm * reps + b, 0, seed + arm * reps + b) for b in used for arm in (0, 1)]
+    whole, share = stack.grow(forests[:2], Growth(trees, depth, 1))
+    parts = whole
+    if len(forests) > 2:
+        parts = whole.unionByName(stack.grow(forests[2:], Growth(boot_trees, depth, 1))[0])
+    sign = F.when(F.col("forest") < reps, F.col("prediction")).otherwise(-F.col("prediction"))
+    gaps = parts.groupBy("zone_id", "date", (F.col("forest") % reps).alias("rep")).agg(F.sum(sign).alias("gap"))
+    effect = gaps.groupBy("zone_id", "date").agg(
+        F.max(F.when(F.col("rep") == 0, F.col("gap"))).alias("cate"),
+        F.stddev_samp(F.when(F.col("rep") > 0, F.col("gap"))).alias("cate_se"),
+        F.count_if(F.col("rep") > 0).cast("int").alias("n_boot"))
+    rows = cut(_banded(base.where(half == 1).join(effect, ["zone_id", "date"]).select(
+        "zone_id", "date", "y", "t", *features, "cate", "cate_se", "n_boot")), "cate")
+    return Cate(rows, features, _importance(share, features))
+
+
+def _importance(share: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Mean share of each feature over the forests, largest first."""
+    found = {r["feature"]: r["v"] for r in share.groupBy("feature").agg(F.avg("importance").alias("v")).collect()}
+    weights = np.array([found.get(i, 0.0) for i in range(len(features))])
+    return importance_rows(share.sparkSession, features, weights / (weights.sum() or 1.0))
 
 
 def residual_forest(
@@ -163,37 +174,22 @@ def residual_forest(
     res = cross_fit_residuals(
         panel, features, [treatment, outcome], nuisance, folds, 1, seed, trees=nuisance_trees)
     d, y = F.col(f"r_{treatment}"), F.col(f"r_{outcome}")
-    base = res.select(
+    # a row without residual treatment has weight 0 and still gets its effect
+    base = cut(res.select(
         "zone_id", "date", F.col(outcome).alias("y"), F.col(treatment).alias("t"), *features,
-        F.try_divide(y, d).alias("_ratio"), (d * d).alias("_w"))
-    held = cut(base, "residuals")
-    held = VectorAssembler(inputCols=features, outputCol="_x").transform(held).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    out, seen, total = held, [], np.zeros(len(features))
-    for bag in range(bags):
-        # bags come in complementary pairs, so every row stays unseen by half of them
-        side = F.pmod(portable_hash("zone_id", "date", seed=f"bag{seed}-{bag // 2}"), F.lit(2))
-        inside = side == bag % 2
-        model = RandomForestRegressor(
-            numTrees=trees_per_bag, maxDepth=8, minInstancesPerNode=min_leaf, seed=seed + bag,
-            featuresCol="_x", labelCol="_ratio", weightCol="_w",
-        ).fit(held.where(inside & (F.col("_w") > 1e-8)))
-        out = model.setPredictionCol(f"_p{bag}").transform(out)
-        seen.append(F.when(~inside, F.col(f"_p{bag}")))
-        total += model.featureImportances.toArray()
-    unseen = F.filter(F.array(*seen), lambda v: v.isNotNull())
-    mean = F.try_divide(F.aggregate(unseen, F.lit(0.0), lambda a, v: a + v), F.size(unseen))
-    scored = out.withColumn("cate", mean).withColumn(
-        "cate_se", _spread(unseen))
-    rows = cut(_banded(scored.select(
-        "zone_id", "date", "y", "t", *features, "cate", "cate_se"
-)), "cate")
-    held.unpersist()
-    return Cate(rows, features, importance_rows(panel_session(panel), features, total / bags))
-
-
-def panel_session(df: DataFrame):
-    return df.sparkSession
+        F.coalesce(F.try_divide(y, d), F.lit(0.0)).alias("_ratio"), (d * d).alias("_weight")), "residuals")
+    # bags come in complementary pairs, so every row stays unseen by half of them
+    sides = [F.pmod(portable_hash("zone_id", "date", seed=f"bag{seed}-{b // 2}"), F.lit(2)) for b in range(bags)]
+    roles = F.array(*[(side == b % 2).cast("tinyint") for b, side in enumerate(sides)])
+    stack = Stack(base, ("zone_id", "date"), features, ["_ratio"], roles, F.lit(True), F.col("_weight"))
+    scores, share = stack.grow(
+        [Forest(b, b, 0, seed + b) for b in range(bags)], Growth(trees_per_bag, 8, min_leaf))
+    effect = scores.groupBy("zone_id", "date").agg(
+        F.avg("prediction").alias("cate"), F.stddev_samp("prediction").alias("cate_se"),
+        F.count(F.lit(1)).cast("int").alias("n_boot"))
+    rows = cut(_banded(base.join(effect, ["zone_id", "date"]).select(
+        "zone_id", "date", "y", "t", *features, "cate", "cate_se", "n_boot")), "cate")
+    return Cate(rows, features, _importance(share, features))
 
 
 def importance_rows(spark, features: Sequence[str], weights: np.ndarray) -> DataFrame:
@@ -274,33 +270,61 @@ def rate_score(curve: DataFrame) -> DataFrame:
     return curve.agg(F.avg("ate_top_q").alias("rate_score"))
 
 
+def _best_cuts(rows: DataFrame, features: Sequence[str]) -> list:
+    """Per open node the cut of least squared error, with what both sides hold; ties to the first feature and cut.
+
+    Rows collapse to one per (node, feature, value) before anything is ordered;
+    sums up to each value come from range partitions.
+    """
+    # array of structs, so that a row is read once for all features
+    each = F.posexplode(F.array(*[F.col(f).cast("double") for f in features])).alias("feature", "value")
+    values = rows.select("_node", "cate", each).groupBy("_node", "feature", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("cate").alias("s"))
+    run = running_sums(values, ["_node", "feature"], ["value"], ["n", "s"])
+    whole = rows.groupBy("_node").agg(F.count(F.lit(1)).alias("all_n"), F.sum("cate").alias("all_s"))
+    run = run.join(whole, "_node").where(F.col("n_upto") < F.col("all_n"))  # one row per open node on that side
+    rest_n, rest_s = F.col("all_n") - F.col("n_upto"), F.col("all_s") - F.col("s_upto")
+    gain = (F.col("s_upto") * F.col("s_upto") / F.col("n_upto") + rest_s * rest_s / rest_n
+            - F.col("all_s") * F.col("all_s") / F.col("all_n"))
+    # nine digits: sums in another order must not choose another cut
+    return run.withColumn("gain", F.round(gain, 9)).where("gain > 0").groupBy("_node").agg(
+        F.min(F.struct(-F.col("gain"), "feature", "value", "next")).alias("best")).select("_node", "best.*").collect()
+
+
 def policy_tree(cate: Cate, max_depth: int = 2) -> DataFrame:
     """Leaves of a shallow tree on the effect: rule, rows and mean effect.
 
+    Every level takes the exact best cut, midway between two values that occur.
     The tree has at most 2^depth leaves; their rules become one Column and the
     leaf statistics one aggregate over the rows.
     """
-    held = VectorAssembler(inputCols=cate.features, outputCol="_x").transform(cate.rows)
-    model = DecisionTreeRegressor(
-        featuresCol="_x", labelCol="cate", maxDepth=max_depth, seed=0).fit(held)
-    leaves: list[tuple[str, Column]] = []
-
-    def walk(node, text: list[str], test: Column) -> None:
-        if node.subtreeDepth() == 0:
-            leaves.append((" and ".join(text) or "all", test))
-            return
-        split = node.split()
-        name, cutoff = cate.features[split.featureIndex()], float(split.threshold())
-        walk(node.leftChild(), [*text, f"{name} <= {cutoff:.4f}"],
-             test & (F.col(name) <= F.lit(cutoff)))
-        walk(node.rightChild(), [*text, f"{name} > {cutoff:.4f}"],
-             test & (F.col(name) > F.lit(cutoff)))
-
-    walk(model._java_obj.rootNode(), [], F.lit(True))
+    held = cut(cate.rows.select("cate", *[F.col(f).cast("double").alias(f) for f in cate.features]).where(
+        F.col("cate").isNotNull()), "policy")
+    leaves: list[tuple[list[str], Column]] = [([], F.lit(True))]
+    closed: list[tuple[list[str], Column]] = []
+    for _ in range(max_depth):
+        node = F.lit(None).cast("int")
+        for i, (_, test) in enumerate(leaves):
+            node = F.when(test, F.lit(i)).otherwise(node)
+        found = {r["_node"]: r for r in _best_cuts(
+            held.withColumn("_node", node).where(F.col("_node").isNotNull()), cate.features)}
+        fresh = []
+        for i, (text, test) in enumerate(leaves):
+            if i not in found:
+                closed.append((text, test))
+                continue
+            name = cate.features[found[i]["feature"]]
+            cutoff = (found[i]["value"] + found[i]["next"]) / 2
+            # a midpoint that rounds up to the next value would move its rows
+            if cutoff >= found[i]["next"]:
+                cutoff = found[i]["value"]
+            fresh += [([*text, f"{name} <= {cutoff:.4f}"], test & (F.col(name) <= F.lit(cutoff))),
+                      ([*text, f"{name} > {cutoff:.4f}"], test & (F.col(name) > F.lit(cutoff)))]
+        leaves = fresh
     rule = F.lit(None).cast("string")
-    for text, test in leaves:
-        rule = F.when(test, F.lit(text)).otherwise(rule)
-    return cate.rows.groupBy(rule.alias("rule")).agg(
+    for text, test in [*closed, *leaves]:
+        rule = F.when(test, F.lit(" and ".join(text) or "all")).otherwise(rule)
+    return held.groupBy(rule.alias("rule")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("cate").alias("mean_cate"))
 
 

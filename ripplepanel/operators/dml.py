@@ -2,7 +2,8 @@
 
 Linear learners (ols, ridge, lasso) need only sums of products per fold: every
 fold, replicate and target comes out of one pass, since a training fold is the
-total minus the held-out fold. Forests and boosting fit with Spark ML.
+total minus the held-out fold. Forests and boosting of all folds, replicates and
+targets grow together (``stacked_trees``).
 """
 
 from __future__ import annotations
@@ -10,23 +11,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplepanel.functions.columns import portable_hash, stars
 from ripplepanel.functions.tails import normal_two_sided_value
+from ripplepanel.operators.stacked_trees import Forest, Growth, Stack
 from ripplepanel.operators.within import Z95, cross_sums
 from ripplepanel.session import cut
 
 LINEAR = ("ols", "ridge", "lasso")
 TREES = ("random_forest", "gradient_boosting")
 INNER_FOLDS = 5
-# Ridge penalties tried, and the size of the lasso path.
+# Ridge penalties tried, the size of the lasso path, and its sweeps at most.
 RIDGE_GRID = (0.1, 1.0, 10.0)
-LASSO_STEPS, LASSO_SPAN = 30, 1e-3
+LASSO_STEPS, LASSO_SPAN, LASSO_SWEEPS = 30, 1e-3, 5000
 
 DML_SCHEMA = (
     "outcome string, theta double, se double, t_stat double, p_value double, ci_low double, "
@@ -42,12 +41,10 @@ def fold_of(folds: int, seed: int | Column, keys: Sequence[str] = ("zone_id", "d
     return F.pmod(h.cast("long"), F.lit(folds)).cast("int")
 
 
-def tree_learner(name: str, seed: int, trees: int | None = None):
+def tree_growth(name: str, trees: int | None = None) -> Growth:
     if name == "random_forest":
-        return RandomForestRegressor(
-            numTrees=trees or 300, maxDepth=8, minInstancesPerNode=5, seed=seed,
-            subsamplingRate=1.0, featureSubsetStrategy="all")
-    return GBTRegressor(maxIter=trees or 300, stepSize=0.05, maxDepth=5, seed=seed)
+        return Growth(trees or 300, depth=8, min_leaf=5)
+    return Growth(trees or 300, depth=5, min_leaf=1, boost=0.05)
 
 
 def _ridge(gram: np.ndarray, xy: np.ndarray, alpha: float) -> np.ndarray:
@@ -72,13 +69,15 @@ def _lasso(gram: np.ndarray, xy: np.ndarray, alpha: float, start: np.ndarray | N
     v = np.where(live, (xy[1:] / n - mean * xy[0] / n) / scale, 0.0)
     b = np.zeros(len(v)) if start is None else start[1:] * scale
     order = np.nonzero(live)[0]
-    for _ in range(500):
+    for _ in range(LASSO_SWEEPS):
         before = b.copy()
         for j in order:
             rho = v[j] - c[j] @ b + b[j]
             b[j] = np.sign(rho) * max(abs(rho) - alpha, 0.0)
         if np.max(np.abs(b - before), initial=0.0) <= 1e-7 * np.max(np.abs(b), initial=1e-12):
             break
+    else:
+        raise RuntimeError(f"the lasso did not settle in {LASSO_SWEEPS} sweeps")
     b = b / scale
     return np.concatenate([[(xy[0] - gram[0, 1:] @ b) / n], b])
 
@@ -161,27 +160,26 @@ def _linear_residuals(
 
 
 def _tree_residuals(
-    rows: DataFrame, features: Sequence[str], targets: Sequence[str], learner: str, folds: int,
-    seed: int, trees: int | None,
+    base: DataFrame, rows: DataFrame, features: Sequence[str], targets: Sequence[str], learner: str,
+    folds: int, fold: Sequence[Column], seed: int, trees: int | None,
 ) -> DataFrame:
-    """Spark ML fits per replicate, fold and target; the vectors are kept once."""
-    held = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    reps = sorted(r[0] for r in held.select("rep").distinct().collect())
-    parts = None
-    for rep in reps:
-        for fold in range(folds):
-            train = held.where((F.col("rep") == rep) & (F.col("fold") != fold))
-            test = held.where((F.col("rep") == rep) & (F.col("fold") == fold))
-            for t in targets:
-                model = tree_learner(learner, seed + rep * 1000 + fold, trees).setParams(
-                    featuresCol="_x", labelCol=t, predictionCol=f"_p_{t}").fit(train)
-                test = model.transform(test).withColumn(
-                    f"r_{t}", F.col(t) - F.col(f"_p_{t}")).drop(f"_p_{t}")
-            parts = test if parts is None else parts.unionByName(test)
-    done = cut(parts.drop("_x"), "residuals")
-    held.unpersist()
-    return done
+    """Forests of every (replicate, fold, target) grown together on one copy of the rows.
+
+    A row's role is 0 in its own fold, which is where it is predicted.
+    """
+    n = len(targets)
+    roles = F.array(*[(f != k).cast("tinyint") for f in fold for k in range(folds)])
+    forests = [Forest(role * n + t, role, t, seed + role * n + t)
+               for role in range(len(fold) * folds) for t in range(n)]
+    stack = Stack(base, ("zone_id", "date"), features, targets, roles, F.lit(True))
+    scores, _ = stack.grow(forests, tree_growth(learner, trees))
+    rep = F.floor(F.col("forest") / F.lit(folds * n)).cast("int")
+    wide = scores.groupBy("zone_id", "date", rep.alias("rep")).agg(*[
+        F.max(F.when(F.col("forest") % n == t, F.col("prediction"))).alias(f"_p_{t}") for t in range(n)])
+    out = rows.join(wide, ["zone_id", "date", "rep"], "left")
+    return cut(out.withColumns({
+        f"r_{t}": F.col(t) - F.col(f"_p_{i}") for i, t in enumerate(targets)
+    }).drop(*[f"_p_{i}" for i in range(n)]), "residuals")
 
 
 def cross_fit_residuals(
@@ -203,7 +201,8 @@ def cross_fit_residuals(
     rows = rows.withColumn("fold", fold_of(folds, F.lit(seed) + F.col("rep") * 1000, keys))
     if learner in LINEAR:
         return _linear_residuals(rows, features, targets, learner, folds)
-    return _tree_residuals(rows, features, targets, learner, folds, seed, trees)
+    fold = [fold_of(folds, F.lit(seed + r * 1000), keys) for r in range(reps)]
+    return _tree_residuals(base, rows, features, targets, learner, folds, fold, seed, trees)
 
 
 def dml_effects(
@@ -218,14 +217,14 @@ def dml_effects(
     """
     spark = panel.sparkSession
     targets = [treatment, *outcomes]
-    res = cross_fit_residuals(
-        panel, features, targets, learner, folds, reps, seed, cluster_folds, trees
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    res = cross_fit_residuals(panel, features, targets, learner, folds, reps, seed, cluster_folds, trees)
+    if learner in LINEAR:
+        res = cut(res, "residuals")
     d = F.col(f"r_{treatment}")
     first = res.groupBy("rep").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(d * d).alias("dd"),
+        F.count(d).alias("n"), F.sum(d * d).alias("dd"),
         *[F.sum(d * F.col(f"r_{y}")).alias(f"dy_{i}") for i, y in enumerate(outcomes)]).collect()
-    used = [r for r in first if r["dd"] >= 1e-12]
+    used = [r for r in first if (r["dd"] or 0.0) >= 1e-12]
     n_obs = int(first[0]["n"]) if first else 0
     thetas = {r["rep"]: [r[f"dy_{i}"] / r["dd"] for i in range(len(outcomes))] for r in used}
     rows = []
@@ -245,7 +244,6 @@ def dml_effects(
                          theta + Z95 * se, len(used), n_obs))
     else:
         rows = [(y, None, None, None, None, None, None, 0, n_obs) for y in outcomes]
-    res.unpersist()
     return spark.createDataFrame(rows, DML_SCHEMA).withColumn("sig", stars(F.col("p_value")))
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ripplepanel.functions.ranking import running_sums
 from ripplepanel.policy import Policy
+from ripplepanel.session import cut
 
 UNITS = ("hour", "day", "week", "month")
 
@@ -55,9 +57,12 @@ def aggregate_cells(
 
 def build_panel(
     trips: DataFrame, policy: Policy, unit: str = "day", min_trips: int = 5,
-    trip_types: Sequence[str] | None = None,
+    trip_types: Sequence[str] | None = None, surge_level: float | None = None,
 ) -> DataFrame:
-    """Clean trips to a zone x period panel with outcome and time columns."""
+    """Clean trips to a zone x period panel with outcome and time columns.
+
+    With ``surge_level`` it gets the column ``surge_share`` of that quantile.
+    """
     if trip_types is not None:
         trips = trips.where(F.col("trip_type").isin(list(trip_types)))
     cells = aggregate_cells(
@@ -72,6 +77,8 @@ def build_panel(
         kind_col="trip_type",
     )
     dense = drop_sparse(cells, min_trips)
+    if surge_level is not None:
+        dense = dense.join(surge_share(trips, policy, unit, surge_level), ["zone_id", "date"], "left")
     return add_time_columns(dense.withColumn("log_trip_count", F.log1p("trip_count")), policy)
 
 
@@ -91,30 +98,42 @@ def add_time_columns(panel: DataFrame, policy: Policy) -> DataFrame:
     })
 
 
+#: Cents in a coarse price bucket.
+COARSE = 100
+
+
 def surge_share(
     trips: DataFrame, policy: Policy, unit: str = "day", level: float = 0.9
 ) -> DataFrame:
     """Share of trips per cell whose fare per mile tops the zone's usual level.
 
-    The level is the zone's discrete quantile before the shock, in whole cents:
-    trips collapse to one count per zone and cent before anything is ranked, so
-    a zone's window holds distinct prices, not trips.
+    The level is the zone's discrete quantile before the shock, in whole cents.
+    Trips collapse to one count per zone, cell and cent, and all else reads that
+    table: counts per dollar find the dollar that holds the level (running sums
+    over range partitions, so a zone may spread over tasks), and only the cents
+    of that dollar, ``COARSE`` rows per zone at most, are looked at one by one.
+    A zone without trips before the shock has no level and a null share.
     """
     cents = F.floor(F.col("fare_amount") / F.col("trip_distance") * 100 + 0.5)
-    priced = trips.select(
-        F.col("pickup_zone").alias("zone_id"), "pickup_date",
-        period_start(F.col("pickup_date"), unit).alias("date"), cents.alias("_cents"))
-    counts = priced.where(F.col("pickup_date") < policy.shock_lit()).groupBy(
-        "zone_id", "_cents").agg(F.count(F.lit(1)).alias("_n"))
-    zone = Window.partitionBy("zone_id")
-    upto = zone.orderBy("_cents").rowsBetween(Window.unboundedPreceding, 0)
-    limit = (
-        counts.select("zone_id", "_cents", F.sum("_n").over(upto).alias("_cum"),
-                      F.sum("_n").over(zone).alias("_all"))
-        .where(F.col("_cum") >= F.lit(level) * F.col("_all"))
-        .groupBy("zone_id").agg(F.min("_cents").alias("_limit")))
-    # cells by price first: the join then carries one row per zone, cell and cent
-    cells = priced.groupBy("zone_id", "date", "_cents").agg(F.count(F.lit(1)).alias("_n"))
+    cells = cut(trips.select(
+        F.col("pickup_zone").alias("zone_id"), period_start(F.col("pickup_date"), unit).alias("date"),
+        cents.alias("_cents"), (F.col("pickup_date") < policy.shock_lit()).alias("_before"),
+    ).groupBy("zone_id", "date", "_cents", "_before").agg(F.count(F.lit(1)).alias("_n")), "priced")
+    before = cells.where("_before").withColumn("_coarse", F.floor(F.col("_cents") / COARSE))
+    total = before.groupBy("zone_id").agg((F.sum("_n") * F.lit(level)).alias("_want"))
+    coarse = before.groupBy("zone_id", "_coarse").agg(F.sum("_n").alias("_n"))
+    reached = running_sums(coarse, ["zone_id"], ["_coarse"], ["_n"]).join(total, "zone_id").where(
+        F.col("_n_upto") >= F.col("_want"))
+    dollar = reached.groupBy("zone_id", "_want").agg(
+        F.min(F.struct("_coarse", (F.col("_n_upto") - F.col("_n")).alias("_below"))).alias("_at")).select(
+        "zone_id", "_want", "_at.*")
+    fine = before.join(dollar, ["zone_id", "_coarse"]).groupBy("zone_id", "_want", "_below", "_cents").agg(
+        F.sum("_n").alias("_n"))
+    steps = F.array_sort(F.collect_list(F.struct("_cents", "_n")))
+    upto = F.transform(steps, lambda x, i: F.struct(x["_cents"].alias("c"), F.aggregate(
+        F.slice(steps, 1, i + 1), F.lit(0).cast("long"), lambda a, y: a + y["_n"]).alias("n")))
+    limit = fine.groupBy("zone_id", "_want", "_below").agg(upto.alias("_upto")).select(
+        "zone_id", F.filter("_upto", lambda x: F.col("_below") + x["n"] >= F.col("_want"))[0]["c"].alias("_limit"))
     above = F.when(F.col("_cents") > F.col("_limit"), F.col("_n")).otherwise(0)
     return cells.join(limit, "zone_id", "left").groupBy("zone_id", "date").agg(
         F.when(F.max("_limit").isNotNull(), F.sum(above) / F.sum("_n")).alias("surge_share"))

@@ -13,7 +13,7 @@ from ripplepanel.sources.results import load_result, save_result
 
 # The outcomes each step runs on.
 OUTCOMES = ("log_trip_count", "trip_count", "avg_distance", "avg_duration", "avg_fare",
-            "airport_share", "cbd_fee_total")
+            "airport_share", "cbd_fee_total", "surge_share")
 
 
 def measure(
@@ -61,7 +61,8 @@ def measure(
     groups = {g: keep(f"cate_by_{g}", cate.cate_by_group(rows, flagged, g))
               for g in ("borough", "weekend_flag", "is_peak") if g in flagged.columns}
     checks = keep("robustness", robustness.run_all(
-        panel, policy, outcome, [dml.learner_checks(featured, covariates, outcome, trees=trees)]))
+        panel, policy, outcome, [robustness.alternative_outcomes(panel),
+                                 dml.learner_checks(featured, covariates, outcome, trees=trees)]))
     keep("table_estimators", reports.estimator_table(main, pooled, test, placebo, effects, outcome))
     keep("table_dml", reports.dml_table(effects))
     keep("table_robustness", reports.robustness_table(
