@@ -10,7 +10,7 @@ from ripplepanel.catalog.sqltext import MONTH, compose, day, real, whole
 from ripplepanel.functions.columns import clip_low
 from ripplepanel.operators import clean, explore
 from ripplepanel.plans import binding
-from ripplepanel.sources import feeds, results, zones
+from ripplepanel.sources import feeds, manifest, results, zones
 from ripplepanel.streaming import ingest
 
 _DONE: set[tuple[str, str]] = set()
@@ -43,12 +43,20 @@ def clean_root(ctx: Context) -> str:
     return once(ctx, ctx.folder("clean"), write)
 
 
+def raw_schemas(ctx: Context) -> dict[str, str]:
+    """Columns of the raw feeds as declared by their binding: no footer is opened for them."""
+    out = {}
+    for name, df in binding.raw_feeds(ctx.spark, ctx.sf_dir, leaky=True).items():
+        out[name] = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    return out
+
+
 @query("S1_scan_raw_feeds", compose(f"""
   SELECT trip_type, leaky_month AS year_month, {whole('count(*)', 'trips')},
     {real('sum(trip_distance)', 'distance')}
   FROM bound GROUP BY 1, 2""", "bound"))
 def scan_raw(ctx: Context) -> DataFrame:
-    raw = feeds.scan_raw(ctx.spark, raw_root(ctx))
+    raw = feeds.scan_raw(ctx.spark, raw_root(ctx), schemas=raw_schemas(ctx))
     return (
         feeds.unify_feeds(raw).groupBy("trip_type", "year_month")
         .agg(F.count(F.lit(1)).alias("trips"), F.sum("trip_distance").alias("distance")))
@@ -66,13 +74,37 @@ def incremental_write(ctx: Context) -> DataFrame:
         F.count(F.lit(1)).alias("trips"), F.lit(added).alias("new_on_second_run"))
 
 
+@query("S1_probed_files", compose(f"""
+  SELECT trip_type, {whole('count(*)', 'rows')}, {whole('0', 'bad_row_groups')}
+  FROM bound GROUP BY 1""", "bound"))
+def probed(ctx: Context) -> DataFrame:
+    return manifest.probe_files(ctx.spark, raw_root(ctx)).groupBy("trip_type").agg(
+        F.sum("rows").alias("rows"), F.sum("bad_row_groups").alias("bad_row_groups"))
+
+
+_DECLARED_MONTH = "FROM kept WHERE leaky_month = year_month"
+
+
+@query("S2_manifest_ingest", compose(f"""
+  SELECT trip_type, year_month, {whole('count(*)', 'trips')}, {whole('0', 'taken_on_second_run')}
+  {_DECLARED_MONTH} GROUP BY 1, 2""", "kept"))
+def manifest_ingest(ctx: Context) -> DataFrame:
+    """Batch ingest of the raw files, file by file; a second run finds nothing to do."""
+    raw, root = raw_root(ctx), ctx.folder("by_file")
+    manifest.ingest_files(ctx.spark, raw, root, ctx.policy, schemas=raw_schemas(ctx))
+    again = manifest.ingest_files(ctx.spark, raw, root, ctx.policy, schemas=raw_schemas(ctx))
+    return manifest.read_trips(ctx.spark, root).groupBy("trip_type", "year_month").agg(
+        F.count(F.lit(1)).alias("trips"), F.lit(again).alias("taken_on_second_run"))
+
+
 @query("S2_stream_ingest", compose(f"""
   SELECT trip_type, year_month, {whole('count(*)', 'trips')}, {whole('0', 'read_on_second_run')}
-  FROM kept WHERE trip_type = 'green' AND leaky_month = year_month GROUP BY 1, 2""", "kept"))
+  {_DECLARED_MONTH} AND trip_type = 'green' GROUP BY 1, 2""", "kept"))
 def stream_ingest(ctx: Context) -> DataFrame:
     raw, root, state = raw_root(ctx), ctx.folder("ingested"), ctx.folder("ingest_state")
-    ingest.ingest_new_files(ctx.spark, raw, "green", root, state, ctx.policy)
-    again = ingest.ingest_new_files(ctx.spark, raw, "green", root, state, ctx.policy)
+    schema = raw_schemas(ctx)["green"]
+    ingest.ingest_new_files(ctx.spark, raw, "green", root, state, ctx.policy, schema=schema)
+    again = ingest.ingest_new_files(ctx.spark, raw, "green", root, state, ctx.policy, schema=schema)
     return ingest.read_ingested(ctx.spark, root, "green").groupBy("trip_type", "year_month").agg(
         F.count(F.lit(1)).alias("trips"), F.lit(again).alias("read_on_second_run"))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ripplepanel.operators import clean, geometry, panel as panels, treatment
 from ripplepanel.policy import CITY_POLICY
-from ripplepanel.sources import feeds, results, zones
+from ripplepanel.sources import feeds, manifest, results, zones
 from ripplepanel.streaming import ingest
 
 START = datetime(2025, 1, 6, 8, 0)
@@ -104,21 +104,89 @@ def test_damaged_file_fails_or_is_listed(spark, tmp_path):
     assert [(r.trip_type, r.path.endswith("year_month=2025-02/part-0.parquet")) for r in found] == [("yellow", True)]
 
 
-def test_stream_reads_each_file_once(spark, policy, tmp_path):
-    raw, out, state = (str(tmp_path / n) for n in ("raw", "out", "state"))
-    source = spark.createDataFrame([trip(), trip(distance=0.0)], TRIP).select(
+def test_probe_finds_a_damaged_row_group(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    folder = tmp_path / "yellow" / "year_month=2025-01"
+    folder.mkdir(parents=True)
+    rng = range(4000)
+    pq.write_table(pa.table({"trip_distance": [float(i * 7919 % 4001) for i in rng]}), folder / "a.parquet", row_group_size=2000)
+    whole = (folder / "a.parquet").read_bytes()
+    at = pq.ParquetFile(folder / "a.parquet").metadata.row_group(1).column(0).data_page_offset
+    (folder / "b.parquet").write_bytes(whole[:at] + b"\xff" * 64 + whole[at + 64 :])
+    (folder / "c.parquet").write_bytes(whole[: len(whole) // 2])
+    got = {r["path"][-9:]: r for r in manifest.probe_files(spark, str(tmp_path)).collect()}
+    assert (got["a.parquet"]["row_groups"], got["a.parquet"]["rows"], got["a.parquet"]["bad_row_groups"], got["a.parquet"]["error"]) == (2, 4000, 0, None)
+    assert got["b.parquet"]["bad_row_groups"] == 1 and got["b.parquet"]["error"]
+    assert got["c.parquet"]["row_groups"] == 0 and got["c.parquet"]["error"]
+    assert manifest.probe_files(spark, str(tmp_path / "none")).collect() == []
+
+
+@pytest.fixture
+def raw_trips(spark):
+    return spark.createDataFrame([trip(), trip(distance=0.0)], TRIP).select(
         F.col("pickup_datetime").alias("tpep_pickup_datetime"),
         F.col("dropoff_datetime").alias("tpep_dropoff_datetime"),
         F.col("pickup_zone").alias("PULocationID"), F.col("dropoff_zone").alias("DOLocationID"),
         "trip_distance", "fare_amount", "tolls_amount", "passenger_count", "year_month")
-    source.write.partitionBy("year_month").parquet(f"{raw}/yellow")
-    assert ingest.ingest_new_files(spark, raw, "yellow", out, state, policy) >= 1
+
+
+def test_stream_reads_each_file_once(spark, policy, tmp_path, raw_trips):
+    raw, out, state = (str(tmp_path / n) for n in ("raw", "out", "state"))
+    raw_trips.coalesce(1).write.partitionBy("year_month").parquet(f"{raw}/yellow")
+    assert ingest.ingest_new_files(spark, raw, "yellow", out, state, policy) == 1
     assert ingest.ingest_new_files(spark, raw, "yellow", out, state, policy) == 0
-    source.write.mode("append").partitionBy("year_month").parquet(f"{raw}/yellow")
-    assert ingest.ingest_new_files(spark, raw, "yellow", out, state, policy) >= 1
+    raw_trips.coalesce(1).write.mode("append").partitionBy("year_month").parquet(f"{raw}/yellow")
+    assert ingest.ingest_new_files(spark, raw, "yellow", out, state, policy) == 1
     assert ingest.read_ingested(spark, out, "yellow").count() == 2
 
 
+def test_batch_takes_late_files_and_shares_with_the_stream(spark, policy, tmp_path, raw_trips):
+    raw, out, state = (str(tmp_path / n) for n in ("raw", "out", "state"))
+
+    def add():
+        raw_trips.coalesce(1).write.mode("append").partitionBy("year_month").parquet(f"{raw}/yellow")
+
+    assert manifest.ingest_files(spark, raw, out, policy) == 0
+    add()
+    assert manifest.ingest_files(spark, raw, out, policy) == 1
+    add()  # a late file of a month that is written
+    assert manifest.pending_files(spark, raw, out, "yellow").count() == 1
+    assert manifest.ingest_files(spark, raw, out, policy) == 1
+    assert manifest.ingest_files(spark, raw, out, policy) == 0
+    assert manifest.read_trips(spark, out).count() == 2
+    assert ingest.ingest_new_files(spark, raw, "yellow", out, state, policy) == 0  # a stream after the batches
+    add()
+    assert ingest.ingest_new_files(spark, raw, "yellow", out, state, policy) == 1
+    assert manifest.ingest_files(spark, raw, out, policy) == 0
+    rows = manifest.read_trips(spark, out)
+    assert rows.count() == 3 and set(rows.columns) == set(clean.CLEAN_COLUMNS)
+    assert manifest.read_trips(spark, out, ["green"]).count() == 0
+
+
+def test_half_a_commit_is_not_read_and_done_again(spark, policy, tmp_path, raw_trips):
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    raw_trips.coalesce(1).write.partitionBy("year_month").parquet(f"{raw}/yellow")
+    cleaned = clean.clean_trips(feeds.unify_feeds(feeds.scan_raw(spark, raw)), policy)
+    manifest.write_batch(cleaned, out, "dead")  # a run that died before its commit
+    assert manifest.read_trips(spark, out).count() == 0
+    assert manifest.ingest_files(spark, raw, out, policy) == 1
+    assert manifest.read_trips(spark, out).count() == 1
+    assert manifest.drop_uncommitted(spark, out) == 1 and manifest.drop_uncommitted(spark, out) == 0
+    assert manifest.read_trips(spark, out).count() == 1
+
+
+def test_changed_file_raises(spark, policy, tmp_path, raw_trips):
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    raw_trips.coalesce(1).write.partitionBy("year_month").parquet(f"{raw}/yellow")
+    manifest.ingest_files(spark, raw, out, policy)
+    file = next((tmp_path / "raw" / "yellow").rglob("*.parquet"))
+    file.write_bytes(file.read_bytes() + b" ")
+    with pytest.raises(ValueError, match="changed"):
+        manifest.ingest_files(spark, raw, out, policy)
+
+
 def test_missing_feed_is_skipped(spark, tmp_path):
     assert feeds.scan_raw(spark, str(tmp_path)) == {}
 
