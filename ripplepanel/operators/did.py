@@ -10,10 +10,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplepanel.functions.columns import poisson_one, portable_hash
 from ripplepanel.functions.tails import chi2_sf, student_two_sided
+from ripplepanel.operators.replicates import poisson_weights, replicate_sums
 from ripplepanel.operators.within import Z95, fit_two_way
 from ripplepanel.policy import Policy
+from ripplepanel.session import cut
 
 DID_SCHEMA = (
     "outcome string, ate double, se double, t_stat double, p_value double, ci_low double, "
@@ -157,9 +158,9 @@ def group_time_bootstrap(
 ) -> DataFrame:
     """Standard errors of ATT(t) from a zone bootstrap with Poisson(1) weights.
 
-    Zone-week sums are made first; each replicate only re-weights them, inside
-    the map side of one aggregate. The weight of a zone comes from a hash of
-    (zone, replicate, seed), so any engine draws the same numbers.
+    A zone has one array with its weights in all replicates, from a hash of
+    (zone, replicate, seed), so any engine draws the same numbers. Tasks multiply
+    arrays by zone-week sums; no row is copied per replicate.
     """
     tagged = panel.withColumn("cohort", cohort_column(policy))
     ref = _with_reference(
@@ -167,16 +168,14 @@ def group_time_bootstrap(
         anticipation, False).agg(F.max("ref_week")).scalar()
     zone_week = tagged.groupBy("zone_id", "treat_binary", "week").agg(
         F.sum(outcome).alias("s"), F.count(outcome).alias("n"))
-    weight = poisson_one(portable_hash("zone_id", "rep", seed=seed))
-    drawn = zone_week.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn(
-        "w", weight)
-    treated, control = F.col("treat_binary") == 1, F.col("treat_binary") == 0
-
-    def mean(arm: Column) -> Column:
-        return F.sum(F.when(arm, F.col("w") * F.col("s"))) / F.nullif(
-            F.sum(F.when(arm, F.col("w") * F.col("n"))), F.lit(0.0))
-
-    gaps = drawn.groupBy("rep", "week").agg((mean(treated) - mean(control)).alias("gap"))
+    weights = cut(zone_week.select("zone_id").distinct().withColumn(
+        "w", poisson_weights(["zone_id"], reps, seed, whole=False)), "weights")
+    sums = replicate_sums(
+        zone_week.join(weights, "zone_id"), F.col("w"), [F.col("s"), F.col("n")], ["treat_binary", "week"])
+    mean = F.try_divide(F.col("s")[0], F.col("s")[1])
+    gaps = sums.groupBy("rep", "week").agg(
+        (F.max(F.when(F.col("treat_binary") == 1, mean)) - F.max(F.when(F.col("treat_binary") == 0, mean))).alias("gap"))
+    gaps = cut(gaps, "gaps")
     # the reference row of each replicate joins back on rep: reps rows in all
     base = gaps.where(F.col("week") == ref).select("rep", F.col("gap").alias("gap_ref"))
     return gaps.join(base, "rep").groupBy(F.col("week").alias("period")).agg(

@@ -15,7 +15,9 @@ from ripplepanel.functions.columns import poisson_one, portable_hash
 
 def poisson_weights(keys: Sequence[str], replicates: int, seed: int | str, whole: bool = True) -> Column:
     """Poisson(1) weights of replicates 1 to ``replicates`` as an array; with ``whole`` a leading 1 for the data as is."""
-    drawn = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda b: poisson_one(portable_hash(*keys, b, seed=seed)))
+    # two steps: the weight asks for its hash several times
+    hashed = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda b: portable_hash(*keys, b, seed=seed))
+    drawn = F.transform(hashed, poisson_one)
     return F.concat(F.array(F.lit(1.0)), drawn) if whole else drawn
 
 
@@ -37,11 +39,16 @@ def replicate_sums(df: DataFrame, weights: Column, values: Sequence[Column], by:
                 continue
             w = np.nan_to_num(batch.column("_w").flatten().to_numpy(zero_copy_only=False).astype(float)).reshape(n, -1)
             v = batch.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            names, place = {}, np.zeros(n, np.int64)
-            for i, key in enumerate(zip(*[batch.column(k).to_pylist() for k in by], strict=True)) if by else ():
-                place[i] = names.setdefault(key, len(names))
-            for key, at in (names or {(): 0}).items():
-                rows = place == at
+            names: dict[tuple, int] = {}
+            place = np.zeros(n, np.int64)
+            if by:
+                place[:] = [names.setdefault(k, len(names)) for k in zip(*[batch.column(c).to_pylist() for c in by], strict=True)]
+            else:
+                names[()] = 0
+            order = np.argsort(place, kind="stable")
+            ends = np.cumsum(np.bincount(place, minlength=len(names)))
+            for key, end, start in zip(names, ends, np.append(0, ends[:-1]), strict=True):
+                rows = order[start:end]
                 total[key] = total.get(key, 0.0) + w[rows].T @ v[rows]
         for key, sums in total.items():
             reps = len(sums)

@@ -1,9 +1,11 @@
 """Two-way fixed effects by distributed sweeps plus a small solve.
 
 The panel is hashed by unit once and kept in memory or on local disk. Each sweep
-broadcast-joins the current time effects (a measured, written table), averages
-per unit without a shuffle, and shuffles one partial row per time key. Effects,
-not panel rows, are written between sweeps.
+joins a direction over the time keys (a written table, broadcast where it is
+small), takes it out of the unit means without a shuffle, and shuffles one
+partial row per time key. Conjugate gradients choose directions and step sizes
+from those rows, so a panel with gaps takes a few sweeps; only tables over the
+time axis are written between sweeps, and each goes once the next one is there.
 """
 
 from __future__ import annotations
@@ -12,17 +14,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ripplepanel.functions.tails import normal_two_sided_value
-from ripplepanel.session import cut
+from ripplepanel.session import cut_at, discard
 
 Z95 = 1.96
-# above this many products the sums run as matrix products on Arrow batches
-_SQL_PAIR_LIMIT = 150
 
 
 @dataclass
@@ -73,109 +74,141 @@ def two_way_demean(
     df: DataFrame, columns: Sequence[str], unit: str = "zone_id", time: str = "date",
     by: Sequence[str] = (), carry: Sequence[str] = (), tol: float = 1e-10, max_sweeps: int = 500,
 ) -> Demeaned:
-    """Alternating unit and time means until the time effects stand still.
+    """Columns net of unit and time means, by conjugate gradients on the time effects.
 
     Rows with a null in any column are left out. ``by`` batches independent
-    panels into the same job. A unit's rows are its periods, one per time key,
-    so the per-unit window stays as short as the time axis. Raises when the
-    sweeps have not settled: no half-converged result is returned.
+    panels into the same job; each column of each of them takes its own steps.
+    A unit's rows are its periods, one per time key, so the per-unit window
+    stays as short as the time axis. Done when the means that remain per period
+    are below ``tol`` of a column's size; raises when that takes more than
+    ``max_sweeps``: no half-converged result is returned.
     """
+    spark = df.sparkSession
     columns = list(dict.fromkeys(columns))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     extra = [c for c in dict.fromkeys(carry) if c not in {*by, unit, time, *columns}]
+    # without batches one constant is the batch key
+    batch = list(by) or ["_all"]
     base = (
-        df.selectExpr(*by, unit, time, *extra, *[f"cast({c} as double) as {c}" for c in columns])
+        df.selectExpr(*(by or ["0 as _all"]), unit, time, *extra, *[f"cast({c} as double) as {c}" for c in columns])
         .dropna(subset=columns)
-        .repartition(parts, *by, unit)
-        .sortWithinPartitions(*by, unit)
+        .repartition(parts, *batch, unit)
+        .sortWithinPartitions(*batch, unit)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    spread = base.selectExpr(*[f"max(abs({c})) as {c}" for c in columns]).first()
-    limits = {c: tol * max(spread[c] or 0.0, 1e-12) for c in columns}
+    try:
+        effects, sweeps = _time_effects(base, columns, unit, time, batch, tol, max_sweeps)
+    except BaseException:
+        base.unpersist()
+        raise
     # one text per column keeps the plan the same and spares thousands of calls
     # into the JVM for a wide regression
-    per_unit = f"over (partition by {', '.join([*by, unit])})"
-    keep = [*by, unit, time, *extra]
-
-    def swept(effects: DataFrame | None) -> DataFrame:
-        if effects is None:
-            work = base.selectExpr(*keep, *columns, *[f"0D as _g_{c}" for c in columns])
-        else:
-            work = base.join(effects, [*by, time])
-        return work.selectExpr(
-            *keep, *columns, *[f"_g_{c}" for c in columns],
-            *[f"avg({c} - _g_{c}) {per_unit} as _u_{c}" for c in columns])
-
-    effects, sweep = None, 0
-    while True:
+    per_unit = f"over (partition by {', '.join([*batch, unit])})"
+    frame = base.join(effects, [*batch, time]).selectExpr(
+        *by, unit, time, *extra, *[f"{c} - _g_{c} - avg({c} - _g_{c}) {per_unit} as t_{c}" for c in columns])
+    return Demeaned(base, frame, sweeps)
+
+
+def _time_effects(
+    base: DataFrame, columns: list[str], unit: str, time: str, batch: list[str], tol: float, max_sweeps: int,
+) -> tuple[DataFrame, int]:
+    """Effects ``_g_<column>`` per batch and time key, and the sweeps they took.
+
+    The effects solve M g = r, where r sums what unit means leave per period. A
+    sweep over the panel gives M times a direction; steps and directions follow
+    from sums over the time axis, weighted by rows per period.
+    """
+    spark = base.sparkSession
+    keys = [*batch, time]
+    per_unit = f"over (partition by {', '.join([*batch, unit])})"
+    spread = base.selectExpr(*[f"max(abs({c})) as {c}" for c in columns]).first()
+    limits = {c: tol * max(spread[c] or 0.0, 1e-12) for c in columns}
+    left = base.selectExpr(*keys, *[f"{c} - avg({c}) {per_unit} as {c}" for c in columns])
+    start = left.groupBy(*keys).agg(F.expr("cast(count(1) as double) as _n"), *[F.expr(f"sum({c}) as _r_{c}") for c in columns])
+    state, path = cut_at(start.selectExpr(
+        *keys, "_n", *[f"_r_{c}" for c in columns], *[f"_r_{c} / _n as _p_{c}" for c in columns], *[f"0D as _g_{c}" for c in columns]), "effects")
+    written, sweep = [path], 1
+    moved = state.selectExpr(*[f"max(abs(_p_{c})) as {c}" for c in columns]).first()
+    while any((moved[c] or 0.0) > limits[c] for c in columns):
         sweep += 1
         if sweep > max_sweeps:
-            base.unpersist()
             raise RuntimeError(f"fixed effects did not settle in {max_sweeps} sweeps")
-        # the mean remaining after this sweep's unit means is the move of the effect
-        fresh = swept(effects).groupBy(*by, time).agg(
-            F.expr("struct(" + ", ".join(
-                f"avg({c} - _u_{c}) as {c}" for c in columns) + ") as _new"),
-            F.expr("struct(" + ", ".join(f"first(_g_{c}) as {c}" for c in columns) + ") as _old"))
+        along = base.select(*keys, unit).join(state.select(*keys, *[f"_p_{c}" for c in columns]), keys)
+        through = along.selectExpr(*keys, *[f"_p_{c} - avg(_p_{c}) {per_unit} as _q_{c}" for c in columns])
+        through = through.groupBy(*keys).agg(*[F.expr(f"sum(_q_{c}) as _q_{c}") for c in columns])
+        step, path = cut_at(state.join(through, keys), "direction")
+        written.append(path)
+        # a row per batch key: step sizes, then the next directions' shares
+        size = step.groupBy(*batch).agg(*[F.expr(
+            f"coalesce(try_divide(sum(_r_{c} * _r_{c} / _n), sum(_p_{c} * _q_{c})), 0D) as _a_{c}") for c in columns],
+            *[F.expr(f"sum(_r_{c} * _r_{c} / _n) as _z_{c}") for c in columns])
+        stepped = step.join(size, batch).selectExpr(
+            *keys, "_n", *[f"_z_{c}" for c in columns], *[f"_p_{c}" for c in columns],
+            *[f"_r_{c} - _a_{c} * _q_{c} as _r_{c}" for c in columns], *[f"_g_{c} + _a_{c} * _p_{c} as _g_{c}" for c in columns])
+        turn = stepped.groupBy(*batch).agg(*[F.expr(
+            f"coalesce(try_divide(sum(_r_{c} * _r_{c} / _n), max(_z_{c})), 0D) as _b_{c}") for c in columns])
         seen = Observation()
-        fresh = fresh.observe(seen, *[
-            F.expr(f"max(abs(_new.{c} - _old.{c})) as {c}") for c in columns])
-        effects = cut(fresh.selectExpr(
-            *by, time, *[f"_new.{c} as _g_{c}" for c in columns]), "effects")
+        state, path = cut_at(stepped.join(turn, batch).selectExpr(
+            *keys, "_n", *[f"_r_{c}" for c in columns], *[f"_r_{c} / _n + _b_{c} * _p_{c} as _p_{c}" for c in columns],
+            *[f"_g_{c}" for c in columns]).observe(seen, *[F.expr(f"max(abs(_r_{c} / _n)) as {c}") for c in columns]), "effects")
         moved = seen.get
-        if all((moved.get(c) or 0.0) <= limits[c] for c in columns) and sweep > 1:
-            break
-    frame = swept(effects).selectExpr(
-        *keep, *[f"{c} - _g_{c} - _u_{c} as t_{c}" for c in columns])
-    return Demeaned(base, frame, sweep)
+        for old in written:
+            discard(spark, old)
+        written = [path]
+    return state.select(*keys, *[f"_g_{c}" for c in columns]), sweep
 
 
 def cross_sums(
     df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()
 ) -> dict[tuple, dict[tuple[str, str], float]]:
-    """Sum of a*b for each pair and batch key, plus the row count under ("", "")."""
+    """Sum of a*b for each pair and batch key, plus the row count under ("", "").
+
+    A null counts as 0 in its products. Each task multiplies its rows as
+    matrices, so what is shuffled is one row per task, key and pair.
+    """
     pairs = list(dict.fromkeys(pairs))
-    if len(pairs) <= _SQL_PAIR_LIMIT:
-        sums = [F.expr(f"sum({a} * {b}) as _{i}") for i, (a, b) in enumerate(pairs)]
-        rows = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *sums).collect()
-        return {
-            tuple(r[k] for k in by): {
-                ("", ""): r["_n"], **{p: (r[f"_{i}"] or 0.0) for i, p in enumerate(pairs)}}
-            for r in rows if r["_n"]
-        }
     names = sorted({c for p in pairs for c in p})
     spot = {c: i for i, c in enumerate(names)}
-    width = len(names)
-    key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}"
-                           for f in df.select(*by).schema.fields)
-    schema = (key_fields + ", " if by else "") + "_at int, _v double"
+    left, right = (np.array([spot[p[k]] for p in pairs], int) for k in (0, 1))
+    fields = df.select(*by).schema.fields
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in fields], "_at int, _v double"])
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names]
 
     def partial(batches):
         totals: dict[tuple, np.ndarray] = {}
-        for pdf in batches:
-            groups = pdf.groupby(list(by), sort=False) if by else [((), pdf)]
-            for key, part in groups:
-                x = part[names].to_numpy(float)
-                flat = np.append((x.T @ x).ravel(), float(len(x)))
-                key = key if isinstance(key, tuple) else (key,)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            found: dict[tuple, int] = {}
+            place = np.zeros(n, np.int64)
+            if by:
+                place[:] = [found.setdefault(k, len(found)) for k in zip(*[batch.column(c).to_pylist() for c in by])]
+            else:
+                found[()] = 0
+            order = np.argsort(place, kind="stable")
+            ends = np.cumsum(np.bincount(place, minlength=len(found)))
+            for key, end, start in zip(found, ends, np.append(0, ends[:-1])):
+                part = x[order[start:end]]
+                flat = np.append((part.T @ part)[left, right], float(len(part)))
                 totals[key] = totals.get(key, 0.0) + flat
         for key, flat in totals.items():
-            out = pd.DataFrame({"_at": np.arange(len(flat), dtype="int32"), "_v": flat})
-            for name, value in zip(by, key):
-                out.insert(0, name, value)
-            yield out[[*by, "_at", "_v"]]
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array([v] * len(flat), kind) for v, kind in zip(key, kinds)],
+                 pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], [*by, "_at", "_v"])
 
     summed = (
-        df.select(*by, *names).mapInPandas(partial, schema)
+        df.select(*by, F.array(*values).alias("_x")).mapInArrow(partial, schema)
         .groupBy(*by, "_at").agg(F.sum("_v").alias("_v")).collect()
     )
     flats: dict[tuple, np.ndarray] = {}
     for r in summed:
         key = tuple(r[k] for k in by)
-        flats.setdefault(key, np.zeros(width * width + 1))[r["_at"]] = r["_v"]
+        flats.setdefault(key, np.zeros(len(pairs) + 1))[r["_at"]] = r["_v"]
     return {
-        key: {("", ""): int(flat[-1]),
-              **{(a, b): float(flat[spot[a] * width + spot[b]]) for a, b in pairs}}
+        key: {("", ""): int(flat[-1]), **{p: float(v) for p, v in zip(pairs, flat)}}
         for key, flat in flats.items()
     }
 

@@ -64,7 +64,18 @@ def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
     Cuts the lineage in one pass over the data, survives lost executors, and
     gives the optimizer a real size to decide broadcasts on.
     """
+    return cut_at(df, tag)[0]
+
+
+def cut_at(df: DataFrame, tag: str = "cut") -> tuple[DataFrame, str]:
+    """``cut``, with the folder of the written table, for callers that delete it once it is no longer read."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``cut_at`` wrote."""
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)

@@ -24,16 +24,55 @@ def test_two_way_fit_equals_dummy_regression(spark, gappy):
     assert np.sqrt(np.diag(fit.cov)) == pytest.approx(se, rel=1e-6)
 
 
-def test_wide_products_match_narrow(spark, gappy, monkeypatch):
+def test_batches_match_fits_of_their_own(spark, gappy):
     df = gappy.assign(tp=gappy.treat_binary * gappy.post, g=gappy.zone_id % 2)
-    narrow = fit_two_way(spark.createDataFrame(df), ["log_trip_count"], ["tp", "x"], by=["g"])
-    monkeypatch.setattr(within, "_SQL_PAIR_LIMIT", 0)
-    wide = fit_two_way(spark.createDataFrame(df), ["log_trip_count"], ["tp", "x"], by=["g"])
-    a, b = ({f.key: f for f in fits} for fits in (narrow, wide))
-    for key in a:
-        assert a[key].beta == pytest.approx(b[key].beta, nan_ok=True)
-        assert a[key].cov == pytest.approx(b[key].cov, nan_ok=True)
-        assert a[key].n_obs == b[key].n_obs
+    both = {f.key: f for f in fit_two_way(spark.createDataFrame(df), ["log_trip_count"], ["tp", "x"], by=["g"])}
+    for g in (0, 1):
+        own = fit_two_way(spark.createDataFrame(df[df.g == g]), ["log_trip_count"], ["tp", "x"])[0]
+        assert both[(g,)].beta == pytest.approx(own.beta, nan_ok=True, abs=1e-9)
+        assert both[(g,)].cov == pytest.approx(own.cov, nan_ok=True, abs=1e-9)
+        assert both[(g,)].n_obs == own.n_obs
+
+
+def test_products_take_a_null_as_zero(spark):
+    df = spark.createDataFrame([(1, 2.0, 3.0), (1, None, 5.0), (2, 1.0, None)], "g int, a double, b double")
+    got = within.cross_sums(df, [("a", "b"), ("b", "b")], ["g"])
+    assert got == {(1,): {("", ""): 2, ("a", "b"): 6.0, ("b", "b"): 34.0}, (2,): {("", ""): 1, ("a", "b"): 0.0, ("b", "b"): 0.0}}
+    assert within.cross_sums(df, [("a", "a")])[()] == {("", ""): 3, ("a", "a"): 5.0}
+    assert within.cross_sums(df.limit(0), [("a", "a")], ["g"]) == {}
+
+
+def plain_sweeps(df, columns, tol=1e-10):
+    """Alternating means until the time effects stand still, and how often that takes."""
+    unit, time = df.zone_id.to_numpy(), df.date.astype("category").cat.codes.to_numpy()
+    count = 0
+    for c in columns:
+        y, g = df[c].to_numpy(float), np.zeros(time.max() + 1)
+        for sweep in range(1, 5000):
+            u = pd.Series(y - g[time]).groupby(unit).mean()
+            fresh = pd.Series(y - u.loc[unit].to_numpy()).groupby(time).mean().to_numpy()
+            moved, g = np.abs(fresh - g).max(), fresh
+            if moved <= tol * np.abs(y).max():
+                break
+        count = max(count, sweep)
+    return count
+
+
+def test_few_sweeps_on_a_panel_with_gaps(spark):
+    rng = np.random.default_rng(9)
+    df = panel(n_units=40, n_weeks=30, seed=2)
+    # units come and go: neighbours overlap for a few weeks only
+    at = df.date.astype("category").cat.codes
+    df = df[(at - df.zone_id * 0.7).abs() < 4 + rng.integers(0, 2, len(df))].reset_index(drop=True)
+    columns = ["log_trip_count", "x"]
+    with two_way_demean(spark.createDataFrame(df), columns) as net:
+        got = net.frame.toPandas().sort_values(["zone_id", "date"])
+    df = df.sort_values(["zone_id", "date"])
+    d = np.hstack([pd.get_dummies(df.zone_id).to_numpy(float), pd.get_dummies(df.date).to_numpy(float)])
+    for c in columns:
+        want = df[c] - d @ np.linalg.lstsq(d, df[c], rcond=None)[0]
+        assert got[f"t_{c}"].to_numpy() == pytest.approx(want.to_numpy(), abs=1e-8)
+    assert 3 * net.sweeps <= plain_sweeps(df, columns)
 
 
 def test_absorbed_regressor_is_not_identified(spark, gappy):
