@@ -9,9 +9,11 @@
    similarity 0.8 shares no bucket with probability 5e-8, one of similarity 0.16 shares one with probability 2e-4.
 3. Each bucket has a pivot, the class that shares most buckets with others. A class is confirmed with the pivot it
    meets most often: one pair per class, which joins most copies of a large group.
-4. What is left are buckets that hold classes of several groups. Their groups are paired first, as one row per
-   bucket and group; only pairs of different groups whose sizes allow a link are spread into pairs of classes.
-   No pair of different groups that share a bucket is left out, and no pair within a group is made.
+4. What is left are buckets that hold classes of several groups. Pairs of these that share a shingle which few hold
+   are found by it. All other pairs overlap in common shingles only; most edited copies hold too few of them for any
+   link and end there. Of the rest, groups are paired as one row per bucket and group; only pairs of different groups
+   that sizes and common shingles allow are spread into pairs of classes. No pair that can be a link is left out, and
+   no pair within a group is made.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -37,6 +39,8 @@ CHUNK, REMEMBERED = 200_000, 500_000
 #: Bits of the filter that picks the documents whose sets are needed.
 FILTER_BITS = 25
 SALTS = 16
+#: A shingle that more classes hold is common.
+RARE = 8
 _EMPTY = np.uint64(np.iinfo(np.uint64).max)
 
 
@@ -209,22 +213,71 @@ def _star(met: DataFrame, over: int, under: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _across(met: DataFrame, groups: DataFrame, over: int, under: int) -> DataFrame:
-    """Every pair of classes of different groups that share a bucket and whose sizes allow a link."""
-    placed = met.join(groups, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    cells = placed.groupBy("bucket", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    several = cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    cells = cut(cells.join(several, "bucket", "left_semi"), "cells")
-    placed = cut(placed.join(cells.select("bucket", "comp"), ["bucket", "comp"], "left_semi"), "placed")
-    a, b = cells.alias("a"), cells.alias("b")
-    met_groups = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.comp") < F.col("b.comp"))
-                        & (under * F.col("a.high") >= over * F.col("b.low")) & (under * F.col("b.high") >= over * F.col("a.low")))
-    met_groups = met_groups.select(F.col("a.bucket").alias("bucket"), F.col("a.comp").alias("comp"), F.col("b.comp").alias("comp_b"))
-    first = placed.select("bucket", "comp", F.col("cls").alias("a"), F.col("n").alias("n_a"))
-    second = placed.select("bucket", F.col("comp").alias("comp_b"), F.col("cls").alias("b"), F.col("n").alias("n_b"))
-    pairs = met_groups.join(first, ["bucket", "comp"]).join(second, ["bucket", "comp_b"])
-    pairs = pairs.where(under * F.least("n_a", "n_b") >= over * F.greatest("n_a", "n_b"))
-    return cut(pairs.select("a", "b").distinct(), "across")
+def _spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cls, shingle) of packed sets."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 500):
+            part = batch.slice(start, 500)
+            sets = [_unpacked(s.as_buffer()) for s in part.column("shingles")]
+            owner = np.repeat(part.column("cls").to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(sets).view(np.int64))], ["cls", "shingle"])
+
+
+def _several(placed: DataFrame) -> DataFrame:
+    """One row per bucket and group, of the buckets that hold several groups."""
+    cells = placed.groupBy("bucket", "comp").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("held").alias("held"), F.count(F.lit(1)).alias("members"))
+    groups = cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    return cells.join(groups, "bucket", "left_semi")
+
+
+def _across(met: DataFrame, groups: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
+    """Every pair of classes of different groups that share a bucket and can still be similar enough.
+
+    Shingles that few of the classes in question hold are told from common ones. A pair that shares a rare shingle is
+    found by it, at most RARE classes each. Any other pair overlaps in common shingles only, so in min(held) at most
+    with ``held`` a class's common shingles, which rules out most edited copies without pairing them with their family.
+    """
+    placed = met.join(groups, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).withColumn("held", F.col("n"))
+    mixed = _several(placed).select("bucket", "comp")
+    placed = cut(placed.drop("held").join(mixed, ["bucket", "comp"], "left_semi"), "mixed")
+    classes = placed.groupBy("cls").agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
+    asked = sets.join(classes.select("cls"), "cls", "left_semi").mapInArrow(_spread, "cls long, shingle long")
+    few = asked.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= RARE)
+    rare = cut(asked.join(few, "shingle"), "rare")
+    known = rare.groupBy("cls").agg(F.count(F.lit(1)).alias("rare"))
+    placed = placed.join(known, "cls", "left").withColumn("held", F.col("n") - F.coalesce("rare", F.lit(0))).drop("rare")
+    placed = cut(placed.where(under * F.col("held") >= over * F.col("n")), "placed")
+
+    ends = rare.where("df > 1").join(classes, "cls")
+    left, right = (ends.select("shingle", F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("comp").alias(f"comp_{x}")) for x in "ab")
+    by_rare = left.join(right, "shingle").where(
+        (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))
+        & (under * F.least("n_a", "n_b") >= over * F.greatest("n_a", "n_b"))).select("a", "b").distinct()
+
+    def possible(x: str, y: str) -> Column:
+        """Whether sizes and held shingles of two sides, given at their best, allow a link."""
+        both = F.least(f"held_{x}", f"held_{y}") * (over + under) >= over * (F.col(f"low_{x}") + F.col(f"low_{y}"))
+        return both & (under * F.col(f"high_{x}") >= over * F.col(f"low_{y}")) & (under * F.col(f"high_{y}") >= over * F.col(f"low_{x}"))
+
+    cells = cut(_several(placed), "cells")
+    names = ("comp", "low", "high", "held", "members")
+    a = cells.select("bucket", *[F.col(c).alias(f"{c}_a") for c in names])
+    b = cells.select("bucket", *[F.col(c).alias(f"{c}_b") for c in names])
+    # a pair is taken in the least of the buckets it shares; a class has as many as there are bands
+    own = cut(placed.groupBy("cls").agg(F.collect_set("bucket").alias("own")), "own")
+    placed = placed.join(own, "cls")
+    # the side with fewer members is spread first
+    fewer = F.struct("members_a", "comp_a") < F.struct("members_b", "comp_b")
+    met_groups = a.join(b, "bucket").where(fewer & possible("a", "b"))
+    for side, other in (("a", "b"), ("b", "a")):
+        row = placed.select("bucket", F.col("comp").alias(f"comp_{side}"), F.col("cls").alias(side), F.col("own").alias(f"own_{side}"),
+                            *[F.col(c).alias(f"{d}_{side}") for c, d in (("n", "low"), ("n", "high"), ("held", "held"))])
+        met_groups = met_groups.drop(*[f"{c}_{side}" for c in ("low", "high", "held")]).join(
+            row, ["bucket", f"comp_{side}"]).where(possible(side, other))
+    by_common = met_groups.where(F.col("bucket") == F.array_min(F.array_intersect("own_a", "own_b")))
+    by_common = by_common.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return cut(by_common.union(by_rare).distinct(), "across")
 
 
 def sketch_groups(
@@ -251,7 +304,7 @@ def sketch_groups(
     sets = _whole_sets(rows, met.select("cls").distinct().join(lead, "cls"), size)
     links = _confirmed(_star(met, over, under), sets, over, under, "star_links")
     groups = components(links, "star_groups")
-    links = links.unionByName(_confirmed(_across(met, groups, over, under), sets, over, under, "across_links"))
+    links = links.unionByName(_confirmed(_across(met, groups, sets, over, under), sets, over, under, "across_links"))
     groups = components(links, "sketch_groups")
 
     least = groups.join(lead, "cls").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
