@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ripplepanel.functions.columns import present
+from ripplepanel.operators.panel import cells_of
 from ripplepanel.plans import binding
 from ripplepanel.session import cut, scratch_root
 
@@ -48,10 +49,15 @@ class Context:
     def trips(self) -> DataFrame:
         return binding.star_clean(self.spark, self.sf_dir)
 
+    def days(self) -> DataFrame:
+        """Cells of days: the one pass over the trips that all panels come from."""
+        return self.shared("days", lambda: cells_of(self.trips(), "day"))
+
     def panel(self, unit: str = "month", min_trips: int = 5) -> DataFrame:
         return self.shared(
             f"panel_{unit}_{min_trips}",
-            lambda: binding.star_panel_with_dose(self.spark, self.sf_dir, unit, min_trips))
+            lambda: binding.star_panel_with_dose(
+                self.spark, self.sf_dir, unit, min_trips, None if unit == "hour" else self.days()))
 
     def weeks(self) -> DataFrame:
         """Week panel with every cell of every week."""

@@ -28,10 +28,11 @@ def aggregate_cells(
 ) -> DataFrame:
     """One row per (zone_id, date) cell with counts, means, sums and maxima.
 
-    Two-level: the event rows collapse to (zone, period, kind) by a hash
-    aggregate over fixed-width buffers, combined before the shuffle, so a zone
-    with a third of all events costs one row per task. Picking the commonest
-    kind (smallest name on ties) happens on those few rows.
+    For any kind column; trips of known feeds go through ``cells_of``. Two-level:
+    the event rows collapse to (zone, period, kind) by a
+    hash aggregate over fixed-width buffers, combined before the shuffle, so a
+    zone with a third of all events costs one row per task. Picking the
+    commonest kind (smallest name on ties) happens on those few rows.
     """
     keys = [F.col(zone_col).alias("zone_id"), period_start(F.col(time_col), unit).alias("date")]
     kind = F.col(kind_col) if kind_col else F.lit(None).cast("string")
@@ -55,6 +56,66 @@ def aggregate_cells(
     return first.groupBy("zone_id", "date").agg(*out)
 
 
+# output -> trip column it averages, sums or takes the maximum of
+MEANS = {
+    "avg_distance": "trip_distance", "avg_duration": "trip_duration_min", "avg_fare": "fare_amount",
+    "avg_cbd_fee": "cbd_congestion_fee", "airport_share": "is_airport_trip", "peak_share": "is_peak",
+}
+SUMS = {"surcharge_sum": "surcharge_total", "cbd_fee_total": "cbd_congestion_fee"}
+MAXIMA = {"weekend_flag": "is_weekend"}
+#: Feeds that are counted one by one; trips of any other are counted together.
+KINDS = ("fhvhv", "green", "yellow")
+OTHER = "other"
+
+
+def _parts() -> dict[str, Column]:
+    """What a cell holds of its trips: counts per feed, sums and counts of what is averaged, sums, maxima.
+
+    All of fixed width and all mergeable, so cells add up to cells of longer periods.
+    """
+    kind = F.col("trip_type")
+    known = kind.isin(list(KINDS))
+    out = {"trip_count": F.count(F.lit(1))}
+    out |= {f"_n_{k}": F.count_if(kind == k) for k in KINDS}
+    out[f"_n_{OTHER}"] = F.count_if(F.coalesce(~known, F.lit(False)))
+    out |= {f"_s_{o}": F.sum(c) for o, c in MEANS.items()} | {f"_c_{o}": F.count(c) for o, c in MEANS.items()}
+    out |= {o: F.sum(c) for o, c in SUMS.items()} | {o: F.max(c) for o, c in MAXIMA.items()}
+    return out
+
+
+def cells_of(
+    trips: DataFrame, unit: str, zone_col: str = "pickup_zone", time_col: str | None = None
+) -> DataFrame:
+    """One row per (zone_id, date) with everything a panel needs, in one exchange.
+
+    Trips collapse by a hash aggregate over fixed-width buffers, combined before
+    the shuffle: a zone with a third of all trips costs one row per task.
+    """
+    time_col = time_col or ("pickup_datetime" if unit == "hour" else "pickup_date")
+    return trips.groupBy(
+        F.col(zone_col).alias("zone_id"), period_start(F.col(time_col), unit).alias("date")
+    ).agg(*[c.alias(o) for o, c in _parts().items()])
+
+
+def roll_up(cells: DataFrame, unit: str) -> DataFrame:
+    """Cells of days as cells of weeks or months; trips are not read again."""
+    merged = [F.max(o).alias(o) if o in MAXIMA else F.sum(o).alias(o) for o in _parts()]
+    return cells.groupBy("zone_id", period_start(F.col("date"), unit).alias("date")).agg(*merged)
+
+
+def finish_cells(cells: DataFrame) -> DataFrame:
+    """Means, and the commonest feed of a cell (the smallest name on ties), from its counts and sums."""
+    counts = {k: F.col(f"_n_{k}") for k in sorted((*KINDS, OTHER))}
+    most = F.greatest(*counts.values())
+    commonest = F.lit(None).cast("string")
+    for k in sorted(counts, reverse=True):
+        commonest = F.when((counts[k] == most) & (most > 0), F.lit(k)).otherwise(commonest)
+    return cells.select(
+        "zone_id", "date", "trip_count",
+        *[F.try_divide(F.col(f"_s_{o}").cast("double"), F.col(f"_c_{o}")).alias(o) for o in MEANS],
+        *SUMS, *MAXIMA, commonest.alias("trip_type_agg"))
+
+
 def build_panel(
     trips: DataFrame, policy: Policy, unit: str = "day", min_trips: int = 5,
     trip_types: Sequence[str] | None = None, surge_level: float | None = None,
@@ -62,23 +123,19 @@ def build_panel(
     """Clean trips to a zone x period panel with outcome and time columns.
 
     With ``surge_level`` it gets the column ``surge_share`` of that quantile.
+    For several periods make ``cells_of(trips, "day")`` once and take
+    ``panel_from_cells`` of its ``roll_up``.
     """
     if trip_types is not None:
         trips = trips.where(F.col("trip_type").isin(list(trip_types)))
-    cells = aggregate_cells(
-        trips, unit, "pickup_zone", "pickup_datetime" if unit == "hour" else "pickup_date",
-        means={
-            "avg_distance": "trip_distance", "avg_duration": "trip_duration_min",
-            "avg_fare": "fare_amount", "avg_cbd_fee": "cbd_congestion_fee",
-            "airport_share": "is_airport_trip", "peak_share": "is_peak",
-        },
-        sums={"surcharge_sum": "surcharge_total", "cbd_fee_total": "cbd_congestion_fee"},
-        maxima={"weekend_flag": "is_weekend"},
-        kind_col="trip_type",
-    )
-    dense = drop_sparse(cells, min_trips)
+    panel = panel_from_cells(cells_of(trips, unit), policy, min_trips)
     if surge_level is not None:
-        dense = dense.join(surge_share(trips, policy, unit, surge_level), ["zone_id", "date"], "left")
+        panel = panel.join(surge_share(trips, policy, unit, surge_level), ["zone_id", "date"], "left")
+    return panel
+
+
+def panel_from_cells(cells: DataFrame, policy: Policy, min_trips: int = 5) -> DataFrame:
+    dense = drop_sparse(finish_cells(cells), min_trips)
     return add_time_columns(dense.withColumn("log_trip_count", F.log1p("trip_count")), policy)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplepanel.operators.clean import clean_trips, month_label
-from ripplepanel.operators.panel import build_panel
+from ripplepanel.operators.panel import build_panel, panel_from_cells, roll_up
 from ripplepanel.operators.treatment import assign_dose, assign_treatment, enrich_zones
 from ripplepanel.policy import Policy
 from ripplepanel.session import cut
@@ -117,16 +117,23 @@ def zone_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
         borough_code(F.col("r_name"), STAR_POLICY).alias("borough_code"))
 
 
-def star_panel(spark: SparkSession, sf_dir: str, unit: str, min_trips: int) -> DataFrame:
-    """Panel with zone facts and treatment attached, dose still missing."""
-    panel = build_panel(star_clean(spark, sf_dir), STAR_POLICY, unit, min_trips)
+def star_panel(
+    spark: SparkSession, sf_dir: str, unit: str, min_trips: int, days: DataFrame | None = None
+) -> DataFrame:
+    """Panel with zone facts and treatment attached, dose still missing. ``days`` are cells of days, if made."""
+    if days is None:
+        panel = build_panel(star_clean(spark, sf_dir), STAR_POLICY, unit, min_trips)
+    else:
+        panel = panel_from_cells(days if unit == "day" else roll_up(days, unit), STAR_POLICY, min_trips)
     return assign_treatment(
         enrich_zones(panel, zone_dimension(spark, sf_dir)), STAR_POLICY)
 
 
-def star_panel_with_dose(spark: SparkSession, sf_dir: str, unit: str, min_trips: int) -> DataFrame:
-    # the dose needs quantiles of the panel: aggregate the trips once, not per pass
-    return assign_dose(cut(star_panel(spark, sf_dir, unit, min_trips), "panel"))
+def star_panel_with_dose(
+    spark: SparkSession, sf_dir: str, unit: str, min_trips: int, days: DataFrame | None = None
+) -> DataFrame:
+    # the dose needs quantiles of the panel: aggregate once, not per pass
+    return assign_dose(cut(star_panel(spark, sf_dir, unit, min_trips, days), "panel"))
 
 
 def parcel_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:

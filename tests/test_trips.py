@@ -275,11 +275,42 @@ def test_ranges_reach_the_reader_and_cleaning_never_shuffles(spark, policy, tmp_
     assert "Exchange" not in plan and "unused" not in plan
 
 
-def test_panel_combines_before_the_shuffle(spark, policy):
-    built = panels.build_panel(
-        clean.clean_trips(spark.createDataFrame([trip()], TRIP), policy), policy, "day", 1)
-    plan = plan_of(built)
-    assert "partial_sum" in plan and "partial_count" in plan
-    # trips meet a hash aggregate; only the few pre-aggregated rows may sort
-    first = plan.rindex("partial_count(1)")
-    assert "HashAggregate" in plan[plan.rindex("\n", 0, first):first]
+def test_panel_is_one_hash_aggregate_and_one_exchange(spark, policy):
+    trips = clean.clean_trips(spark.createDataFrame([trip()], TRIP), policy)
+    plan = plan_of(panels.build_panel(trips, policy, "day", 1))
+    assert plan.count("Exchange") == 1 and "SortAggregate" not in plan and "partial_sum" in plan
+    days = panels.cells_of(trips, "day")
+    plan = plan_of(panels.panel_from_cells(panels.roll_up(days, "month"), policy, 1))
+    assert "SortAggregate" not in plan
+
+
+@pytest.mark.parametrize("unit", ["week", "month"])
+def test_rolled_up_days_equal_the_direct_panel(spark, policy, unit):
+    rows = [trip(pickup=5, fee=1.5), trip(pickup=5, minutes=20.0, distance=3.0), trip(pickup=7)] * 3
+    df = spark.createDataFrame(rows, TRIP).withColumn(
+        "pickup_datetime", F.expr("pickup_datetime + make_dt_interval(cast(fare_amount as int) % 3)"))
+    df = df.withColumn("_i", F.monotonically_increasing_id()).withColumn(
+        "trip_type", F.element_at(F.array(F.lit("green"), F.lit("yellow"), F.lit("rickshaw")), (F.col("_i") % 3 + 1).cast("int")))
+    shift = F.make_dt_interval((F.col("_i") % 9).cast("int"))
+    df = df.withColumn("pickup_datetime", F.col("pickup_datetime") + shift).withColumn(
+        "dropoff_datetime", F.col("dropoff_datetime") + F.expr("make_dt_interval(1)") + shift).drop("_i")
+    trips = clean.clean_trips(df, policy, clean.QualityLimits(minutes=(0.0, 1e6))).cache()
+    direct = panels.build_panel(trips, policy, unit, 1)
+    rolled = panels.panel_from_cells(panels.roll_up(panels.cells_of(trips, "day"), unit), policy, 1)
+    key = lambda r: (r["zone_id"], r["date"])
+    a, b = (sorted(d.collect(), key=key) for d in (direct, rolled))
+    assert a == b and len(a) > 1
+    general = panels.aggregate_cells(
+        trips, unit, "pickup_zone", "pickup_date", {"avg_fare": "fare_amount"}, {}, {}, "trip_type")
+    assert sorted((r["zone_id"], r["date"], r["trip_count"], r["avg_fare"]) for r in general.collect()) == [
+        (r["zone_id"], r["date"], r["trip_count"], r["avg_fare"]) for r in a]
+
+
+def test_commonest_feed_takes_the_smallest_name(spark, policy):
+    def named(kind, pickup):
+        return (*trip(pickup=pickup)[:-2], kind, "2025-01")
+
+    rows = [named("yellow", 5), named("green", 5), named("rickshaw", 7), named("tram", 7), named("yellow", 7), named(None, 9)]
+    got = {r["zone_id"]: (r["trip_type_agg"], r["trip_count"]) for r in panels.build_panel(
+        clean.clean_trips(spark.createDataFrame(rows, TRIP), policy), policy, "day", 1).collect()}
+    assert got == {5: ("green", 2), 7: ("other", 3), 9: (None, 1)}
