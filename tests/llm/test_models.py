@@ -142,6 +142,29 @@ def test_kept_shares_meet_targets_under_the_bound(spark, docs):
             assert (short.most < keep).all() if keep > most else short.empty
 
 
+def test_raked_cells_equal_a_plain_rake(spark, docs):
+    """Factors by plain rounds in numpy, to a much finer tolerance; then the draws, one by one."""
+    made = mixing.cell_probabilities(docs, keep_share=0.25).toPandas().sort_values(["_source", "_lang", "_topic"]).reset_index(drop=True)
+    weight = np.ones(len(made))
+    codes = {d: made[f"_{d}"].astype("category").cat.codes.to_numpy() for d in mixing.DIMENSIONS}
+    tokens = made.tokens.to_numpy(float)
+    aims = {}
+    for d, at in codes.items():
+        raw = np.bincount(at, tokens) ** mixing.TEMPER[d]
+        aims[d] = raw / raw.sum()
+    for _ in range(3000):
+        for d, at in codes.items():
+            now = np.bincount(at, tokens * weight)
+            weight = weight * (aims[d] / np.where(now > 0, now, 1))[at]
+    assert np.allclose(made.weight, weight, rtol=5e-3, atol=0)
+    for d, at in codes.items():
+        assert np.allclose(np.bincount(at, tokens * made.weight), aims[d], rtol=2e-4)
+    drawn = mixing.sample_mixture(docs, keep_share=0.25).toPandas()
+    cells = mixing.with_cells(docs).select("doc_id", "_source", "_lang", "_topic", "_draw").toPandas().merge(made, on=["_source", "_lang", "_topic"])
+    want = dict(zip(cells.doc_id, cells._draw < cells.probability))
+    assert {r.doc_id: r.kept for r in drawn.itertuples()} == want
+
+
 def test_unseen_language_is_rejected(spark, docs):
     rejected, lost = {}, []
     for left_out in ("de", "en", "es", "fr"):
