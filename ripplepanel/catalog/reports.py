@@ -14,8 +14,9 @@ from ripplepanel.catalog.regression_sql import one_regressor, sweeps
 from ripplepanel.catalog.sqltext import (
     MONTH, WEEK1, compose, fixed, normal_p, real, stars, whole,
 )
-from ripplepanel.operators import cate, did, dose, synth
-from ripplepanel.plans import binding, figures, reports
+from ripplepanel.operators import cate, did, dose, panel, synth
+from ripplepanel.plans import binding, figures, ladder, reports
+from ripplepanel.sources import results
 
 _MAIN = {
     **sweeps("(SELECT *, treat_binary*post AS treat_post FROM panel_week_1)",
@@ -249,3 +250,51 @@ def targeting_series(ctx: Context) -> DataFrame:
     {real('ate+1.96*main.se', 'main_high')} FROM all_rows c, main""", "panel_week_1", MONTH, extra=_CHECKS))
 def robustness_bars(ctx: Context) -> DataFrame:
     return figures.robustness_bars(fx.robustness_table(ctx), main_fit(ctx))
+
+
+# --- the whole ladder on one panel ------------------------------------------
+
+
+def climbed(ctx: Context, name: str) -> DataFrame:
+    """A result table of the ladder on the week panel with its price outcome, run once per session."""
+    root = ctx.folder("ladder")
+    found = results.load_result(ctx.spark, name, root)
+    if found is None:
+        weeks = ctx.weeks().join(
+            panel.surge_share(ctx.trips(), ctx.policy, "week"), ["zone_id", "date"], "left")
+        ladder.measure(ctx.shared("ladder_panel", lambda: weeks), ctx.policy, root, ml.LEARNED)
+        found = results.load_result(ctx.spark, name, root)
+    return found
+
+
+@query("T1_ladder_estimators")
+def ladder_estimators(ctx: Context) -> DataFrame:
+    return climbed(ctx, "table_estimators")
+
+
+@query("T4_ladder_robustness")
+def ladder_robustness(ctx: Context) -> DataFrame:
+    return climbed(ctx, "table_robustness")
+
+
+@query("T6_ladder_summary")
+def ladder_summary(ctx: Context) -> DataFrame:
+    return reports.executive_summary(
+        climbed(ctx, "twfe").where(F.col("outcome") == "log_trip_count"), climbed(ctx, "dml"),
+        cate.cate_summary(climbed(ctx, "cate")),
+        climbed(ctx, "feature_importance").select("feature", F.col("importance").alias("coefficient")))
+
+
+@query("V7_ladder_bars")
+def ladder_bars(ctx: Context) -> DataFrame:
+    return figures.robustness_bars(
+        climbed(ctx, "robustness"), climbed(ctx, "twfe").where(F.col("outcome") == "log_trip_count"))
+
+
+_LADDER_OUTCOMES = ("log_trip_count", "trip_count", "avg_distance", "avg_duration", "avg_fare", "airport_share",
+                    "cbd_fee_total")
+
+
+@query("C2_ladder_twfe", fx.twfe_sql(WEEK1, _LADDER_OUTCOMES))
+def ladder_twfe(ctx: Context) -> DataFrame:
+    return climbed(ctx, "twfe").where(F.col("outcome").isin(list(_LADDER_OUTCOMES)))
