@@ -82,7 +82,7 @@ def comparison(ctx: Context) -> DataFrame:
     SELECT 'Double ML' AS estimator, theta AS att, se, theta-1.96*se AS ci_low,
       theta+1.96*se AS ci_high, n_obs, p_value, 'Cross-fitted nuisances' AS note
     FROM eff WHERE outcome = 'log_trip_count')""",
-    "panel_week_1", MONTH, extra=_stack(_MAIN, _ATT, sd._UNIFORM, ml.dml_ctes())))
+    "panel_week_1", MONTH, extra=_stack(_MAIN, _ATT, sd._UNIFORM, ml.dml_ctes(outcomes=ml.DML_OUTCOMES))))
 def comparison_uniform(ctx: Context) -> DataFrame:
     return _estimates(ctx, synth.sdid(ctx.weeks(), ctx.policy, reps=sd.REPS, uniform=True))
 
@@ -91,7 +91,7 @@ def comparison_uniform(ctx: Context) -> DataFrame:
   SELECT outcome, {fixed('theta')} || {stars('p_value')} AS theta_text,
     '(' || {fixed('se')} || ')' AS se_text,
     '[' || {fixed('theta-1.96*se')} || ', ' || {fixed('theta+1.96*se')} || ']' AS ci_text,
-    {whole('n_obs')}, {stars('p_value')} AS sig FROM eff""", MONTH, extra=ml.dml_ctes()))
+    {whole('n_obs')}, {stars('p_value')} AS sig FROM eff""", MONTH, extra=ml.dml_ctes(outcomes=ml.DML_OUTCOMES)))
 def dml_table(ctx: Context) -> DataFrame:
     return reports.dml_table(ml.dml_table(ctx))
 
@@ -208,7 +208,7 @@ def dose_curve(ctx: Context) -> DataFrame:
 
 @query("V3_effect_bars", compose(f"""
   SELECT outcome, {real('theta')}, {real('theta-1.96*se', 'low')}, {real('theta+1.96*se', 'high')},
-    {whole('(p_value < 0.05)::INTEGER', 'significant')} FROM eff""", MONTH, extra=ml.dml_ctes()))
+    {whole('(p_value < 0.05)::INTEGER', 'significant')} FROM eff""", MONTH, extra=ml.dml_ctes(outcomes=ml.DML_OUTCOMES)))
 def effect_bars(ctx: Context) -> DataFrame:
     return figures.effect_bars(ml.dml_table(ctx))
 
