@@ -2,10 +2,9 @@
 
 Documents are added up to cells of source, language and topic. Each dimension has a factor per value; a round goes
 through the dimensions and multiplies a dimension's factors by target over current share, until all shares agree.
-Cells and factors are tables, the factors of all dimensions one; a round is one job that writes the next such table,
-and only its largest deviation and the step of the extrapolation reach the driver. From two rounds a third set of
-factors is extrapolated (Irons and Tuck, on logarithms); where that brings the shares no nearer, it goes on from the
-rounds' own factors. A cell's weight is the product of its factors. Probabilities are at most 1 and keep the asked share of
+Cells and factors are tables; a step is one job that writes a dimension's next factors, and only its largest deviation
+and the sums for the extrapolation reach the driver. From two rounds a third set of factors is extrapolated (Irons and
+Tuck, on logarithms); where that brings the shares no nearer, it goes on from the rounds' own factors. A cell's weight is the product of its factors. Probabilities are at most 1 and keep the asked share of
 tokens: raking goes on under that bound until tokens times probability have the shares too. A value that would need
 more than all its tokens is kept whole, and the others of its dimension share the rest (``mixture_shares`` tells). A
 document stays when the hash of its id, as a number from 0 to 1, lies below the probability of its cell.
@@ -86,78 +85,64 @@ def _weighted(cells: DataFrame, factors: Mapping[str, DataFrame], bounded: bool)
     return rows.withColumn("weight", weight).drop(*(f"_{k}_{d}" for d in DIMENSIONS for k in "fw"))
 
 
-def _round(cells: DataFrame, table: DataFrame, bounded: bool) -> DataFrame:
-    """The factors after one go through the dimensions, with those before (``last``, ``older``) and ``off``."""
+def _step(cells: DataFrame, now: dict[str, DataFrame], d: str, bounded: bool) -> tuple[DataFrame, str, dict]:
+    """The next factors of one dimension as a written table, with those before (``last``, ``older``).
+
+    What is observed while writing: the largest deviation before the step, and the sums for the extrapolation.
+    """
     full = (F.col("weight") >= 1) if bounded else F.lit(False)
-    now = {d: table.where(F.col("dimension") == d).select(
-        "value", "aim", "whole", "factor", F.col("factor").alias("last"), "older") for d in DIMENSIONS}
-    for d in DIMENSIONS:
-        sums = _weighted(cells, now, bounded).groupBy(F.col(f"_{d}").alias("value")).agg(
-            F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("held"),
-            F.sum(F.when(~full, F.col("tokens") * F.col("weight")).otherwise(0.0)).alias("free"))
-        step = now[d].join(sums, "value", "left").fillna(0, ["held", "free"]).withColumn("now", F.col("held") + F.col("free"))
-        ratio = F.when((F.col("free") > 0) & (F.col("aim") > F.col("held")), (F.col("aim") - F.col("held")) / F.col("free"))
-        now[d] = step.select(
-            "value", "aim", "whole",
-            F.when(F.col("now") > 0, F.col("factor") * F.coalesce(ratio, F.col("aim") / F.col("now"))).otherwise(0.0).alias("factor"),
-            "last", "older", F.when(F.col("aim") > 0, F.abs(F.col("now") / F.col("aim") - 1)).otherwise(0.0).alias("off"))
-    out = None
-    for d in DIMENSIONS:
-        rows = now[d].select(F.lit(d).alias("dimension"), "*")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    sums = _weighted(cells, now, bounded).groupBy(F.col(f"_{d}").alias("value")).agg(
+        F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("held"),
+        F.sum(F.when(~full, F.col("tokens") * F.col("weight")).otherwise(0.0)).alias("free"))
+    step = now[d].join(sums, "value", "left").fillna(0, ["held", "free"]).withColumn("now", F.col("held") + F.col("free"))
+    ratio = F.when((F.col("free") > 0) & (F.col("aim") > F.col("held")), (F.col("aim") - F.col("held")) / F.col("free"))
+    step = step.select(
+        "value", "aim", "whole", F.when(F.col("now") > 0, F.col("factor") * F.coalesce(ratio, F.col("aim") / F.col("now"))).otherwise(0.0).alias("factor"),
+        F.col("factor").alias("last"), F.col("last").alias("older"),
+        F.when(F.col("aim") > 0, F.abs(F.col("now") / F.col("aim") - 1)).otherwise(0.0).alias("off"))
+    moved, earlier = F.log("factor") - F.log("last"), F.log("last") - F.log("older")
+    known = (F.col("factor") > 0) & (F.col("last") > 0) & (F.col("older") > 0)
+    turn, seen = F.when(known, moved - earlier).otherwise(0.0), Observation()
+    made, path = cut_at(step.observe(
+        seen, F.max("off").alias("off"), F.sum(F.when(known, moved * turn).otherwise(0.0)).alias("along"),
+        F.sum(turn * turn).alias("turn")).drop("off").coalesce(1), f"mix_{d}")
+    return made, path, seen.get
 
 
 def _sweeps(
-    cells: DataFrame, table: DataFrame, tolerance: float, rounds: int, bounded: bool,
+    cells: DataFrame, factors: dict[str, DataFrame], tolerance: float, rounds: int, bounded: bool,
 ) -> tuple[DataFrame, float]:
     """Cells with ``weight`` after rounds over the dimensions, and how far the worst value was off in the last one.
 
-    ``table`` has ``dimension, value, aim, factor, whole``. Bounded weights are at most 1, and 1 in cells of a value
-    that is kept whole; a step then moves only what lies below 1.
+    ``factors`` has ``value, aim, factor, whole`` per dimension. Bounded weights are at most 1, and 1 in cells of a
+    value that is kept whole; a step then moves only what lies below 1.
     """
-    spark = cells.sparkSession
-    table = table.withColumn("older", F.lit(None).cast("double"))
-    moved, earlier = F.log("factor") - F.log("last"), F.log("last") - F.log("older")
-    known = (F.col("factor") > 0) & (F.col("last") > 0) & (F.col("older") > 0)
-    turn = F.when(known, moved - earlier).otherwise(0.0)
-    written: list[str] = []
+    spark, none = cells.sparkSession, F.lit(None).cast("double")
+    now = {d: factors[d].withColumn("last", none) for d in DIMENSIONS}
+    paths: dict[str, str] = {}
     worst, safe, since = 0.0, None, 0
     for number in range(rounds):
-        seen = Observation()
-        fresh = _round(cells, table, bounded).observe(
-            seen, F.max("off").alias("off"), F.sum(F.when(known, moved * turn).otherwise(0.0)).alias("along"), F.sum(turn * turn).alias("turn"))
-        made, path = cut_at(fresh.drop("off").coalesce(FILES), "mix_factors")
-        written.append(path)
-        got = seen.get
-        off, since = got["off"] or 0.0, since + 1
+        before, off, along, turn = dict(paths), 0.0, 0.0, 0.0
+        for d in DIMENSIONS:
+            now[d], paths[d], got = _step(cells, now, d, bounded)
+            off, along, turn = max(off, got["off"] or 0.0), along + (got["along"] or 0.0), turn + (got["turn"] or 0.0)
+        since += 1
         if safe is not None and since == 1 and off > 2 * safe[1]:  # the extrapolated factors were worse
-            table, worst, since, safe = safe[0], safe[1], 0, None
+            now, worst, since = {d: t.withColumn("last", none) for d, t in safe[0].items()}, safe[1], 0
+            safe = None
             continue
-        worst = off
-        table = made.select("dimension", "value", "aim", "whole", "factor", F.col("last").alias("older"))
-        for old in written[:-2]:  # all but this one and the one to fall back to
-            if safe is None or old != safe[2]:
+        if since > 1 or safe is None:
+            for old in before.values():
                 discard(spark, old)
-                written.remove(old)
-        if worst <= tolerance:
+        worst = off
+        if worst <= tolerance or number == rounds - 1:
             break
-        if since >= 2 and number < rounds - 1 and got["turn"] and got["turn"] > 0 and got["along"] < 0:
-            step = min(-got["along"] / got["turn"], 1e3)
-            safe, since = (table.withColumn("older", F.lit(None).cast("double")), worst, path), 0
-            ahead = F.when((F.col("factor") > 0) & (F.col("last") > 0), F.col("factor") * F.pow(F.col("factor") / F.col("last"), F.lit(step)))
-            table = made.select("dimension", "value", "aim", "whole", F.coalesce(ahead, F.col("factor")).alias("factor"),
-                                F.lit(None).cast("double").alias("older"))
-    return _weighted(cells, {d: table.where(F.col("dimension") == d) for d in DIMENSIONS}, bounded), worst
-
-
-def _factors(parts: Mapping[str, DataFrame]) -> DataFrame:
-    """``dimension, value, aim, factor, whole`` of all dimensions as one written table."""
-    out = None
-    for d in DIMENSIONS:
-        rows = parts[d].select(F.lit(d).alias("dimension"), "value", "aim", F.lit(1.0).alias("factor"), "whole")
-        out = rows if out is None else out.unionByName(rows)
-    return cut(out, "mix_factors")
+        if since >= 2 and turn > 0 and along < 0:
+            safe, since = (dict(now), worst), 0
+            ahead = F.when((F.col("factor") > 0) & (F.col("last") > 0),
+                           F.col("factor") * F.pow(F.col("factor") / F.col("last"), F.lit(min(-along / turn, 1e3))))
+            now = {d: t.withColumn("factor", F.coalesce(ahead, F.col("factor"))).withColumn("last", none) for d, t in now.items()}
+    return _weighted(cells, now, bounded), worst
 
 
 def _unsettled(worst: float, rounds: int, strict: bool) -> None:
@@ -176,7 +161,8 @@ def rake(
     the last dimension are met and the others as nearly as ``rounds`` rounds bring them, with a warning, or ``strict``
     raises.
     """
-    factors = _factors({d: targets[d].select("value", F.col("target").alias("aim"), F.lit(False).alias("whole")) for d in DIMENSIONS})
+    factors = {d: cut(targets[d].select(
+        "value", F.col("target").alias("aim"), F.lit(1.0).alias("factor"), F.lit(False).alias("whole")), f"mix_{d}") for d in DIMENSIONS}
     out, worst = _sweeps(cells, factors, tolerance, rounds, False)
     if worst > tolerance:
         _unsettled(worst, rounds, strict)
@@ -230,7 +216,8 @@ def bound(
     if not start.where(F.col("probability") >= 1).limit(1).count():
         return start
     whole = (F.col("target") > 0) & (F.col("aim") >= F.col("tokens") * (1 - 1e-12))
-    factors = _factors({d: aims[d].where("tokens > 0 AND target > 0").select("value", "aim", whole.alias("whole")) for d in DIMENSIONS})
+    factors = {d: cut(aims[d].where("tokens > 0 AND target > 0").select(
+        "value", "aim", F.lit(1.0).alias("factor"), whole.alias("whole")), f"mix_{d}") for d in DIMENSIONS}
     names = [f"_{d}" for d in DIMENSIONS]
     out, worst = _sweeps(cells.select(*names, "tokens"), factors, tolerance, rounds, True)
     if worst > tolerance:
