@@ -1,217 +1,291 @@
 """Exact BM25 top-k: an inverted index per shard, block-max WAND on each, merged with global statistics.
 
-Every document is indexed. Shards hold about ``per_shard`` documents, chosen by a hash of the id, and are built
-one per task from a stream of batches: a row per term with document numbers and frequencies, and a row with the
-lengths. Document frequencies, the number of documents and the mean length are sums over all shards, so scores of
-shards compare. A query is a text; its terms are the ``n_terms`` with the highest frequency times inverse document
-frequency. Queries go out in blocks; a (shard, block) pair reads only the lists of that block's terms and runs
-WAND with block maxima: documents that cannot beat the shard's k-th score so far are skipped without scoring.
+1. One pass over the documents counts, per task, the documents of every term; the sums over all tasks, the number of
+   documents and their mean length are global, so scores of shards compare.
+2. A query is all distinct words of its text, each weighted by its frequency there times its global inverse document
+   frequency.
+3. Documents are dealt to shards of about ``shard_bytes`` of text, the queries' numbers go to every shard. A task reads
+   the documents of its shard first, indexes them in memory, and then takes the queries as they stream by.
+4. Within a shard, documents that speak alike (same most frequent word, then by length) lie together in blocks, and
+   the index knows each term's best score per block. A query adds up its terms from the highest possible score down to
+   the pivot: the term from which on even all the rest cannot reach the k-th score. What holds only terms behind the
+   pivot is never touched; what holds earlier ones is scored in full only if the block maxima of the rest lift it to
+   the k-th score, the most promising first, which raises that score.
+5. The best k of every shard meet by query.
+
+Terms travel as 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ripplepanel.llm.common import share, texts
-from ripplepanel.session import cut
+from ripplepanel.llm.common import cut_clean, share, texts
 
 K1, B = 1.2, 0.75
-TOP, N_TERMS, BLOCK = 10, 8, 64
-PER_SHARD, PER_BLOCK, ROWS = 25_000, 512, 50_000
+TOP, BLOCK = 10, 64
+#: Bytes of text per shard: what one task holds as an index.
+SHARD_BYTES = 64_000_000
+#: Bytes of a text split at once, and terms a task of the first pass holds before it hands them on.
+SPLIT_BYTES, HOLD_TERMS = 4_000_000, 1_000_000
+#: Scores are rounded to so many places; equal ones go by id.
+PLACES = 6
+#: Documents scored in full at a time, and what rounding and order of sums may move a score by.
+STEP, SLACK = 256, 2.0 * 10.0**-PLACES
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def count_words(text: bytes) -> Counter:
+    """Words of a UTF-8 text, A-Z lowered, with their frequencies; split in parts of bounded size."""
+    if len(text) <= SPLIT_BYTES:
+        return Counter(text.lower().split())
+    counted: Counter = Counter()
+    start = 0
+    while start < len(text):
+        gap = _BLANK.search(text, start + SPLIT_BYTES)
+        end = gap.start() if gap else len(text)
+        counted.update(text[start:end].lower().split())
+        start = end
+    return counted
+
+
+def _hashes(words: Iterable[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n).view(np.int64)
+
 
+def _tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, term, n) of a task: documents per term; kinds 1 to 3 are documents, words and bytes."""
 
+    def rows(kind: np.ndarray, term: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(term), pa.array(n)], ["kind", "term", "n"])
 
-def _build(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shard = key[0].as_py()
-    numbers: dict[bytes, int] = {}
-    ids, lengths, term, doc, freq = [], [], [], [], []
+    def flush() -> pa.RecordBatch:
+        size = len(held)
+        return rows(np.zeros(size, np.int32), _hashes(held, size), np.fromiter(held.values(), np.int64, size))
+
+    held: Counter = Counter()
+    totals = np.zeros(3, np.int64)
+    for batch in batches:
+        for text in batch.column("text"):
+            raw = bytes(text.as_buffer())
+            counted = count_words(raw)
+            held.update(counted.keys())
+            totals += (1, sum(counted.values()), len(raw))
+            if len(held) >= HOLD_TERMS:
+                yield flush()
+                held.clear()
+    yield flush()
+    yield rows(np.arange(1, 4, dtype=np.int32), np.zeros(3, np.int64), totals)
+
+
+def _asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (query_id, term, times) of the queries' words."""
     for batch in batches:
-        for row_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            words = text.as_py().encode("utf-8", "surrogatepass").lower().split()
-            counted = Counter(words)
-            at = len(ids)
-            ids.append(row_id)
-            lengths.append(len(words))
-            term.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in counted), np.int32, len(counted)))
-            freq.append(np.fromiter(counted.values(), np.int32, len(counted)))
-            doc.append(np.full(len(counted), at, np.int32))
-    # numbers follow ids, so equal scores come in the order of ids; rows without id come last
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0))
-    number = np.empty(len(ids), np.int32)
-    number[order] = np.arange(len(ids), dtype=np.int32)
-    term, freq = np.concatenate(term), np.concatenate(freq)
-    doc = number[np.concatenate(doc)]
-    by = np.lexsort((doc, term))
-    term, doc, freq = term[by], doc[by], freq[by]
-    del by
-    ends = np.searchsorted(term, np.arange(len(numbers) + 1))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([shard], pa.int32()), pa.array([None], pa.binary()), pa.array([len(ids)], pa.int64()),
-         pa.array([np.array(lengths, np.int32)[order].tobytes()], pa.binary()), pa.array([None], pa.binary()),
-         pa.array([[ids[i] for i in order]], pa.list_(batch.column("doc_id").type))],
-        ["shard", "term", "n_docs", "docs", "freqs", "ids"])
-    names = list(numbers)
-    for start in range(0, len(names), ROWS):
-        span = range(start, min(start + ROWS, len(names)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([shard] * len(span), pa.int32()), pa.array([names[i] for i in span], pa.binary()),
-             pa.array(np.diff(ends[start : span.stop + 1]), pa.int64()),
-             pa.array([doc[ends[i] : ends[i + 1]].tobytes() for i in span], pa.binary()),
-             pa.array([freq[ends[i] : ends[i + 1]].tobytes() for i in span], pa.binary()),
-             pa.nulls(len(span), pa.list_(batch.column("doc_id").type))],
-            ["shard", "term", "n_docs", "docs", "freqs", "ids"])
-
-
-def build_index(docs: DataFrame, per_shard: int = PER_SHARD) -> DataFrame:
-    """``shard, term, n_docs, docs, freqs, ids``: a row per shard and term, and per shard one without term that has
-    the lengths (as ``docs``) and ids of its documents in order."""
-    shards = share(docs.count(), per_shard)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    placed = texts(docs).withColumn("shard", F.pmod(F.coalesce(F.xxhash64("doc_id"), F.xxhash64("text")), F.lit(shards)).cast("int"))
-    return placed.groupBy("shard").applyInArrow(
-        _build, f"shard int, term binary, n_docs long, docs binary, freqs binary, ids array<{kind}>")
-
-
-class Postings:
-    """A term's list in one shard: documents, scores, and per block the last document and the best score."""
-
-    __slots__ = ("docs", "scores", "last", "best", "bound")
-
-    def __init__(self, docs: np.ndarray, scores: np.ndarray):
-        starts = np.arange(0, len(docs), BLOCK)
-        self.best = np.maximum.reduceat(scores, starts).tolist()
-        self.last = docs[np.minimum(starts + BLOCK, len(docs)) - 1].tolist()
-        self.bound = max(self.best)
-        self.docs, self.scores = docs.tolist(), scores.tolist()
-
-
-def block_max_wand(lists: list[Postings], top: int) -> list[tuple[float, int]]:
-    """The ``top`` best (score, document), best first, equal scores by document; only documents in a list count."""
-    heap: list[tuple[float, int]] = []  # the worst at the front: lowest score, then highest document
-    floor = 0.0
-    at = {i: 0 for i in range(len(lists))}
-    live = sorted(at, key=lambda i: lists[i].docs[0])
-    while live:
-        reach, pivot = 0.0, -1
-        for p, i in enumerate(live):
-            reach += lists[i].bound
-            if reach > floor or len(heap) < top:
-                pivot = p
+        for query, text in zip(batch.column("query_id").to_pylist(), batch.column("text"), strict=True):
+            counted = count_words(bytes(text.as_buffer()))
+            size = len(counted)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(size, query, np.int64)), pa.array(_hashes(counted, size)),
+                 pa.array(np.fromiter(counted.values(), np.int64, size))], ["query_id", "term", "times"])
+
+
+def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the spans one after the other, and how many each has."""
+    sizes = ends - starts
+    before = np.cumsum(sizes) - sizes
+    return np.arange(sizes.sum()) + np.repeat(starts - before, sizes), sizes
+
+
+class ShardIndex:
+    """The documents of one shard: by document, by term, and the best of each term in each block of documents."""
+
+    def __init__(self, mean_length: float):
+        self.mean = mean_length
+        self.numbers: dict[bytes, int] = {}
+        self.ids: list = []
+        self._lengths: list[int] = []
+        self._lead: list[int] = []
+        self._terms: list[np.ndarray] = []
+        self._freqs: list[np.ndarray] = []
+
+    def add(self, doc_id, text: bytes) -> None:
+        counted = count_words(text)
+        if not counted:  # never found
+            return
+        numbers = self.numbers
+        self.ids.append(doc_id)
+        self._lengths.append(sum(counted.values()))
+        self._lead.append(numbers.setdefault(max(counted, key=counted.get), len(numbers)))
+        self._terms.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in counted), np.int32, len(counted)))
+        self._freqs.append(np.fromiter(counted.values(), np.int32, len(counted)))
+
+    def close(self) -> ShardIndex:
+        """Turn what was added into the index."""
+        n, n_terms = len(self.ids), len(self.numbers)
+        order = np.lexsort((self._lengths, self._lead)) if n else np.zeros(0, np.int64)
+        self.ids = [self.ids[i] for i in order]
+        lengths = np.array(self._lengths, np.float64)[order]
+        sizes = np.array([len(self._terms[i]) for i in order], np.int64)
+        self.doc_at = np.concatenate([[0], np.cumsum(sizes)])
+        self.doc_term = np.concatenate([self._terms[i] for i in order]) if n else np.zeros(0, np.int32)
+        freqs = np.concatenate([self._freqs[i] for i in order]).astype(np.float64) if n else np.zeros(0)
+        self._terms, self._freqs, self._lengths, self._lead = [], [], [], []
+        self.doc_part = freqs * (K1 + 1) / (freqs + np.repeat(K1 * (1 - B + B * lengths / self.mean), sizes))
+        del freqs
+        by = np.argsort(self.doc_term, kind="stable")
+        self.docs = np.repeat(np.arange(n, dtype=np.int32), sizes)[by]
+        self.part = self.doc_part[by]
+        self.at = np.searchsorted(self.doc_term[by], np.arange(n_terms + 1))
+        # blocks of a term: a new one starts where the term or the documents' block changes
+        block = self.docs // BLOCK
+        new = np.ones(len(block), bool)
+        new[1:] = block[1:] != block[:-1]
+        new[self.at[:-1]] = True
+        starts = np.flatnonzero(new)
+        self.block_no = block[starts]
+        self.block_best = np.maximum.reduceat(self.part, starts) if len(starts) else np.zeros(0)
+        self.block_at = np.searchsorted(starts, self.at)
+        self.best = np.maximum.reduceat(self.part, self.at[:-1]) if n_terms else np.zeros(0)
+        hashed = _hashes(self.numbers, n_terms)
+        self.by_hash = np.argsort(hashed)
+        self.hashes = hashed[self.by_hash]
+        self.numbers = {}
+        self.weights = np.zeros(n_terms)
+        self.scored = 0
+        return self
+
+    def full(self, docs: np.ndarray) -> np.ndarray:
+        """Whole scores of documents under the weights that are set."""
+        self.scored += len(docs)
+        at, sizes = _spans(self.doc_at[docs], self.doc_at[docs + 1])
+        value = self.weights[self.doc_term[at]] * self.doc_part[at]
+        return np.add.reduceat(value, np.cumsum(sizes) - sizes)
+
+    def _sums(self, terms: np.ndarray, weights: np.ndarray, blocks: bool) -> np.ndarray:
+        """Per document the scores of the terms added up, or per block their maxima."""
+        at, no, value, size = (self.block_at, self.block_no, self.block_best, len(self.ids) // BLOCK + 1) if blocks else (
+            self.at, self.docs, self.part, len(self.ids))
+        where, sizes = _spans(at[terms], at[terms + 1])
+        return np.bincount(no[where], np.repeat(weights, sizes) * value[where], size)
+
+    def search(self, hashes: np.ndarray, weights: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents of the shard that may be among the ``top`` best, with their scores; all that tie for the last place."""
+        place = np.searchsorted(self.hashes, hashes)
+        here = place < len(self.hashes)
+        here[here] = self.hashes[place[here]] == hashes[here]
+        terms, weights = self.by_hash[place[here]], weights[here]
+        if not len(terms):
+            return np.zeros(0, np.int64), np.zeros(0)
+        reach = weights * self.best[terms]
+        order = np.argsort(-reach, kind="stable")
+        terms, weights, reach = terms[order], weights[order], reach[order]
+        rest = np.append(np.cumsum(reach[::-1])[::-1], 0.0)
+        self.weights[terms] = weights
+        # a first floor: the best by the terms that make up half of what can be reached
+        first = int(np.searchsorted(-rest, -rest[0] / 2))
+        sums = self._sums(terms[:first], weights[:first], blocks=False)
+        floor = 0.0
+        if len(sums) > 2 * top:
+            likely = np.argpartition(-sums, 2 * top)[: 2 * top]
+            scores = self.full(likely)
+            floor = np.partition(scores, len(scores) - top)[len(scores) - top]
+        pivot = max(first, int(np.searchsorted(-rest, SLACK - floor)))
+        if pivot > first:
+            sums += self._sums(terms[first:pivot], weights[first:pivot], blocks=False)
+        bound = sums
+        if pivot < len(terms):
+            behind = self._sums(terms[pivot:], weights[pivot:], blocks=True)
+            bound = sums + behind[np.arange(len(sums)) // BLOCK]
+        found = np.flatnonzero((sums > 0) & (bound >= floor - SLACK))
+        found = found[np.argsort(-bound[found], kind="stable")]
+        docs, scores = np.zeros(0, np.int64), np.zeros(0)
+        for start in range(0, len(found), STEP):
+            step = found[start : start + STEP]
+            step = step[bound[step] >= floor - SLACK]
+            if not len(step):
                 break
-        if pivot < 0:
-            break
-        target = lists[live[pivot]].docs[at[live[pivot]]]
-        while pivot + 1 < len(live) and lists[live[pivot + 1]].docs[at[live[pivot + 1]]] == target:
-            pivot += 1
-        here = live[: pivot + 1]
-        blocks, reach = [], 0.0
-        for i in here:
-            x = lists[i]
-            b = bisect_left(x.last, target, at[i] // BLOCK)
-            if b < len(x.last):
-                reach += x.best[b]
-                blocks.append(x.last[b])
-        if len(heap) == top and reach <= floor:
-            # no document up to the end of these blocks, nor before the next list's, can enter
-            beyond = min(blocks, default=target) + 1
-            if pivot + 1 < len(live):
-                beyond = min(beyond, lists[live[pivot + 1]].docs[at[live[pivot + 1]]])
-            target = max(beyond, target + 1)
-        elif lists[here[0]].docs[at[here[0]]] == target:
-            score = 0.0
-            for i in sorted(here):  # in the order of the query's terms, as any other evaluation would add them
-                score += lists[i].scores[at[i]]
-            entry = (score, -target)
-            if len(heap) < top:
-                heapq.heappush(heap, entry)
-            elif entry > heap[0]:
-                heapq.heapreplace(heap, entry)
-            if len(heap) == top:
-                floor = heap[0][0]
-            target += 1
-        for i in here:
-            x = lists[i]
-            if x.docs[at[i]] < target:
-                at[i] = bisect_left(x.docs, target, at[i])
-        live = sorted((i for i in live if at[i] < len(lists[i].docs)), key=lambda i: lists[i].docs[at[i]])
-    return [(s, -d) for s, d in sorted(heap, key=lambda e: (-e[0], -e[1]))]
-
-
-def _search(mean_length: float, top: int):
-    def run(key: tuple[pa.Scalar, ...], index: pa.Table, queries: pa.Table) -> pa.Table:
-        lists: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-        norm, ids = np.zeros(0), []
-        for row in index.select(["term", "docs", "freqs", "ids"]).to_pylist():
-            if row["term"] is None:
-                lengths = np.frombuffer(row["docs"], np.int32)
-                norm, ids = K1 * (1 - B + B * lengths / mean_length), row["ids"]
-            else:
-                lists[row["term"]] = np.frombuffer(row["docs"], np.int32), np.frombuffer(row["freqs"], np.int32)
-        made: dict[bytes, Postings] = {}
-        wanted: dict[int, list[tuple[int, bytes, float]]] = {}
-        for q, term, place, idf in zip(*(queries.column(c).to_pylist() for c in ("query_id", "term", "place", "idf")), strict=True):
-            if term in lists:
-                wanted.setdefault(q, []).append((place, term, idf))
-        out: tuple[list, list, list] = ([], [], [])
-        for q, terms in sorted(wanted.items()):
-            for _, term, idf in terms:
-                if term not in made:
-                    docs, freqs = lists[term]
-                    made[term] = Postings(docs, idf * freqs * (K1 + 1) / (freqs + norm[docs]))
-            for score, d in block_max_wand([made[t] for _, t, _ in sorted(terms)], top):
-                for column, value in zip(out, (q, ids[d], score), strict=True):
-                    column.append(value)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "doc_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+            docs, scores = np.concatenate([docs, step]), np.concatenate([scores, self.full(step)])
+            if len(scores) >= top:
+                floor = max(floor, np.partition(scores, len(scores) - top)[len(scores) - top])
+                keep = scores >= floor - SLACK
+                docs, scores = docs[keep], scores[keep]
+        self.weights[terms] = 0.0
+        return docs, scores
+
+
+def _best(found: Iterable[tuple[float, object]], top: int) -> list[tuple[float, object]]:
+    """By rounded score, then id; a missing id comes last."""
+    return sorted(found, key=lambda r: (-r[0], r[1] is None, 0 if r[1] is None else r[1]))[:top]
+
+
+def _search_shards(n_docs: int, mean_length: float, top: int, id_type: pa.DataType):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, shard, closed = ShardIndex(mean_length), None, False
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for i, (to, query) in enumerate(zip(batch.column("shard").to_pylist(), batch.column("query_id").to_pylist(), strict=True)):
+                if to != shard:
+                    index, shard, closed = ShardIndex(mean_length), to, False
+                if query is None:
+                    index.add(batch.column("doc_id")[i].as_py(), bytes(batch.column("text")[i].as_buffer()))
+                    continue
+                if not closed:
+                    index.close()
+                    closed = True
+                hashes, times, df = (batch.column(c)[i].values.to_numpy() for c in ("terms", "times", "dfs"))
+                docs, scores = index.search(hashes, times * np.log(1 + (n_docs - df + 0.5) / (df + 0.5)), top)
+                for score, doc in _best(((round(s, PLACES), index.ids[d]) for s, d in zip(scores.tolist(), docs.tolist(), strict=True)), top):
+                    for column, value in zip(out, (query, doc, score), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[0], pa.int64()), pa.array(out[1], id_type), pa.array(out[2], pa.float64())], ["query_id", "doc_id", "score"])
 
     return run
 
 
-def similar_documents(
-    docs: DataFrame, queries: DataFrame, top: int = TOP, n_terms: int = N_TERMS, per_shard: int = PER_SHARD,
-    per_block: int = PER_BLOCK,
-) -> DataFrame:
+def similar_documents(docs: DataFrame, queries: DataFrame, top: int = TOP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``query_id, rank, doc_id, score``: the ``top`` documents for every row of ``queries``, itself among them.
 
-    Scores are rounded to nine places; equal ones go by id. A query without words finds nothing; documents without a
-    word of the query are never found. Rows of ``queries`` with the same id are one query of all their words; a null
-    id asks nothing, but a document without id may be found. Ids are whole numbers; only ids and texts are read.
+    All words of a query count, as often as they stand in it. Scores are rounded to six places; equal ones go by id, a
+    document without id last. A query without words finds nothing; documents without a word of the query are never
+    found. Rows of ``queries`` with the same id are one query of all their words; a null id asks nothing, but a
+    document without id may be found, and a document that is there twice is found twice. Null texts are empty. Empty
+    tables give an empty table. Query ids are whole numbers; only ids and texts are read, whatever other columns are
+    called.
     """
-    index = cut(build_index(docs, per_shard), "bm25_index")
-    # each shard's row says how many documents and words it has
-    shards = index.where(F.col("term").isNull())
-    words = texts(docs).select(F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n"))
-    total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).first()
-    n_docs, mean = total["docs"], (total["n"] or 0) / max(total["docs"], 1)
-    df = index.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("n_docs").alias("df"))
-
-    lowered = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    asked = queries.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("query_id"), F.explode(F.split(lowered, r"[\x20\x09-\x0D]+")).alias("word"))
-    asked = asked.where("word <> ''").groupBy("query_id", F.col("word").cast("binary").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    best = Window.partitionBy("query_id").orderBy(F.round(F.col("tf") * idf, 9).desc(), "term")
-    asked = asked.join(df, "term").withColumn("idf", idf).withColumn("place", F.row_number().over(best))
-    blocks = share(queries.count(), per_block)
-    asked = cut(asked.where(F.col("place") <= n_terms).select(
-        "query_id", "term", "place", "idf", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")), "bm25_queries")
-
-    needed = asked.select("block", "term").distinct()
-    lists = index.join(needed, "term").select("shard", "block", "term", "docs", "freqs", "ids")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    lengths = shards.select("shard", every.alias("block"), "term", "docs", "freqs", "ids")
-    out = F.explode(F.sequence(F.lit(0), F.lit(share(n_docs, per_shard) - 1)))
-    found = lists.unionByName(lengths).groupBy("shard", "block").cogroup(
-        asked.select("query_id", "term", "place", "idf", F.col("block").alias("q_block"), out.alias("q_shard")).groupBy("q_shard", "q_block")).applyInArrow(
-        _search(mean or 1.0, top), "query_id long, doc_id long, score double")
-    found = found.withColumn("score", F.round("score", 9))
+    rows = texts(docs)
+    counted = rows.select("text").mapInArrow(_tally, "kind int, term long, n long")
+    counted = cut_clean(counted.groupBy("kind", "term").agg(F.sum("n").alias("n")), "bm25_terms")
+    totals = dict(map(tuple, counted.where(F.col("kind") > 0).select("kind", "n").collect()))  # three rows
+    n_docs, mean = totals.get(1, 0), totals.get(2, 0) / max(1, totals.get(1, 0)) or 1.0
+    shards = share(totals.get(3, 0), shard_bytes)
+
+    asked = texts(queries).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("query_id"), "text")
+    asked = asked.mapInArrow(_asked, "query_id long, term long, times long")
+    asked = asked.groupBy("query_id", "term").agg(F.sum("times").cast("int").alias("times"))
+    asked = asked.join(counted.where(F.col("kind") == 0).select("term", F.col("n").alias("df")), "term")
+    asked = asked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "times", "df"))).alias("t"))
+    asked = cut_clean(asked.select(
+        "query_id", F.col("t.term").alias("terms"), F.col("t.times").alias("times"), F.col("t.df").alias("dfs")), "bm25_queries")
+
+    # dealt by place in the table, as one id or text may hold many rows
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    sent = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    both = dealt.unionByName(sent, allowMissingColumns=True)
+    both = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("query_id").isNotNull())
+    id_type = docs.schema["doc_id"].dataType
+    found = both.select("shard", "query_id", "doc_id", "text", "terms", "times", "dfs").mapInArrow(
+        _search_shards(n_docs, mean, top, to_arrow_type(id_type)), f"query_id long, doc_id {id_type.simpleString()}, score double")
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top).select(
         "query_id", "rank", "doc_id", "score")

@@ -48,13 +48,12 @@ p AS (SELECT r, doc_id, len(words) AS dl, w AS term, count(*) AS tf
       FROM (SELECT r, doc_id, words, unnest(words) AS w FROM d) GROUP BY ALL),
 df AS (SELECT term, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, n GROUP BY term, docs),
 q AS (
-  SELECT doc_id AS query_id, term, idf,
-         row_number() OVER (PARTITION BY doc_id ORDER BY round(sum(tf) * idf, 9) DESC, encode(term)) AS place
+  SELECT doc_id AS query_id, term, idf * sum(tf) AS weight
   FROM p JOIN df USING (term) WHERE doc_id % 50 = 0 GROUP BY doc_id, term, idf),
 s AS (
   SELECT query_id, r, p.doc_id,
-         round(sum(q.idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 9) AS score
-  FROM q JOIN p USING (term), n WHERE place <= 8 GROUP BY query_id, r, p.doc_id),
+         round(sum(q.weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+  FROM q JOIN p USING (term), n GROUP BY query_id, r, p.doc_id),
 t AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
   FROM s)

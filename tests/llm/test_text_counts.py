@@ -110,10 +110,46 @@ def test_cascade_order_changes_no_verdict(spark):
 def test_search_over_shards_and_odd_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     asked = docs.where("doc_id % 25 = 0")
-    many = bm25_search.similar_documents(docs, asked, per_shard=30, per_block=3).collect()
+    many = bm25_search.similar_documents(docs, asked, shard_bytes=60_000).collect()
     assert sorted(many) == sorted(bm25_search.similar_documents(docs, asked).collect())
     x = spark.createDataFrame([(0, None, "a"), (50, "", "b"), (100, "Ab ab c", ""), (100, "c d", ""), (None, "ab", "")],
                               "doc_id long, text string, score string")
     assert [(r.query_id, r["rank"], r.doc_id) for r in bm25_search.similar_documents(x, x).collect()] == [
         (100, 1, 100), (100, 2, 100), (100, 3, None)]
     assert bm25_search.similar_documents(x.limit(0), x.limit(0)).collect() == []
+
+
+def test_search_of_a_shard_skips_what_cannot_enter(spark):
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    held = [(r.doc_id, Counter((r.text or "").encode().lower().split())) for r in rows]
+    mean = sum(sum(c.values()) for _, c in held) / len(held)
+    df = Counter(t for _, c in held for t in c)
+    index = bm25_search.ShardIndex(mean)
+    for r in rows:
+        index.add(r.doc_id, (r.text or "").encode())
+    index.close()
+    asked = [h for h in held if h[0] % 10 == 0 and h[1]]
+    for _, query in asked:
+        weights = {t: n * math.log(1 + (len(held) - df[t] + 0.5) / (df[t] + 0.5)) for t, n in query.items()}
+        want = []
+        for doc_id, c in held:
+            norm = 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)
+            score = sum(w * c[t] * 2.2 / (c[t] + norm) for t, w in weights.items() if t in c)
+            want.append((-round(score, 6), doc_id))
+        docs, scores = index.search(bm25_search._hashes(weights, len(weights)), np.array(list(weights.values())), 10)
+        got = sorted((-round(s, 6), index.ids[d]) for s, d in zip(scores.tolist(), docs.tolist()))[:10]
+        assert got == sorted(w for w in want if w[0] < 0)[:10]
+    # pruning: far fewer documents are scored in full than a walk over all would score
+    assert index.scored < 0.4 * len(asked) * len(held)
+
+
+def test_long_text_is_counted_in_parts(monkeypatch):
+    text = b"Ab cd\x0bab " * 50 + b"x" * 40 + b" y"
+    want = bm25_search.count_words(text)
+    monkeypatch.setattr(bm25_search, "SPLIT_BYTES", 17)
+    assert bm25_search.count_words(text) == want and want[b"ab"] == 100
