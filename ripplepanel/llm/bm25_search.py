@@ -10,7 +10,7 @@
    the index knows each term's best score per block. A query adds up its terms from the highest possible score down to
    the pivot: the term from which on even all the rest cannot reach the k-th score. What holds only terms behind the
    pivot is never touched; what holds earlier ones is scored in full only if the block maxima of the rest lift it to
-   the k-th score, the most promising first, which raises that score.
+   the k-th score, the most promising first, which raises that score. Where those are too many, the pivot moves on.
 5. The best k of every shard meet by query.
 
 Terms travel as 64-bit hashes.
@@ -199,14 +199,26 @@ class ShardIndex:
             likely = np.argpartition(-sums, 2 * top)[: 2 * top]
             scores = self.full(likely)
             floor = np.partition(scores, len(scores) - top)[len(scores) - top]
-        pivot = max(first, int(np.searchsorted(-rest, SLACK - floor)))
-        if pivot > first:
-            sums += self._sums(terms[first:pivot], weights[first:pivot], blocks=False)
-        bound = sums
-        if pivot < len(terms):
-            behind = self._sums(terms[pivot:], weights[pivot:], blocks=True)
-            bound = sums + behind[np.arange(len(sums)) // BLOCK]
-        found = np.flatnonzero((sums > 0) & (bound >= floor - SLACK))
+        pivot, done = max(first, int(np.searchsorted(-rest, SLACK - floor))), first
+        while True:
+            if pivot > done:
+                sums += self._sums(terms[done:pivot], weights[done:pivot], blocks=False)
+                done = pivot
+                if len(sums) >= top:
+                    floor = max(floor, np.partition(sums, len(sums) - top)[len(sums) - top])
+            bound = sums
+            if pivot < len(terms):
+                behind = self._sums(terms[pivot:], weights[pivot:], blocks=True)
+                bound = sums + behind[np.arange(len(sums)) // BLOCK]
+            found = np.flatnonzero((sums > 0) & (bound >= floor - SLACK))
+            postings = (self.at[terms[pivot:] + 1] - self.at[terms[pivot:]]).sum()
+            if (self.doc_at[found + 1] - self.doc_at[found]).sum() <= postings or pivot == len(terms):
+                break
+            # the lists behind the pivot are shorter than those documents: add up most of what is left
+            pivot = max(pivot + 1, int(np.searchsorted(-rest, -rest[pivot] / 8)))
+        if pivot == len(terms):
+            self.weights[terms] = 0.0
+            return found, sums[found]
         found = found[np.argsort(-bound[found], kind="stable")]
         docs, scores = np.zeros(0, np.int64), np.zeros(0)
         for start in range(0, len(found), STEP):

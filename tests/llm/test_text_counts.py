@@ -144,7 +144,7 @@ def test_search_of_a_shard_skips_what_cannot_enter(spark):
         docs, scores = index.search(bm25_search._hashes(weights, len(weights)), np.array(list(weights.values())), 10)
         got = sorted((-round(s, 6), index.ids[d]) for s, d in zip(scores.tolist(), docs.tolist()))[:10]
         assert got == sorted(w for w in want if w[0] < 0)[:10]
-    # pruning: far fewer documents are scored in full than a walk over all would score
+    # a walk over all would score every document in full
     assert index.scored < 0.4 * len(asked) * len(held)
 
 
