@@ -199,7 +199,7 @@ class ShardIndex:
             likely = np.argpartition(-sums, 2 * top)[: 2 * top]
             scores = self.full(likely)
             floor = np.partition(scores, len(scores) - top)[len(scores) - top]
-        pivot, done = max(first, int(np.searchsorted(-rest, SLACK - floor))), first
+        pivot, done = max(first, int(np.searchsorted(-rest[:-1], SLACK - floor))), first
         while True:
             if pivot > done:
                 sums += self._sums(terms[done:pivot], weights[done:pivot], blocks=False)
@@ -215,7 +215,7 @@ class ShardIndex:
             if (self.doc_at[found + 1] - self.doc_at[found]).sum() <= postings or pivot == len(terms):
                 break
             # the lists behind the pivot are shorter than those documents: add up most of what is left
-            pivot = max(pivot + 1, int(np.searchsorted(-rest, -rest[pivot] / 8)))
+            pivot = max(pivot + 1, int(np.searchsorted(-rest[:-1], -rest[pivot] / 8)))
         if pivot == len(terms):
             self.weights[terms] = 0.0
             return found, sums[found]
