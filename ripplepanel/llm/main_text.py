@@ -30,7 +30,7 @@ SAMPLE, STEPS, RATE, RIDGE = 300, 150, 0.1, 1e-3
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?:script|style|template|noscript|svg|iframe|object|textarea|title)\b(?:[^>]*(?:[\s\"']|\s[^\s=>\"'/]+))?/>"
-    r"|<(?P<raw>script|style|template|noscript|svg|iframe|object|textarea|title)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|template|noscript|svg|iframe|object|textarea|title)\b[^>]*+>.*?(?P<shut></(?P=raw)\s*>|\Z)"
     r"|<!(?:[^>]*+)>|<\?[^>]*+>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)",
     re.S | re.I)
 _NAMES = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -42,6 +42,8 @@ BLOCKS = frozenset(
     "summary table tbody td tfoot th thead tr ul".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(("a", "button", "label"))
+#: As many open elements of a tag as a path keeps: depths beyond it are one.
+DEEP = 4
 #: What may start inside a head; anything else, and text, ends it.
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes".split())
 CLOSED_BY = {"p": BLOCKS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")),
@@ -58,42 +60,99 @@ class Block:
     names: frozenset[str]
 
 
+class _Open:
+    """The open elements, with what a block needs to know of them: no step looks through all of them.
+
+    A path keeps the last DEEP of each tag, which is all that features tell apart.
+    """
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.paths: list[tuple[str, ...]] = [()]
+        self.names: list[frozenset[str]] = [frozenset()]
+        self.at: dict[str, list[int]] = {}
+        self.containers: list[int] = []
+
+    def push(self, tag: str, names: frozenset[str]) -> None:
+        path = self.paths[-1]
+        if path.count(tag) >= DEEP:
+            first = path.index(tag)
+            path = path[:first] + path[first + 1 :]
+        self.paths.append((*path, tag))
+        self.names.append(self.names[-1] | names if names - self.names[-1] else self.names[-1])
+        self.at.setdefault(tag, []).append(len(self.tags))
+        if tag in CONTAINERS:
+            self.containers.append(len(self.tags))
+        self.tags.append(tag)
+
+    def leave(self, place: int) -> None:
+        """Close the element at a place and all within it."""
+        while len(self.tags) > place:
+            tag = self.tags.pop()
+            self.at[tag].pop()
+            if tag in CONTAINERS:
+                self.containers.pop()
+            self.paths.pop()
+            self.names.pop()
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of these tags, or -1."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    @property
+    def container(self) -> int:
+        return self.containers[-1] if self.containers else 0
+
+
+def _tokens(page: str) -> Iterator[tuple[str, re.Match | None]]:
+    """Text before each tag, comment or raw element, and that token; at the end the rest of the text and None.
+
+    Behind the last ``>`` only a comment can begin, so that no search for the end of a tag runs through the page in vain.
+    """
+    stop, at, swallowed = page.rfind(">") + 1, 0, False
+    for m in _TOKEN.finditer(page, 0, stop):
+        yield page[at : m.start()], m
+        at = m.end()
+        if at == stop:
+            comment = m[0].startswith("<!--") and (len(m[0]) < 7 or not m[0].endswith("-->"))
+            swallowed = comment or (bool(m["raw"]) and not m["shut"])
+    rest = "" if swallowed else page[at:]
+    opened = rest.find("<!--", stop - at)
+    yield rest if opened < 0 else rest[:opened], None
+
+
 def leaf_blocks(page: str) -> list[Block]:
-    """Blocks with visible text in page order; scripts, styles, comments and the head have none."""
+    """Blocks with visible text in page order; scripts, styles, comments, buttons and the head have none.
+
+    Takes time in proportion to the page, whatever is left open in it.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack = _Open()
     parts: list[str] = []
-    linked = at = 0
+    linked = 0
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text and not any(t == "head" for t, _ in stack):
-                names = frozenset().union(*(n for _, n in stack)) if stack else frozenset()
-                found.append(Block(text, linked, tuple(t for t, _ in stack), names))
+            if text and stack.last("head") < 0:
+                found.append(Block(text, linked, stack.paths[-1], stack.names[-1]))
             parts.clear()
         linked = 0
 
     def leave_head() -> None:
-        for i, (t, _) in enumerate(stack):
-            if t == "head":
-                del stack[i:]
-                break
+        if stack.last("head") >= 0:
+            stack.leave(stack.at["head"][0])
 
-    def say(piece: str) -> None:
-        nonlocal linked
+    for piece, m in _tokens(page):
         if piece:
             if not piece.isspace():
                 leave_head()
-            parts.append(piece)
-            if any(t in INLINE for t, _ in stack):
-                linked += len(piece.strip())
-
-    for m in _TOKEN.finditer(page):
-        say(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
+            if stack.last("button") < 0:
+                parts.append(piece)
+                if stack.last(*INLINE) >= 0:
+                    linked += len(piece.strip())
+        tag = (m["tag"] or "").lower() if m else ""
         if not tag:
             continue
         if tag == "br":
@@ -103,25 +162,18 @@ def leaf_blocks(page: str) -> list[Block]:
         if not m["end"] and tag not in IN_HEAD:
             leave_head()
         if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag not in CONTAINERS and stack[i][0] in CONTAINERS:
-                    break
+            place = stack.last(tag)
+            if place >= 0 and (tag in CONTAINERS or place >= stack.container):
+                stack.leave(place)
         elif tag in BLOCKS or tag in INLINE:
-            while stack and stack[-1][0] in INLINE and tag in BLOCKS:
-                stack.pop()
-            for i in range(len(stack) - 1, -1, -1):
-                if tag in CLOSED_BY.get(stack[i][0], ()):
-                    del stack[i:]
-                    break
-                if stack[i][0] in CONTAINERS:
-                    break
+            while stack.tags and stack.tags[-1] in INLINE and tag in BLOCKS:
+                stack.leave(len(stack.tags) - 1)
+            place = stack.last(*(t for t, by in CLOSED_BY.items() if tag in by))
+            if place >= 0 and place >= stack.container:
+                stack.leave(place)
             if tag not in EMPTY:
                 words = _WORDS.findall(" ".join(v for _, v in _NAMES.findall(m["rest"])).lower())
-                stack.append((tag, frozenset(words)))
-    say(page[at:])
+                stack.push(tag, frozenset(words))
     close()
     return found
 
@@ -317,7 +369,7 @@ def training_pages(sample: list[str]) -> list[tuple[list[list[int]], list[int]]]
         blocks = leaf_blocks(page)
         labels = marked_labels(blocks)
         if labels:
-            known.append((blocks[:400], labels[:400]))
+            known.append((blocks, labels))
     main = [b.text for blocks, labels in known for b, y in zip(blocks, labels, strict=True) if y and len(b.text) > 20]
     rest = [b.text for blocks, labels in known for b, y in zip(blocks, labels, strict=True) if not y]
     made = hand_labelled(main[:200] or ["A plain sentence, long enough to be read."], rest[:200] or ["Home"])
@@ -332,7 +384,7 @@ def fit_pages(pages: DataFrame, sample: int = SAMPLE) -> Field:
     """Learn from at most ``sample`` pages, those with the smallest hash of the address and number."""
     ids = pages.select("page_id", F.xxhash64("page_id").alias("pick")).where(F.col("page_id").isNotNull()).distinct()
     picked = ids.orderBy("pick", "page_id").limit(sample)
-    rows = pages.select("page_id", F.substring("html", 1, 200_000).alias("html")).where(F.col("html").isNotNull()).join(
+    rows = pages.select("page_id", "html").where(F.col("html").isNotNull()).join(
         F.broadcast(picked), "page_id").orderBy("pick", "page_id", "html").limit(sample).collect()
     return fit_field(training_pages([r["html"] for r in rows]))
 

@@ -181,3 +181,18 @@ def test_identified_rows_carry_the_predicted_language(spark, docs):
     wrong = docs.selectExpr("doc_id", "text", "CASE WHEN doc_id % 2 = 0 THEN 'xx' END AS lang")
     want = {r.doc_id: r.lang_pred for r in language.identify_languages(docs, model).collect() if not r.rejected}
     assert {r.doc_id: r.lang for r in language.keep_identified(wrong, model).collect()} == want
+
+
+def test_page_cutter_takes_time_in_proportion(spark):
+    import time
+
+    for piece in ("<script ", "<div>x", "<div>", "<div></section>", "<b", "<!--", "<p><a>x", "<head>"):
+        start = time.time()
+        main_text.leaf_blocks(piece * 40_000)
+        assert time.time() - start < 20, piece
+    said = lambda page: [b.text for b in main_text.leaf_blocks(page)]
+    assert said("<article><p>One <button>Share</button> two.</p>") == ["One two."]
+    assert said("<p>a<script>x") == ["a"] and said("<p>a<!-- x") == ["a"] and said("<p>a <b") == ["a <b"]
+    assert said("<p>a</p><script z <</script>x") == ["a"]
+    deep = main_text.leaf_blocks("<div>" * 9 + "<p>x")[0]
+    assert deep.tags == ("div",) * 4 + ("p",)
