@@ -84,9 +84,7 @@ def event_study(ctx: Context) -> DataFrame:
     return did.event_study(ctx.panel()).coefficients
 
 
-# the fixed effects are fitted inside the window
-_GROUPS = sweeps("(SELECT * FROM panel_week_1 WHERE rel_week BETWEEN -16 AND 16)", ["log_trip_count"],
-                 by=["treat_binary"], rounds=25)
+_GROUPS = sweeps("panel_week_1", ["log_trip_count"], by=["treat_binary"], rounds=25)
 
 
 @query("C3_event_study_weeks", compose(f"""
@@ -100,8 +98,9 @@ _GROUPS = sweeps("(SELECT * FROM panel_week_1 WHERE rel_week BETWEEN -16 AND 16)
       USING (treat_binary)
     GROUP BY 1)""", "panel_week_1", extra=_GROUPS))
 def event_study_weeks(ctx: Context) -> DataFrame:
-    return ctx.shared("event_weeks", lambda: did.event_study(
-        ctx.weeks()).coefficients).select("rel_week", "coef")
+    """All weeks; one whose effect is not identified keeps its row."""
+    study = ctx.shared("event_weeks", lambda: did.event_study(ctx.weeks(), window=None).coefficients)
+    return ctx.weeks().select("rel_week").distinct().join(study.select("rel_week", "coef"), "rel_week", "left")
 
 
 def _lead(i: int, j: int) -> str:

@@ -56,15 +56,16 @@ EVENT_SCHEMA = (
 
 def event_study(
     panel: DataFrame, outcome: str = "log_trip_count", treatment: str = "treat_binary",
-    window: int = 16, reference: int = -1,
+    window: int | None = 16, reference: int = -1,
 ) -> EventStudy:
     """Effect by week relative to the shock, and a joint test of the leads.
 
-    At most 2 * window + 1 interactions exist whatever the data size. The joint
-    test is a Wald chi-square over all coefficients before the reference.
+    At most 2 * window + 1 interactions exist whatever the data size; without a
+    window one per week of the panel. The joint test is a Wald chi-square over
+    all coefficients before the reference.
     """
     spark = panel.sparkSession
-    inside = panel.where(F.col("rel_week").between(-window, window))
+    inside = panel if window is None else panel.where(F.col("rel_week").between(-window, window))
     weeks = sorted(r[0] for r in inside.select("rel_week").distinct().collect())
     weeks = [w for w in weeks if w != reference]
     name = {w: f"w_{'m' if w < 0 else 'p'}{abs(w)}" for w in weeks}

@@ -315,3 +315,14 @@ def test_readings_of_effects(spark):
     leaves = cate.policy_tree(found).collect()
     assert len(leaves) == 4 and sum(r["n"] for r in leaves) == 200
     assert all(r["rule"] for r in leaves)
+
+
+def test_event_study_without_window_takes_every_week(spark):
+    df = panel(n_units=10, n_weeks=40, start=date(2024, 7, 15))
+    found = {r["rel_week"]: r["coef"] for r in did.event_study(spark.createDataFrame(df), window=None).coefficients.collect()}
+    weeks = sorted(set(df["rel_week"]) - {-1})
+    assert min(weeks) < -16 and set(found) == {*weeks, -1}
+    for w in weeks:
+        df[f"w{w}"] = (df["rel_week"] == w) * df["treat_binary"]
+    b, _ = dummy_regression(df, "log_trip_count", [f"w{w}" for w in weeks])
+    assert np.allclose([found[w] for w in weeks], b, atol=1e-6)
