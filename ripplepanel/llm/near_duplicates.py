@@ -14,6 +14,8 @@ and never expanded into pairs. For the classes:
    pairs come first and join most copies of a large group.
 4. Then every remaining pair of classes that are not yet in one group is taken, counted, bounded by the positions
    of its last shared entry, and verified on whole sets. No pair of different groups is left out.
+5. All links lie within groups. They are counted there, block of classes against block, as products of incidence
+   matrices; a pair is never a row.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
 VERIFY_COST = 40.0
 FILTER_BITS = 25
 ENTRIES = 150_000
+#: Classes and shingles in a block of a group, and shingles in one product of two blocks.
+BLOCK_CLASSES, BLOCK_SHINGLES, AT_ONCE = 1_000, 1 << 18, 4_096
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -253,6 +257,7 @@ class _Verifier:
 
     def __init__(self, rows: DataFrame, lead: DataFrame, size: int):
         self.rows, self.lead, self.size = rows, lead, size
+        self.seen: list[DataFrame] = []
 
     def links(self, pairs: DataFrame, tag: str) -> DataFrame:
         pairs = cut(pairs.select("a", "b"), f"{tag}_pairs")
@@ -267,12 +272,13 @@ class _Verifier:
         wanted.view(np.int64)[at] = bits
         filled = spark.sparkContext.broadcast(wanted)
         kind = self.rows.schema["doc_id"].dataType.simpleString()
-        sets = self.rows.select("doc_id", "text", place.alias("at")).where(F.col("doc_id").isNotNull()).mapInArrow(
+        sets = self.rows.select("doc_id", "text", place.alias("at")).mapInArrow(
             _sets(self.size, filled), f"doc_id {kind}, cls long, shingles binary")
-        # by class alone, so that the join leaves equal rows of a document together
-        sets = sets.join(ends.withColumnRenamed("doc_id", "lead"), "cls").where(F.col("doc_id") == F.col("lead"))
+        # by class alone, so that the join leaves equal rows of a document together; a class may have no id at all
+        sets = sets.join(ends.withColumnRenamed("doc_id", "lead"), "cls").where(F.col("doc_id").eqNullSafe(F.col("lead")))
         sets = sets.dropDuplicates(["cls"]).select("cls", "shingles")
         sets = cut(sets, f"{tag}_sets")
+        self.seen.append(sets)
         left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a")
         whole = left.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b")
         return cut(whole.select("a", "b", "set_a", "set_b").mapInArrow(_overlap, "a long, b long"), f"{tag}_links")
@@ -287,6 +293,78 @@ def _filter_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(bits.view(np.int64))], ["word", "bits"])
 
 
+def _linked_within(left: list[np.ndarray], right: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """How many sets of the other side each set is linked with; without ``right``, how many others of its own side."""
+    sides = [left, left if right is None else right]
+    tokens, at = np.unique(np.concatenate([np.concatenate(x) for x in sides]), return_inverse=True)
+    cut_at = sum(map(len, left))
+    spots = [at[:cut_at], at[cut_at:]]
+    owners = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in sides]
+    sizes = [np.array([len(s) for s in x], np.int64) for x in sides]
+    both = np.zeros((len(sides[0]), len(sides[1])), np.float32)
+    for start in range(0, len(tokens), AT_ONCE):
+        parts = []
+        for spot, owner, x in zip(spots, owners, sides, strict=True):
+            here = (spot >= start) & (spot < start + AT_ONCE)
+            part = np.zeros((len(x), min(AT_ONCE, len(tokens) - start)), np.float32)
+            part[owner[here], spot[here] - start] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    shared = both.astype(np.int64)
+    linked = UNDER * shared >= OVER * (sizes[0][:, None] + sizes[1][None, :] - shared)
+    if right is None:
+        np.fill_diagonal(linked, False)
+    return linked.sum(axis=1), linked.sum(axis=0)
+
+
+def _count_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cls, links) from rows that are sorted by pair of blocks: one pair of blocks is held at a time."""
+    key, held = None, []
+
+    def counted() -> pa.RecordBatch:
+        sides = [[(c, s) for c, side, s in held if side == k] for k in (0, 1)]
+        left, right = ([s for _, s in side] for side in sides)
+        found = []
+        if key[1] == key[2]:
+            found = [(sides[0], _linked_within(left, None)[0])]
+        elif left and right:
+            found = list(zip(sides, _linked_within(left, right), strict=True))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([c for side, _ in found for c, _ in side], pa.int64()),
+             pa.array([int(n) for _, counts in found for n in counts], pa.int64())], ["cls", "links"])
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("comp", "low", "high", "side", "cls")]
+        for *at, side, cls, packed in zip(*columns, batch.column("shingles"), strict=True):
+            if at != key and held:
+                yield counted()
+                held.clear()
+            key = at
+            held.append((cls, side, _unpacked(packed.as_buffer())))
+    if held:
+        yield counted()
+
+
+def links_within(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """``cls, n_links``: with how many other classes of its group (``cls, comp``) each class is linked.
+
+    A large group is dealt to blocks, and every pair of its blocks is counted on its own, so that a task holds two
+    blocks whatever the group's size. The time is that of all pairs of a group.
+    """
+    members = cut(groups.join(sets, "cls").withColumn("n", F.length("shingles") / 6), "members")
+    sizes = members.groupBy("comp").agg(F.ceil(F.greatest(
+        F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = members.join(sizes, "comp").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select(
+        "comp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "shingles")
+    keys = ("comp", "low", "high")
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = placed.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_count_links, "cls long, links long")
+    return counted.groupBy("cls").agg(F.sum("links").alias("n_links"))
+
+
 def _promising(pairs: DataFrame) -> DataFrame:
     """Pairs that share enough prefix entries and can still reach the overlap after the last one they share."""
     rest = F.least(F.col("n_a") - 1 - F.col("pos_a"), F.col("n_b") - 1 - F.col("pos_b"))
@@ -298,9 +376,9 @@ def _promising(pairs: DataFrame) -> DataFrame:
 def jaccard_groups(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links`` for every row of ``docs``.
 
-    ``component_id`` is the least id that links reach, the own included; ``n_links`` counts the links of the
-    document's set to other sets that were needed to join its group. A null, empty or blank text has an empty set
-    and its own id. A null id takes the least id of its group, or null. Rows that repeat an id keep a row each.
+    ``component_id`` is the least id that links reach, the own included; ``n_links`` counts the other sets that the
+    document's set is linked with; copies with its own set are not counted. A null, empty or blank text has an empty
+    set and its own id. A null id takes the least id of its group, or null. Rows that repeat an id keep a row each.
     Only id and text are read; an empty table gives an empty table.
     """
     rows = texts(docs)
@@ -356,7 +434,8 @@ def jaccard_groups(docs: DataFrame, size: int = WORDS) -> DataFrame:
 
     groups = components(links, "groups")
     members = groups.join(lead, "cls").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    degree = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
+    # a linked class was verified in one of the two steps, so its set is there
+    degree = links_within(groups, verifier.seen[0].union(verifier.seen[1]).dropDuplicates(["cls"]))
     of_class = lead.withColumnRenamed("doc_id", "own").join(groups, "cls", "left").join(members, "comp", "left").join(
         degree, "cls", "left").select("cls", F.coalesce("component_id", "own").alias("component_id"),
                                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -73,6 +73,51 @@ def test_groups_of_chains_passages_and_odd_rows(spark):
     assert {r.doc_id for r in kept.collect()} - {None} == leads
 
 
+def near_copies(rng, n, words=60):
+    """Copies of one text with a word or two of their own: many links within one group."""
+    base = [f"w{k}" for k in rng.integers(0, 10**6, words)]
+    out = []
+    for i in range(n):
+        mine = list(base)
+        for _ in range(int(rng.integers(1, 3))):
+            mine[int(rng.integers(0, words))] = f"x{rng.integers(10**6)}"
+        out.append(" ".join(mine))
+    return out
+
+
+def brute_links(rows):
+    """Per row, with how many other sets its own set is linked."""
+    def runs(text):
+        w = (text or "").lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [runs(t) for _, t in rows]
+    every = {s for s in sets if s}
+    return [sum(o != s and 100 * len(s & o) >= 75 * len(s | o) for o in every) if s else 0 for s in sets]
+
+
+@pytest.mark.parametrize("classes", [1_000, 7])
+def test_links_within_a_group_are_all_counted(spark, monkeypatch, classes):
+    monkeypatch.setattr(near_duplicates, "BLOCK_CLASSES", classes)
+    rng = np.random.default_rng(5)
+    rows = [(i, t) for i, t in enumerate(near_copies(rng, 40) + near_copies(rng, 15, 30))]
+    rows += [(100 + i, rows[i][1]) for i in range(5)] + [(200, None), (201, "one two")]
+    got = near_duplicates.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = dict(zip((d for d, _ in rows), brute_links(rows), strict=True))
+    assert {r.doc_id: r.n_links for r in got} == want
+    assert max(want.values()) > 10
+
+
+def test_texts_without_id_are_linked(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in rng.integers(0, 10**6, 80)]
+    rows = []
+    for i in range(6):  # a chain whose middle has no id
+        words[12 * i] = f"x{i}"
+        rows.append((None if i in (2, 3) else i, " ".join(words)))
+    assert groups_of(spark.createDataFrame(rows, "doc_id long, text string")) == brute_groups(rows)
+
+
 def test_prefix_choice_follows_cost():
     cheap, dear = np.zeros(100), np.concatenate([np.zeros(20), np.full(80, 500.0)])
     assert near_duplicates.choose_matches(cheap, 100, 75) == 1
