@@ -2,10 +2,11 @@
 
 Four base kinds are defined by pattern and check (``BASE``); their spans always stay. ``GENERATORS`` propose more,
 overlapping ones: loosely written mail addresses, account numbers, bare phone numbers, long keys. Each candidate
-gets numbers on its format and on the 32 characters before it. Boosted trees, trained on a bounded sample of
-candidates of the corpus, score it, and a threshold per generator, calibrated on sample rows kept out of the
-training, decides. Labels of the sample come from strict checks (checksums, a naming word and sign right before).
-A candidate that passes its strict check stays whatever the sample held, so a kind too rare to be calibrated is found.
+gets numbers on its format and on the 32 characters before it. Boosted trees, trained on the candidates of the whole
+corpus, score it, and a threshold per generator, calibrated on the quarter kept out of the training, decides. Labels
+come from strict checks (checksums, a naming word and sign right before). A candidate that passes its strict check
+stays whatever the corpus held, so a kind too rare to be calibrated is found. Candidates with equal numbers are one
+weighted row.
 The trees become one SQL expression of nested conditions, evaluated inside each document's row: no shuffle, no
 Python. Offsets are code points, the end exclusive.
 """
@@ -17,9 +18,10 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ripplepanel.functions.ranking import running_sums
 from ripplepanel.llm.common import texts
 from ripplepanel.session import cut
 
@@ -40,7 +42,7 @@ GENERATORS = (
 )
 KINDS = ("email", "ip", "card", "phone", "account", "secret")
 CONTEXT = 32
-SAMPLE, PARTS, TREES, DEPTH = 6_000, 60, 12, 3
+TREES, DEPTH = 12, 3
 #: The share of chosen calibration rows that must be right.
 PRECISION = 0.98
 
@@ -156,7 +158,7 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 
 def seed_label(kind: Column, f: dict[str, Column]) -> Column:
-    """The strict checks that label sample candidates."""
+    """The strict checks that label candidates."""
     named = {"phone": "says_phone", "secret": "says_secret"}
     return (
         F.when(kind == "email", (f["at"] + f["parens"] >= 1) & ((f["parens"] >= 2) | (f["blanks"] == 0)))
@@ -198,34 +200,34 @@ def _tree_sql(node, weight: float) -> str:
     return f"(CASE WHEN x.{FEATURES[split.featureIndex()]} <= {split.threshold()!r}D THEN {left} ELSE {right} END)"
 
 
-def fit_detector(docs: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH) -> Detector:
-    """Train on at most ``sample`` candidates of every generator: those with the smallest hash of text and place.
+def fit_detector(docs: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Detector:
+    """Train on three quarters of all generators' candidates, by hash of text and place, and calibrate on the rest.
 
-    A sample without both labels gives a detector of the strict checks alone.
+    A corpus without both labels gives a detector of the strict checks alone. A candidate that a document repeats
+    with the same text before it counts once.
     """
     rows = candidates(base_spans(texts(docs, keys=("doc_id",))))
-    each = rows.select("doc_id", F.explode("proposed").alias("c")).select("doc_id", "c.kind", "c.s", "c.before")
-    each = each.distinct().withColumn("pick", F.xxhash64("s", "before"))
-    # in salted parts of a kind, so that one generator's candidates are not ranked in one task
-    first = Window.partitionBy("kind", F.pmod("pick", F.lit(PARTS))).orderBy("pick", "doc_id")
-    picked = each.withColumn("n", F.row_number().over(first)).where(F.col("n") <= -(-sample // PARTS)).drop("n")
+    each = rows.select("doc_id", F.explode("proposed").alias("c")).select("doc_id", "c.kind", "c.s", "c.before").distinct()
     made = features(F.col("s"), F.col("before"))
-    table = cut(picked.select("kind", "pick", seed_label(F.col("kind"), made).alias("label"),
-                              *(c.alias(k) for k, c in made.items())), "private_sample")
-    learn = table.where(F.pmod("pick", F.lit(4)) > 0).orderBy("pick").coalesce(1)
+    each = each.select("kind", (F.pmod(F.xxhash64("s", "before"), F.lit(4)) > 0).alias("learn"),
+                       seed_label(F.col("kind"), made).alias("label"), *(c.alias(k) for k, c in made.items()))
+    table = cut(each.groupBy("kind", "learn", "label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight")), "private")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    learn = table.where("learn").groupBy("label", *FEATURES).agg(F.sum("weight").alias("weight"))
+    learn = learn.repartition(parts, *FEATURES).sortWithinPartitions(*FEATURES, "label")
     if learn.select("label").distinct().count() < 2:
         return Detector((), {})
     gather = VectorAssembler(inputCols=list(FEATURES), outputCol="vector")
-    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=11).fit(gather.transform(learn))
-    parts = tuple(_tree_sql(t._call_java("rootNode"), w) for t, w in zip(model.trees, model.treeWeights, strict=True))
+    model = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth,
+                          stepSize=0.3, seed=11).fit(gather.transform(learn))
+    nodes = tuple(_tree_sql(t._call_java("rootNode"), w) for t, w in zip(model.trees, model.treeWeights, strict=True))
     made_of = ", ".join(f"'{k}', {k}" for k in FEATURES)
-    scored = table.where(F.pmod("pick", F.lit(4)) == 0).withColumn("x", F.expr(f"named_struct({made_of})"))
-    scored = scored.select("kind", "label", F.expr(Detector(parts, {}).score()).alias("score")).collect()
-    return Detector(parts, calibrate([(r["kind"], r["score"], r["label"]) for r in scored]))
+    scored = table.where("not learn").withColumn("x", F.expr(f"named_struct({made_of})"))
+    return Detector(nodes, thresholds(scored.select("kind", "label", "weight", F.expr(Detector(nodes, {}).score()).alias("score"))))
 
 
 def calibrate(rows: Sequence[tuple[str, float, float]], precision: float = PRECISION) -> dict[str, float]:
-    """Per kind the least score, 0.5 or more, from which the given share of rows is labelled 1; absent without such."""
+    """``thresholds`` of (kind, score, label) rows in hand, each counted once."""
     floor = {}
     for kind in sorted({k for k, _, _ in rows}):
         mine = sorted(((s, y) for k, s, y in rows if k == kind), reverse=True)
@@ -238,6 +240,18 @@ def calibrate(rows: Sequence[tuple[str, float, float]], precision: float = PRECI
     return floor
 
 
+def thresholds(scored: DataFrame, precision: float = PRECISION) -> dict[str, float]:
+    """Per kind the least score, 0.5 or more, from which the given share of the weight is labelled 1; absent without such.
+
+    ``scored`` has kind, label, weight and score; only a score per kind reaches the driver.
+    """
+    steps = scored.where("score >= 0.5").groupBy("kind", (-F.col("score")).alias("down")).agg(
+        F.sum("weight").alias("whole"), F.sum(F.col("weight") * F.col("label")).alias("right"))
+    upto = running_sums(steps, ["kind"], ["down"], ["whole", "right"]).where(F.col("right_upto") / F.col("whole_upto") >= precision)
+    found = upto.groupBy("kind").agg((-F.max("down")).alias("score")).collect()
+    return {r["kind"]: round(r["score"] - 1e-9, 9) for r in sorted(found)}
+
+
 def find_personal_data(docs: DataFrame, detector: Detector, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``text`` (null: empty), ``base`` and ``all_spans`` (base and added, by start, then kind)."""
     rows = candidates(base_spans(texts(docs, keys=tuple(keep))))

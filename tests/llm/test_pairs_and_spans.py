@@ -193,6 +193,23 @@ def test_calibration_needs_precision():
     assert personal_data.calibrate(rows) == {"a": pytest.approx(0.9)}
 
 
+def test_thresholds_equal_plain_calibration(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, round(float(s), 2), float(s + rng.normal(0, 0.1) > 0.6)) for k in "ab" for s in rng.random(300)]
+    table = spark.createDataFrame(rows, "kind string, score double, label double").groupBy("kind", "score", "label").count()
+    want = personal_data.calibrate(rows)
+    assert want and personal_data.thresholds(table.withColumnRenamed("count", "weight")) == pytest.approx(want)
+
+
+def test_detector_learns_from_all_candidates(spark, monkeypatch):
+    rows = [(i, " ".join(f"{'token=' if i % 2 else 'x '}k{i * 10 + j:08d}aB9zQ7mT4pL2w" for j in range(10))) for i in range(700)]
+    rows.append((0, rows[0][1]))  # a repeated row adds no candidate
+    kept, cut = [], personal_data.cut
+    monkeypatch.setattr(personal_data, "cut", lambda df, tag: kept.append(cut(df, tag)) or kept[-1])
+    personal_data.fit_detector(spark.createDataFrame(rows, "doc_id long, text string"), trees=1)
+    assert kept[0].selectExpr("sum(weight)").first()[0] == 7_000
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     extra = spark.createDataFrame(
