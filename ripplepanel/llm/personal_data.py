@@ -212,9 +212,8 @@ def fit_detector(docs: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Det
     each = each.select("kind", (F.pmod(F.xxhash64("s", "before"), F.lit(4)) > 0).alias("learn"),
                        seed_label(F.col("kind"), made).alias("label"), *(c.alias(k) for k, c in made.items()))
     table = cut(each.groupBy("kind", "learn", "label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight")), "private")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     learn = table.where("learn").groupBy("label", *FEATURES).agg(F.sum("weight").alias("weight"))
-    learn = learn.repartition(parts, *FEATURES).sortWithinPartitions(*FEATURES, "label")
+    learn = learn.repartition(*FEATURES).sortWithinPartitions(*FEATURES, "label")
     if learn.select("label").distinct().count() < 2:
         return Detector((), {})
     gather = VectorAssembler(inputCols=list(FEATURES), outputCol="vector")
