@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ripplepanel.operators import clean, geometry, panel as panels, treatment
+from ripplepanel.plans import binding
 from ripplepanel.policy import CITY_POLICY
 from ripplepanel.sources import feeds, manifest, results, zones
 from ripplepanel.streaming import ingest
@@ -314,3 +315,42 @@ def test_commonest_feed_takes_the_smallest_name(spark, policy):
     got = {r["zone_id"]: (r["trip_type_agg"], r["trip_count"]) for r in panels.build_panel(
         clean.clean_trips(spark.createDataFrame(rows, TRIP), policy), policy, "day", 1).collect()}
     assert got == {5: ("green", 2), 7: ("other", 3), 9: (None, 1)}
+
+
+def star_tables(spark, root):
+    """Line items with a repeated order, a repeated customer, and keys that are null or stand nowhere."""
+    spark.createDataFrame(
+        [(1, 1, 1, 10.0, 3000.0, 0.05, 0.02, "A", datetime(1998, 7, 31)), (1, 1, 7, 20.0, 4000.0, 0.0, 0.04, "A", datetime(1998, 7, 31)),
+         (2, 2, 2, 30.0, 5000.0, 0.1, 0.06, "N", datetime(1998, 1, 1)), (3, 1, 3, None, 6000.0, 0.1, 0.06, "R", datetime(1997, 1, 1)),
+         (None, 1, 1, 1.0, 1.0, 0.0, 0.0, "R", datetime(1997, 1, 1)), (9, 1, 1, 1.0, 1.0, 0.0, 0.0, None, None)],
+        "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+        "l_tax double, l_returnflag string, l_shipdate timestamp").write.parquet(f"{root}/lineitem.parquet")
+    spark.createDataFrame([(1, 1), (2, 2), (2, 2), (3, None), (9, 2)], "o_orderkey long, o_custkey long").write.parquet(f"{root}/orders.parquet")
+    spark.createDataFrame([(1, 3), (2, 4), (2, None), (None, 1)], "c_custkey long, c_nationkey int").write.parquet(f"{root}/customer.parquet")
+    spark.createDataFrame([(1, 5), (2, 6)], "s_suppkey long, s_nationkey int").write.parquet(f"{root}/supplier.parquet")
+    return str(root)
+
+
+def test_line_items_do_not_move_for_the_customers(spark, tmp_path):
+    root = star_tables(spark, tmp_path)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        trips = binding.bound_trips(spark, root)
+        plan = trips._jdf.queryExecution().executedPlan().toString()
+        moved = plan.split("hashpartitioning(o_custkey")[1].split("\n")[1]
+        assert "o_orderkey" in moved and "l_quantity" not in moved
+        got = sorted((r["l_orderkey"], r["l_linenumber"], r["pickup_zone"], r["leaky_month"]) for r in trips.where("pickup_zone > 0").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [(1, 1, 4, "1998-07"), (1, 7, 4, "1998-08"), (2, 2, 5, "1998-01"), (2, 2, 5, "1998-01"), (9, 1, 5, None)]
+
+
+def test_gathered_feeds_have_the_same_rows(spark, tmp_path):
+    root = star_tables(spark, tmp_path)
+    plain, gathered = (binding.raw_feeds(spark, root, leaky=True, gathered=g) for g in (False, True))
+    for name, df in plain.items():
+        assert gathered[name].dtypes == df.dtypes
+        assert sorted(map(str, gathered[name].collect())) == sorted(map(str, df.collect())) and df.count() > 0
+    shuffled = gathered["yellow"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions" in shuffled and "dropoff" not in shuffled.split("RebalancePartitions")[1]
