@@ -24,6 +24,8 @@ from ripplepanel.functions.tails import normal_two_sided_value
 from ripplepanel.session import cut_at, discard
 
 Z95 = 1.96
+#: Values of a panel that a task of a sweep takes, if there are not more than the session's partitions hold.
+TASK_VALUES = 250_000
 
 
 @dataclass
@@ -83,34 +85,38 @@ def two_way_demean(
     are below ``tol`` of a column's size; raises when that takes more than
     ``max_sweeps``: no half-converged result is returned.
     """
-    spark = df.sparkSession
     columns = list(dict.fromkeys(columns))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     extra = [c for c in dict.fromkeys(carry) if c not in {*by, unit, time, *columns}]
-    # without batches one constant is the batch key
-    batch = list(by) or ["_all"]
-    base = (
-        df.selectExpr(*(by or ["0 as _all"]), unit, time, *extra, *[f"cast({c} as double) as {c}" for c in columns])
-        .dropna(subset=columns)
-        .repartition(parts, *batch, unit)
-        .sortWithinPartitions(*batch, unit)
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    # without batches one constant is the batch key; it is no key of the rows' place, since the planner folds a
+    # constant away and would take the kept rows for rows of unknown place: every sweep would move them again
+    batch, place = list(by) or ["_all"], [*by, unit]
+    rows = df.selectExpr(
+        *(by or ["0 as _all"]), unit, time, *extra, *[f"cast({c} as double) as {c}" for c in columns]
+    ).dropna(subset=columns).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        # read once and kept, so that a small panel is not dealt to hundreds of tasks in every sweep
+        most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(1, min(most, rows.count() * len(columns) // TASK_VALUES))
+        base = rows.repartition(parts, *place).sortWithinPartitions(*place).persist(StorageLevel.MEMORY_AND_DISK)
+        base.count()
+    finally:
+        rows.unpersist()
     try:
-        effects, sweeps = _time_effects(base, columns, unit, time, batch, tol, max_sweeps)
+        effects, sweeps = _time_effects(base, columns, unit, time, batch, place, tol, max_sweeps)
     except BaseException:
         base.unpersist()
         raise
     # one text per column keeps the plan the same and spares thousands of calls
     # into the JVM for a wide regression
-    per_unit = f"over (partition by {', '.join([*batch, unit])})"
+    per_unit = f"over (partition by {', '.join(place)})"
     frame = base.join(effects, [*batch, time]).selectExpr(
         *by, unit, time, *extra, *[f"{c} - _g_{c} - avg({c} - _g_{c}) {per_unit} as t_{c}" for c in columns])
     return Demeaned(base, frame, sweeps)
 
 
 def _time_effects(
-    base: DataFrame, columns: list[str], unit: str, time: str, batch: list[str], tol: float, max_sweeps: int,
+    base: DataFrame, columns: list[str], unit: str, time: str, batch: list[str], place: list[str], tol: float,
+    max_sweeps: int,
 ) -> tuple[DataFrame, int]:
     """Effects ``_g_<column>`` per batch and time key, and the sweeps they took.
 
@@ -120,7 +126,7 @@ def _time_effects(
     """
     spark = base.sparkSession
     keys = [*batch, time]
-    per_unit = f"over (partition by {', '.join([*batch, unit])})"
+    per_unit = f"over (partition by {', '.join(place)})"
     spread = base.selectExpr(*[f"max(abs({c})) as {c}" for c in columns]).first()
     limits = {c: tol * max(spread[c] or 0.0, 1e-12) for c in columns}
     left = base.selectExpr(*keys, *[f"{c} - avg({c}) {per_unit} as {c}" for c in columns])

@@ -326,3 +326,12 @@ def test_event_study_without_window_takes_every_week(spark):
         df[f"w{w}"] = (df["rel_week"] == w) * df["treat_binary"]
     b, _ = dummy_regression(df, "log_trip_count", [f"w{w}" for w in weeks])
     assert np.allclose([found[w] for w in weeks], b, atol=1e-6)
+
+
+def test_sweeps_leave_a_panel_where_it_is(spark):
+    with two_way_demean(spark.createDataFrame(panel()), ["log_trip_count"]) as net:
+        assert net.base.rdd.getNumPartitions() == 1
+        left = net.base.selectExpr("date", "log_trip_count - avg(log_trip_count) over (partition by zone_id) as x")
+        left.collect()
+        plan = left._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+        assert "Exchange" not in plan
