@@ -12,8 +12,11 @@ and never expanded into pairs. For the classes:
 3. Entries go to their shingle; those that meet no other class end there. Each shingle has a pivot, the class with
    the largest share of entries that met others. A class is verified with the pivot it shares most with; such
    pairs come first and join most copies of a large group.
-4. Then every remaining pair of classes that are not yet in one group is taken, counted, bounded by the positions
-   of its last shared entry, and verified on whole sets. No pair of different groups is left out.
+4. Then classes of different groups meet. A pair that can be a link meets at the first shingle it shares, at which
+   both have as many shingles left as the link needs; in rare-first order what edited copies of one text hold alone
+   comes before that. Shingles with the same holders have the same pairs, so the first of them in the order stands for
+   all. Of these pairs the parities of both sets, whose differing bits are at most the shingles that one of them lacks,
+   rule out most; whole sets decide on the rest. No pair of different groups that can be a link is left out.
 5. All links lie within groups. They are counted there, block of classes against block, as products of incidence
    matrices; a pair is never a row.
 """
@@ -40,6 +43,8 @@ MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
 #: What verifying one candidate costs, in prefix entries scanned.
 VERIFY_COST = 40.0
 FILTER_BITS = 25
+#: Bits of a set's parities.
+MARK_BITS = 1_024
 ENTRIES = 150_000
 #: Classes and shingles in a block of a group, and shingles in one product of two blocks.
 BLOCK_CLASSES, BLOCK_SHINGLES, AT_ONCE = 1_000, 1 << 18, 4_096
@@ -79,8 +84,14 @@ def class_of(found: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes()))))
 
 
+def _marks(found: np.ndarray) -> bytes:
+    """One bit per residue of the hashes: whether the set holds an odd number of that residue."""
+    spots = ((found >> np.uint64(13)) & np.uint64(MARK_BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(spots, minlength=MARK_BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def _prints(size: int, id_type: pa.DataType):
-    """Rows of documents (id, n, class), and rows of sketch blocks (block, counts) per task."""
+    """Rows of documents (id, n, class, and parities with the first of a class), and of sketch blocks (block, counts) per task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = _WordHashes(), set()
@@ -93,12 +104,14 @@ def _prints(size: int, id_type: pa.DataType):
                 held.clear()
 
         for batch in batches:
-            n, cls = [], []
+            n, cls, marks = [], [], []
             for text in batch.column("text"):
                 found = shingles(text.as_py(), known, size)
                 n.append(len(found))
                 cls.append(class_of(found))
+                marks.append(None)
                 if len(found) and cls[-1] not in seen:
+                    marks[-1] = _marks(found)
                     seen.add(cls[-1])
                     held.append(found)
                     waiting += len(found)
@@ -107,16 +120,16 @@ def _prints(size: int, id_type: pa.DataType):
                         waiting = 0
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none.cast(pa.int32()),
-                 none.cast(pa.binary())], ["doc_id", "n", "cls", "block", "counts"])
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(marks, pa.binary()),
+                 none.cast(pa.int32()), none.cast(pa.binary())], ["doc_id", "n", "cls", "marks", "block", "counts"])
         add()
         blocks = [b for b in range(len(sketch) // BLOCK) if sketch[b * BLOCK : (b + 1) * BLOCK].any()]
         none = pa.nulls(len(blocks))
         yield pa.RecordBatch.from_arrays(
             [none.cast(id_type), none.cast(pa.int64()),
-             none.cast(pa.int64()), pa.array(blocks, pa.int32()),
+             none.cast(pa.int64()), none.cast(pa.binary()), pa.array(blocks, pa.int32()),
              pa.array([sketch[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in blocks], pa.binary())],
-            ["doc_id", "n", "cls", "block", "counts"])
+            ["doc_id", "n", "cls", "marks", "block", "counts"])
 
     return run
 
@@ -154,10 +167,10 @@ def _entries(size: int, sketch, mean: float):
         count = 0
 
         def flush() -> pa.RecordBatch:
-            columns = [np.concatenate([h[i] for h in held]) for i in range(6)]
+            columns = [np.concatenate([h[i] for h in held]) for i in range(5)]
             held.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in columns], ["token", "cls", "n", "matches", "pos", "indexed"])
+                [pa.array(c) for c in columns], ["token", "cls", "n", "matches", "pos"])
 
         for batch in batches:
             for text in batch.column("text"):
@@ -169,16 +182,16 @@ def _entries(size: int, sketch, mean: float):
                 if cls in seen:
                     continue
                 seen.add(cls)
-                need, need_small = -(-OVER * n // UNDER), -(-2 * OVER * n // (OVER + UNDER))
+                need = -(-OVER * n // UNDER)
                 other = counted[found >> np.uint64(64 - SKETCH_BITS)]
                 most = min(n, n - need + MATCHES[-1])
                 order = np.lexsort((found, other))[:most]
                 m = choose_matches(other[order], n, need)
-                size_all, size_small = n - need + m, min(n, n - need_small + m)
+                size_all = n - need + m
                 held.append((
                     found[order[:size_all]].view(np.int64), np.full(size_all, cls, np.int64),
                     np.full(size_all, n, np.int32), np.full(size_all, m, np.int32),
-                    np.arange(size_all, dtype=np.int32), np.arange(size_all) < size_small))
+                    np.arange(size_all, dtype=np.int32)))
                 count += size_all
                 if count > ENTRIES:
                     count = 0
@@ -373,6 +386,44 @@ def _promising(pairs: DataFrame) -> DataFrame:
         & ((F.col("shared") + rest) * (OVER + UNDER) >= OVER * (F.col("n_a") + F.col("n_b"))))
 
 
+def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose parities differ in no more bits than a link may have shingles in one set only."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, MARK_BITS // 64) for c in ("marks_a", "marks_b"))
+        apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        n = batch.column("n").to_numpy()
+        # intersection >= OVER / (OVER + UNDER) * n, and n - 2 * intersection shingles are in one set only
+        yield batch.select(["a", "b"]).filter(pa.array((OVER + UNDER) * apart <= (UNDER - OVER) * n))
+
+
+def _across(met: DataFrame, groups: DataFrame, marks: DataFrame) -> DataFrame:
+    """Every pair ``a, b`` of classes of different groups that can be a link, from entries of shingles that several hold.
+
+    A link shares its first shingle where both sides have at least OVER / (OVER + UNDER) of their sizes' sum left.
+    """
+    n, pos = F.col("n").cast("long"), F.col("pos").cast("long")
+    placed = met.where(UNDER * (n - pos) >= OVER * n).select("token", "cls", n.alias("n"), (n - pos).alias("left"))
+    placed = cut(placed.join(groups, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "placed")
+    # entries are distinct by shingle and class, so equal holders have equal hashes; the order of shingles is the same
+    # in all sets, so the first of several with equal holders is the one that leaves their least class most
+    held = placed.groupBy("token").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("holders"),
+        F.bit_xor(F.xxhash64("cls")).alias("one"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("two"),
+        F.min("cls").alias("least"), F.min_by("left", "cls").alias("at"))
+    first = held.where("low < high").groupBy("holders", "one", "two", "least").agg(F.max_by("token", "at").alias("token"))
+    mixed = cut(placed.join(first.select("token"), "token", "left_semi"), "mixed")
+    a, b = mixed.alias("a"), mixed.alias("b")
+    pairs = a.join(b, F.col("a.token") == F.col("b.token")).where(
+        (F.col("a.comp") != F.col("b.comp"))
+        & ((F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.cls") > F.col("b.cls"))))
+        & (UNDER * F.col("b.n") >= OVER * F.col("a.n"))
+        & ((OVER + UNDER) * F.least("a.left", "b.left") >= OVER * (F.col("a.n") + F.col("b.n"))))
+    pairs = pairs.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), (F.col("a.n") + F.col("b.n")).alias("n")).distinct()
+    for side in "ab":
+        pairs = pairs.join(marks.select(F.col("cls").alias(side), F.col("marks").alias(f"marks_{side}")), side)
+    return pairs.select("a", "b", "n", "marks_a", "marks_b").mapInArrow(_alike, "a long, b long")
+
+
 def jaccard_groups(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links`` for every row of ``docs``.
 
@@ -384,7 +435,8 @@ def jaccard_groups(docs: DataFrame, size: int = WORDS) -> DataFrame:
     rows = texts(docs)
     id_type = rows.schema["doc_id"].dataType
     kind = id_type.simpleString()
-    prints = cut(rows.mapInArrow(_prints(size, to_arrow_type(id_type)), f"doc_id {kind}, n long, cls long, block int, counts binary"), "prints")
+    prints = cut(rows.mapInArrow(
+        _prints(size, to_arrow_type(id_type)), f"doc_id {kind}, n long, cls long, marks binary, block int, counts binary"), "prints")
     documents = prints.where(F.col("block").isNull()).select("doc_id", "n", "cls")
     sketch = np.zeros(1 << SKETCH_BITS, np.float32)  # 4 MB whatever the input
     for r in prints.where(F.col("block").isNotNull()).select("block", "counts").groupBy("block").applyInArrow(
@@ -394,7 +446,7 @@ def jaccard_groups(docs: DataFrame, size: int = WORDS) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     entries = rows.select("text").mapInArrow(
-        _entries(size, shared, mean), "token long, cls long, n int, matches int, pos int, indexed boolean")
+        _entries(size, shared, mean), "token long, cls long, n int, matches int, pos int")
     by_token = Window.partitionBy("token")
     met = entries.withColumn("least", F.min("cls").over(by_token)).withColumn("most", F.max("cls").over(by_token))
     met = cut(met.where(F.col("least") < F.col("most")).drop("most").dropDuplicates(["token", "cls"]), "entries")
@@ -418,19 +470,8 @@ def jaccard_groups(docs: DataFrame, size: int = WORDS) -> DataFrame:
     links = verifier.links(star, "star")
     joined = components(links, "star_groups")
 
-    placed = met.drop("least").join(joined, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = placed.withColumn("low", F.min("comp").over(by_token)).withColumn("high", F.max("comp").over(by_token))
-    mixed = cut(mixed.where(F.col("low") < F.col("high")).drop("low", "high"), "mixed")
-    a, b = mixed.alias("a"), mixed.where("indexed").alias("b")
-    pairs = a.join(b, F.col("a.token") == F.col("b.token")).where(
-        (F.col("a.comp") != F.col("b.comp"))
-        & ((F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.cls") > F.col("b.cls"))))
-        & (UNDER * F.col("b.n") >= OVER * F.col("a.n")))
-    pairs = pairs.groupBy(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.max("a.pos").alias("pos_a"), F.max("b.pos").alias("pos_b"),
-        F.first("a.n").alias("n_a"), F.first("b.n").alias("n_b"),
-        F.first("a.matches").alias("m_a"), F.first("b.matches").alias("m_b"))
-    links = links.unionByName(verifier.links(_promising(pairs), "rest"))
+    marks = prints.where(F.col("marks").isNotNull()).select("cls", "marks").dropDuplicates(["cls"])
+    links = links.unionByName(verifier.links(_across(met, joined, marks), "rest"))
 
     groups = components(links, "groups")
     members = groups.join(lead, "cls").groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -118,6 +118,55 @@ def test_texts_without_id_are_linked(spark):
     assert groups_of(spark.createDataFrame(rows, "doc_id long, text string")) == brute_groups(rows)
 
 
+def test_a_family_of_edited_copies_is_not_paired_with_itself(spark, monkeypatch):
+    """Copies with words of their own that are too far apart to link: shingles with the same holders count once, and few pairs are verified."""
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.choice(22, 4, replace=False) * 5 + 5:  # all four apart: 20 of 116 shingles are the copy's own
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join([f"p{j}" for j in range(30)] + [f"q{i}x{j}" for j in range(8)])) for i in range(2)]
+    seen, tables = {}, {}
+    real_links, real_cut = near_duplicates._Verifier.links, near_duplicates.cut
+
+    def links(self, pairs, tag):
+        seen[tag] = pairs.count()
+        return real_links(self, pairs, tag)
+
+    def cut(df, tag):
+        tables[tag] = real_cut(df, tag)
+        return tables[tag]
+
+    monkeypatch.setattr(near_duplicates._Verifier, "links", links)
+    monkeypatch.setattr(near_duplicates, "cut", cut)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert groups_of(docs) == brute_groups(rows)
+    lists = tables["mixed"].groupBy("token").agg({"cls": "collect_set"}).collect()
+    assert len(lists) == len({frozenset(r[1]) for r in lists})
+    assert seen["rest"] <= 60
+
+
+def test_parities_keep_every_link(spark):
+    rng = np.random.default_rng(6)
+    rows, links = [], []
+    for i in range(300):
+        both = rng.integers(0, 2**63, rng.integers(1, 900), dtype=np.uint64)
+        more = [rng.integers(0, 2**63, rng.integers(0, len(both) // 3 + 2), dtype=np.uint64) for _ in range(2)]
+        x, y = (np.unique(np.concatenate([both, m])) for m in more)
+        shared = len(np.intersect1d(x, y))
+        rows.append((2 * i, 2 * i + 1, len(x) + len(y), near_duplicates._marks(x), near_duplicates._marks(y)))
+        if 100 * shared >= 75 * (len(x) + len(y) - shared):
+            links.append(2 * i)
+    pairs = spark.createDataFrame([(a, b, n, bytearray(x), bytearray(y)) for a, b, n, x, y in rows],
+                                  "a long, b long, n long, marks_a binary, marks_b binary")
+    kept = {r.a for r in pairs.mapInArrow(near_duplicates._alike, "a long, b long").collect()}
+    assert len(links) > 50 and set(links) <= kept and len(kept) < 300
+    assert pairs.limit(0).mapInArrow(near_duplicates._alike, "a long, b long").collect() == []
+
+
 def test_prefix_choice_follows_cost():
     cheap, dear = np.zeros(100), np.concatenate([np.zeros(20), np.full(80, 500.0)])
     assert near_duplicates.choose_matches(cheap, 100, 75) == 1
