@@ -2,8 +2,8 @@
 
 Documents are added up to cells of source, language and topic. Each dimension has a factor per value; a round goes
 through the dimensions and multiplies a dimension's factors by target over current share, until all shares agree.
-Cells and factors are tables; a step is one job that writes a dimension's next factors, and only its largest deviation
-and the sums for the extrapolation reach the driver. From two rounds a third set of factors is extrapolated (Irons and
+Cells carry their factors; a round is one job that writes them anew, and only its largest deviation and the sums for the
+extrapolation reach the driver. From two rounds a third set of factors is extrapolated (Irons and
 Tuck, on logarithms); where that brings the shares no nearer, it goes on from the rounds' own factors. A cell's weight is the product of its factors. Probabilities are at most 1 and keep the asked share of
 tokens: raking goes on under that bound until tokens times probability have the shares too. A value that would need
 more than all its tokens is kept whole, and the others of its dimension share the rest (``mixture_shares`` tells). A
@@ -17,7 +17,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ripplepanel.session import cut as write_table
@@ -72,40 +72,63 @@ def tempered_targets(cells: DataFrame, temper: Mapping[str, float] = TEMPER) ->
     return out
 
 
-def _weighted(cells: DataFrame, factors: Mapping[str, DataFrame], bounded: bool) -> DataFrame:
-    """Cells with the product of their factors as ``weight``."""
-    rows, weight, whole = cells, F.lit(1.0), F.lit(False)
+def _weight(bounded: bool) -> Column:
+    """The product of a cell's factors, 0 where a dimension has none; bounded, at most 1, and 1 in cells of a whole value."""
+    weight, whole = F.lit(1.0), F.lit(False)
     for d in DIMENSIONS:
-        named = factors[d].select(F.col("value").alias(f"_{d}"), F.col("factor").alias(f"_f_{d}"), F.col("whole").alias(f"_w_{d}"))
+        weight, whole = weight * F.coalesce(F.col(f"_f_{d}"), F.lit(0.0)), whole | F.coalesce(F.col(f"_w_{d}"), F.lit(False))
+    return F.when((weight > 0) & whole, 1.0).otherwise(F.least(F.lit(1.0), weight)) if bounded else weight
+
+
+def _placed(cells: DataFrame, factors: Mapping[str, DataFrame]) -> tuple[DataFrame, str, bool]:
+    """Cells with aim, factor and whole of their values, written; and whether a value with an aim has no cell at all.
+
+    ``_one_<dimension>`` marks one cell of each value, so that what is added up over values counts each once.
+    """
+    rows, lost = cells, None
+    for d in DIMENSIONS:
+        named = factors[d].select(F.col("value").alias(f"_{d}"), F.col("aim").alias(f"_a_{d}"), F.col("factor").alias(f"_f_{d}"),
+                                  F.lit(None).cast("double").alias(f"_l_{d}"), F.col("whole").alias(f"_w_{d}"))
+        bare = named.where(f"_a_{d} > 0").join(cells, f"_{d}", "left_anti").select(F.lit(1).alias("one"))
+        lost = bare if lost is None else lost.union(bare)
         rows = rows.join(named, f"_{d}", "left")
-        weight = weight * F.coalesce(F.col(f"_f_{d}"), F.lit(0.0))
-        whole = whole | F.coalesce(F.col(f"_w_{d}"), F.lit(False))
-    if bounded:
-        weight = F.when((weight > 0) & whole, 1.0).otherwise(F.least(F.lit(1.0), weight))
-    return rows.withColumn("weight", weight).drop(*(f"_{k}_{d}" for d in DIMENSIONS for k in "fw"))
+    for d in DIMENSIONS:
+        order = Window.partitionBy(f"_{d}").orderBy(*(f"_{k}" for k in DIMENSIONS))
+        rows = rows.withColumn(f"_one_{d}", (F.row_number().over(order) == 1) & F.col(f"_a_{d}").isNotNull())
+    made, path = cut_at(rows.coalesce(FILES), "mix_round")
+    return made, path, lost.limit(1).count() > 0
 
 
-def _step(cells: DataFrame, now: dict[str, DataFrame], d: str, bounded: bool) -> tuple[DataFrame, str, dict]:
-    """The next factors of one dimension as a written table, with those before (``last``, ``older``).
+def _round(state: DataFrame, bounded: bool) -> tuple[DataFrame, str, dict]:
+    """The cells after one step of every dimension, as one written table, with the factors before (``_l_``).
 
-    What is observed while writing: the largest deviation before the step, and the sums for the extrapolation.
+    What is observed while writing: the largest deviation before a step, and the sums for the extrapolation.
     """
-    full = (F.col("weight") >= 1) if bounded else F.lit(False)
-    sums = _weighted(cells, now, bounded).groupBy(F.col(f"_{d}").alias("value")).agg(
-        F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("held"),
-        F.sum(F.when(~full, F.col("tokens") * F.col("weight")).otherwise(0.0)).alias("free"))
-    step = now[d].join(sums, "value", "left").fillna(0, ["held", "free"]).withColumn("now", F.col("held") + F.col("free"))
-    ratio = F.when((F.col("free") > 0) & (F.col("aim") > F.col("held")), (F.col("aim") - F.col("held")) / F.col("free"))
-    step = step.select(
-        "value", "aim", "whole", F.when(F.col("now") > 0, F.col("factor") * F.coalesce(ratio, F.col("aim") / F.col("now"))).otherwise(0.0).alias("factor"),
-        F.col("factor").alias("last"), F.col("last").alias("older"),
-        F.when(F.col("aim") > 0, F.abs(F.col("now") / F.col("aim") - 1)).otherwise(0.0).alias("off"))
-    moved, earlier = F.log("factor") - F.log("last"), F.log("last") - F.log("older")
-    known = (F.col("factor") > 0) & (F.col("last") > 0) & (F.col("older") > 0)
-    turn, seen = F.when(known, moved - earlier).otherwise(0.0), Observation()
-    made, path = cut_at(step.observe(
-        seen, F.max("off").alias("off"), F.sum(F.when(known, moved * turn).otherwise(0.0)).alias("along"),
-        F.sum(turn * turn).alias("turn")).drop("off").coalesce(1), f"mix_{d}")
+    off, along, turn, drop = [], [], [], []
+    for d in DIMENSIONS:
+        aim, factor, last, of_value = F.col(f"_a_{d}"), F.col(f"_f_{d}"), F.col(f"_l_{d}"), Window.partitionBy(f"_{d}")
+        weight = F.col("_weight")
+        full = (weight >= 1) if bounded else F.lit(False)
+        state = state.withColumn("_weight", _weight(bounded)).withColumns({
+            "_held": F.sum(F.when(full, F.col("tokens")).otherwise(0)).over(of_value),
+            "_free": F.sum(F.when(~full, F.col("tokens") * weight).otherwise(0.0)).over(of_value)})
+        held, free = F.col("_held"), F.col("_free")
+        ratio = F.when((free > 0) & (aim > held), (aim - held) / free)
+        fresh = F.when(held + free > 0, factor * F.coalesce(ratio, aim / (held + free))).otherwise(0.0)
+        state = state.withColumns({
+            f"_f_{d}": F.when(aim.isNotNull(), fresh), f"_l_{d}": factor, f"_o_{d}": last,
+            f"_off_{d}": F.when(aim > 0, F.abs((held + free) / aim - 1)).otherwise(0.0)}).drop("_held", "_free")
+        factor, last, older = F.col(f"_f_{d}"), F.col(f"_l_{d}"), F.col(f"_o_{d}")
+        moved, earlier = F.log(factor) - F.log(last), F.log(last) - F.log(older)
+        known = F.col(f"_one_{d}") & (factor > 0) & (last > 0) & (older > 0)
+        off.append(F.col(f"_off_{d}"))
+        along.append(F.when(known, moved * (moved - earlier)).otherwise(0.0))
+        turn.append(F.when(known, (moved - earlier) * (moved - earlier)).otherwise(0.0))
+        drop += [f"_o_{d}", f"_off_{d}"]
+    seen = Observation()
+    made, path = cut_at(state.observe(
+        seen, F.max(F.greatest(*off)).alias("off"), F.sum(along[0] + along[1] + along[2]).alias("along"),
+        F.sum(turn[0] + turn[1] + turn[2]).alias("turn")).drop("_weight", *drop).coalesce(FILES), "mix_round")
     return made, path, seen.get
 
 
@@ -115,34 +138,34 @@ def _sweeps(
     """Cells with ``weight`` after rounds over the dimensions, and how far the worst value was off in the last one.
 
     ``factors`` has ``value, aim, factor, whole`` per dimension. Bounded weights are at most 1, and 1 in cells of a
-    value that is kept whole; a step then moves only what lies below 1.
+    value that is kept whole; a step then moves only what lies below 1. The factors stand in the cells' own rows: a
+    round is one job, whose steps add up the cells of each value.
     """
     spark, none = cells.sparkSession, F.lit(None).cast("double")
-    now = {d: factors[d].withColumn("last", none) for d in DIMENSIONS}
-    paths: dict[str, str] = {}
+    now, path, lost = _placed(cells, factors)
     worst, safe, since = 0.0, None, 0
     for number in range(rounds):
-        before, off, along, turn = dict(paths), 0.0, 0.0, 0.0
-        for d in DIMENSIONS:
-            now[d], paths[d], got = _step(cells, now, d, bounded)
-            off, along, turn = max(off, got["off"] or 0.0), along + (got["along"] or 0.0), turn + (got["turn"] or 0.0)
+        before = path
+        now, path, got = _round(now, bounded)
+        off, along, turn = max(got["off"] or 0.0, float(lost)), got["along"] or 0.0, got["turn"] or 0.0
         since += 1
         if safe is not None and since == 1 and off > 2 * safe[1]:  # the extrapolated factors were worse
-            now, worst, since = {d: t.withColumn("last", none) for d, t in safe[0].items()}, safe[1], 0
+            discard(spark, path)
+            now, path, worst, since = safe[0].withColumns({f"_l_{d}": none for d in DIMENSIONS}), safe[2], safe[1], 0
             safe = None
             continue
-        if since > 1 or safe is None:
-            for old in before.values():
-                discard(spark, old)
+        discard(spark, before)
         worst = off
         if worst <= tolerance or number == rounds - 1:
             break
         if since >= 2 and turn > 0 and along < 0:
-            safe, since = (dict(now), worst), 0
-            ahead = F.when((F.col("factor") > 0) & (F.col("last") > 0),
-                           F.col("factor") * F.pow(F.col("factor") / F.col("last"), F.lit(min(-along / turn, 1e3))))
-            now = {d: t.withColumn("factor", F.coalesce(ahead, F.col("factor"))).withColumn("last", none) for d, t in now.items()}
-    return _weighted(cells, now, bounded), worst
+            safe, since = (now, worst, path), 0
+            power = F.lit(min(-along / turn, 1e3))
+            now = now.withColumns(
+                {f"_f_{d}": F.when((F.col(f"_f_{d}") > 0) & (F.col(f"_l_{d}") > 0),
+                                   F.col(f"_f_{d}") * F.pow(F.col(f"_f_{d}") / F.col(f"_l_{d}"), power)).otherwise(F.col(f"_f_{d}"))
+                 for d in DIMENSIONS} | {f"_l_{d}": none for d in DIMENSIONS})
+    return now.withColumn("weight", _weight(bounded)).select(*cells.columns, "weight"), worst
 
 
 def _unsettled(worst: float, rounds: int, strict: bool) -> None:

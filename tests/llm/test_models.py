@@ -165,6 +165,27 @@ def test_raked_cells_equal_a_plain_rake(spark, docs):
     assert {r.doc_id: r.kept for r in drawn.itertuples()} == want
 
 
+def test_a_round_of_raking_is_one_written_table(spark, monkeypatch):
+    """Before, each dimension of a round wrote its own; a target without any cell still counts as unsettled."""
+    cells = spark.createDataFrame([(f"s{i % 4}", f"l{i % 3}", f"t{i % 5}", 10 + i * i) for i in range(60)],
+                                  "_source string, _lang string, _topic string, tokens long").groupBy("_source", "_lang", "_topic").sum("tokens")
+    cells = cells.withColumnRenamed("sum(tokens)", "tokens")
+    targets = mixing.tempered_targets(cells)
+    real, written = mixing.cut_at, []
+
+    def cut_at(df, tag):
+        written.append(tag)
+        return real(df, tag)
+
+    monkeypatch.setattr(mixing, "cut_at", cut_at)
+    with pytest.warns(UserWarning, match="after 4 rounds"):
+        mixing.rake(cells, targets, tolerance=0.0, rounds=4).collect()
+    assert 4 <= len(written) <= 5
+    lost = targets | {"lang": targets["lang"].union(spark.createDataFrame([("no", 0.001)]))}
+    with pytest.raises(ValueError, match="off by 1 after 3 rounds"):
+        mixing.rake(cells, lost, tolerance=0.9, rounds=3, strict=True)
+
+
 def test_unseen_language_is_rejected(spark, docs):
     rejected, lost = {}, []
     for left_out in ("de", "en", "es", "fr"):
