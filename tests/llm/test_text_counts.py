@@ -153,3 +153,74 @@ def test_long_text_is_counted_in_parts(monkeypatch):
     want = bm25_search.count_words(text)
     monkeypatch.setattr(bm25_search, "SPLIT_BYTES", 17)
     assert bm25_search.count_words(text) == want and want[b"ab"] == 100
+
+
+def _made_rows(n=900):
+    """Two tongues, words from common to unique, long rows, and groups of exact copies."""
+    import random
+    from collections import Counter
+
+    draw, rows = random.Random(5), []
+    for i in range(n):
+        if i % 9 == 8:
+            rows.append((i, rows[draw.randrange(len(rows))][1]))
+            continue
+        size = draw.choice([1, 5, 40, 40, 200])
+        rows.append((i, Counter(b"%d-%d" % (i % 2, draw.paretovariate(0.6) % 5000) for _ in range(size)) + Counter([b"own%d" % i])))
+    return rows
+
+
+def _packed_search(bm25, rows, asked):
+    """The results of packs over one shard, of brute force, and the index."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    mean = sum(sum(c.values()) for _, c in rows) / len(rows)
+    df = Counter(t for _, c in rows for t in c)
+    index = bm25.ShardIndex(mean)
+    for doc_id, c in rows:
+        index.add(doc_id, b" ".join(t for t, n in c.items() for _ in range(n)))
+    index.close()
+    got, want = {}, {}
+    columns = [[bm25._hashes(c, len(c)), np.array(list(c.values())), np.array([df[t] for t in c])] for _, c in asked]
+    packs = list(bm25._packs(np.array([i for i, _ in asked]), np.array([len(c) for _, c in asked]), *map(np.concatenate, zip(*columns))))
+    for pack in packs:
+        idf = np.log(1 + (len(rows) - pack.dfs + 0.5) / (pack.dfs + 0.5))
+        found = index.search_pack(len(pack.query_ids), pack.terms, idf, pack.heads, pack.who, pack.times, 10)
+        for query, (docs, scores) in zip(pack.query_ids.tolist(), found, strict=True):
+            got[query] = bm25._best(((round(s, 6), index.ids[d]) for s, d in zip(scores.tolist(), docs.tolist())), 10)
+    for query, c in asked:
+        weights = {t: n * math.log(1 + (len(rows) - df[t] + 0.5) / (df[t] + 0.5)) for t, n in c.items()}
+        scores = []
+        for doc_id, d in rows:
+            norm = 1.2 * (0.25 + 0.75 * sum(d.values()) / mean)
+            score = sum(w * d[t] * 2.2 / (d[t] + norm) for t, w in weights.items() if t in d)
+            scores += [(round(score, 6), doc_id)] if score else []
+        want[query] = bm25._best(scores, 10)
+    return got, want, index, packs
+
+
+@pytest.mark.parametrize("small", [{}, {
+    "PACK": 16, "PACK_TERMS": 900, "BLOCK": 90, "BLOCK_LEAST": 40, "BLOCK_MOST": 120, "CELLS": 7000, "FACTOR_CELLS": 3000, "ENTRIES": 50,
+    "STEP": 4, "COMMON": 20, "ROWS": 300}, {"ENTRY_COST": 10**9}, {"ENTRY_COST": 0}])
+def test_packs_find_what_brute_force_finds(monkeypatch, small):
+    for name, value in small.items():
+        monkeypatch.setattr(bm25_search, name, value)
+    rows = _made_rows()
+    got, want, index, packs = _packed_search(bm25_search, rows, rows[::3])
+    assert got == want
+    if "PACK" in small:
+        assert len(packs) > 15 and len(index.blocks) > 4
+
+
+def test_packed_queries_share_terms_and_work():
+    rows = _made_rows()
+    got, want, index, (pack,) = _packed_search(bm25_search, rows, rows[::3])
+    assert got == want
+    # each term is sent once, and products take what would be added up for every query on its own
+    assert len(set(pack.terms.tolist())) == len(pack.terms) < 0.5 * len(pack.who)
+    alone = sum(len(a.keys() & d.keys()) for _, a in rows[::3] for _, d in rows)
+    assert index.entries < 0.25 * alone
+    assert index.scored < 0.1 * len(rows[::3]) * len(rows)
